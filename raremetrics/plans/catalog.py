@@ -36,3 +36,310 @@ def query(name: str):
 def q_nominal_cpue(spark, sf_dir):
     """A1 (flagship): nominal CPUE per species and year with 95 % CI."""
     return flagship.nominal_cpue(spark, sf_dir)
+
+
+# --------------------------------------------------------------------------- base frames
+from ..functions import classes as C  # noqa: E402
+from ..functions import numeric as N  # noqa: E402
+from ..operators import bins, clean, derive, describe, enrich, spatial, summarise  # noqa: E402
+from ..sources import tables  # noqa: E402
+
+SPECIES = ["narrow", "green"]
+ADAPTER_VESSEL_ALIASES = {"vessel 2 ii": "vessel 2"}
+SST_BOUNDS = dict(lat_range=(-21.0, -17.0), lon_range=(114.0, 121.0))
+
+
+def _prepared(spark, d):
+    return flagship.prepared_shots(spark, d)
+
+
+def _known(spark, d):
+    return clean.known_vessel(_prepared(spark, d))
+
+
+def _model_frame(spark, d):
+    """Known-vessel shots with normalised names and class columns, effort capped at 7 h."""
+    k = derive.normalise_vessel(_known(spark, d), "vessel", ADAPTER_VESSEL_ALIASES)
+    return clean.max_effort(derive.with_classes(k, hour=None))
+
+
+# --------------------------------------------------------------------------- step 1
+@query("climatology")
+def q_climatology(spark, d):
+    """A2 + F6: month climatology of temperature inside the bounding box."""
+    return enrich.climatology(tables.sst(spark, d))
+
+
+@query("climatology_year_month")
+def q_climatology_ym(spark, d):
+    """A2: mean temperature by year and month."""
+    return enrich.climatology(tables.sst(spark, d), by=["yr", "mn"])
+
+
+@query("annual_totals")
+def q_annual_totals(spark, d):
+    """A3: annual sums of both species and effort with the any-null drop."""
+    return enrich.annual_totals(_prepared(spark, d))
+
+
+@query("shots_enriched")
+def q_shots_enriched(spark, d):
+    """J1 + J2 + P10-P11 + F4 in the reference's stage order."""
+    return flagship.enriched_shots(spark, d).select(
+        "shot_id", "vessel", "yr", "mn", "lat", "lon", "depth", "hrs", "narrow", "green",
+        "temperature", "ann_eff", "season", "effort_class")
+
+
+# --------------------------------------------------------------------------- step 2
+@query("effort_class")
+def q_effort_class(spark, d):
+    """Shots, effort and catch per season × effort class."""
+    k = derive.with_classes(_known(spark, d), hour=None)
+    return k.groupBy("season", "effort_class").agg(
+        F.count(F.lit(1)).alias("shots"), F.sum("hrs").alias("hrs"),
+        F.sum("narrow").cast("bigint").alias("narrow"), F.sum("green").cast("bigint").alias("green"))
+
+
+@query("day_night")
+def q_day_night(spark, d):
+    """Shots, effort and catch by day/night class (hour-of-day shots)."""
+    h = clean.min_effort(tables.shots_hourly(spark, d)).withColumn("day_night", C.day_night("start_hour"))
+    return h.groupBy("day_night").agg(
+        F.count(F.lit(1)).alias("shots"), F.sum("hrs").alias("hrs"),
+        F.sum("narrow").cast("bigint").alias("narrow"), F.sum("green").cast("bigint").alias("green"))
+
+
+@query("effort_grid")
+def q_effort_grid(spark, d):
+    """P16 + A18: effort per 0.1° cell of the start position."""
+    return spatial.effort_grid(_known(spark, d))
+
+
+@query("effort_grid_year")
+def q_effort_grid_year(spark, d):
+    """Effort per 0.1° cell and year."""
+    return spatial.effort_grid(_known(spark, d), by=["yr"])
+
+
+@query("effort_grid_class")
+def q_effort_grid_class(spark, d):
+    """20 effort classes of the gridded effort."""
+    return spatial.effort_classes(spatial.effort_grid(_known(spark, d)))
+
+
+@query("range_audit")
+def q_range_audit(spark, d):
+    """date parts outside their bounds, one long violations table."""
+    s = tables.shots(spark, d).withColumn("dy", F.dayofmonth("start_date").cast("int"))
+    return clean.range_audit(s, "shot_id", {"yr": (1995, 2000), "mn": (1, 12), "dy": (1, 28)})
+
+
+@query("vessel_tenure")
+def q_vessel_tenure(spark, d):
+    """skippers with records in more than 5 distinct years, with their shots."""
+    kept = clean.vessel_tenure(_known(spark, d), vessel="skipper_no")
+    return kept.groupBy("skipper_no").agg(F.count(F.lit(1)).alias("shots"),
+                                          F.count_distinct("yr").alias("n_years"))
+
+
+@query("exclude_ids")
+def q_exclude_ids(spark, d):
+    """drop shots listed in an exclusion table (orders with an oversized line)."""
+    rules = tables.table(spark, d, "lineitem").filter(F.col("l_quantity") >= 50).select("l_orderkey")
+    kept = clean.exclude_ids(_prepared(spark, d), "shot_id", rules)
+    return kept.groupBy("yr").agg(F.count(F.lit(1)).alias("shots"))
+
+
+@query("level_audit")
+def q_level_audit(spark, d):
+    """distinct levels per factor and the > 32 flag."""
+    e = flagship.enriched_shots(spark, d)
+    return clean.level_audit(e, ["vessel", "yr", "mn", "season", "effort_class", "skipper_no"])
+
+
+@query("effort_audit")
+def q_effort_audit(spark, d):
+    """shots and catch above vs within the 7 h cap."""
+    return clean.effort_audit(_known(spark, d))
+
+
+# --------------------------------------------------------------------------- step 3
+@query("catch_effort_profile")
+def q_catch_effort_profile(spark, d):
+    """Catch, effort, shots by month and 10 m depth bin (one grouping-sets pass)."""
+    k = _known(spark, d)
+    return summarise.catch_effort_profile(k, {"mn": "mn", "depth_bin": N.round_to("depth", 10)}, SPECIES)
+
+
+@query("mean_cpue_by_dims")
+def q_mean_cpue_by_dims(spark, d):
+    """Mean narrow cpue by year, month and depth bin."""
+    k = _known(spark, d)
+    return summarise.mean_by_dims(k, {"yr": "yr", "mn": "mn", "depth_bin": N.round_to("depth", 10)},
+                                  F.col("narrow") / F.col("hrs"))
+
+
+@query("catch_frequency_pct")
+def q_catch_frequency(spark, d):
+    """A13 + W1: records per number caught among positive shots and % of the total."""
+    return summarise.catch_frequency(_known(spark, d), SPECIES)
+
+
+@query("count_distribution")
+def q_count_distribution(spark, d):
+    """Records per number caught including zeros."""
+    return summarise.count_distribution(_known(spark, d), SPECIES)
+
+
+@query("occurrence")
+def q_occurrence(spark, d):
+    """% of shots with any catch and per species."""
+    return summarise.occurrence(_known(spark, d), SPECIES)
+
+
+@query("table1")
+def q_table1(spark, d):
+    """Grand totals."""
+    return summarise.table1(_known(spark, d))
+
+
+@query("annual_catch")
+def q_annual_catch(spark, d):
+    """alive/dead catch per year."""
+    return summarise.annual_catch(_known(spark, d))
+
+
+@query("annual_effort")
+def q_annual_effort(spark, d):
+    """Effort per year in thousands of hours."""
+    return summarise.annual_effort(_known(spark, d))
+
+
+@query("effort_by_month")
+def q_effort_by_month(spark, d):
+    """A4: rounded effort per month of shots within the 7 h cap."""
+    return summarise.effort_by(clean.max_effort(_known(spark, d)), "mn")
+
+
+@query("catch_map")
+def q_catch_map(spark, d):
+    """A5 + J4: narrow catch per month × position with the month's effort label."""
+    return summarise.catch_map(clean.max_effort(_known(spark, d)), "mn", "narrow")
+
+
+@query("level_catch")
+def q_level_catch(spark, d):
+    """Catch by level of each model factor."""
+    return summarise.level_catch(_model_frame(spark, d), ["yr", "season", "vessel", "effort_class"], SPECIES)
+
+
+@query("predictor_positive")
+def q_predictor_positive(spark, d):
+    """A10: positive shots per predictor level (factors, and 10 equal bins of numerics)."""
+    return summarise.positive_by_level(_known(spark, d), ["vessel", "yr", "mn"],
+                                       {"lon": 10, "lat": 10, "depth": 10}, SPECIES)
+
+
+@query("boxplot_stats")
+def q_boxplot_stats(spark, d):
+    """Boxplot statistics of positive narrow cpue per year."""
+    k = _known(spark, d).filter(F.col("narrow") > 0).withColumn("cpue", F.col("narrow") / F.col("hrs"))
+    return describe.boxplot_stats(k, "cpue", ["yr"])
+
+
+@query("hist_counts")
+def q_hist_counts(spark, d):
+    """Histogram of effort in 0.5 h bins."""
+    return bins.histogram(_known(spark, d), "hrs", 0.5)
+
+
+@query("percentiles")
+def q_percentiles(spark, d):
+    """Effort percentiles 0, 10, ..., 100 per year."""
+    return describe.percentiles(_known(spark, d), "hrs", [i / 10 for i in range(11)], ["yr"])
+
+
+@query("relative_index")
+def q_relative_index(spark, d):
+    """Nominal cpue and band divided by the species' series mean."""
+    idx = flagship.nominal_cpue(spark, d)
+    return summarise.relative_index(idx, ["species"], ["mean", "low_cl", "upp_cl"]).select(
+        "species", "yr", "mean", "low_cl", "upp_cl")
+
+
+@query("reference_profile")
+def q_reference_profile(spark, d):
+    """Rarest level per factor and covariate means (the prediction reference)."""
+    return describe.reference_profile(_model_frame(spark, d), ["yr", "season", "vessel", "effort_class"],
+                                      ["hrs", "lon", "lat"], "rarest")
+
+
+@query("modal_profile")
+def q_modal_profile(spark, d):
+    """Modal level per factor and covariate means."""
+    return describe.reference_profile(_model_frame(spark, d), ["yr", "season", "vessel", "effort_class"],
+                                      ["hrs", "lon", "lat"], "modal")
+
+
+@query("panel_rate")
+def q_panel_rate(spark, d):
+    """Narrow catch rate per year × month scaled by the year's maximum."""
+    k = _known(spark, d).withColumn("cpue", F.col("narrow") / F.col("hrs"))
+    return summarise.panel_rate(k, "yr", ["mn"], "cpue")
+
+
+@query("grid_wide")
+def q_grid_wide(spark, d):
+    """R2: effort per longitude cell (rows) × month (columns)."""
+    g = spatial.effort_grid(_known(spark, d), by=["mn"]).groupBy("cell_lon", "mn").agg(F.sum("hrs").alias("hrs"))
+    return spatial.grid_wide(g, "cell_lon", "mn", "hrs", list(range(1, 13)), prefix="m")
+
+
+@query("vessel_years")
+def q_vessel_years(spark, d):
+    """Vessel × year presence (long)."""
+    return clean.vessel_years(_known(spark, d), "vessel", "yr")
+
+
+@query("panel_catch")
+def q_panel_catch(spark, d):
+    """Catch totals and positive points per year panel and species."""
+    return spatial.panel_catch(_known(spark, d), "yr", SPECIES)
+
+
+@query("class_proportions")
+def q_class_proportions(spark, d):
+    """Two-way class proportions (season × effort class)."""
+    return summarise.class_proportions(_model_frame(spark, d), ["season", "effort_class"])
+
+
+# --------------------------------------------------------------------------- step 4
+@query("corr_matrix")
+def q_corr_matrix(spark, d):
+    """Pairwise correlation of covariates."""
+    return describe.corr_matrix(_known(spark, d), ["lat", "lon", "depth", "hrs"])
+
+
+@query("kde_grid")
+def q_kde_grid(spark, d):
+    """Density of effort per season on 512 points."""
+    return describe.kde(_model_frame(spark, d), "hrs", ["season"])
+
+
+@query("effort_bins")
+def q_effort_bins(spark, d):
+    """Shots and interactions per 30-min effort bin."""
+    return bins.effort_bins(_model_frame(spark, d))
+
+
+@query("chisq_independence")
+def q_chisq(spark, d):
+    """χ² of interactions vs shots over the effort bins (statistic and df)."""
+    b = bins.effort_bins(_model_frame(spark, d))
+    return describe.chisq_contingency(b, "interactions", "shots").select("statistic", "df", "n")
+
+
+@query("equal_width_cut")
+def q_equal_width_cut(spark, d):
+    """Shots per 10 equal-width longitude bins."""
+    return bins.equal_width_cut(_known(spark, d), "lon", 10).groupBy("bin").agg(F.count(F.lit(1)).alias("shots"))

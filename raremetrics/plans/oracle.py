@@ -76,3 +76,334 @@ SELECT species, yr, ROUND(AVG(cpue),6) AS mean, CAST(COUNT(*) AS BIGINT) AS n, R
   ROUND(AVG(cpue)+1.96E0*STDDEV_SAMP(cpue)/SQRT(COUNT(*)),6) AS upp_cl
 FROM long GROUP BY species, yr
 """)
+
+KNOWN_CTE = PREPARED_CTE + """,
+known AS (SELECT * FROM prepared WHERE vessel <> '')"""
+
+MODEL_CTE = KNOWN_CTE + """,
+model AS (
+  SELECT k.* REPLACE (CASE WHEN lower(vessel)='vessel 2 ii' THEN 'vessel 2' ELSE lower(vessel) END AS vessel),
+    CASE WHEN mn BETWEEN 3 AND 8 THEN 'AuWin' WHEN mn IS NOT NULL THEN 'SprSu' END AS season,
+    CASE WHEN hrs < 2.0E0 THEN 'Short' WHEN hrs < 4.0E0 THEN 'Standard' WHEN hrs >= 4.0E0 THEN 'Long' END AS effort_class
+  FROM known k WHERE hrs <= 7.0E0)"""
+
+BBOX = "lat > -21.0E0 AND lat < -17.0E0 AND lon < 121.0E0 AND lon > 114.0E0"
+CELL_LAT = "CAST(substr(CAST(slat AS VARCHAR),1,5) AS DOUBLE)"
+CELL_LON = "CAST(substr(CAST(slong AS VARCHAR),1,5) AS DOUBLE)"
+
+register("climatology", f"""
+WITH {SST_CTE}
+SELECT mn, ROUND(AVG(value),6) AS temperature FROM sst
+WHERE {BBOX} AND mn IS NOT NULL AND value IS NOT NULL GROUP BY mn""")
+
+register("climatology_year_month", f"""
+WITH {SST_CTE}
+SELECT yr, mn, ROUND(AVG(value),6) AS temperature FROM sst
+WHERE {BBOX} AND yr IS NOT NULL AND mn IS NOT NULL AND value IS NOT NULL GROUP BY yr, mn""")
+
+register("annual_totals", f"""
+WITH {PREPARED_CTE}
+SELECT yr, CAST(SUM(green) AS BIGINT) AS green, CAST(SUM(narrow) AS BIGINT) AS narrow, ROUND(SUM(hrs),6) AS hrs
+FROM prepared WHERE yr IS NOT NULL AND hrs IS NOT NULL GROUP BY yr""")
+
+register("shots_enriched", f"""
+WITH {PREPARED_CTE}, {SST_CTE},
+clim AS (SELECT mn AS cmn, AVG(value) AS temperature FROM sst WHERE {BBOX} AND mn IS NOT NULL AND value IS NOT NULL GROUP BY mn),
+ann AS (SELECT yr AS ayr, SUM(hrs) AS ann_eff FROM prepared WHERE yr IS NOT NULL AND hrs IS NOT NULL GROUP BY yr)
+SELECT shot_id, vessel, yr, mn, ROUND(lat,6) AS lat, ROUND(lon,6) AS lon, ROUND(depth,6) AS depth, ROUND(hrs,6) AS hrs,
+  narrow, green, ROUND(temperature,6) AS temperature, ROUND(ann_eff,6) AS ann_eff,
+  CASE WHEN mn BETWEEN 3 AND 8 THEN 'AuWin' WHEN mn IS NOT NULL THEN 'SprSu' END AS season,
+  CASE WHEN hrs < 2.0E0 THEN 'Short' WHEN hrs < 4.0E0 THEN 'Standard' WHEN hrs >= 4.0E0 THEN 'Long' END AS effort_class
+FROM prepared p LEFT JOIN clim ON p.mn IS NOT DISTINCT FROM clim.cmn JOIN ann ON p.yr = ann.ayr
+WHERE vessel <> ''""")
+
+register("effort_class", f"""
+WITH {KNOWN_CTE},
+c AS (SELECT *, CASE WHEN mn BETWEEN 3 AND 8 THEN 'AuWin' WHEN mn IS NOT NULL THEN 'SprSu' END AS season,
+  CASE WHEN hrs < 2.0E0 THEN 'Short' WHEN hrs < 4.0E0 THEN 'Standard' WHEN hrs >= 4.0E0 THEN 'Long' END AS effort_class FROM known)
+SELECT season, effort_class, COUNT(*) AS shots, ROUND(SUM(hrs),6) AS hrs,
+  CAST(SUM(narrow) AS BIGINT) AS narrow, CAST(SUM(green) AS BIGINT) AS green
+FROM c GROUP BY season, effort_class""")
+
+register("day_night", f"""
+WITH {SHOTS_HOURLY_CTE}
+SELECT CASE WHEN start_hour BETWEEN 6 AND 18 THEN 'Day' WHEN start_hour IS NOT NULL THEN 'Night' END AS day_night,
+  COUNT(*) AS shots, ROUND(SUM(hrs),6) AS hrs, CAST(SUM(narrow) AS BIGINT) AS narrow, CAST(SUM(green) AS BIGINT) AS green
+FROM shots_hourly WHERE hrs >= 1.0E0/6.0E0 GROUP BY 1""")
+
+register("effort_grid", f"""
+WITH {KNOWN_CTE},
+g AS (SELECT {CELL_LAT} AS cell_lat, {CELL_LON} AS cell_lon, SUM(hrs) AS hrs, COUNT(*) AS shots FROM known
+      WHERE slat IS NOT NULL AND slong IS NOT NULL AND hrs IS NOT NULL GROUP BY 1, 2)
+SELECT cell_lat, cell_lon, ROUND(hrs,6) AS hrs, shots, ROUND(cell_lat-0.05E0,6) AS centre_lat, ROUND(cell_lon+0.05E0,6) AS centre_lon FROM g""")
+
+register("effort_grid_year", f"""
+WITH {KNOWN_CTE},
+g AS (SELECT yr, {CELL_LAT} AS cell_lat, {CELL_LON} AS cell_lon, SUM(hrs) AS hrs, COUNT(*) AS shots FROM known
+      WHERE yr IS NOT NULL AND slat IS NOT NULL AND slong IS NOT NULL AND hrs IS NOT NULL GROUP BY 1, 2, 3)
+SELECT yr, cell_lat, cell_lon, ROUND(hrs,6) AS hrs, shots, ROUND(cell_lat-0.05E0,6) AS centre_lat, ROUND(cell_lon+0.05E0,6) AS centre_lon FROM g""")
+
+register("effort_grid_class", f"""
+WITH {KNOWN_CTE},
+g AS (SELECT {CELL_LAT} AS cell_lat, {CELL_LON} AS cell_lon, SUM(hrs) AS hrs, COUNT(*) AS shots FROM known
+      WHERE slat IS NOT NULL AND slong IS NOT NULL AND hrs IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT MIN(hrs) AS lo, MAX(hrs) AS hi FROM g)
+SELECT cell_lat, cell_lon, ROUND(hrs,6) AS hrs, shots, ROUND(cell_lat-0.05E0,6) AS centre_lat, ROUND(cell_lon+0.05E0,6) AS centre_lon,
+  CAST(LEAST(20, CASE WHEN hrs <= lo OR hi = lo THEN 1 ELSE 1 + CEIL((hrs-lo)/((hi-lo)/19.0E0)) END) AS INT) AS effort_class
+FROM g, r""")
+
+register("range_audit", f"""
+WITH {SHOTS_CTE},
+s AS (SELECT shot_id, CAST(yr AS DOUBLE) AS yr, CAST(mn AS DOUBLE) AS mn, CAST(day(start_date) AS DOUBLE) AS dy FROM shots)
+SELECT shot_id, 'yr' AS "column", yr AS value FROM s WHERE yr < 1995 OR yr > 2000
+UNION ALL SELECT shot_id, 'mn', mn FROM s WHERE mn < 1 OR mn > 12
+UNION ALL SELECT shot_id, 'dy', dy FROM s WHERE dy < 1 OR dy > 28""")
+
+register("vessel_tenure", f"""
+WITH {KNOWN_CTE},
+t AS (SELECT skipper_no FROM known WHERE skipper_no IS NOT NULL AND yr IS NOT NULL GROUP BY skipper_no HAVING COUNT(DISTINCT yr) > 5)
+SELECT skipper_no, COUNT(*) AS shots, COUNT(DISTINCT yr) AS n_years FROM known
+WHERE skipper_no IN (SELECT skipper_no FROM t) GROUP BY skipper_no""")
+
+register("exclude_ids", f"""
+WITH {PREPARED_CTE}
+SELECT yr, COUNT(*) AS shots FROM prepared
+WHERE shot_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50 AND l_orderkey IS NOT NULL)
+GROUP BY yr""")
+
+register("level_audit", f"""
+WITH {MODEL_CTE.replace('WHERE hrs <= 7.0E0', '')},
+e AS (SELECT k.*, CASE WHEN mn BETWEEN 3 AND 8 THEN 'AuWin' WHEN mn IS NOT NULL THEN 'SprSu' END AS season,
+   CASE WHEN hrs < 2.0E0 THEN 'Short' WHEN hrs < 4.0E0 THEN 'Standard' WHEN hrs >= 4.0E0 THEN 'Long' END AS effort_class FROM known k),
+l AS (
+  SELECT 'vessel' AS "column", COUNT(DISTINCT vessel) AS n_levels FROM e
+  UNION ALL SELECT 'yr', COUNT(DISTINCT yr) FROM e
+  UNION ALL SELECT 'mn', COUNT(DISTINCT mn) FROM e
+  UNION ALL SELECT 'season', COUNT(DISTINCT season) FROM e
+  UNION ALL SELECT 'effort_class', COUNT(DISTINCT effort_class) FROM e
+  UNION ALL SELECT 'skipper_no', COUNT(DISTINCT skipper_no) FROM e)
+SELECT "column", n_levels, n_levels > 32 AS too_many FROM l""")
+
+register("effort_audit", f"""
+WITH {KNOWN_CTE}
+SELECT hrs > 7.0E0 AS over_cap, COUNT(*) AS shots, CAST(SUM(narrow) AS BIGINT) AS narrow_total,
+  CAST(SUM(green) AS BIGINT) AS green_total
+FROM known WHERE hrs IS NOT NULL GROUP BY 1""")
+
+_PROFILE_DIM = """SELECT '{n}' AS dimension, CAST({e} AS DOUBLE) AS level, SUM(hrs) AS hrs, COUNT(*) AS shots,
+    SUM(CASE WHEN narrow>0 THEN narrow ELSE 0 END) AS c_narrow, SUM(CASE WHEN narrow>0 THEN 1 ELSE 0 END) AS p_narrow,
+    SUM(CASE WHEN green>0 THEN green ELSE 0 END) AS c_green, SUM(CASE WHEN green>0 THEN 1 ELSE 0 END) AS p_green
+  FROM known WHERE {e} IS NOT NULL GROUP BY 1, 2"""
+
+register("catch_effort_profile", f"""
+WITH {KNOWN_CTE},
+g AS ({_PROFILE_DIM.format(n='mn', e='mn')}
+  UNION ALL {_PROFILE_DIM.format(n='depth_bin', e='10.0E0*round_even(depth/10.0E0,0)')})
+SELECT 'narrow' AS species, dimension, level, CAST(c_narrow AS BIGINT) AS catch, CAST(p_narrow AS BIGINT) AS positive_shots,
+  ROUND(hrs,6) AS hrs, shots FROM g WHERE p_narrow > 0
+UNION ALL
+SELECT 'green', dimension, level, CAST(c_green AS BIGINT), CAST(p_green AS BIGINT), ROUND(hrs,6), shots FROM g WHERE p_green > 0""")
+
+_MEAN_DIM = """SELECT '{n}' AS dimension, CAST({e} AS DOUBLE) AS level, ROUND(AVG(narrow/hrs),6) AS mean, COUNT(narrow/hrs) AS n
+  FROM known WHERE {e} IS NOT NULL GROUP BY 1, 2"""
+
+register("mean_cpue_by_dims", f"""
+WITH {KNOWN_CTE}
+{_MEAN_DIM.format(n='yr', e='yr')}
+UNION ALL {_MEAN_DIM.format(n='mn', e='mn')}
+UNION ALL {_MEAN_DIM.format(n='depth_bin', e='10.0E0*round_even(depth/10.0E0,0)')}""")
+
+LONG_CTE = KNOWN_CTE + """,
+long AS (SELECT 'narrow' AS species, narrow AS n_caught FROM known UNION ALL SELECT 'green', green FROM known)"""
+
+register("catch_frequency_pct", f"""
+WITH {LONG_CTE},
+t AS (SELECT species, n_caught, COUNT(*) AS records FROM long WHERE n_caught > 0 GROUP BY species, n_caught)
+SELECT species, n_caught, records, ROUND(round_even(100.0E0*records/SUM(records) OVER (PARTITION BY species), 2),6) AS percent FROM t""")
+
+register("count_distribution", f"""
+WITH {LONG_CTE}
+SELECT species, n_caught, COUNT(*) AS records FROM long GROUP BY species, n_caught""")
+
+register("occurrence", f"""
+WITH {KNOWN_CTE}
+SELECT ROUND(round_even(100.0E0*SUM(CASE WHEN narrow+green > 0 THEN 1 ELSE 0 END)/COUNT(*), 3),6) AS pct_any,
+  ROUND(round_even(100.0E0*SUM(CASE WHEN narrow > 0 THEN 1 ELSE 0 END)/COUNT(*), 2),6) AS pct_narrow,
+  ROUND(round_even(100.0E0*SUM(CASE WHEN green > 0 THEN 1 ELSE 0 END)/COUNT(*), 2),6) AS pct_green
+FROM known""")
+
+register("table1", f"""
+WITH {KNOWN_CTE}
+SELECT CAST(SUM(COALESCE(green_alive,0)) AS BIGINT) AS green_alive, CAST(SUM(COALESCE(green_dead,0)) AS BIGINT) AS green_dead,
+  CAST(SUM(COALESCE(narrow_alive,0)) AS BIGINT) AS narrow_alive, CAST(SUM(COALESCE(narrow_dead,0)) AS BIGINT) AS narrow_dead,
+  COUNT(*) AS records, ROUND(SUM(hrs),6) AS effort FROM known""")
+
+register("annual_catch", f"""
+WITH {KNOWN_CTE}
+SELECT yr, CAST(SUM(COALESCE(green_alive,0)) AS BIGINT) AS green_alive, CAST(SUM(COALESCE(green_dead,0)) AS BIGINT) AS green_dead,
+  CAST(SUM(COALESCE(narrow_alive,0)) AS BIGINT) AS narrow_alive, CAST(SUM(COALESCE(narrow_dead,0)) AS BIGINT) AS narrow_dead
+FROM known GROUP BY yr""")
+
+register("annual_effort", f"""
+WITH {KNOWN_CTE}
+SELECT yr, ROUND(SUM(hrs)/1000.0E0,6) AS effort_k_hrs FROM known GROUP BY yr""")
+
+register("effort_by_month", f"""
+WITH {KNOWN_CTE}
+SELECT mn, ROUND(round_even(ROUND(SUM(hrs),6),0),6) AS effort FROM known WHERE hrs <= 7.0E0 GROUP BY mn""")
+
+register("catch_map", f"""
+WITH {KNOWN_CTE},
+d AS (SELECT * FROM known WHERE hrs <= 7.0E0),
+e AS (SELECT mn, round_even(ROUND(SUM(hrs),6),0) AS effort FROM d GROUP BY mn),
+p AS (SELECT mn, lon, lat, CAST(SUM(narrow) AS BIGINT) AS total FROM d GROUP BY mn, lon, lat)
+SELECT p.mn, ROUND(p.lon,6) AS lon, ROUND(p.lat,6) AS lat, total, ROUND(effort,6) AS effort, total > 0 AS positive,
+  concat(CAST(p.mn AS VARCHAR), ' (', CAST(CAST(effort AS BIGINT) AS VARCHAR), ' trawled h)') AS label
+FROM p LEFT JOIN e ON p.mn IS NOT DISTINCT FROM e.mn""")
+
+_LEVEL = "SELECT species, '{f}' AS factor, CAST({f} AS VARCHAR) AS level, k FROM ml"
+register("level_catch", f"""
+WITH {MODEL_CTE},
+ml AS (SELECT 'narrow' AS species, narrow AS k, * FROM model WHERE narrow > 0
+       UNION ALL SELECT 'green', green, * FROM model WHERE green > 0),
+lv AS ({_LEVEL.format(f='yr')} UNION ALL {_LEVEL.format(f='season')} UNION ALL {_LEVEL.format(f='vessel')}
+       UNION ALL {_LEVEL.format(f='effort_class')})
+SELECT species, factor, level, CAST(SUM(k) AS BIGINT) AS catch FROM lv GROUP BY species, factor, level""")
+
+_BIN = "CAST(CAST(LEAST(10, GREATEST(1, CEIL(({c}-lo_{c})/((hi_{c}-lo_{c})/10.0E0)))) AS INT) AS VARCHAR)"
+_PP = "SELECT species, '{p}' AS predictor, {e} AS level, k FROM b"
+register("predictor_positive", f"""
+WITH {KNOWN_CTE},
+r AS (SELECT MIN(lon) AS lo_lon, MAX(lon) AS hi_lon, MIN(lat) AS lo_lat, MAX(lat) AS hi_lat,
+             MIN(depth) AS lo_depth, MAX(depth) AS hi_depth FROM known),
+kb AS (SELECT known.*, {_BIN.format(c='lon')} AS b_lon, {_BIN.format(c='lat')} AS b_lat, {_BIN.format(c='depth')} AS b_depth
+       FROM known, r),
+b AS (SELECT 'narrow' AS species, narrow AS k, * FROM kb UNION ALL SELECT 'green', green, * FROM kb),
+lv AS ({_PP.format(p='vessel', e='vessel')} UNION ALL {_PP.format(p='yr', e='CAST(yr AS VARCHAR)')}
+   UNION ALL {_PP.format(p='mn', e='CAST(mn AS VARCHAR)')} UNION ALL {_PP.format(p='lon', e='b_lon')}
+   UNION ALL {_PP.format(p='lat', e='b_lat')} UNION ALL {_PP.format(p='depth', e='b_depth')})
+SELECT species, predictor, level, CAST(SUM(CASE WHEN k > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive
+FROM lv WHERE level IS NOT NULL GROUP BY species, predictor, level""")
+
+register("boxplot_stats", f"""
+WITH {KNOWN_CTE},
+d AS (SELECT yr, narrow/hrs AS v FROM known WHERE narrow > 0 AND yr IS NOT NULL AND narrow/hrs IS NOT NULL),
+q AS (SELECT yr, COUNT(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM d GROUP BY yr),
+j AS (SELECT d.yr, v, (v >= q1 - 1.5E0*(q3-q1) AND v <= q3 + 1.5E0*(q3-q1)) AS inside FROM d JOIN q ON d.yr = q.yr),
+s AS (SELECT yr, MIN(CASE WHEN inside THEN v END) AS whisker_lo, MAX(CASE WHEN inside THEN v END) AS whisker_hi,
+        CAST(SUM(CASE WHEN inside THEN 0 ELSE 1 END) AS BIGINT) AS outliers FROM j GROUP BY yr)
+SELECT q.yr, n, ROUND(q1,6) AS q1, ROUND(median,6) AS median, ROUND(q3,6) AS q3,
+  ROUND(whisker_lo,6) AS whisker_lo, ROUND(whisker_hi,6) AS whisker_hi, outliers FROM q JOIN s ON q.yr = s.yr""")
+
+register("hist_counts", f"""
+WITH {KNOWN_CTE},
+b AS (SELECT CAST(FLOOR((hrs - 0.0E0)/0.5E0) AS BIGINT) AS bin FROM known WHERE hrs IS NOT NULL)
+SELECT bin, COUNT(*) AS count, ROUND(0.0E0 + bin*0.5E0,6) AS lo, ROUND(0.0E0 + (bin+1)*0.5E0,6) AS hi FROM b GROUP BY bin""")
+
+register("percentiles", f"""
+WITH {KNOWN_CTE},
+q AS (SELECT yr, quantile_cont(hrs, [0.0E0,0.1E0,0.2E0,0.3E0,0.4E0,0.5E0,0.6E0,0.7E0,0.8E0,0.9E0,1.0E0]) AS qs
+      FROM known WHERE hrs IS NOT NULL GROUP BY yr)
+SELECT yr, ROUND(unnest([0.0E0,0.1E0,0.2E0,0.3E0,0.4E0,0.5E0,0.6E0,0.7E0,0.8E0,0.9E0,1.0E0]),6) AS prob,
+  ROUND(unnest(qs),6) AS quantile FROM q""")
+
+register("relative_index", f"""
+WITH {PREPARED_CTE},
+long AS (
+  SELECT 'narrow' AS species, yr, 1000.0E0*narrow/hrs AS cpue FROM prepared WHERE vessel <> ''
+  UNION ALL
+  SELECT 'green' AS species, yr, 1000.0E0*green/hrs AS cpue FROM prepared WHERE vessel <> ''),
+g AS (SELECT species, yr, AVG(cpue) AS mean, AVG(cpue)-1.96E0*STDDEV_SAMP(cpue)/SQRT(COUNT(*)) AS low_cl,
+        AVG(cpue)+1.96E0*STDDEV_SAMP(cpue)/SQRT(COUNT(*)) AS upp_cl FROM long GROUP BY species, yr)
+SELECT species, yr, ROUND(mean/AVG(mean) OVER (PARTITION BY species),6) AS mean,
+  ROUND(low_cl/AVG(mean) OVER (PARTITION BY species),6) AS low_cl,
+  ROUND(upp_cl/AVG(mean) OVER (PARTITION BY species),6) AS upp_cl FROM g""")
+
+_CNT = "SELECT '{f}' AS factor, CAST({f} AS VARCHAR) AS level, COUNT(*) AS n FROM model GROUP BY 1, 2"
+_PROFILE = """
+WITH {cte},
+cnt AS ({c1} UNION ALL {c2} UNION ALL {c3} UNION ALL {c4}),
+r AS (SELECT factor, level, ROW_NUMBER() OVER (PARTITION BY factor ORDER BY n {o}, level {o}) AS rk FROM cnt WHERE level IS NOT NULL)
+SELECT factor AS term, level, CAST(NULL AS DOUBLE) AS value FROM r WHERE rk = 1
+UNION ALL SELECT 'hrs', NULL, ROUND(AVG(hrs),6) FROM model
+UNION ALL SELECT 'lon', NULL, ROUND(AVG(lon),6) FROM model
+UNION ALL SELECT 'lat', NULL, ROUND(AVG(lat),6) FROM model"""
+_cnts = dict(c1=_CNT.format(f="yr"), c2=_CNT.format(f="season"), c3=_CNT.format(f="vessel"), c4=_CNT.format(f="effort_class"))
+register("reference_profile", _PROFILE.format(cte=MODEL_CTE, o="ASC", **_cnts))
+register("modal_profile", _PROFILE.format(cte=MODEL_CTE, o="DESC", **_cnts))
+
+register("panel_rate", f"""
+WITH {KNOWN_CTE},
+t AS (SELECT yr, mn, SUM(narrow/hrs) AS rate FROM known GROUP BY yr, mn)
+SELECT yr, mn, ROUND(rate,6) AS rate, ROUND(rate / MAX(rate) OVER (PARTITION BY yr),6) AS scaled FROM t""")
+
+register("grid_wide", f"""
+WITH {KNOWN_CTE},
+g AS (SELECT {CELL_LON} AS cell_lon, mn, SUM(hrs) AS hrs FROM known
+      WHERE mn IS NOT NULL AND slat IS NOT NULL AND slong IS NOT NULL AND hrs IS NOT NULL GROUP BY 1, 2)
+SELECT cell_lon, {", ".join(f"ROUND(MAX(CASE WHEN mn={m} THEN hrs END),6) AS m{m}" for m in range(1, 13))}
+FROM g GROUP BY cell_lon""")
+
+register("vessel_years", f"""
+WITH {KNOWN_CTE}
+SELECT DISTINCT vessel, yr, 1 AS present FROM known WHERE vessel IS NOT NULL AND yr IS NOT NULL""")
+
+register("panel_catch", f"""
+WITH {KNOWN_CTE},
+l AS (SELECT yr, 'narrow' AS species, narrow AS k FROM known UNION ALL SELECT yr, 'green', green FROM known)
+SELECT yr, species, CAST(SUM(k) AS BIGINT) AS catch, CAST(SUM(CASE WHEN k > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive_points
+FROM l GROUP BY yr, species""")
+
+register("class_proportions", f"""
+WITH {MODEL_CTE},
+t AS (SELECT season, effort_class, COUNT(*) AS n FROM model GROUP BY 1, 2)
+SELECT season, effort_class, n, ROUND(100.0E0*n/SUM(n) OVER (),6) AS percent FROM t""")
+
+_CORR = "SELECT '{a}' AS var1, '{b}' AS var2, ROUND(CORR({a},{b}),6) AS r FROM known"
+_cv = ["lat", "lon", "depth", "hrs"]
+register("corr_matrix", f"""
+WITH {KNOWN_CTE}
+{" UNION ALL ".join(_CORR.format(a=a, b=b) for i, a in enumerate(_cv) for b in _cv[i + 1:])}""")
+
+register("kde_grid", f"""
+WITH {MODEL_CTE},
+d AS (SELECT season, hrs AS v FROM model WHERE hrs IS NOT NULL),
+st0 AS (SELECT season, COUNT(*) AS n, STDDEV_SAMP(v) AS sd, quantile_cont(v, [0.25E0, 0.75E0]) AS iqr,
+          MIN(v) AS lo, MAX(v) AS hi FROM d GROUP BY season),
+st1 AS (SELECT season, n, lo, hi, 0.9E0*LEAST(sd, (iqr[2]-iqr[1])/1.34E0)*POW(CAST(n AS DOUBLE), -0.2E0)*1.0E0 AS bw FROM st0),
+st AS (SELECT *, lo - 3.0E0*bw AS g0, ((hi-lo) + 6.0E0*bw)/511.0E0 AS step FROM st1 WHERE bw > 0),
+w AS (SELECT season, v, COUNT(*) AS w FROM d GROUP BY season, v),
+e AS (SELECT w.season, v, w.w, st.n, st.bw, st.g0, st.step, p.point
+      FROM w JOIN st ON w.season = st.season,
+      LATERAL (SELECT unnest(range(CAST(GREATEST(0, CEIL((v - 4.0E0*bw - g0)/step)) AS BIGINT),
+                                   CAST(LEAST(511, FLOOR((v + 4.0E0*bw - g0)/step)) AS BIGINT) + 1)) AS point) p)
+SELECT season, CAST(point AS INT) AS point, ROUND(FIRST(g0 + point*step),6) AS x,
+  ROUND(SUM(w*EXP(-0.5E0*((g0 + point*step - v)/bw)*((g0 + point*step - v)/bw))/(bw*2.5066282746310002E0))/FIRST(n),6) AS density
+FROM e GROUP BY season, point""")
+
+_BINS_CTE = MODEL_CTE + """,
+d AS (SELECT hrs AS h, narrow + green AS pos FROM model),
+cap AS (SELECT MAX(CASE WHEN pos > 0 THEN h END) AS cap FROM d),
+bn AS (SELECT CASE WHEN h > 0 AND h <= round_even(cap,0) THEN CAST(CEIL(h/0.5E0) AS INT) END AS bin, pos
+       FROM d, cap WHERE h <= cap),
+eb AS (SELECT bin, COUNT(*) AS shots, CAST(SUM(CASE WHEN pos > 0 THEN pos ELSE 0 END) AS BIGINT) AS interactions
+       FROM bn WHERE bin IS NOT NULL GROUP BY bin)"""
+
+register("effort_bins", f"""
+WITH {_BINS_CTE}
+SELECT bin, shots, interactions, ROUND((bin - 0.5E0)*0.5E0,6) AS bin_mid, ROUND(interactions/shots,6) AS prop_positive FROM eb""")
+
+register("chisq_independence", f"""
+WITH {_BINS_CTE},
+cells AS (SELECT interactions AS a, shots AS b, COUNT(*) AS o FROM eb GROUP BY 1, 2),
+ra AS (SELECT a, SUM(o) AS r FROM cells GROUP BY a),
+cb AS (SELECT b, SUM(o) AS c FROM cells GROUP BY b),
+j AS (SELECT o, r, c, cells.a, cells.b FROM cells JOIN ra ON cells.a = ra.a JOIN cb ON cells.b = cb.b)
+SELECT ROUND(SUM(o) * SUM(o*o/(r*c)) - SUM(o),6) AS statistic, CAST((COUNT(DISTINCT a)-1)*(COUNT(DISTINCT b)-1) AS BIGINT) AS df,
+  CAST(SUM(o) AS BIGINT) AS n FROM j""")
+
+register("equal_width_cut", f"""
+WITH {KNOWN_CTE},
+r AS (SELECT MIN(lon) AS lo_lon, MAX(lon) AS hi_lon FROM known)
+SELECT CAST(LEAST(10, GREATEST(1, CEIL((lon-lo_lon)/((hi_lon-lo_lon)/10.0E0)))) AS INT) AS bin, COUNT(*) AS shots
+FROM known, r GROUP BY 1""")

@@ -409,3 +409,64 @@ def q_depth_imputed(spark, d):
     imp = impute.impute_bagged(s, "depth", ["shot_id", "slat", "slong"])
     return imp.groupBy("depth_missing").agg(F.count(F.lit(1)).alias("shots"), F.avg("depth").alias("mean_depth"),
                                             F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth"))
+
+
+# --------------------------------------------------------------------------- step 5: sampling and metrics
+from ..models import evaluate  # noqa: E402
+from ..operators import features, sampling  # noqa: E402
+
+
+def _presence_frame(spark, d):
+    return _known(spark, d).withColumn("presence", (F.col("narrow") > 0).cast("int"))
+
+
+@query("stratified_split")
+def q_stratified_split(spark, d):
+    """Q5: exact 70/30 split per presence class, hash-ordered."""
+    s = sampling.stratified_split(_presence_frame(spark, d), ["presence"], "shot_id", 0.7, 666)
+    return s.select("shot_id", "presence", "split")
+
+
+@query("cv_folds")
+def q_cv_folds(spark, d):
+    """Q8: 10-fold × 3 repeats stratified fold labels."""
+    s = sampling.cv_folds(_presence_frame(spark, d), ["presence"], "shot_id", 10, 3, 666)
+    return s.select("shot_id", "presence", "repeat", "fold")
+
+
+@query("bootstrap_draws")
+def q_bootstrap_draws(spark, d):
+    """Q7: stratified (by year) bootstrap draw counts for 5 replicates."""
+    return sampling.bootstrap_counts(_known(spark, d), ["yr"], "shot_id", 5, 666)
+
+
+def _species_scores(spark, d):
+    k = _known(spark, d)
+    return (k.select("hrs", *SPECIES).unpivot(["hrs"], SPECIES, "species", "n")
+            .withColumn("presence", (F.col("n") > 0).cast("int")))
+
+
+@query("auc_exact")
+def q_auc_exact(spark, d):
+    """M7/M8: exact AUC of effort as a presence score, per species."""
+    return evaluate.auc(_species_scores(spark, d), "presence", "hrs", ["species"])
+
+
+@query("roc_curve")
+def q_roc_curve(spark, d):
+    """M7: ROC points (threshold, sensitivity, specificity) per species."""
+    return evaluate.roc_curve(_species_scores(spark, d), "presence", "hrs", ["species"])
+
+
+@query("confusion")
+def q_confusion(spark, d):
+    """M9: confusion counts and rates of the rule hrs/7 ≥ 0.5, per species."""
+    s = _species_scores(spark, d).withColumn("score", F.col("hrs") / F.lit(7.0))
+    return evaluate.confusion(s, "presence", "score", 0.5, ["species"])
+
+
+@query("scaled_covariates")
+def q_scaled_covariates(spark, d):
+    """Q2: centred and scaled covariates per shot."""
+    cols = ["hrs", "lat", "lon", "mn"]
+    return features.centre_scale(_known(spark, d).select("shot_id", *cols), cols)

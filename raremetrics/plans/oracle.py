@@ -407,3 +407,63 @@ WITH {KNOWN_CTE},
 r AS (SELECT MIN(lon) AS lo_lon, MAX(lon) AS hi_lon FROM known)
 SELECT CAST(LEAST(10, GREATEST(1, CEIL((lon-lo_lon)/((hi_lon-lo_lon)/10.0E0)))) AS INT) AS bin, COUNT(*) AS shots
 FROM known, r GROUP BY 1""")
+
+_MD5 = "md5(concat_ws(':', CAST(shot_id AS VARCHAR), '666'))"
+register("stratified_split", f"""
+WITH {KNOWN_CTE},
+k AS (SELECT shot_id, CAST(narrow > 0 AS INT) AS presence FROM known),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY presence ORDER BY {_MD5}, shot_id) AS rk,
+        COUNT(*) OVER (PARTITION BY presence) AS n FROM k)
+SELECT shot_id, presence, CASE WHEN rk <= CEIL(0.7E0*n) THEN 'train' ELSE 'test' END AS split FROM r""")
+
+register("cv_folds", f"""
+WITH {KNOWN_CTE},
+k AS (SELECT shot_id, CAST(narrow > 0 AS INT) AS presence, rep FROM known, range(1, 4) t(rep))
+SELECT shot_id, presence, CAST(rep AS INT) AS "repeat",
+  CAST(NTILE(10) OVER (PARTITION BY presence, rep ORDER BY md5(concat_ws(':', CAST(shot_id AS VARCHAR), '666', CAST(rep AS VARCHAR))), shot_id) AS INT) AS fold
+FROM k""")
+
+register("bootstrap_draws", f"""
+WITH {KNOWN_CTE},
+r AS (SELECT shot_id, yr, ROW_NUMBER() OVER (PARTITION BY yr ORDER BY {_MD5}, shot_id) AS rk,
+        COUNT(*) OVER (PARTITION BY yr) AS n FROM known),
+slots AS (SELECT yr, rk AS slot, n, rep FROM r, range(1, 6) t(rep)),
+draws AS (SELECT yr, rep, 1 + (('0x' || substr(md5(concat_ws(':', '666', CAST(rep AS VARCHAR), CAST(yr AS VARCHAR), CAST(slot AS VARCHAR))), 1, 15))::BIGINT % n) AS rk FROM slots),
+cnt AS (SELECT yr, rep, rk, COUNT(*) AS c FROM draws GROUP BY yr, rep, rk)
+SELECT CAST(rep AS INT) AS replicate, cnt.yr, shot_id, c AS count FROM cnt JOIN r ON cnt.yr = r.yr AND cnt.rk = r.rk""")
+
+SCORES_CTE = KNOWN_CTE + """,
+sc AS (SELECT 'narrow' AS species, hrs, CAST(narrow > 0 AS INT) AS presence FROM known
+       UNION ALL SELECT 'green', hrs, CAST(green > 0 AS INT) FROM known),
+t AS (SELECT species, hrs AS s, SUM(presence) AS pos, SUM(1 - presence) AS neg FROM sc
+      WHERE hrs IS NOT NULL GROUP BY species, hrs),
+c AS (SELECT *, COALESCE(SUM(neg) OVER (PARTITION BY species ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below,
+        COALESCE(SUM(pos) OVER (PARTITION BY species ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_below FROM t)"""
+
+register("auc_exact", f"""
+WITH {SCORES_CTE}
+SELECT species, ROUND(SUM(pos*(neg_below + 0.5E0*neg))/(SUM(pos)*SUM(neg)),6) AS auc,
+  CAST(SUM(pos) AS BIGINT) AS n_pos, CAST(SUM(neg) AS BIGINT) AS n_neg FROM c GROUP BY species""")
+
+register("roc_curve", f"""
+WITH {SCORES_CTE},
+tot AS (SELECT species, SUM(pos) AS P, SUM(neg) AS N FROM t GROUP BY species)
+SELECT c.species, ROUND(s,6) AS threshold, ROUND((P - pos_below)/P,6) AS sensitivity, ROUND(neg_below/N,6) AS specificity
+FROM c JOIN tot ON c.species = tot.species""")
+
+register("confusion", f"""
+WITH {KNOWN_CTE},
+sc AS (SELECT 'narrow' AS species, hrs/7.0E0 AS score, CAST(narrow > 0 AS INT) AS y FROM known
+       UNION ALL SELECT 'green', hrs/7.0E0, CAST(green > 0 AS INT) FROM known),
+g AS (SELECT species, SUM(y*CAST(score >= 0.5E0 AS INT)) AS tp, SUM((1-y)*CAST(score >= 0.5E0 AS INT)) AS fp,
+        SUM((1-y)*(1-CAST(score >= 0.5E0 AS INT))) AS tn, SUM(y*(1-CAST(score >= 0.5E0 AS INT))) AS fn
+      FROM sc WHERE score IS NOT NULL GROUP BY species)
+SELECT species, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(tn AS BIGINT) AS tn, CAST(fn AS BIGINT) AS fn,
+  ROUND(tp/(tp+fn),6) AS sensitivity, ROUND(tn/(tn+fp),6) AS specificity, ROUND((tp+tn)/(tp+tn+fp+fn),6) AS accuracy FROM g""")
+
+register("scaled_covariates", f"""
+WITH {KNOWN_CTE},
+st AS (SELECT AVG(hrs) AS mh, STDDEV_SAMP(hrs) AS sh, AVG(lat) AS mla, STDDEV_SAMP(lat) AS sla,
+         AVG(lon) AS mlo, STDDEV_SAMP(lon) AS slo, AVG(mn) AS mm, STDDEV_SAMP(mn) AS sm FROM known)
+SELECT shot_id, ROUND((hrs-mh)/sh,6) AS hrs, ROUND((lat-mla)/sla,6) AS lat, ROUND((lon-mlo)/slo,6) AS lon,
+  ROUND((mn-mm)/sm,6) AS mn FROM known, st""")

@@ -16,7 +16,7 @@ def _c(c) -> Column:
 
 def parse_date(c, fmt: str = DATE_FORMAT) -> Column:
     """Text date → DateType; unparsable → null (ANSI-safe ``try_to_date``)."""
-    return F.try_to_date(_c(c), F.lit(fmt))
+    return F.try_to_date(_c(c), fmt)
 
 
 def combine_datetime(date_text, time_text, fmt: str = DATETIME_FORMAT) -> Column:
@@ -27,7 +27,7 @@ def combine_datetime(date_text, time_text, fmt: str = DATETIME_FORMAT) -> Column
 
 def hours_between(start, end) -> Column:
     """Elapsed hours end − start as double (negative when end precedes start)."""
-    return F.timestampdiff("SECOND", _c(start), _c(end)) / F.lit(3600.0)
+    return F.timestamp_diff("SECOND", _c(start), _c(end)) / F.lit(3600.0)
 
 
 def calendar_parts(c, prefix: str, with_hour: bool = False) -> dict[str, Column]:

@@ -237,11 +237,14 @@ class GamFit:
 def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson", link: str | None = None,
             offset: str | None = None, weight: str | None = None, group: str | None = None,
             max_iter: int = 100, tol: float = 1e-8, factor_ridge: float = 1e-6,
-            theta: float | None = None, select_lambda: bool = True) -> list[GamFit]:
+            theta: float | None = None, select_lambda: bool = True, design: Design | None = None,
+            start: dict | None = None, lambdas: dict | None = None) -> list[GamFit]:
     """Fit one penalised GLM per ``group`` value (one model if ``group`` is None).
 
     Returns one GamFit per group (order of sorted group values). Failed or
     non-converged fits are returned with ``converged=False`` rather than dropped.
+    ``design`` reuses knots/levels/constraints of an earlier fit; ``start`` (group →
+    β) warm-starts and ``lambdas`` (group → list) fixes the smoothing parameters.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -254,15 +257,18 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
     g_col = group or "__g"
     base = df if group else df.withColumn("__g", F.lit(0))
     frame = base.select(g_col, *sorted(cols)).dropna().checkpoint(eager=True)
-    design = _setup_design(frame, terms)
+    design = design or _setup_design(frame, terms)
+    terms = design.terms
     groups = sorted(r[0] for r in frame.select(g_col).distinct().collect())
     p = design.p
-    lam = [[1.0] * len(design.penalties) for _ in groups]
+    lam = [list((lambdas or {}).get(g, [1.0] * len(design.penalties))) for g in groups]
     ridge = np.zeros(p)
     for t in terms:
         if isinstance(t, Factor):
             ridge[design.blocks[_label(t)]] = factor_ridge
     betas = None
+    if start:
+        betas = [np.asarray(start.get(g, next(iter(start.values()))), dtype=float) for g in groups]
     dev_old = [np.inf] * len(groups)
     state = {}
     converged = [False] * len(groups)
@@ -289,8 +295,10 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
                     else:
                         lam[gi][j] = float(np.clip(lam[gi][j] * 10.0, 1e-8, 1e12))
             edf = np.diag(V @ H)
+            if not np.all(np.isfinite(b)):
+                b = betas[gi] if betas is not None else np.zeros(p)
             state[gi] = (b, V, edf, dev, n)
-            converged[gi] = betas is not None and abs(dev - dev_old[gi]) <= tol * (0.1 + abs(dev))
+            converged[gi] = bool(np.isfinite(dev_old[gi])) and abs(dev - dev_old[gi]) <= tol * (0.1 + abs(dev))
             dev_old[gi] = dev
             new_betas.append(b)
         if all(converged):

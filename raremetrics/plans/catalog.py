@@ -470,3 +470,9 @@ def q_scaled_covariates(spark, d):
     """Q2: centred and scaled covariates per shot."""
     cols = ["hrs", "lat", "lon", "mn"]
     return features.centre_scale(_known(spark, d).select("shot_id", *cols), cols)
+
+
+@query("boot_index")
+def q_boot_index(spark, d):
+    """G18 + M5/M6: 20 stratified bootstrap refits of the hurdle index, percentile bands (rows-only)."""
+    return index_plan.boot_index(spark, d, 20, 666)

@@ -19,11 +19,11 @@ def encode_factors(df: DataFrame, factors: list[str], drop_first: bool = True):
     """Q3: index each factor with levels in alphabetical order and one-hot encode it
     (first level as the reference when ``drop_first``). Returns (frame, fitted models)."""
     idx = StringIndexer(inputCols=factors, outputCols=[f"{f}_idx" for f in factors],
-                        stringOrderType="alphabetAsc", handleInvalid="keep")
+                        stringOrderType="alphabetAsc", handleInvalid="skip")
     im = idx.fit(df)
     d = im.transform(df)
     enc = OneHotEncoder(inputCols=[f"{f}_idx" for f in factors], outputCols=[f"{f}_vec" for f in factors],
-                        dropLast=False, handleInvalid="keep")
+                        dropLast=False, handleInvalid="error")
     em = enc.fit(d)
     d = em.transform(d)
     if drop_first:

@@ -476,3 +476,98 @@ def q_scaled_covariates(spark, d):
 def q_boot_index(spark, d):
     """G18 + M5/M6: 20 stratified bootstrap refits of the hurdle index, percentile bands (rows-only)."""
     return index_plan.boot_index(spark, d, 20, 666)
+
+
+# --------------------------------------------------------------------------- step 6: MLlib learners
+from ..models import classify, glm as glm_mod  # noqa: E402
+
+
+def _classification_frame(spark, d):
+    """Model frame with presence label, assembled features and a 70/30 split."""
+    m = derive.with_classes(_model_frame(spark, d), hour=None)
+    m = m.withColumn("label", (F.col("narrow") > 0).cast("double"))
+    m = sampling.stratified_split(m, ["label"], "shot_id", 0.7, 666)
+    m, _ = features.encode_factors(m, ["season", "effort_class"])
+    return features.assemble(m, ["season_vec", "effort_class_vec", "hrs", "lon", "lat", "mn"], "features")
+
+
+@query("model_comparison")
+def q_model_comparison(spark, d):
+    """G10-G17 + M7/M8 + M9: learners trained on the 70 % part, AUC and confusion on the 30 % (rows-only)."""
+    from functools import reduce
+    m = _classification_frame(spark, d).checkpoint(eager=True)
+    train, test = m.filter(F.col("split") == "train"), m.filter(F.col("split") == "test")
+    scored = []
+    for name, est in classify.learners().items():
+        model = est.fit(train)
+        p = classify.positive_score(model.transform(test)).select(F.lit(name).alias("model"), "label", "score")
+        scored.append(p)
+    s = reduce(lambda a, b: a.unionByName(b), scored)
+    a = evaluate.auc(s, "label", "score", ["model"])
+    return a
+
+
+@query("glm_anova")
+def q_glm_anova(spark, d):
+    """G1 + M13: binomial logit GLM with sequential analysis of deviance (rows-only)."""
+    m = derive.with_classes(_model_frame(spark, d), hour=None).withColumn(
+        "label", (F.col("narrow") > 0).cast("double")).withColumn("yrs", F.col("yr").cast("string"))
+    terms = [("yrs", "factor"), ("season", "factor"), ("vessel", "factor"), ("lon", "numeric"), ("hrs", "numeric")]
+    return spark.createDataFrame(glm_mod.sequential_anova(m, "label", terms, "binomial", "logit"))
+
+
+@query("marginal_effects")
+def q_marginal_effects(spark, d):
+    """E1 + Q9 + M1: season × effort marginal effect of a presence GAM at the modal profile (rows-only)."""
+    m = derive.with_classes(_model_frame(spark, d), hour=None).withColumn(
+        "label", (F.col("narrow") > 0).cast("double"))
+    fit = gam_mod.fit_gam(m, "label", [gam_mod.Factor("season"), gam_mod.Linear("hrs"), gam_mod.Smooth("lon", 10)],
+                          family="binomial", link="logit")[0]
+    grid = effects.prediction_grid(m, {"season": None, "hrs": 0.5}, ["season"], ["hrs", "lon"], "modal")
+    pred = gam_mod.predict_frame({None: fit}, grid, None, "eta", "se")
+    return effects.response_band(pred, "logit").select("term", "x", "season", "hrs", "fit", "low", "up")
+
+
+@query("partial_dependence")
+def q_partial_dependence(spark, d):
+    """E6 + E3: partial dependence of presence on effort, centred on the link scale (rows-only)."""
+    m = _model_frame(spark, d).withColumn("label", (F.col("narrow") > 0).cast("double"))
+    fit = gam_mod.fit_gam(m, "label", [gam_mod.Linear("hrs"), gam_mod.Smooth("lon", 10)],
+                          family="binomial", link="logit")[0]
+    pd_ = effects.partial_dependence(m.select("hrs", "lon"), fit, "hrs", 20)
+    return effects.centre_effect(pd_, [], "pd_link")
+
+
+# --------------------------------------------------------------------------- step 9: file sources and sinks
+import os as _os  # noqa: E402
+import uuid as _uuid  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import files, logbook  # noqa: E402
+
+
+@query("shot_log_roundtrip")
+def q_shot_log_roundtrip(spark, d):
+    """S1 + S4 + P1-P7 + F1-F3 + A1: shots written as the raw CSV log, read back with the
+    explicit schema, parsed and cleaned, then nominal CPUE (same numbers as the flagship)."""
+    path = scratch_path(spark, f"shot_log_{_uuid.uuid4().hex}")
+    logbook.write_shot_log_csv(tables.shots(spark, d), path)
+    raw = files.read_shots(spark, path)
+    s = derive.recode(derive.standardise_log(raw), "lfb", derive.LFB_RECODE)
+    s = clean.year_window(clean.exclude_ids(s), "yr", 1994, 2001)
+    s = clean.known_vessel(clean.min_effort(s))
+    return summarise.nominal_cpue(s)
+
+
+@query("grid_text")
+def q_grid_text(spark, d):
+    """S3: whitespace-delimited bathymetry-style grids (two files) read and unioned;
+    depth summary per 1° longitude (rows-only)."""
+    base = scratch_path(spark, f"grid_{_uuid.uuid4().hex}")
+    s = _known(spark, d)
+    for i, part in enumerate([s.filter(F.col("shot_id") % 2 == 0), s.filter(F.col("shot_id") % 2 == 1)]):
+        logbook.grid_as_text(part.dropna(subset=["slong", "slat", "sdepth"]), "slong", "slat", "sdepth") \
+            .write.mode("overwrite").text(_os.path.join(base, f"part{i}"))
+    g = files.read_grid_text(spark, [_os.path.join(base, "part0"), _os.path.join(base, "part1")])
+    return g.groupBy(N.round_to("lon", 1).alias("lon_bin")).agg(
+        F.count(F.lit(1)).alias("points"), F.avg("depth").alias("mean_depth"))

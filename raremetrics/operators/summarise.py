@@ -33,20 +33,21 @@ def _species_long(df: DataFrame, keep: list[str], species: list[str], value: str
 
 
 def catch_effort_profile(df: DataFrame, dims: dict[str, F.Column | str], species: list[str] | None = None,
-                         hours: str = "hrs") -> DataFrame:
+                         hours: str = "hrs", measure_name: str = "hrs") -> DataFrame:
     """Catch, effort (hours) and shots per level of each dimension, in ONE scan.
 
     ``dims`` maps a dimension name to a column (month, hour, 10 m depth bin, ...).
     All dimensions are computed as grouping sets of one aggregate; per species the
     effort and shot series are kept only at levels where that species was caught
     (T22, the semi-join of the reference expressed as ``positive_shots > 0``).
-    Null levels are dropped (formula NA rule).
+    Null levels are dropped (formula NA rule). ``hours``/``measure_name`` may name
+    another summed measure, e.g. landings in tonnes (A9).
     """
     species = species or list(derive.SPECIES)
     names = list(dims)
     base = df.select(*[(F.col(c) if isinstance(c, str) else c).cast("double").alias(n) for n, c in dims.items()],
                      F.col(hours).alias("__h"), *species)
-    aggs = [F.sum("__h").alias("hrs"), F.count(F.lit(1)).alias("shots")]
+    aggs = [F.sum("__h").alias(measure_name), F.count(F.lit(1)).alias("shots")]
     for s in species:
         aggs += [F.sum(F.when(F.col(s) > 0, F.col(s)).otherwise(F.lit(0))).cast("bigint").alias(f"__c_{s}"),
                  F.sum(F.when(F.col(s) > 0, F.lit(1)).otherwise(F.lit(0))).cast("bigint").alias(f"__p_{s}")]
@@ -60,13 +61,13 @@ def catch_effort_profile(df: DataFrame, dims: dict[str, F.Column | str], species
         only_i = (1 << nd) - 1 - (1 << (nd - 1 - i))
         dim_name = F.when(F.col("__gid") == only_i, F.lit(n)).otherwise(dim_name)
         level = F.when(F.col("__gid") == only_i, F.col(n)).otherwise(level)
-    g = g.select(dim_name.alias("dimension"), level.alias("level"), "hrs", "shots",
+    g = g.select(dim_name.alias("dimension"), level.alias("level"), measure_name, "shots",
                  *[F.col(f"__c_{s}") for s in species], *[F.col(f"__p_{s}") for s in species])
     per = [F.struct(F.lit(s).alias("species"), F.col(f"__c_{s}").alias("catch"),
                     F.col(f"__p_{s}").alias("positive_shots")) for s in species]
     out = (g.filter(F.col("level").isNotNull())
-           .select("dimension", "level", "hrs", "shots", F.explode(F.array(*per)).alias("__s"))
-           .select("__s.species", "dimension", "level", "__s.catch", "__s.positive_shots", "hrs", "shots"))
+           .select("dimension", "level", measure_name, "shots", F.explode(F.array(*per)).alias("__s"))
+           .select("__s.species", "dimension", "level", "__s.catch", "__s.positive_shots", measure_name, "shots"))
     return out.filter(F.col("positive_shots") > 0)
 
 

@@ -571,3 +571,38 @@ def q_grid_text(spark, d):
     g = files.read_grid_text(spark, [_os.path.join(base, "part0"), _os.path.join(base, "part1")])
     return g.groupBy(N.round_to("lon", 1).alias("lon_bin")).agg(
         F.count(F.lit(1)).alias("points"), F.avg("depth").alias("mean_depth"))
+
+
+# --------------------------------------------------------------------------- more inventory rows
+@query("landings_profile")
+def q_landings_profile(spark, d):
+    """A9 + P22: landings (tonnes) and shots by month and depth bin where each species was caught."""
+    k = _known(spark, d).withColumn("landings_t", F.col("total_catch") / F.lit(1000.0))
+    return summarise.catch_effort_profile(k, {"mn": "mn", "depth_bin": N.round_to("depth", 10)}, SPECIES,
+                                          hours="landings_t", measure_name="landings_t")
+
+
+@query("bin_weights")
+def q_bin_weights(spark, d):
+    """Inverse-frequency weights per 30-min effort bin; summary per bin."""
+    k = clean.max_effort(_known(spark, d)).withColumn("bin", N.cut_fixed_width("hrs", 0.5, 7.0))
+    w = bins.inverse_frequency_weights(k.filter(F.col("bin").isNotNull()), "bin")
+    return w.groupBy("bin").agg(F.count(F.lit(1)).alias("shots"), F.sum("weight").alias("weight_sum"),
+                                F.first("weight").alias("weight"))
+
+
+@query("class_table")
+def q_class_table(spark, d):
+    """Observed × predicted presence (rule hrs/7 ≥ 0.5) over all class pairs, absent pairs as 0."""
+    k = _known(spark, d).select((F.col("narrow") > 0).cast("int").alias("observed"),
+                                (F.col("hrs") / F.lit(7.0) >= 0.5).cast("int").alias("predicted"))
+    classes = k.select(F.col("observed").alias("c")).union(k.select("predicted")).distinct()
+    return evaluate.class_table(k, "observed", "predicted", classes)
+
+
+@query("cv_resample_summary")
+def q_cv_resample_summary(spark, d):
+    """Q8 + M11: held-out AUC of the effort score per (repeat, fold), summarised (rows-only)."""
+    f = sampling.cv_folds(_presence_frame(spark, d), ["presence"], "shot_id", 10, 3, 666)
+    per = evaluate.auc(f, "presence", "hrs", ["repeat", "fold"])
+    return evaluate.resample_summary(per, [], ["auc"])

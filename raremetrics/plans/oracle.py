@@ -470,3 +470,27 @@ SELECT shot_id, ROUND((hrs-mh)/sh,6) AS hrs, ROUND((lat-mla)/sla,6) AS lat, ROUN
 
 # the CSV round trip reproduces the flagship numbers (1994 < yr <= 2001 keeps every year here)
 ORACLE["shot_log_roundtrip"] = ORACLE["nominal_cpue"]
+
+register("landings_profile", f"""
+WITH {KNOWN_CTE},
+kl AS (SELECT *, total_catch/1000.0E0 AS landings_t FROM known),
+g AS ({_PROFILE_DIM.format(n='mn', e='mn').replace('SUM(hrs) AS hrs', 'SUM(landings_t) AS hrs').replace('FROM known', 'FROM kl')}
+  UNION ALL {_PROFILE_DIM.format(n='depth_bin', e='10.0E0*round_even(depth/10.0E0,0)').replace('SUM(hrs) AS hrs', 'SUM(landings_t) AS hrs').replace('FROM known', 'FROM kl')})
+SELECT 'narrow' AS species, dimension, level, CAST(c_narrow AS BIGINT) AS catch, CAST(p_narrow AS BIGINT) AS positive_shots,
+  ROUND(hrs,6) AS landings_t, shots FROM g WHERE p_narrow > 0
+UNION ALL
+SELECT 'green', dimension, level, CAST(c_green AS BIGINT), CAST(p_green AS BIGINT), ROUND(hrs,6), shots FROM g WHERE p_green > 0""")
+
+register("bin_weights", f"""
+WITH {KNOWN_CTE},
+b AS (SELECT CAST(CEIL(hrs/0.5E0) AS INT) AS bin FROM known WHERE hrs > 0 AND hrs <= 7.0E0),
+c AS (SELECT bin, COUNT(*) AS shots FROM b GROUP BY bin)
+SELECT bin, shots, ROUND(shots*(1.0E0/shots),6) AS weight_sum, ROUND(1.0E0/shots,6) AS weight FROM c""")
+
+register("class_table", f"""
+WITH {KNOWN_CTE},
+k AS (SELECT CAST(narrow > 0 AS INT) AS observed, CAST(hrs/7.0E0 >= 0.5E0 AS INT) AS predicted FROM known),
+cl AS (SELECT observed AS c FROM k UNION SELECT predicted FROM k),
+cnt AS (SELECT observed, predicted, COUNT(*) AS n FROM k GROUP BY 1, 2)
+SELECT a.c AS observed, b.c AS predicted, COALESCE(n, 0) AS n FROM cl a CROSS JOIN cl b
+LEFT JOIN cnt ON cnt.observed IS NOT DISTINCT FROM a.c AND cnt.predicted IS NOT DISTINCT FROM b.c""")

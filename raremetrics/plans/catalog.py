@@ -606,3 +606,17 @@ def q_cv_resample_summary(spark, d):
     f = sampling.cv_folds(_presence_frame(spark, d), ["presence"], "shot_id", 10, 3, 666)
     per = evaluate.auc(f, "presence", "hrs", ["repeat", "fold"])
     return evaluate.resample_summary(per, [], ["auc"])
+
+
+@query("negbin_gam")
+def q_negbin_gam(spark, d):
+    """Negative-binomial GAM per species with θ by moments (rows-only)."""
+    import pandas as pd
+    m = index_plan.model_frame(spark, d, impute_depth=False).checkpoint(eager=True)
+    long = index_plan.long_frame(m)
+    terms = [gam_mod.Smooth("mn", 12, cyclic=True), gam_mod.Linear("hrs"), gam_mod.Factor("yrs"),
+             gam_mod.Smooth("lon", 10)]
+    res = zeroinfl.fit_negbin_gam(long, "n", terms, group="species", rounds=2)
+    rows = [{"species": g, "theta": th, "deviance": f.deviance, "edf": float(f.edf.sum()),
+             "iterations": f.iterations, "converged": f.converged} for g, (f, th) in res.items()]
+    return spark.createDataFrame(pd.DataFrame(rows))

@@ -494,3 +494,10 @@ cl AS (SELECT observed AS c FROM k UNION SELECT predicted FROM k),
 cnt AS (SELECT observed, predicted, COUNT(*) AS n FROM k GROUP BY 1, 2)
 SELECT a.c AS observed, b.c AS predicted, COALESCE(n, 0) AS n FROM cl a CROSS JOIN cl b
 LEFT JOIN cnt ON cnt.observed IS NOT DISTINCT FROM a.c AND cnt.predicted IS NOT DISTINCT FROM b.c""")
+
+# S3: text grids hold start positions and depths of known-vessel shots (written with
+# 4 and 1 decimals, exact for these values), split over two files and read back
+register("grid_text", f"""
+WITH {KNOWN_CTE}
+SELECT ROUND(1.0E0*round_even(slong/1.0E0, 0),6) AS lon_bin, COUNT(*) AS points, ROUND(AVG(sdepth),6) AS mean_depth
+FROM known WHERE slong IS NOT NULL AND slat IS NOT NULL AND sdepth IS NOT NULL GROUP BY 1""")

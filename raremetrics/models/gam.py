@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from . import families
 from .splines import CubicBasis, place_knots_probs, sum_to_zero
 from ..functions.distributions import chi2_sf_scalar
+from ..operators.quantiles import exact_quantiles
 from ..session import ensure_checkpoint_dir
 
 
@@ -95,8 +96,8 @@ def _setup_design(df: DataFrame, terms: list) -> Design:
             t.levels = sorted(str(r[0]) for r in rows)
         if isinstance(t, Smooth) and t.knots is None:
             probs = place_knots_probs(t.k)
-            q = (df.select(F.col(t.col).cast("double").alias("v")).dropna().distinct()
-                 .agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()[0]["q"])
+            uniq = df.select(F.col(t.col).cast("double").alias("v")).dropna().distinct()
+            q = [r["quantile"] for r in exact_quantiles(uniq, "v", probs).collect()]
             t.knots = sorted(set(float(x) for x in q))
     smooths = [t for t in terms if isinstance(t, Smooth)]
     raw = {t.col: CubicBasis(t.knots, cyclic=t.cyclic) for t in smooths}

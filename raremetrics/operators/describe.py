@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles, quantile_columns
+
 WHISKER_IQR = 1.5  # fixed: boxplot whisker reach in IQRs
 KDE_POINTS = 512   # fixed: evaluation points of a density curve
 KDE_CUT = 3.0      # fixed: curve extends this many bandwidths beyond the data range
@@ -12,26 +14,21 @@ KDE_SUPPORT = 4.0  # kernel truncated at this many bandwidths (Gaussian tail < 7
 
 
 def percentiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
-    """Exact type-7 quantiles (and range) per group, long (prob, quantile)."""
+    """Exact type-7 quantiles (and range) per group, long (prob, quantile).
+
+    Computed by bucketed order-statistic selection (``quantiles.exact_quantiles``), so a
+    group holding most rows is never buffered in one task."""
     by = by or []
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    g = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.percentile(F.col(value), arr).alias("__q"))
-    return g.select(*by, F.posexplode(F.arrays_zip(arr.alias("prob"), F.col("__q").alias("quantile"))).alias("__i", "__z")) \
-            .select(*by, F.col("__z.prob").alias("prob"), F.col("__z.quantile").alias("quantile"))
+    return exact_quantiles(df, value, probs, by).select(*by, "prob", "quantile")
 
 
 def boxplot_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Quartiles, whiskers (most extreme values within 1.5 IQR) and outlier counts per group.
 
-    Two aggregates: exact quartiles per group, then the whisker/outlier pass over the
-    rows joined to their group's quartiles (one row per group; AQE broadcasts it)."""
+    Exact quartiles per group by bucketed selection, then the whisker/outlier pass over
+    the rows joined to their group's quartiles (one row per group; AQE broadcasts it)."""
     d = df.select(*by, F.col(value).alias("__v")).dropna()
-    q = d.groupBy(*by).agg(
-        F.percentile("__v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"),
-        F.count(F.lit(1)).alias("n"))
-    q = q.select(*by, "n", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                 F.col("__q")[2].alias("q3"))
+    q = quantile_columns(d, "__v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
     lo = F.col("q1") - F.lit(WHISKER_IQR) * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + F.lit(WHISKER_IQR) * (F.col("q3") - F.col("q1"))
     j = d.join(q, on=by, how="inner")
@@ -56,10 +53,11 @@ def kde(df: DataFrame, value: str, by: list[str] | None = None, adjust: float =
     d = df.select(*by, F.col(value).alias("__v")).dropna()
     st = d.groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"), F.stddev_samp("__v").alias("__sd"),
-        F.percentile("__v", F.array(F.lit(0.25), F.lit(0.75))).alias("__iqr"),
         F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    qq = quantile_columns(d, "__v", {"__q1": 0.25, "__q3": 0.75}, by).drop("n")
+    st = st.join(qq, on=by, how="inner") if by else st.crossJoin(qq)
     if bandwidth is None:
-        iqr = (F.col("__iqr")[1] - F.col("__iqr")[0]) / F.lit(1.34)
+        iqr = (F.col("__q3") - F.col("__q1")) / F.lit(1.34)
         bw = F.lit(0.9) * F.least(F.col("__sd"), iqr) * F.pow(F.col("__n").cast("double"), F.lit(-0.2)) * F.lit(adjust)
     else:
         bw = F.lit(float(bandwidth))

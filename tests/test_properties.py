@@ -57,3 +57,19 @@ def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
     assert df.count() > 0 and set(df.columns) >= {"species", "yr", "mean", "n", "sd", "low_cl", "upp_cl"}
+
+
+def test_exact_quantiles_match_percentile_on_skewed_tied_groups(spark):
+    import numpy as np
+    from raremetrics.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(3)
+    g = rng.choice([0, 0, 0, 0, 1, 2], 6000)           # group 0 holds most rows
+    x = np.round(rng.exponential(3, 6000), 1)          # heavy ties
+    rows = [(int(a), float(b)) for a, b in zip(g, x)] + [(3, 5.0)]   # a one-row group
+    df = spark.createDataFrame(rows, "g int, x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.975, 1.0]
+    got = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, "x", probs, ["g"]).collect()}
+    ref = df.groupBy("g").agg(F.percentile("x", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()
+    exp = {(r.g, p): q for r in ref for p, q in zip(probs, r.q)}
+    assert set(got) == set(exp)
+    assert all(abs(got[k] - exp[k]) < 1e-12 for k in exp)

@@ -36,11 +36,11 @@ def positive_score(pred: DataFrame, out: str = "score") -> DataFrame:
 
 
 def cross_validate(learner, train: DataFrame, label: str = "label", fold_col: str = "fold",
-                   grid=None, parallelism: int = 1):
-    """CV with a given fold column, AUC as the metric; returns the CV model."""
+                   grid=None, parallelism: int = 1, num_folds: int = 10):
+    """CV with a given 0-based fold column, AUC as the metric; returns the CV model."""
     ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
     cv = CrossValidator(estimator=learner, estimatorParamMaps=grid or ParamGridBuilder().build(), evaluator=ev,
-                        foldCol=fold_col, parallelism=parallelism, seed=SEED)
+                        foldCol=fold_col, numFolds=num_folds, parallelism=parallelism, seed=SEED)
     return cv.fit(train)
 
 

@@ -620,3 +620,72 @@ def q_negbin_gam(spark, d):
     rows = [{"species": g, "theta": th, "deviance": f.deviance, "edf": float(f.edf.sum()),
              "iterations": f.iterations, "converged": f.converged} for g, (f, th) in res.items()]
     return spark.createDataFrame(pd.DataFrame(rows))
+
+
+@query("importance")
+def q_importance(spark, d):
+    """G10 + M12: boosted-tree variable importance folded back to input terms (rows-only)."""
+    import pandas as pd
+    m = _classification_frame(spark, d)
+    model = classify.learners()["gbm"].fit(m.filter(F.col("split") == "train"))
+    names = ["season=SprSu", "effort_class=Short", "effort_class=Standard", "hrs", "lon", "lat", "mn"]
+    imp = classify.importance(model, names)
+    terms = {}
+    for n, v in imp:
+        terms[n.split("=")[0]] = terms.get(n.split("=")[0], 0.0) + v
+    return spark.createDataFrame(pd.DataFrame({"term": list(terms), "importance": list(terms.values())}))
+
+
+@query("cv_glm")
+def q_cv_glm(spark, d):
+    """Logistic regression tuned by 10-fold stratified CV on the training part (rows-only)."""
+    import pandas as pd
+    from pyspark.ml.tuning import ParamGridBuilder
+    m = _classification_frame(spark, d).filter(F.col("split") == "train").drop("split")
+    m = sampling.cv_folds(m, ["label"], "shot_id", 10, 1, 666).drop("repeat").withColumn(
+        "fold", F.col("fold") - 1).checkpoint(eager=True)
+    lr = classify.learners()["glm"]
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.01, 0.1]).build()
+    cvm = classify.cross_validate(lr, m, fold_col="fold", grid=grid)
+    return spark.createDataFrame(pd.DataFrame({"reg_param": [0.0, 0.01, 0.1], "mean_auc": list(cvm.avgMetrics)}))
+
+
+@query("hurdle_glm")
+def q_hurdle_glm(spark, d):
+    """Hurdle Poisson GLM per species (logit presence on linear terms + truncated Poisson) (rows-only)."""
+    import pandas as pd
+    m = index_plan.model_frame(spark, d, impute_depth=False).checkpoint(eager=True)
+    long = index_plan.long_frame(m)
+    fits = zeroinfl.fit_hurdle_poisson(long, "n", [gam_mod.Linear("hrs"), gam_mod.Linear("lon"),
+                                                   gam_mod.Factor("yrs")], group="species", link="logit")
+    rows = []
+    for g, f in fits.items():
+        c = f.presence.coefficients()
+        c.insert(0, "species", g)
+        c.insert(1, "part", "presence")
+        rows.append(c)
+        rows.append(pd.DataFrame([{"species": g, "part": "count", "term": "(Intercept)", "estimate": f.log_lambda,
+                                   "se": f.se_log_lambda, "z": f.log_lambda / f.se_log_lambda}]))
+    return spark.createDataFrame(pd.concat(rows, ignore_index=True))
+
+
+@query("year_index_glm")
+def q_year_index_glm(spark, d):
+    """E5: year index from a categorical presence GLM (inverse logit of intercept + year
+    effect + mean of the other factor effects), per species (rows-only)."""
+    m = derive.with_classes(index_plan.model_frame(spark, d, impute_depth=False), hour=None)
+    long = m.select("shot_id", "yrs", "season", "vessel", *index_plan.SPECIES).unpivot(
+        ["shot_id", "yrs", "season", "vessel"], index_plan.SPECIES, "species", "n").withColumn(
+        "p", (F.col("n") > 0).cast("double"))
+    fits = gam_mod.fit_gam(long, "p", [gam_mod.Factor("yrs"), gam_mod.Factor("season"), gam_mod.Factor("vessel")],
+                           family="binomial", link="logit", group="species")
+    import pandas as pd
+    parts = []
+    for f in fits:
+        c = f.coefficients()[["term", "estimate"]]
+        base_level = next(t for t in f.design.terms if getattr(t, "col", None) == "yrs").levels[0]
+        c = pd.concat([c, pd.DataFrame([{"term": f"yrs{base_level}", "estimate": 0.0}])], ignore_index=True)
+        idx = glm_mod.categorical_year_index(spark.createDataFrame(c), "yrs").withColumn("species", F.lit(f.group))
+        parts.append(idx)
+    from functools import reduce
+    return reduce(lambda a, b: a.unionByName(b), parts)

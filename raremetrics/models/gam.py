@@ -141,7 +141,7 @@ def _setup_design(df: DataFrame, terms: list) -> Design:
 
 # ----------------------------------------------------------------------------- the pass
 def _partials_fn(design: Design, fam, betas: dict | None, y_col: str, off_col: str | None,
-                 w_col: str | None, g_col: str, groups: list):
+                 w_col: str | None, g_col: str, groups: list, hinvs: list | None = None):
     p = design.p
     gidx = {g: i for i, g in enumerate(groups)}
     size = p * p + p + 2
@@ -168,7 +168,12 @@ def _partials_fn(design: Design, fam, betas: dict | None, y_col: str, off_col: s
                 me = fam.mu_eta(eta)
                 var = fam.variance(mu)
                 W = wg * me * me / var
-                z = (eta - og) + (yg - mu) / me
+                ya = yg
+                if hinvs is not None and hinvs[gi] is not None:
+                    # Firth: adjusted response y + h(1/2 - mu), h = W x'(X'WX)^-1 x (logit link)
+                    hat = W * np.einsum("ij,jk,ik->i", Xg, hinvs[gi], Xg)
+                    ya = yg + hat * (0.5 - mu)
+                z = (eta - og) + (ya - mu) / me
                 XW = Xg * W[:, None]
                 acc[gi, :p * p] += (XW.T @ Xg).ravel()
                 acc[gi, p * p:p * p + p] += XW.T @ z
@@ -179,8 +184,8 @@ def _partials_fn(design: Design, fam, betas: dict | None, y_col: str, off_col: s
     return fn, size
 
 
-def _run_pass(frame: DataFrame, design, fam, betas, y_col, off_col, w_col, g_col, groups):
-    fn, size = _partials_fn(design, fam, betas, y_col, off_col, w_col, g_col, groups)
+def _run_pass(frame: DataFrame, design, fam, betas, y_col, off_col, w_col, g_col, groups, hinvs=None):
+    fn, size = _partials_fn(design, fam, betas, y_col, off_col, w_col, g_col, groups, hinvs)
     rows = (frame.mapInPandas(fn, "g int, i int, v double")
             .groupBy("g", "i").agg(F.sum("v").alias("v")).collect())
     out = np.zeros((len(groups), size))
@@ -239,14 +244,19 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
             offset: str | None = None, weight: str | None = None, group: str | None = None,
             max_iter: int = 100, tol: float = 1e-8, factor_ridge: float = 1e-6,
             theta: float | None = None, select_lambda: bool = True, design: Design | None = None,
-            start: dict | None = None, lambdas: dict | None = None) -> list[GamFit]:
+            start: dict | None = None, lambdas: dict | None = None, firth: bool = False) -> list[GamFit]:
     """Fit one penalised GLM per ``group`` value (one model if ``group`` is None).
 
     Returns one GamFit per group (order of sorted group values). Failed or
     non-converged fits are returned with ``converged=False`` rather than dropped.
     ``design`` reuses knots/levels/constraints of an earlier fit; ``start`` (group →
     β) warm-starts and ``lambdas`` (group → list) fixes the smoothing parameters.
+    ``firth=True`` (binomial logit) maximises Firth's penalised likelihood (G2): each
+    iteration first computes XᵀWX at the current β (one pass), then scores with the
+    adjusted response y + h(½ − μ), h = W xᵀ(XᵀWX)⁻¹x, starting from β = 0.
     """
+    if firth and (family != "binomial" or (link or "logit") != "logit"):
+        raise ValueError("firth=True needs family='binomial', link='logit'")
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     fam = families.family(family, link, theta)
@@ -275,7 +285,14 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
     converged = [False] * len(groups)
     it = 0
     for it in range(1, max_iter + 1):
-        parts = _run_pass(frame, design, fam, betas, response, offset, weight, g_col, groups)
+        hinvs = None
+        if firth:
+            if betas is None:
+                betas = [np.zeros(p) for _ in groups]
+            # hat values need (X'WX)^-1 at the current beta: one extra pass per iteration
+            pre = _run_pass(frame, design, fam, betas, response, offset, weight, g_col, groups)
+            hinvs = [np.linalg.pinv(h[0]) for h in pre]
+        parts = _run_pass(frame, design, fam, betas, response, offset, weight, g_col, groups, hinvs)
         new_betas = []
         for gi, (H, r, dev, n) in enumerate(parts):
             def solve(lams):
@@ -307,7 +324,7 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
             edf = np.diag(V @ H)
             if not np.all(np.isfinite(b)):
                 b = betas[gi] if betas is not None else np.zeros(p)
-            state[gi] = (b, V, edf, dev, n)
+            state[gi] = (b, V, edf, dev, n, None)
             converged[gi] = bool(np.isfinite(dev_old[gi])) and abs(dev - dev_old[gi]) <= tol * (0.1 + abs(dev))
             dev_old[gi] = dev
             new_betas.append(b)
@@ -316,7 +333,7 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
         betas = new_betas
     out = []
     for gi, g in enumerate(groups):
-        b, V, edf, dev, n = state[gi]
+        b, V, edf, dev, n, _ = state[gi]
         out.append(GamFit(design, fam, g, b, V, lam[gi], edf, dev, None, n, it, converged[gi]))
     return out
 

@@ -689,3 +689,52 @@ def q_year_index_glm(spark, d):
         parts.append(idx)
     from functools import reduce
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+# --------------------------------------------------------------------------- step 8: remaining learners
+from ..models import discriminant  # noqa: E402
+
+
+@query("firth_glm")
+def q_firth_glm(spark, d):
+    """Bias-reduced (Firth) logistic presence model per species: year + vessel factors,
+    finite even for vessels without any presence (rows-only)."""
+    import pandas as pd
+    m = index_plan.model_frame(spark, d, impute_depth=False)
+    long = m.select("shot_id", "yrs", "vessel", "hrs", *index_plan.SPECIES).unpivot(
+        ["shot_id", "yrs", "vessel", "hrs"], index_plan.SPECIES, "species", "n").withColumn(
+        "p", (F.col("n") > 0).cast("double"))
+    fits = gam_mod.fit_gam(long, "p", [gam_mod.Linear("hrs"), gam_mod.Factor("yrs"), gam_mod.Factor("vessel")],
+                           family="binomial", link="logit", group="species", firth=True, factor_ridge=0.0)
+    frames = []
+    for f in fits:
+        c = f.coefficients()
+        c.insert(0, "species", f.group)
+        c["converged"] = bool(f.converged)
+        frames.append(c)
+    return spark.createDataFrame(pd.concat(frames, ignore_index=True))
+
+
+def _scaled_presence(spark, d):
+    cols = ["hrs", "lon", "lat", "mn"]
+    k = _model_frame(spark, d).withColumn("label", (F.col("narrow") > 0).cast("double"))
+    k = sampling.stratified_split(k, ["label"], "shot_id", 0.7, 666)
+    return features.centre_scale(k, cols), cols
+
+
+@query("lda")
+def q_lda(spark, d):
+    """G13 + M7: two-class LDA on scaled covariates, held-out AUC (rows-only)."""
+    k, cols = _scaled_presence(spark, d)
+    fit = discriminant.fit_lda(k.filter(F.col("split") == "train"), "label", cols)
+    s = fit.score(k.filter(F.col("split") == "test"))
+    return evaluate.auc(s, "label", "lda_score")
+
+
+@query("rbf_svm")
+def q_rbf_svm(spark, d):
+    """G14 + M9: radial SVM via 100 random Fourier features + LinearSVC, held-out AUC (rows-only)."""
+    k, cols = _scaled_presence(spark, d)
+    model, tf = discriminant.fit_rbf_svm(k.filter(F.col("split") == "train"), "label", cols, 100, 0.5)
+    p = classify.positive_score(model.transform(tf(k.filter(F.col("split") == "test"))))
+    return evaluate.auc(p, "label", "score")

@@ -73,3 +73,18 @@ def test_truncated_poisson_root():
     lam = zeroinfl.solve_truncated_poisson(1.6)
     assert abs(lam / (1 - math.exp(-lam)) - 1.6) < 1e-10
     assert zeroinfl.solve_truncated_poisson(1.0) < 1e-6
+
+
+def test_firth_is_finite_under_separation_and_solves_the_adjusted_score(spark):
+    x = np.linspace(-3, 3, 60)
+    y = (x > 0).astype(float)                       # complete separation: ML diverges
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    fit = gam.fit_gam(df, "y", [gam.Linear("x")], family="binomial", link="logit", firth=True, max_iter=200)[0]
+    assert fit.converged and np.all(np.isfinite(fit.beta)) and abs(fit.beta[1]) < 10
+    X = np.column_stack([np.ones_like(x), x])
+    mu = 1 / (1 + np.exp(-(X @ fit.beta)))
+    W = mu * (1 - mu)
+    H = X.T @ (X * W[:, None])
+    h = W * np.einsum("ij,jk,ik->i", X, np.linalg.inv(H), X)
+    score = X.T @ (y - mu + h * (0.5 - mu))
+    assert np.max(np.abs(score)) < 1e-6

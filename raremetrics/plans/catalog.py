@@ -738,3 +738,44 @@ def q_rbf_svm(spark, d):
     model, tf = discriminant.fit_rbf_svm(k.filter(F.col("split") == "train"), "label", cols, 100, 0.5)
     p = classify.positive_score(model.transform(tf(k.filter(F.col("split") == "test"))))
     return evaluate.auc(p, "label", "score")
+
+
+from ..models import mixed  # noqa: E402
+
+
+def _lmm_frame(spark, d):
+    m = derive.with_classes(index_plan.model_frame(spark, d, impute_depth=False), hour=None)
+    pos_cap = m.filter((F.col("narrow") + F.col("green")) > 0).agg(F.max("hrs").alias("__cap"))
+    m = m.crossJoin(F.broadcast(pos_cap)).filter(F.col("hrs") <= F.col("__cap")).drop("__cap")
+    return m.withColumn("presence", (F.col("narrow") > 0).cast("double"))
+
+
+LMM_TERMS = [gam_mod.Factor("season"), gam_mod.Linear("lon"), gam_mod.Linear("depth"),
+             gam_mod.Linear("total_catch"), gam_mod.Linear("hrs")]
+
+
+@query("lmm_vessel")
+def q_lmm_vessel(spark, d):
+    """Narrow presence ~ season + lon + depth + total catch + hours + (1 | vessel), REML (rows-only)."""
+    import pandas as pd
+    fit = mixed.fit_random_intercept(_lmm_frame(spark, d), "presence", LMM_TERMS, "vessel")
+    c = fit.coefficients()
+    vc = pd.DataFrame([{"term": "sigma2_vessel", "estimate": fit.sigma2_group, "se": float("nan"), "t": float("nan")},
+                       {"term": "sigma2_residual", "estimate": fit.sigma2, "se": float("nan"), "t": float("nan")}])
+    return spark.createDataFrame(pd.concat([c, vc], ignore_index=True))
+
+
+@query("lmm_effects")
+def q_lmm_effects(spark, d):
+    """Mixed-model predictions ±SE over effort for each season, other terms at the
+    modal level / mean, modal vessel's random intercept included (rows-only)."""
+    m = _lmm_frame(spark, d)
+    fit = mixed.fit_random_intercept(m, "presence", LMM_TERMS, "vessel")
+    grid = effects.prediction_grid(m, {"hrs": 0.5}, ["season", "vessel"], ["lon", "depth", "total_catch", "hrs"],
+                                   "modal")
+    seasons = m.select("season").dropna().distinct()
+    grid = grid.drop("season").crossJoin(F.broadcast(seasons))     # season levels: two rows
+    pred = mixed.predict_mixed(fit, grid, "vessel")
+    return pred.select("season", "hrs", "vessel", "pred", "se",
+                       (F.col("pred") - F.lit(1.96) * F.col("se")).alias("low"),
+                       (F.col("pred") + F.lit(1.96) * F.col("se")).alias("up"))

@@ -88,3 +88,33 @@ def test_firth_is_finite_under_separation_and_solves_the_adjusted_score(spark):
     h = W * np.einsum("ij,jk,ik->i", X, np.linalg.inv(H), X)
     score = X.T @ (y - mu + h * (0.5 - mu))
     assert np.max(np.abs(score)) < 1e-6
+
+
+def test_random_intercept_reml_matches_dense_solution(spark):
+    from raremetrics.models import mixed
+    rng = np.random.default_rng(5)
+    G, m = 12, 25
+    g = np.repeat(np.arange(G), m)
+    x = rng.normal(size=G * m)
+    u = rng.normal(0, 0.8, G)
+    y = 1.0 + 0.5 * x + u[g] + rng.normal(0, 1.0, G * m)
+    df = spark.createDataFrame([(f"v{a}", float(b), float(c)) for a, b, c in zip(g, x, y)], "v string, x double, y double")
+    fit = mixed.fit_random_intercept(df, "y", [gam.Linear("x")], "v")
+    # dense REML at the fitted variance ratio: beta = (X'V^-1X)^-1 X'V^-1 y
+    X = np.column_stack([np.ones_like(x), x])
+    V = np.eye(len(y)) + fit.gamma * (g[:, None] == g[None, :])
+    Vi = np.linalg.inv(V)
+    beta = np.linalg.solve(X.T @ Vi @ X, X.T @ Vi @ y)
+    assert np.allclose(fit.beta, beta, atol=1e-8)
+    assert 0.2 < fit.sigma2_group < 2.0 and 0.6 < fit.sigma2 < 1.5
+
+    def reml(lg):
+        Vg = np.eye(len(y)) + math.exp(lg) * (g[:, None] == g[None, :])
+        Vgi = np.linalg.inv(Vg)
+        A = X.T @ Vgi @ X
+        b = np.linalg.solve(A, X.T @ Vgi @ y)
+        r = (y - X @ b) @ Vgi @ (y - X @ b)
+        s2 = r / (len(y) - 2)
+        return -0.5 * ((len(y) - 2) * math.log(s2) + np.linalg.slogdet(Vg)[1] + np.linalg.slogdet(A)[1])
+    lg = math.log(fit.gamma)
+    assert reml(lg) >= reml(lg + 0.05) - 1e-9 and reml(lg) >= reml(lg - 0.05) - 1e-9

@@ -779,3 +779,15 @@ def q_lmm_effects(spark, d):
     return pred.select("season", "hrs", "vessel", "pred", "se",
                        (F.col("pred") - F.lit(1.96) * F.col("se")).alias("low"),
                        (F.col("pred") + F.lit(1.96) * F.col("se")).alias("up"))
+
+
+@query("emmeans_season")
+def q_emmeans_season(spark, d):
+    """Estimated marginal means of presence by season from a binomial GLM on the
+    response scale (rows-only)."""
+    m = derive.with_classes(_model_frame(spark, d), hour=None).withColumn(
+        "label", (F.col("narrow") > 0).cast("double")).withColumn("yrs", F.col("yr").cast("string"))
+    fit = gam_mod.fit_gam(m, "label", [gam_mod.Factor("season"), gam_mod.Factor("yrs"), gam_mod.Linear("hrs"),
+                                       gam_mod.Linear("lon")], family="binomial", link="logit")[0]
+    ref = m.agg(F.avg("hrs").alias("hrs"), F.avg("lon").alias("lon"))
+    return effects.emmeans(fit, ref, "season", ["season", "yrs"], "logit")

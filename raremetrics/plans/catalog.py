@@ -791,3 +791,23 @@ def q_emmeans_season(spark, d):
                                        gam_mod.Linear("lon")], family="binomial", link="logit")[0]
     ref = m.agg(F.avg("hrs").alias("hrs"), F.avg("lon").alias("lon"))
     return effects.emmeans(fit, ref, "season", ["season", "yrs"], "logit")
+
+
+from ..models import zip_mixture  # noqa: E402
+
+
+@query("zip_glm")
+def q_zip_glm(spark, d):
+    """Zero-inflated Poisson GLM per species, count ~ year factor | zero ~ month (rows-only)."""
+    import pandas as pd
+    m = index_plan.model_frame(spark, d, impute_depth=False)
+    long = index_plan.long_frame(m)
+    fits = zip_mixture.fit_zip(long, "n", [gam_mod.Factor("yrs")], [gam_mod.Linear("mn")], group="species")
+    frames = []
+    for g, f in fits.items():
+        c = f.coefficients()
+        c.insert(0, "species", g)
+        c["loglik"] = f.loglik
+        c["converged"] = f.converged
+        frames.append(c)
+    return spark.createDataFrame(pd.concat(frames, ignore_index=True))

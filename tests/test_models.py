@@ -118,3 +118,28 @@ def test_random_intercept_reml_matches_dense_solution(spark):
         return -0.5 * ((len(y) - 2) * math.log(s2) + np.linalg.slogdet(Vg)[1] + np.linalg.slogdet(A)[1])
     lg = math.log(fit.gamma)
     assert reml(lg) >= reml(lg + 0.05) - 1e-9 and reml(lg) >= reml(lg - 0.05) - 1e-9
+
+
+def test_zip_mixture_recovers_parameters_and_solves_score(spark):
+    from raremetrics.models import zip_mixture
+    rng = np.random.default_rng(11)
+    n = 4000
+    x = rng.uniform(0, 2, n)
+    pi = 1 / (1 + np.exp(-(-0.5 + 1.0 * (x > 1))))
+    lam = np.exp(0.3 + 0.6 * x)
+    y = np.where(rng.uniform(size=n) < pi, 0, rng.poisson(lam))
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for a, b, c in zip(x, (x > 1).astype(float), y)],
+                               "x double, hi double, y long")
+    fit = zip_mixture.fit_zip(df, "y", [gam.Linear("x")], [gam.Linear("hi")])[0]
+    assert fit.converged
+    assert abs(fit.beta[1] - 0.6) < 0.15 and abs(fit.gamma[1] - 1.0) < 0.4
+    # score is ~0 at the optimum (numpy recomputation)
+    Z = np.column_stack([np.ones(n), (x > 1).astype(float)])
+    X = np.column_stack([np.ones(n), x])
+    p_ = 1 / (1 + np.exp(-(Z @ fit.gamma)))
+    l_ = np.exp(X @ fit.beta)
+    e = np.exp(-l_)
+    p0 = p_ + (1 - p_) * e
+    dz = np.where(y == 0, p_ * (1 - p_) * (1 - e) / p0, -p_)
+    dc = np.where(y == 0, -(1 - p_) * l_ * e / p0, y - l_)
+    assert np.max(np.abs(np.concatenate([Z.T @ dz, X.T @ dc]))) < 1e-4

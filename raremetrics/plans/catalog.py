@@ -811,3 +811,20 @@ def q_zip_glm(spark, d):
         c["converged"] = f.converged
         frames.append(c)
     return spark.createDataFrame(pd.concat(frames, ignore_index=True))
+
+
+from ..operators import smote as smote_op  # noqa: E402
+
+
+@query("smote_balance")
+def q_smote_balance(spark, d):
+    """Q6: SMOTE (perc.over 100, perc.under 200, k 5) of narrow presence on the model
+    frame; class sizes and feature means of the balanced data (rows-only)."""
+    m = derive.with_classes(index_plan.model_frame(spark, d, impute_depth=False), hour=None)
+    m = m.select("shot_id", "yrs", "season", "vessel", "hrs", "lat", "lon", "depth", "mn",
+                 F.col("narrow").cast("double").alias("n"), (F.col("narrow") > 0).cast("int").alias("presence"))
+    out = smote_op.smote(m, "presence", "shot_id", ["n", "hrs", "lat", "lon", "depth", "mn"],
+                         ["yrs", "season", "vessel"], 100, 200, k=5, seed=666, block=["hrs", "lat", "lon"])
+    return out.groupBy("presence", "synthetic").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("hrs").alias("mean_hrs"), F.avg("lon").alias("mean_lon"),
+        F.avg("n").alias("mean_n"), F.count_distinct("vessel").alias("vessels"))

@@ -828,3 +828,50 @@ def q_smote_balance(spark, d):
     return out.groupBy("presence", "synthetic").agg(
         F.count(F.lit(1)).alias("rows"), F.avg("hrs").alias("mean_hrs"), F.avg("lon").alias("mean_lon"),
         F.avg("n").alias("mean_n"), F.count_distinct("vessel").alias("vessels"))
+
+
+# --------------------------------------------------------------------------- sort / limit / reshape rows
+@query("distinct_years")
+def q_distinct_years(spark, d):
+    """O1 + O2: distinct sorted years with positive narrow catch."""
+    return _known(spark, d).filter(F.col("narrow") > 0).select("yr").distinct().orderBy("yr")
+
+
+@query("climatology_head")
+def q_climatology_head(spark, d):
+    """O3: first six rows of the year × month climatology in (year, month) order."""
+    return enrich.climatology(tables.sst(spark, d), by=["yr", "mn"]).orderBy("yr", "mn").limit(6)
+
+
+@query("interactions_by_hour")
+def q_interactions_by_hour(spark, d):
+    """Interactions (summed counts of positive shots) by hour of day per species."""
+    h = clean.min_effort(tables.shots_hourly(spark, d))
+    long = h.select("start_hour", "narrow", "green").unpivot(["start_hour"], ["narrow", "green"], "species", "k")
+    return (long.filter(F.col("k") > 0).groupBy("species", "start_hour")
+            .agg(F.sum("k").cast("bigint").alias("interactions")))
+
+
+@query("coefficients_wide")
+def q_coefficients_wide(spark, d):
+    """U2 + P23 + P25: presence-GLM coefficients bound by term across species (one column
+    per species), with odds ratios and p-value text (rows-only)."""
+    m = derive.with_classes(_model_frame(spark, d), hour=None).withColumn("yrs", F.col("yr").cast("string"))
+    long = m.select("shot_id", "yrs", "season", "hrs", *SPECIES).unpivot(
+        ["shot_id", "yrs", "season", "hrs"], SPECIES, "species", "n").withColumn("p", (F.col("n") > 0).cast("double"))
+    fits = gam_mod.fit_gam(long, "p", [gam_mod.Factor("yrs"), gam_mod.Factor("season"), gam_mod.Linear("hrs")],
+                           family="binomial", link="logit", group="species")
+    import pandas as pd
+    from ..functions.distributions import norm_sf_scalar
+    from ..functions.links import format_p
+    frames = []
+    for f in fits:
+        c = f.coefficients()
+        c["species"] = f.group
+        c["p_value"] = [2 * norm_sf_scalar(abs(z)) for z in c["z"]]
+        frames.append(c)
+    long_c = spark.createDataFrame(pd.concat(frames, ignore_index=True))
+    long_c = long_c.withColumns({"odds_ratio": F.exp("estimate"), "p_text": format_p("p_value")})
+    est = long_c.groupBy("term").pivot("species", SPECIES).agg(F.first("estimate"))
+    txt = long_c.groupBy("term").pivot("species", SPECIES).agg(F.first("p_text"))
+    return est.join(txt.select("term", *[F.col(s).alias(f"{s}_p") for s in SPECIES]), "term")

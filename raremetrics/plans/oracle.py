@@ -501,3 +501,18 @@ register("grid_text", f"""
 WITH {KNOWN_CTE}
 SELECT ROUND(1.0E0*round_even(slong/1.0E0, 0),6) AS lon_bin, COUNT(*) AS points, ROUND(AVG(sdepth),6) AS mean_depth
 FROM known WHERE slong IS NOT NULL AND slat IS NOT NULL AND sdepth IS NOT NULL GROUP BY 1""")
+
+register("distinct_years", f"""
+WITH {KNOWN_CTE}
+SELECT DISTINCT yr FROM known WHERE narrow > 0 ORDER BY yr""")
+
+register("climatology_head", f"""
+WITH {SST_CTE}
+SELECT yr, mn, ROUND(AVG(value),6) AS temperature FROM sst
+WHERE {BBOX} AND yr IS NOT NULL AND mn IS NOT NULL AND value IS NOT NULL GROUP BY yr, mn ORDER BY yr, mn LIMIT 6""")
+
+register("interactions_by_hour", f"""
+WITH {SHOTS_HOURLY_CTE},
+h AS (SELECT * FROM shots_hourly WHERE hrs >= 1.0E0/6.0E0),
+l AS (SELECT 'narrow' AS species, start_hour, narrow AS k FROM h UNION ALL SELECT 'green', start_hour, green FROM h)
+SELECT species, start_hour, CAST(SUM(k) AS BIGINT) AS interactions FROM l WHERE k > 0 GROUP BY species, start_hour""")

@@ -140,8 +140,25 @@ def _setup_design(df: DataFrame, terms: list) -> Design:
 
 
 # ----------------------------------------------------------------------------- the pass
+_POIS1_CDF = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(20)])
+
+
+def poisson_weights(ids: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Poisson(1) bootstrap weights (rows × replicates) from a keyed 64-bit mix of
+    (seed, replicate, row id): deterministic on any partitioning."""
+    x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    x = x + (np.arange(replicates, dtype=np.uint64)[None, :] + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ np.uint64(seed & 0xFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x = x ^ (x >> np.uint64(31))
+    u = (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    return np.searchsorted(_POIS1_CDF, u).astype(np.float64)
+
+
 def _partials_fn(design: Design, fam, betas: dict | None, y_col: str, off_col: str | None,
-                 w_col: str | None, g_col: str, groups: list, hinvs: list | None = None):
+                 w_col: str | None, g_col: str, groups: list, hinvs: list | None = None,
+                 boot: tuple | None = None):
     p = design.p
     gidx = {g: i for i, g in enumerate(groups)}
     size = p * p + p + 2
@@ -156,10 +173,19 @@ def _partials_fn(design: Design, fam, betas: dict | None, y_col: str, off_col: s
             off = pdf[off_col].to_numpy(dtype=float) if off_col else np.zeros(len(pdf))
             w0 = pdf[w_col].to_numpy(dtype=float) if w_col else np.ones(len(pdf))
             g = pdf[g_col].to_numpy()
+            pw = poisson_weights(pdf[boot[0]].to_numpy(), boot[1], boot[2]) if boot else None
+            units = []
             for gv in np.unique(g):
                 m = g == gv
-                gi = gidx[gv.item() if hasattr(gv, "item") else gv]
+                key = gv.item() if hasattr(gv, "item") else gv
+                if boot:
+                    units += [(gidx[(key, b)], m, pw[m, b]) for b in range(boot[1])]
+                else:
+                    units.append((gidx[key], m, None))
+            for gi, m, bw in units:
                 Xg, yg, og, wg = X[m], y[m], off[m], w0[m]
+                if bw is not None:
+                    wg = wg * bw
                 if betas is None:
                     eta = fam.start_eta(yg)
                 else:
@@ -184,8 +210,8 @@ def _partials_fn(design: Design, fam, betas: dict | None, y_col: str, off_col: s
     return fn, size
 
 
-def _run_pass(frame: DataFrame, design, fam, betas, y_col, off_col, w_col, g_col, groups, hinvs=None):
-    fn, size = _partials_fn(design, fam, betas, y_col, off_col, w_col, g_col, groups, hinvs)
+def _run_pass(frame: DataFrame, design, fam, betas, y_col, off_col, w_col, g_col, groups, hinvs=None, boot=None):
+    fn, size = _partials_fn(design, fam, betas, y_col, off_col, w_col, g_col, groups, hinvs, boot)
     rows = (frame.mapInPandas(fn, "g int, i int, v double")
             .groupBy("g", "i").agg(F.sum("v").alias("v")).collect())
     out = np.zeros((len(groups), size))
@@ -244,7 +270,8 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
             offset: str | None = None, weight: str | None = None, group: str | None = None,
             max_iter: int = 100, tol: float = 1e-8, factor_ridge: float = 1e-6,
             theta: float | None = None, select_lambda: bool = True, design: Design | None = None,
-            start: dict | None = None, lambdas: dict | None = None, firth: bool = False) -> list[GamFit]:
+            start: dict | None = None, lambdas: dict | None = None, firth: bool = False,
+            poisson_boot: tuple | None = None) -> list[GamFit]:
     """Fit one penalised GLM per ``group`` value (one model if ``group`` is None).
 
     Returns one GamFit per group (order of sorted group values). Failed or
@@ -254,6 +281,9 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
     ``firth=True`` (binomial logit) maximises Firth's penalised likelihood (G2): each
     iteration first computes XᵀWX at the current β (one pass), then scores with the
     adjusted response y + h(½ − μ), h = W xᵀ(XᵀWX)⁻¹x, starting from β = 0.
+    ``poisson_boot=(id_col, B, seed)`` fits B Poisson-bootstrap replicates of every group
+    in the same passes: each row's Poisson(1) weights are generated inside the tasks
+    from its id (nothing is expanded or joined); fits are keyed (group, replicate).
     """
     if firth and (family != "binomial" or (link or "logit") != "logit"):
         raise ValueError("firth=True needs family='binomial', link='logit'")
@@ -265,12 +295,16 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
         cols.add(offset)
     if weight:
         cols.add(weight)
+    if poisson_boot:
+        cols.add(poisson_boot[0])
     g_col = group or "__g"
     base = df if group else df.withColumn("__g", F.lit(0))
     frame = base.select(g_col, *sorted(cols)).dropna().checkpoint(eager=True)
     design = design or _setup_design(frame, terms)
     terms = design.terms
     groups = sorted(r[0] for r in frame.select(g_col).distinct().collect())
+    if poisson_boot:
+        groups = [(g, b) for g in groups for b in range(poisson_boot[1])]
     p = design.p
     lam = [list((lambdas or {}).get(g, [1.0] * len(design.penalties))) for g in groups]
     ridge = np.zeros(p)
@@ -290,9 +324,11 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
             if betas is None:
                 betas = [np.zeros(p) for _ in groups]
             # hat values need (X'WX)^-1 at the current beta: one extra pass per iteration
-            pre = _run_pass(frame, design, fam, betas, response, offset, weight, g_col, groups)
+            pre = _run_pass(frame, design, fam, betas, response, offset, weight, g_col, groups,
+                            boot=poisson_boot)
             hinvs = [np.linalg.pinv(h[0]) for h in pre]
-        parts = _run_pass(frame, design, fam, betas, response, offset, weight, g_col, groups, hinvs)
+        parts = _run_pass(frame, design, fam, betas, response, offset, weight, g_col, groups, hinvs,
+                          poisson_boot)
         new_betas = []
         for gi, (H, r, dev, n) in enumerate(parts):
             def solve(lams):

@@ -875,3 +875,10 @@ def q_coefficients_wide(spark, d):
     est = long_c.groupBy("term").pivot("species", SPECIES).agg(F.first("estimate"))
     txt = long_c.groupBy("term").pivot("species", SPECIES).agg(F.first("p_text"))
     return est.join(txt.select("term", *[F.col(s).alias(f"{s}_p") for s in SPECIES]), "term")
+
+
+@query("boot_index_poisson")
+def q_boot_index_poisson(spark, d):
+    """G18 + M5 (scalable variant): 20 Poisson-bootstrap refits of the hurdle index fitted in
+    the same passes, percentile bands (rows-only)."""
+    return index_plan.boot_index(spark, d, 20, 666, method="poisson")

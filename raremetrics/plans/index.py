@@ -58,14 +58,21 @@ def zip_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return effects.zip_index(grid, fits, "species")
 
 
-def boot_index(spark: SparkSession, sf_dir: str, replicates: int = 20, seed=666) -> DataFrame:
-    """G18 + M5: bootstrap percentile bands of the index (stratified by year)."""
+def boot_index(spark: SparkSession, sf_dir: str, replicates: int = 20, seed=666,
+               method: str = "stratified") -> DataFrame:
+    """G18 + M5: bootstrap percentile bands of the index.
+
+    ``stratified``: exact same-size resampling within years (the reference's scheme);
+    ``poisson``: Poisson(1) weights generated inside the fit (no data expansion)."""
     from ..models import bootstrap
     m = model_frame(spark, sf_dir).checkpoint(eager=True)
     full = fit(spark, sf_dir, m)
     long = long_frame(m)
-    fits, loglam = bootstrap.refit_replicates(long, full, "n", "n", "species", "shot_id", m, ["yr"],
-                                              replicates, seed)
+    if method == "poisson":
+        fits, loglam = bootstrap.refit_poisson_replicates(long, full, "n", "species", "shot_id", replicates, seed)
+    else:
+        fits, loglam = bootstrap.refit_replicates(long, full, "n", "n", "species", "shot_id", m, ["yr"],
+                                                  replicates, seed)
     grid = effects.prediction_grid(m, INDEX_TERMS, FACTORS, ["mn", "hrs", "lon"], "rarest")
     preds = bootstrap.replicate_predictions(grid, fits, loglam, "species")
     return bootstrap.summarise_replicates(preds, ["species", "term", "x"])

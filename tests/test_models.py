@@ -143,3 +143,16 @@ def test_zip_mixture_recovers_parameters_and_solves_score(spark):
     dz = np.where(y == 0, p_ * (1 - p_) * (1 - e) / p0, -p_)
     dc = np.where(y == 0, -(1 - p_) * l_ * e / p0, y - l_)
     assert np.max(np.abs(np.concatenate([Z.T @ dz, X.T @ dc]))) < 1e-4
+
+
+def test_poisson_bootstrap_replicates_center_on_full_fit(spark):
+    df = _frame(spark, n=3000, seed=4)
+    terms = [gam.Linear("x")]
+    full = gam.fit_gam(df, "y", terms, family="poisson")[0]
+    reps = gam.fit_gam(df, "y", terms, family="poisson", design=full.design, poisson_boot=("id", 30, 9),
+                       start={(0, b): full.beta for b in range(30)})
+    assert len(reps) == 30 and all(r.converged for r in reps)
+    slopes = np.array([r.beta[1] for r in reps])
+    se = math.sqrt(full.Vp[1, 1])
+    assert abs(slopes.mean() - full.beta[1]) < 3 * se / math.sqrt(30) + 1e-3
+    assert 0.5 * se < slopes.std(ddof=1) < 2.0 * se

@@ -8,6 +8,7 @@ from ..operators import clean, derive, enrich, summarise
 from ..sources import tables
 
 
+@tables._plan_cache
 def prepared_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared-table shots with totals, midpoints and the minimum-effort rule applied."""
     s = tables.shots(spark, sf_dir)

@@ -13,6 +13,7 @@ into the parquet scans by Catalyst.
 
 from __future__ import annotations
 
+import functools
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,26 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+_PLANS: dict = {}
+
+
+def _plan_cache(fn):
+    """Memoise a lazy plan per (session, application, arguments).
+
+    DataFrames are immutable logical plans: reusing one avoids re-listing files,
+    re-reading parquet footers and rebuilding hundreds of column expressions over
+    py4j, while every action still recomputes from the files (no data is cached)."""
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, *args):
+        key = (fn.__name__, id(spark), spark.sparkContext.applicationId, *args)
+        df = _PLANS.get(key)
+        if df is None:
+            df = _PLANS[key] = fn(spark, *args)
+        return df
+    return wrapper
+
+
+@_plan_cache
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -30,6 +51,7 @@ def _flag(cond) -> F.Column:
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
 
 
+@_plan_cache
 def shot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-order effort (hours) and the four alive/dead counts, one partial-aggregated pass."""
     li = table(spark, sf_dir, "lineitem")
@@ -45,6 +67,7 @@ def shot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_plan_cache
 def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per shot (order): vessel, date parts, positions, depths, effort, counts."""
     o = table(spark, sf_dir, "orders")
@@ -77,6 +100,7 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "hrs", "narrow_alive", "narrow_dead", "green_alive", "green_dead"))
 
 
+@_plan_cache
 def shots_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event: hour of day, day of month, effort, two presence counts, gear."""
     e = table(spark, sf_dir, "events")
@@ -90,6 +114,7 @@ def shots_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
                     et.alias("gear"))
 
 
+@_plan_cache
 def sst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Temperature observations on a lat/lon grid by year and month."""
     li = table(spark, sf_dir, "lineitem")

@@ -156,3 +156,30 @@ def test_poisson_bootstrap_replicates_center_on_full_fit(spark):
     se = math.sqrt(full.Vp[1, 1])
     assert abs(slopes.mean() - full.beta[1]) < 3 * se / math.sqrt(30) + 1e-3
     assert 0.5 * se < slopes.std(ddof=1) < 2.0 * se
+
+
+def test_lda_matches_numpy(spark):
+    from raremetrics.models import discriminant
+    rng = np.random.default_rng(8)
+    n = 600
+    y = (rng.uniform(size=n) < 0.3).astype(int)
+    X = rng.normal(size=(n, 3)) + y[:, None] * np.array([1.0, -0.5, 0.2])
+    df = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(y, X)], "y int, a double, b double, c double")
+    fit = discriminant.fit_lda(df, "y", ["a", "b", "c"])
+    m1, m0 = X[y == 1].mean(0), X[y == 0].mean(0)
+    S = ((X[y == 1] - m1).T @ (X[y == 1] - m1) + (X[y == 0] - m0).T @ (X[y == 0] - m0)) / (n - 2)
+    assert np.allclose(fit.coef, np.linalg.solve(S, m1 - m0), atol=1e-9)
+
+
+def test_emmeans_average_design_rows(spark):
+    from pyspark.sql import functions as F
+    from raremetrics.models import effects
+    df = _frame(spark, n=1500).withColumn("p", (F.col("y") > 0).cast("double"))
+    fit = gam.fit_gam(df, "p", [gam.Factor("f"), gam.Linear("x")], family="binomial", link="logit")[0]
+    ref = df.agg(F.avg("x").alias("x"))
+    out = {r.f: r for r in effects.emmeans(fit, ref, "f", ["f"], "logit").collect()}
+    xbar = ref.collect()[0][0]
+    for lv in ["a", "b", "c"]:
+        row = np.array([1.0, float(lv == "b"), float(lv == "c"), xbar])
+        assert abs(out[lv].emmean - row @ fit.beta) < 1e-9
+        assert abs(out[lv].se - math.sqrt(row @ fit.Vp @ row)) < 1e-9

@@ -561,8 +561,9 @@ def q_shot_log_roundtrip(spark, d):
 
 @query("grid_text")
 def q_grid_text(spark, d):
-    """S3: whitespace-delimited bathymetry-style grids (two files) read and unioned;
-    depth summary per 1° longitude (rows-only)."""
+    """S3: whitespace-delimited bathymetry-style grids read back from two files (every
+    known-vessel shot's start position and depth, split in two halves by id parity so
+    both files are needed), unioned, and summarised per 1° longitude."""
     base = scratch_path(spark, f"grid_{_uuid.uuid4().hex}")
     s = _known(spark, d)
     for i, part in enumerate([s.filter(F.col("shot_id") % 2 == 0), s.filter(F.col("shot_id") % 2 == 1)]):

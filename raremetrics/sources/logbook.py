@@ -16,10 +16,11 @@ from .files import write_csv
 
 def shots_as_log(shots: DataFrame) -> DataFrame:
     """Map canonical shots onto the raw log columns; effort becomes start/end clock times."""
-    start = F.col("start_date")
+    start = F.col("start_date").cast("timestamp_ntz")
     secs = F.round(F.col("hrs") * F.lit(3600.0)).cast("long")
-    end = F.timestamp_seconds(F.unix_timestamp(start.cast("timestamp")) + F.lit(6 * 3600) + secs)
-    start6 = start + F.expr("INTERVAL 6 HOURS")
+    # wall-clock arithmetic on TIMESTAMP_NTZ: independent of the session time zone
+    start6 = F.timestamp_add("HOUR", F.lit(6), start)
+    end = F.timestamp_add("SECOND", secs, start6)
     fmt_d, fmt_t = "d/M/yyyy", "H:m:s"
     return shots.select(
         F.col("shot_id").alias("HC"), F.col("vessel").alias("VESSEL"), F.lit("f550").alias("LFB"),

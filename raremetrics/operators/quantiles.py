@@ -21,14 +21,20 @@ from ..session import ensure_checkpoint_dir
 
 SKETCH_ACCURACY = 100000
 MARGIN = 3.0 / SKETCH_ACCURACY
+# Largest group that may use Spark's exact ``percentile`` (it buffers the group's values:
+# 2M doubles ≈ 16 MB per group); larger groups use the bracket method below.
+SMALL_GROUP_ROWS = 2_000_000
 
 
 def exact_quantiles(df: DataFrame, value, probs: list[float], by: list[str] | None = None,
-                    materialize: bool = False) -> DataFrame:
+                    materialize: bool = False, small_group_rows: int | None = SMALL_GROUP_ROWS) -> DataFrame:
     """Long result (by..., prob, quantile, n) of exact type-7 quantiles of ``value``.
 
-    ``materialize`` checkpoints the (group, value) projection once to the shared
-    checkpoint folder when its upstream is expensive (it is read three times)."""
+    One small aggregate first measures the largest group. When it is at most
+    ``small_group_rows`` (a proven bound on the buffer), Spark's exact ``percentile``
+    is used directly; otherwise the bracket method, whose memory does not depend on
+    group size. ``materialize`` checkpoints the (group, value) projection once to the
+    shared checkpoint folder when its upstream is expensive (it is read three times)."""
     by = list(by or [])
     probs = [float(p) for p in probs]
     v = F.col(value) if isinstance(value, str) else value
@@ -36,6 +42,14 @@ def exact_quantiles(df: DataFrame, value, probs: list[float], by: list[str] | No
     if materialize:
         ensure_checkpoint_dir(d.sparkSession)
         d = d.checkpoint(eager=True)
+    if small_group_rows:
+        largest = d.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).collect()[0][0] or 0
+        if largest <= small_group_rows:
+            arr = F.array(*[F.lit(p) for p in probs])
+            g = d.groupBy(*by).agg(F.percentile("__v", arr).alias("__q"), F.count(F.lit(1)).alias("n"))
+            z = F.arrays_zip(arr.alias("prob"), F.col("__q").alias("quantile"))
+            return (g.select(*by, "n", F.explode(z).alias("__z"))
+                    .select(*by, F.col("__z.prob").alias("prob"), F.col("__z.quantile").alias("quantile"), "n"))
     k = len(probs)
     lo_p = [max(0.0, p - MARGIN) for p in probs]
     hi_p = [min(1.0, p + MARGIN) for p in probs]

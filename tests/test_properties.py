@@ -68,7 +68,8 @@ def test_exact_quantiles_match_percentile_on_skewed_tied_groups(spark):
     rows = [(int(a), float(b)) for a, b in zip(g, x)] + [(3, 5.0)]   # a one-row group
     df = spark.createDataFrame(rows, "g int, x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.975, 1.0]
-    got = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, "x", probs, ["g"]).collect()}
+    # force the bounded-memory bracket path (small_group_rows=0) and check it against percentile
+    got = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, "x", probs, ["g"], small_group_rows=0).collect()}
     ref = df.groupBy("g").agg(F.percentile("x", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()
     exp = {(r.g, p): q for r in ref for p, q in zip(probs, r.q)}
     assert set(got) == set(exp)

@@ -28,7 +28,7 @@ from . import families
 from .splines import CubicBasis, place_knots_probs, sum_to_zero
 from ..functions.distributions import chi2_sf_scalar
 from ..operators.quantiles import exact_quantiles
-from ..session import ensure_checkpoint_dir
+from ..session import compute_partitions, ensure_checkpoint_dir
 
 
 # ----------------------------------------------------------------------------- terms
@@ -90,15 +90,25 @@ def _label(t) -> str:
 def _setup_design(df: DataFrame, terms: list) -> Design:
     d = Design(terms=terms, names=["(Intercept)"])
     d.blocks["(Intercept)"] = slice(0, 1)
-    for t in terms:
-        if isinstance(t, Factor) and t.levels is None:
-            rows = df.filter(F.col(t.col).isNotNull()).groupBy(t.col).count().collect()
-            t.levels = sorted(str(r[0]) for r in rows)
-        if isinstance(t, Smooth) and t.knots is None:
-            probs = place_knots_probs(t.k)
-            uniq = df.select(F.col(t.col).cast("double").alias("v")).dropna().distinct()
-            q = [r["quantile"] for r in exact_quantiles(uniq, "v", probs).collect()]
-            t.knots = sorted(set(float(x) for x in q))
+    # all factor levels in one job: (factor, level) pairs de-duplicated map-side
+    need_lv = [t for t in terms if isinstance(t, Factor) and t.levels is None]
+    if need_lv:
+        cols = [t.col for t in need_lv]
+        rows = (df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "__f", "__l")
+                .dropna().distinct().collect())
+        for t in need_lv:
+            t.levels = sorted(r["__l"] for r in rows if r["__f"] == t.col)
+    # all knot sets in one quantile computation over each smooth's distinct values
+    need_kn = [t for t in terms if isinstance(t, Smooth) and t.knots is None]
+    if need_kn:
+        cols = [t.col for t in need_kn]
+        uniq = (df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "__s", "v")
+                .dropna().distinct())
+        probs = sorted({p for t in need_kn for p in place_knots_probs(t.k)})
+        q = exact_quantiles(uniq, "v", probs, ["__s"]).collect()
+        for t in need_kn:
+            want = set(place_knots_probs(t.k))
+            t.knots = sorted(set(float(r["quantile"]) for r in q if r["__s"] == t.col and r["prob"] in want))
     smooths = [t for t in terms if isinstance(t, Smooth)]
     raw = {t.col: CubicBasis(t.knots, cyclic=t.cyclic) for t in smooths}
     if smooths:
@@ -299,7 +309,8 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
         cols.add(poisson_boot[0])
     g_col = group or "__g"
     base = df if group else df.withColumn("__g", F.lit(0))
-    frame = base.select(g_col, *sorted(cols)).dropna().checkpoint(eager=True)
+    frame = (base.select(g_col, *sorted(cols)).dropna()
+             .repartition(compute_partitions(spark)).checkpoint(eager=True))
     design = design or _setup_design(frame, terms)
     terms = design.terms
     groups = sorted(r[0] for r in frame.select(g_col).distinct().collect())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gam import Design, _setup_design
-from ..session import ensure_checkpoint_dir
+from ..session import compute_partitions, ensure_checkpoint_dir
 
 
 @dataclass
@@ -133,7 +133,7 @@ def fit_zip(df: DataFrame, count: str, count_terms: list, zero_terms: list, grou
     g_col = group or "__g"
     base = df if group else df.withColumn("__g", F.lit(0))
     cols = sorted({count, *(t.col for t in count_terms), *(t.col for t in zero_terms)} | ({offset} if offset else set()))
-    frame = base.select(g_col, *cols).dropna().checkpoint(eager=True)
+    frame = base.select(g_col, *cols).dropna().repartition(compute_partitions(df.sparkSession)).checkpoint(eager=True)
     zd, cd = _setup_design(frame, zero_terms), _setup_design(frame, count_terms)
     groups = sorted(r[0] for r in frame.select(g_col).distinct().collect())
     means = {r[g_col]: r["m"] for r in frame.groupBy(g_col).agg(F.avg(count).alias("m")).collect()}

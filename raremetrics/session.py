@@ -59,3 +59,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for materialised intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def compute_partitions(spark: SparkSession, per_core: int = 2) -> int:
+    """Partition count for CPU-bound passes (IRLS, tree training): a few tasks per core.
+
+    Byte-based coalescing would put a small-but-compute-heavy model frame in one task;
+    row-wise numeric work wants every core busy regardless of bytes."""
+    return max(1, spark.sparkContext.defaultParallelism * per_core)

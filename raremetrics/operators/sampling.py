@@ -4,9 +4,9 @@ Randomness is a keyed hash: md5 of "<id>:<seed>[:<repeat>]" orders rows inside a
 stratum, so results are reproducible on any cluster layout (and in SQL).
 
 Exact ranks within a stratum never put a whole stratum in one task: rows are
-bucketed by the first 4 hex digits of their hash (65,536 buckets); per-bucket
+bucketed by the first 3 hex digits of their hash (4,096 buckets); per-bucket
 counts (a small table) give each bucket's offset, and only rows of the same
-(stratum, bucket) are ranked together by a window — about n/65,536 rows each even
+(stratum, bucket) are ranked together by a window — about n/4,096 rows each even
 when one stratum holds a third of the data.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-N_BUCKET_HEX = 4
+N_BUCKET_HEX = 3
 
 
 def hash_key(id_col: str, seed, extra=None) -> F.Column:

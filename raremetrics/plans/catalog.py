@@ -255,8 +255,8 @@ def q_hist_counts(spark, d):
 
 @query("percentiles")
 def q_percentiles(spark, d):
-    """Effort percentiles 0, 10, ..., 100 per year."""
-    return describe.percentiles(_known(spark, d), "hrs", [i / 10 for i in range(11)], ["yr"])
+    """Effort percentiles 0, 1, ..., 100 % over all shots (as the reference's seq(0, 1, .01))."""
+    return describe.percentiles(_known(spark, d), "hrs", [i / 100 for i in range(101)])
 
 
 @query("relative_index")
@@ -322,8 +322,8 @@ def q_corr_matrix(spark, d):
 
 @query("kde_grid")
 def q_kde_grid(spark, d):
-    """Density of effort per season on 512 points."""
-    return describe.kde(_model_frame(spark, d), "hrs", ["season"])
+    """Density of effort per season on 512 points, bandwidth doubled (adjust = 2)."""
+    return describe.kde(_model_frame(spark, d), "hrs", ["season"], adjust=2.0)
 
 
 @query("effort_bins")

@@ -300,12 +300,11 @@ WITH {KNOWN_CTE},
 b AS (SELECT CAST(FLOOR((hrs - 0.0E0)/0.5E0) AS BIGINT) AS bin FROM known WHERE hrs IS NOT NULL)
 SELECT bin, COUNT(*) AS count, ROUND(0.0E0 + bin*0.5E0,6) AS lo, ROUND(0.0E0 + (bin+1)*0.5E0,6) AS hi FROM b GROUP BY bin""")
 
+_P101 = "[" + ", ".join(f"CAST({i / 100!r} AS DOUBLE)" for i in range(101)) + "]"
 register("percentiles", f"""
 WITH {KNOWN_CTE},
-q AS (SELECT yr, quantile_cont(hrs, [0.0E0,0.1E0,0.2E0,0.3E0,0.4E0,0.5E0,0.6E0,0.7E0,0.8E0,0.9E0,1.0E0]) AS qs
-      FROM known WHERE hrs IS NOT NULL GROUP BY yr)
-SELECT yr, ROUND(unnest([0.0E0,0.1E0,0.2E0,0.3E0,0.4E0,0.5E0,0.6E0,0.7E0,0.8E0,0.9E0,1.0E0]),6) AS prob,
-  ROUND(unnest(qs),6) AS quantile FROM q""")
+q AS (SELECT quantile_cont(hrs, {_P101}) AS qs FROM known WHERE hrs IS NOT NULL)
+SELECT ROUND(unnest({_P101}),6) AS prob, ROUND(unnest(qs),6) AS quantile FROM q""")
 
 register("relative_index", f"""
 WITH {PREPARED_CTE},
@@ -370,7 +369,7 @@ WITH {MODEL_CTE},
 d AS (SELECT season, hrs AS v FROM model WHERE hrs IS NOT NULL),
 st0 AS (SELECT season, COUNT(*) AS n, STDDEV_SAMP(v) AS sd, quantile_cont(v, [0.25E0, 0.75E0]) AS iqr,
           MIN(v) AS lo, MAX(v) AS hi FROM d GROUP BY season),
-st1 AS (SELECT season, n, lo, hi, 0.9E0*LEAST(sd, (iqr[2]-iqr[1])/1.34E0)*POW(CAST(n AS DOUBLE), -0.2E0)*1.0E0 AS bw FROM st0),
+st1 AS (SELECT season, n, lo, hi, 0.9E0*LEAST(sd, (iqr[2]-iqr[1])/1.34E0)*POW(CAST(n AS DOUBLE), -0.2E0)*2.0E0 AS bw FROM st0),
 st AS (SELECT *, lo - 3.0E0*bw AS g0, ((hi-lo) + 6.0E0*bw)/511.0E0 AS step FROM st1 WHERE bw > 0),
 w AS (SELECT season, v, COUNT(*) AS w FROM d GROUP BY season, v),
 e AS (SELECT w.season, v, w.w, st.n, st.bw, st.g0, st.step, p.point

@@ -883,3 +883,22 @@ def q_boot_index_poisson(spark, d):
     """G18 + M5 (scalable variant): 20 Poisson-bootstrap refits of the hurdle index fitted in
     the same passes, percentile bands (rows-only)."""
     return index_plan.boot_index(spark, d, 20, 666, method="poisson")
+
+
+# --------------------------------------------------------------------------- streaming
+from ..streaming import logbook_stream  # noqa: E402
+
+
+@query("stream_nominal_cpue")
+def q_stream_nominal_cpue(spark, d):
+    """Streaming ingestion: the shots rendered as shot-log CSV files, consumed by a
+    Structured Streaming query (available-now trigger, checkpoint in the shared folder)
+    that keeps per (species, year) sufficient statistics; nominal CPUE derived from the
+    state equals the batch flagship."""
+    folder = scratch_path(spark, f"stream_in_{_uuid.uuid4().hex}")
+    logbook.write_shot_log_csv(tables.shots(spark, d), folder)
+    name = f"cpue_state_{_uuid.uuid4().hex[:12]}"
+    q = logbook_stream.start_cpue_stream(spark, folder, name,
+                                         checkpoint=scratch_path(spark, f"stream_ckpt_{name}"), trigger_once=True)
+    q.awaitTermination()
+    return logbook_stream.cpue_from_state(spark.table(name))

@@ -515,3 +515,6 @@ WITH {SHOTS_HOURLY_CTE},
 h AS (SELECT * FROM shots_hourly WHERE hrs >= 1.0E0/6.0E0),
 l AS (SELECT 'narrow' AS species, start_hour, narrow AS k FROM h UNION ALL SELECT 'green', start_hour, green FROM h)
 SELECT species, start_hour, CAST(SUM(k) AS BIGINT) AS interactions FROM l WHERE k > 0 GROUP BY species, start_hour""")
+
+# the streaming state reproduces the batch flagship
+ORACLE["stream_nominal_cpue"] = ORACLE["nominal_cpue"]

@@ -2,9 +2,9 @@
 
 The same column rules as the batch path (``derive.standardise_log`` and the
 cleaning filters) are applied to a file stream; the state per (species, year) is
-three sufficient statistics (n, Σcpue, Σcpue²), so the streaming aggregate is
-exact, its state is bounded by species × years, and mean / sd / CI are derived
-from it when the result is read. Checkpoints go to the shared checkpoint folder
+Spark's count / mean / central second moment (numerically stable, merged across
+micro-batches), so the state is bounded by species × years and the CI is derived
+when the result is read. Checkpoints go to the shared checkpoint folder
 so a restarted query resumes without reprocessing files.
 """
 
@@ -28,23 +28,19 @@ def shot_log_stream(spark: SparkSession, folder: str, max_files_per_trigger: int
 
 
 def cpue_state(raw: DataFrame, scaler: float = 1000.0) -> DataFrame:
-    """Per (species, year): n, Σcpue, Σcpue² of cleaned shots (works on batch or stream)."""
+    """Per (species, year): n, mean and sample sd of cleaned shots' cpue (batch or stream)."""
     s = clean.known_vessel(clean.min_effort(clean.exclude_ids(derive.standardise_log(raw))))
     long = s.select("yr", "hrs", *derive.SPECIES).unpivot(["yr", "hrs"], list(derive.SPECIES), "species", "__n")
     c = F.lit(float(scaler)) * F.col("__n") / F.col("hrs")
     return (long.select("species", "yr", c.alias("cpue")).groupBy("species", "yr")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("cpue").alias("s1"), F.sum(F.col("cpue") * F.col("cpue")).alias("s2")))
+            .agg(F.count(F.lit(1)).alias("n"), F.avg("cpue").alias("mean"), F.stddev_samp("cpue").alias("sd")))
 
 
 def cpue_from_state(state: DataFrame) -> DataFrame:
-    """mean, sd (sample) and 95 % CI from the sufficient statistics."""
-    n = F.col("n").cast("double")
-    mean = F.col("s1") / n
-    var = F.when(n > 1, (F.col("s2") - n * mean * mean) / (n - F.lit(1.0)))
-    sd = F.sqrt(F.greatest(var, F.lit(0.0)))
-    half = F.lit(Z95) * sd / F.sqrt(n)
-    return state.select("species", "yr", mean.alias("mean"), F.col("n"), sd.alias("sd"),
-                        (mean - half).alias("low_cl"), (mean + half).alias("upp_cl"))
+    """Nominal CPUE table (mean, n, sd, 95 % CI) from the state."""
+    half = F.lit(Z95) * F.col("sd") / F.sqrt(F.col("n").cast("double"))
+    return state.select("species", "yr", "mean", "n", "sd",
+                        (F.col("mean") - half).alias("low_cl"), (F.col("mean") + half).alias("upp_cl"))
 
 
 def start_cpue_stream(spark: SparkSession, folder: str, table: str, checkpoint: str | None = None,

@@ -902,3 +902,20 @@ def q_stream_nominal_cpue(spark, d):
                                          checkpoint=scratch_path(spark, f"stream_ckpt_{name}"), trigger_once=True)
     q.awaitTermination()
     return logbook_stream.cpue_from_state(spark.table(name))
+
+
+@query("imputed_join")
+def q_imputed_join(spark, d):
+    """Values imputed in a separate table keyed (shot, start lat, start lon) — depth
+    filled by its 0.1° cell mean — joined back null-safely on the composite key;
+    summary by whether depth was missing."""
+    k = _known(spark, d)
+    cells = k.select("shot_id", "slat", "slong", "depth",
+                     N.trunc_tenth("slat").alias("cl"), N.trunc_tenth("slong").alias("cn"))
+    means = cells.groupBy("cl", "cn").agg(F.avg("depth").alias("__m"))
+    imputed = (cells.join(means, on=["cl", "cn"], how="left")
+               .select("shot_id", "slat", "slong", F.coalesce("depth", "__m").alias("depth_imp")))
+    j = enrich.join_imputed(k.select("shot_id", "slat", "slong", "depth"), imputed, ["shot_id", "slat", "slong"],
+                            "depth_imp")
+    return j.groupBy(F.col("depth").isNull().alias("was_missing")).agg(
+        F.count(F.lit(1)).alias("shots"), F.count("depth_imp").alias("filled"), F.avg("depth_imp").alias("mean_depth"))

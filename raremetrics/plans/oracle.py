@@ -518,3 +518,14 @@ SELECT species, start_hour, CAST(SUM(k) AS BIGINT) AS interactions FROM l WHERE
 
 # the streaming state reproduces the batch flagship
 ORACLE["stream_nominal_cpue"] = ORACLE["nominal_cpue"]
+
+register("imputed_join", f"""
+WITH {KNOWN_CTE},
+cells AS (SELECT shot_id, slat, slong, depth, {CELL_LAT} AS cl, {CELL_LON} AS cn FROM known),
+means AS (SELECT cl, cn, AVG(depth) AS m FROM cells GROUP BY cl, cn),
+imputed AS (SELECT shot_id, slat, slong, COALESCE(depth, m) AS depth_imp
+            FROM cells LEFT JOIN means ON cells.cl = means.cl AND cells.cn = means.cn),
+j AS (SELECT k.depth, i.depth_imp FROM known k LEFT JOIN imputed i
+      ON k.shot_id IS NOT DISTINCT FROM i.shot_id AND k.slat IS NOT DISTINCT FROM i.slat AND k.slong IS NOT DISTINCT FROM i.slong)
+SELECT depth IS NULL AS was_missing, COUNT(*) AS shots, COUNT(depth_imp) AS filled, ROUND(AVG(depth_imp),6) AS mean_depth
+FROM j GROUP BY 1""")

@@ -919,3 +919,15 @@ def q_imputed_join(spark, d):
                             "depth_imp")
     return j.groupBy(F.col("depth").isNull().alias("was_missing")).agg(
         F.count(F.lit(1)).alias("shots"), F.count("depth_imp").alias("filled"), F.avg("depth_imp").alias("mean_depth"))
+
+
+@query("index_scaled")
+def q_index_scaled(spark, d):
+    """W2 + W3: the hurdle index per species and term both relative to its series mean and
+    per 1000 trawled hours (rows-only)."""
+    idx = index_plan.zip_index(spark, d)
+    rel = summarise.relative_index(idx, ["species", "term"], ["mean", "low", "up"])
+    rel = rel.select("species", "term", "x", *[F.col(c).alias(f"{c}_rel") for c in ["mean", "low", "up"]])
+    per = summarise.scale_per(idx, ["mean", "low", "up"], 1000.0).select(
+        "species", "term", "x", *[F.col(c).alias(f"{c}_per_1000h") for c in ["mean", "low", "up"]])
+    return rel.join(per, on=["species", "term", "x"], how="inner")

@@ -183,3 +183,18 @@ def test_emmeans_average_design_rows(spark):
         row = np.array([1.0, float(lv == "b"), float(lv == "c"), xbar])
         assert abs(out[lv].emmean - row @ fit.beta) < 1e-9
         assert abs(out[lv].se - math.sqrt(row @ fit.Vp @ row)) < 1e-9
+
+
+def test_negbin_theta_by_maximum_likelihood(spark):
+    from raremetrics.models import zeroinfl
+    rng = np.random.default_rng(21)
+    n = 4000
+    x = rng.uniform(0, 2, n)
+    mu = np.exp(0.5 + 0.4 * x)
+    theta = 2.0
+    y = rng.poisson(rng.gamma(theta, mu / theta))
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "x double, y long")
+    res = zeroinfl.fit_negbin_gam(df, "y", [gam.Linear("x")], rounds=2)
+    f, th = res[0]
+    assert 1.4 < th < 2.9
+    assert abs(f.beta[1] - 0.4) < 0.1

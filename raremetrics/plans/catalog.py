@@ -931,3 +931,11 @@ def q_index_scaled(spark, d):
     per = summarise.scale_per(idx, ["mean", "low", "up"], 1000.0).select(
         "species", "term", "x", *[F.col(c).alias(f"{c}_per_1000h") for c in ["mean", "low", "up"]])
     return rel.join(per, on=["species", "term", "x"], how="inner")
+
+
+@query("chisq_pvalue")
+def q_chisq_pvalue(spark, d):
+    """χ² statistic, degrees of freedom and upper-tail p-value of interactions vs shots
+    over the effort bins (rows-only; the oracle-checked twin omits the p-value)."""
+    b = bins.effort_bins(_model_frame(spark, d))
+    return describe.chisq_contingency(b, "interactions", "shots")

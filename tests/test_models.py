@@ -198,3 +198,12 @@ def test_negbin_theta_by_maximum_likelihood(spark):
     f, th = res[0]
     assert 1.4 < th < 2.9
     assert abs(f.beta[1] - 0.4) < 0.1
+
+
+def test_chi_square_tail_matches_table_values():
+    from raremetrics.functions.distributions import chi2_sf_scalar, norm_sf_scalar
+    # textbook 5 % and 1 % critical values
+    for stat, dof, p in [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (18.307038, 10, 0.05),
+                         (6.634897, 1, 0.01), (124.342113, 100, 0.05)]:
+        assert abs(chi2_sf_scalar(stat, dof) - p) < 1e-6
+    assert abs(norm_sf_scalar(1.959964) - 0.025) < 1e-6

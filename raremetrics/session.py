@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -38,18 +39,44 @@ def build_session(master: str = "local[8]", app: str = "raremetrics",
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Python tasks unpickle functions by module name, so workers need the package wherever
+    the driver was started and whatever their own path is.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_raremetrics_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="raremetrics-zip-")
+    archive = os.path.join(folder, "raremetrics_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    sc._raremetrics_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared, fault-tolerant location and is
-    used as is.  Only when it is unset (local tests) is a scratch folder made.
+    On a cluster this setting names a shared, fault-tolerant location and is used as is;
+    without it a cluster session is refused, as machines would not see each other's
+    files.  Only a local master (tests) gets a scratch folder of its own.
     """
+    ship_package(spark)
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="raremetrics-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

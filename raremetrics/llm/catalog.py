@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from raremetrics.llm.bpe import op5_bpe
 from raremetrics.llm.license_scan import op1_license_scan
+from raremetrics.llm.packing import op9_best_fit_packing
 from raremetrics.llm.quality_classifier import op4_quality_classifier
 from raremetrics.llm.quality_rules import op2_quality_rules
+from raremetrics.llm.syncmers import op10_syncmers
 from raremetrics.llm.toxicity import op3_toxicity
+from raremetrics.llm.warc import OP7_SQL, op7_warc
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_toxicity, op4_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_toxicity, op4_quality_classifier, op5_bpe,
+                                   op7_warc, op9_best_fit_packing, op10_syncmers)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_warc": OP7_SQL}

@@ -105,13 +105,13 @@ def fit_once(sample: DataFrame, extract, fit) -> dict:
             "bias": found["bias"], "slope": found["slope"], "offset": found["offset"]}
 
 
-def score(docs: DataFrame, model: dict, dims: int, present) -> DataFrame:
-    """``docs`` without the text, with ``score``.
+def score(docs: DataFrame, model: dict, dims: int, present, text: bool = False) -> DataFrame:
+    """``docs`` with ``score``, and with the text only if ``text``.
 
     ``present(buf, off, mask)`` gives (text number, feature) pairs, each pair once, of
     the features set in ``mask``.
     """
-    carried = [c for c in docs.columns if c not in ("text", "score")]
+    carried = [c for c in docs.columns if c != "score" and (text or c != "text")]
     schema = docs.select(*carried).schema.add("score", "double")
 
     def run(batches):
@@ -126,4 +126,4 @@ def score(docs: DataFrame, model: dict, dims: int, present) -> DataFrame:
                 arrays.append(pa.array(sigmoid(model["slope"] * margin + model["offset"])))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carried, "score"])
 
-    return docs.select(*carried, "text").mapInArrow(run, schema)
+    return docs.select(*carried, *([] if text else ["text"])).mapInArrow(run, schema)

@@ -114,8 +114,9 @@ def train(docs: DataFrame, labels: DataFrame, fold, label: str = "quality", per_
     return linear.fit_once(sample, extract, fit)
 
 
-def quality(docs: DataFrame, model: dict) -> DataFrame:
-    return linear.score(docs.drop("predicted"), model, DIMS, ngrams).withColumn(
+def quality(docs: DataFrame, model: dict, text: bool = False) -> DataFrame:
+    """``docs`` with ``score`` and ``predicted``, and with the text only if ``text``."""
+    return linear.score(docs.drop("predicted"), model, DIMS, ngrams, text).withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

@@ -70,10 +70,10 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def with_measures(docs: DataFrame) -> DataFrame:
-    """``docs`` without the text, with the base measures as long columns."""
-    keep = [c for c in docs.columns if c not in MEASURES]
-    carried = [c for c in keep if c != "text"]
+def with_measures(docs: DataFrame, text: bool = False) -> DataFrame:
+    """``docs`` with the base measures as long columns and ``base_failed``; with the text only if ``text``."""
+    added = (*MEASURES, "base_failed", "kept")
+    carried = [c for c in docs.columns if c not in added and (text or c != "text")]
     schema = docs.select(*carried).schema
     for name in MEASURES:
         schema = schema.add(name, "long")
@@ -86,7 +86,9 @@ def with_measures(docs: DataFrame) -> DataFrame:
                 arrays += [pa.array(values[m], pa.int64()) for m in MEASURES]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *MEASURES])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    measured = docs.select(*carried, *([] if text else ["text"])).mapInArrow(run, schema)
+    return measured.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
+                               | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")))
 
 
 def _ratio(name: str) -> Column:
@@ -144,12 +146,8 @@ def thresholds(sketch: DataFrame, spread: float = 6.0, prior: float = 200.0) ->
     return both.groupBy("lang", "source").agg(*columns)
 
 
-def quality_rules(docs: DataFrame, spread: float = 6.0, prior: float = 200.0) -> DataFrame:
-    """``docs`` without the text, with the base measures, ``base_failed`` and ``kept``."""
-    measured = with_measures(docs).withColumn(
-        "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")))
-    measured = common.materialise(measured, "quality-measures")
-    bounds = thresholds(sketches(measured), spread, prior)
+def judged(measured: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``measured`` with ``kept``, by the bounds of each row's language and source."""
     names = [c for c in bounds.columns if c not in ("lang", "source")]
     bounds = bounds.withColumnsRenamed({c: f"rule_{c}" for c in bounds.columns})
     joined = measured.join(bounds, measured.lang.eqNullSafe(bounds.rule_lang)
@@ -161,6 +159,18 @@ def quality_rules(docs: DataFrame, spread: float = 6.0, prior: float = 200.0) ->
     return joined.select(*measured.columns, (~F.col("base_failed") & within).alias("kept"))
 
 
+def quality_rules(docs: DataFrame, spread: float = 6.0, prior: float = 200.0) -> DataFrame:
+    """``docs`` without the text, with the base measures, ``base_failed`` and ``kept``."""
+    measured = common.materialise(with_measures(docs), "quality-measures")
+    return judged(measured, thresholds(sketches(measured), spread, prior))
+
+
+def filtered(docs: DataFrame, spread: float = 6.0, prior: float = 200.0) -> DataFrame:
+    """The documents that the rules keep.  Texts are measured twice rather than shuffled."""
+    bounds = common.materialise(thresholds(sketches(with_measures(docs)), spread, prior), "quality-bounds")
+    return judged(with_measures(docs, text=True), bounds).filter("kept").select(*docs.columns)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     return quality_rules(docs).select("doc_id", *MEASURES, "base_failed", "kept")

@@ -203,7 +203,8 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
 
     buckets = classes.select("node", "signature").mapInArrow(banded, "node long, bucket long")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = common.materialise(buckets.join(shared, "bucket"), "jaccard-buckets")
+    # read from a written table, the small side lets the adaptive join split a hot bucket
+    members = common.materialise(buckets.join(common.materialise(shared, "jaccard-shared"), "bucket"), "jaccard-buckets")
     rows = block_pairs(members, "bucket").join(classes.select("node", "signature"), "node")
     rows = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node")
 
@@ -252,7 +253,8 @@ def linked(sets: list[np.ndarray], left_right: tuple[np.ndarray, np.ndarray], th
 def verified(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     """(node, root, links): exact links of each class within its group, and a linked class in the same unit of work."""
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-    wanted = groups.join(sizes, "label")
+    # never broadcast: the number of near copies grows with the corpus
+    wanted = groups.join(sizes, "label").hint("merge")
     texts = docs.select("doc_id", "text").join(wanted, docs.doc_id == wanted.doc).select("label", "node", "copies", "size", "key1", "key2", "text")
 
     def exact(batches):

@@ -12,16 +12,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of an edge table (u, v): the smallest node of its component.
 
     Every round replaces edges by edges to the smallest neighbour; minima are aggregated
-    before they are shuffled and joined back, so that a node with very many edges never
-    is one task's group.  Rounds are written to the shared folder and end when nothing changes.
+    before they are shuffled, written, and joined back, so that the adaptive join can split
+    the edges of a node that has very many.  Rounds are written to the shared folder and end when nothing changes.
     """
     edges = common.materialise(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = common.materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = common.materialise(large, "edges")
+        least = common.materialise(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = (large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.u", "e.v").filter("u <> v").distinct())
         edges = common.materialise(small, "edges")

@@ -254,7 +254,8 @@ RESULT = (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kep
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) -> DataFrame:
     """``docs`` with the repeated passages cut from ``text`` (left out if not ``text``) and the columns of ``RESULT``."""
     found = common.materialise(anchor_rows(docs, length), "suffix-anchors")
-    often = found.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1").select("hash")
+    # read from a written table, the hashes let the adaptive join split those that very many texts share
+    often = common.materialise(found.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1").select("hash"), "suffix-often")
     parts = common.materialise(segments(docs, found.join(often, "hash"), length), "suffix-segments")
     distinct = parts.groupBy("hash", "segment").agg(F.first("bytes", ignorenulls=True).alias("bytes"), F.max("n").alias("n"), F.count("*").alias("c"))
     distinct = common.materialise(distinct, "suffix-distinct")

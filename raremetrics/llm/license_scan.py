@@ -216,7 +216,7 @@ def train(docs: DataFrame, negatives: int = NEGATIVES) -> dict:
                           if not resembles(pairs(x))]
         yield pa.RecordBatch.from_pylist([fit([x for _, _, x in sorted(found)])])
 
-    model = sample.repartition(1).mapInArrow(run, "feature array<long>, weight array<double>, bias array<double>, heat double").first()
+    model = sample.repartition(1).mapInArrow(run, "feature array<long>, weight array<double>, bias array<double>, heat double").first() or fit([])
     return {"feature": np.array(model["feature"], np.int64), "bias": np.array(model["bias"]), "heat": model["heat"],
             "weight": np.array(model["weight"]).reshape(-1, len(CLASSES))}
 

@@ -101,6 +101,8 @@ def fit_once(sample: DataFrame, extract, fit) -> dict:
     from pyspark.sql.pandas.types import from_arrow_schema
 
     found = sample.repartition(1).mapInArrow(run, from_arrow_schema(MODEL)).first()
+    if found is None:  # no partition at all
+        return {"feature": np.zeros(0, np.int64), "value": np.zeros(0), "bias": 0.0, "slope": 0.0, "offset": float(np.log(1e-9))}
     return {"feature": np.array(found["feature"], np.int64), "value": np.array(found["value"]),
             "bias": found["bias"], "slope": found["slope"], "offset": found["offset"]}
 

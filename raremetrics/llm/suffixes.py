@@ -236,7 +236,8 @@ def sorted_units(distinct: DataFrame, length: int) -> DataFrame:
             h, lo, hi, segment, n, data = (batch.column(i).to_pylist() for i in range(6))
             for k in range(batch.num_rows):
                 unit = h[k], lo[k], hi[k]
-                if unit != last and starts >= STARTS:  # whole units only
+                # whole units only, and no two of one hash, whose segments would meet themselves
+                if held and unit != last and (starts >= STARTS or unit[0] == last[0]):
                     yield solve()
                     held, starts = [], 0
                 last = unit
@@ -268,15 +269,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) ->
              .agg(F.collect_list(F.struct("start", "runs")).alias("spans")))
     names = [n for n, _ in RESULT]
     carried = [c for c in docs.columns if c not in ("text", *names)]
-    whole = _texts(docs.select(*carried, "text"))
-    rows = whole.join(common.materialise(spans, "suffix-spans"), whole.doc_id.eqNullSafe(F.col("id")) & (whole.digest == F.col("dg")), "left")
+    body = F.coalesce("text", F.lit(""))
+    whole = docs.select(*carried, body.alias("text"), F.xxhash64(body).alias("_digest"))
+    spans = common.materialise(spans, "suffix-spans").toDF("_id", "_dg", "_spans")
+    rows = whole.join(spans, whole.doc_id.eqNullSafe(F.col("_id")) & (whole._digest == F.col("_dg")), "left")
     schema = docs.select(*carried).schema
     for name, kind in (*((("text", "string"),) if text else ()), *RESULT):
         schema = schema.add(name, kind)
 
     def cut(batches):
         for batch in batches:
-            place = batch.schema.get_field_index("spans")
+            place = batch.schema.get_field_index("_spans")
             for lo, hi, buf, off in common.text_chunks(batch):
                 out: list[list] = [[] for _ in range(5)]
                 for i, marked in enumerate(batch.column(place).slice(lo, hi - lo)):
@@ -296,7 +299,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) ->
                 arrays += [pa.array(c, pa.int64()) for c in out[1:4]] + [pa.array(out[4], pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return rows.select(*carried, "text", "spans").mapInArrow(cut, schema)
+    return rows.select(*carried, "text", "_spans").mapInArrow(cut, schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def anchors(text: Column) -> Column:
         run = F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: F.when(
             F.least(h[i], h[i + K - 1]) <= F.least(*[h[i + j] for j in range(1, K - 1)], F.lit(2**63 - 1)),
             F.struct(i.alias("pos"), F.xxhash64(*[h[i + j] for j in range(K)]).alias("hash"))))
-        short = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(h[0], F.get(h, F.lit(1))).alias("hash")))
+        short = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(F.get(h, F.lit(0)), F.get(h, F.lit(1))).alias("hash")))
         return F.when(F.size(h) >= K, F.filter(run, lambda x: x.isNotNull())).when(F.size(h) > 0, short).otherwise(F.filter(short, lambda x: F.lit(False)))
 
     return _bound(word_hashes(text), of)

@@ -53,6 +53,8 @@ class Binomial(Family):
     name = "binomial"
 
     def __init__(self, link: str = "logit"):
+        if link not in ("logit", "cloglog"):
+            raise ValueError(f"no such binomial link: {link}")
         self.link = link
 
     def linkinv(self, eta):
@@ -106,5 +108,7 @@ def family(name: str, link: str | None = None, theta: float | None = None) -> Fa
     if name == "binomial":
         return Binomial(link or "logit")
     if name == "negbin":
-        return NegBin(theta or 1.0)
+        if theta is None:
+            raise ValueError("the negative binomial needs theta")
+        return NegBin(theta)
     raise ValueError(name)

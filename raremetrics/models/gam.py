@@ -17,6 +17,7 @@ fitted together: rows carry a group id and every pass aggregates per group.
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -88,6 +89,8 @@ def _label(t) -> str:
 
 # ----------------------------------------------------------------------------- setup jobs
 def _setup_design(df: DataFrame, terms: list) -> Design:
+    # levels and knots found here belong to this design, not to the caller's terms
+    terms = [copy.copy(t) for t in terms]
     d = Design(terms=terms, names=["(Intercept)"])
     d.blocks["(Intercept)"] = slice(0, 1)
     # all factor levels in one job: (factor, level) pairs de-duplicated map-side

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the reference's cleaning rules.
@@ -23,20 +23,20 @@ def year_window(df: DataFrame, yr: str = "yr", after: int = 2005, up_to: int = 2
     return df.filter((F.col(yr) > after) & (F.col(yr) <= up_to))
 
 
-def exclude_ids(df: DataFrame, id_col: str = "shot_id", ids=None) -> DataFrame:
-    """drop listed ids; a null id is kept (R ``!x %in% v`` is TRUE for NA).
+def excluded_shots(spark: SparkSession) -> DataFrame:
+    """The reference log's own exclusion table (shot_id, reason), for ``exclude_ids``."""
+    rows = [(i, "wrong total catch") for i in WRONG_TOTAL_CATCH_IDS] + [
+        (i, "combined shots with wrong hours") for i in WRONG_HOURS_COMBINED_IDS]
+    return spark.createDataFrame(rows, "shot_id long, reason string")
 
-    ``ids`` is a driver-side list (parameter-sized, compiled to an IN-set) or a
-    DataFrame with one column of ids (left-anti join; the planner broadcasts it
-    when small at runtime, otherwise shuffles).
+
+def exclude_ids(df: DataFrame, id_col: str, rules: DataFrame) -> DataFrame:
+    """drop the ids in the first column of ``rules``; a null id is kept (R ``!x %in% v`` is TRUE for NA).
+
+    A left-anti join: the planner broadcasts the rules when small at runtime, otherwise shuffles.
     """
-    if ids is None:
-        ids = WRONG_TOTAL_CATCH_IDS + WRONG_HOURS_COMBINED_IDS
-    if isinstance(ids, DataFrame):
-        key = ids.columns[0]
-        rules = ids.select(F.col(key).alias("__excl_id")).dropna().distinct()
-        return df.join(rules, F.col(id_col) == F.col("__excl_id"), "left_anti")
-    return df.filter(~F.coalesce(F.col(id_col).isin(list(ids)), F.lit(False)))
+    ids = rules.select(F.col(rules.columns[0]).alias("__excl_id")).dropna().distinct()
+    return df.join(ids, F.col(id_col) == F.col("__excl_id"), "left_anti")
 
 
 def min_effort(df: DataFrame, hours: str = "hrs", minimum: float = MIN_EFFORT_HOURS) -> DataFrame:

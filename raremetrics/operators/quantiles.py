@@ -1,15 +1,16 @@
 """Exact type-7 quantiles per group without gathering a group in one task.
 
-``percentile`` buffers every value of a group in one aggregation buffer, which
-fails when one group holds a large share of the rows. Here each target rank is
-bracketed with the rank guarantee of ``percentile_approx`` (a bounded-memory sketch
-whose answer at probability p has rank within ±n/accuracy of p·n):
-
-1. one aggregate per group: the sketch values a_i, b_i at p_i ∓ 3/accuracy, and n;
-2. one aggregate per group: c_i = #(v < a_i) exactly (conditional counts, no expansion);
-3. only rows with a_i ≤ v ≤ b_i (≈ 6n/accuracy per probability) are ranked by a
-   window per (group, probability); rank = c_i + row number;
-4. the order statistics at floor/ceil of h = (n−1)p are interpolated as R's type 7.
+One path for every size:
+
+1. equal values collapse to (group, value, count), aggregated before the shuffle, so ties
+   cost one row;
+2. those rows are range-partitioned by group and value and written to the shared
+   checkpoint folder with their range number;
+3. a small table of (group, range) totals gives each range's first rank, and with it the
+   range that holds each wanted rank;
+4. only inside such ranges a running count finds the value at the rank.  A range is a
+   bounded part of the data whatever the size of its group;
+5. the order statistics at floor/ceil of h = (n−1)p are interpolated as R's type 7.
 """
 
 from __future__ import annotations
@@ -19,90 +20,41 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-SKETCH_ACCURACY = 100000
-MARGIN = 3.0 / SKETCH_ACCURACY
-# Largest group that may use Spark's exact ``percentile`` (it buffers the group's values:
-# 2M doubles ≈ 16 MB per group); larger groups use the bracket method below.
-SMALL_GROUP_ROWS = 2_000_000
-
-
-def exact_quantiles(df: DataFrame, value, probs: list[float], by: list[str] | None = None,
-                    materialize: bool = False, small_group_rows: int | None = SMALL_GROUP_ROWS) -> DataFrame:
-    """Long result (by..., prob, quantile, n) of exact type-7 quantiles of ``value``.
 
-    One small aggregate first measures the largest group. When it is at most
-    ``small_group_rows`` (a proven bound on the buffer), Spark's exact ``percentile``
-    is used directly; otherwise the bracket method, whose memory does not depend on
-    group size. ``materialize`` checkpoints the (group, value) projection once to the
-    shared checkpoint folder when its upstream is expensive (it is read three times)."""
+def exact_quantiles(df: DataFrame, value, probs: list[float], by: list[str] | None = None) -> DataFrame:
+    """Long result (by..., prob, quantile, n) of exact type-7 quantiles of ``value``; rows with a null are left out."""
     by = list(by or [])
-    probs = [float(p) for p in probs]
     v = F.col(value) if isinstance(value, str) else value
-    d = df.select(*by, v.cast("double").alias("__v")).dropna()
-    if materialize:
-        ensure_checkpoint_dir(d.sparkSession)
-        d = d.checkpoint(eager=True)
-    if small_group_rows:
-        largest = d.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).collect()[0][0] or 0
-        if largest <= small_group_rows:
-            arr = F.array(*[F.lit(p) for p in probs])
-            g = d.groupBy(*by).agg(F.percentile("__v", arr).alias("__q"), F.count(F.lit(1)).alias("n"))
-            z = F.arrays_zip(arr.alias("prob"), F.col("__q").alias("quantile"))
-            return (g.select(*by, "n", F.explode(z).alias("__z"))
-                    .select(*by, F.col("__z.prob").alias("prob"), F.col("__z.quantile").alias("quantile"), "n"))
-    k = len(probs)
-    lo_p = [max(0.0, p - MARGIN) for p in probs]
-    hi_p = [min(1.0, p + MARGIN) for p in probs]
-    sk = d.groupBy(*by).agg(F.percentile_approx("__v", lo_p + hi_p, SKETCH_ACCURACY).alias("__ab"),
-                            F.count(F.lit(1)).alias("__n"))
-    j = d.join(sk, on=by, how="inner") if by else d.crossJoin(F.broadcast(sk))
-    aggs = []
-    for i in range(k):
-        a, b = F.col("__ab")[i], F.col("__ab")[k + i]
-        aggs += [F.sum((F.col("__v") < a).cast("long")).alias(f"__c{i}"),
-                 F.sum(((F.col("__v") >= a) & (F.col("__v") <= b)).cast("long")).alias(f"__k{i}"),
-                 F.max(F.when(F.col("__v") < a, F.col("__v"))).alias(f"__below_max{i}"),
-                 F.min(F.when(F.col("__v") > b, F.col("__v"))).alias(f"__above_min{i}")]
-    below = j.groupBy(*by).agg(*aggs)
-    # rows inside any bracket, tagged with the probabilities whose bracket holds them
-    tags = F.filter(F.array(*[F.when((F.col("__v") >= F.col("__ab")[i]) & (F.col("__v") <= F.col("__ab")[k + i]),
-                                     F.lit(i)) for i in range(k)]), lambda x: x.isNotNull())
-    cand = (j.select(*by, "__v", tags.alias("__tags")).filter(F.size("__tags") > 0)
-            .select(*by, "__v", F.explode("__tags").alias("__i")))
-    wr = Window.partitionBy(*by, "__i").orderBy("__v")
-    ranked = cand.withColumn("__rn", F.row_number().over(wr))
-    # targets per (group, probability)
-    t = sk.join(below, on=by, how="inner") if by else sk.crossJoin(below)
-    t = t.select(*by, "__n", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), F.col(f"__c{i}").alias("c"), F.col(f"__k{i}").alias("k"),
-                 F.col(f"__below_max{i}").alias("bm"), F.col(f"__above_min{i}").alias("am")) for i, p in enumerate(probs)]))
-        .alias("__t"))
-    h = (F.col("__n") - 1).cast("double") * F.col("__t.p")
-    t = t.select(*by, "__n", F.col("__t.i").alias("__i"), F.col("__t.p").alias("prob"), F.col("__t.c").alias("__c"),
-                 F.col("__t.k").alias("__k"), F.col("__t.bm").alias("__bm"), F.col("__t.am").alias("__am"),
-                 h.alias("__h"), (F.floor(h).cast("long") + 1).alias("__r_lo"), (F.ceil(h).cast("long") + 1).alias("__r_hi"))
-    # local row numbers of the two order statistics inside the bracket; the ranks just
-    # outside it (c and c+k+1) are the max below / min above the bracket
-    t = t.withColumns({"__l_lo": F.col("__r_lo") - F.col("__c"), "__l_hi": F.col("__r_hi") - F.col("__c")})
-    lo = ranked.select(*by, "__i", F.col("__rn").alias("__l_lo"), F.col("__v").alias("__x_lo"))
-    hi = ranked.select(*by, "__i", F.col("__rn").alias("__l_hi"), F.col("__v").alias("__x_hi"))
-    out = (t.join(lo, on=[*by, "__i", "__l_lo"], how="left")
-           .join(hi, on=[*by, "__i", "__l_hi"], how="left"))
-
-    def pick(local, inside):
-        return (F.when(F.col(local) == 0, F.col("__bm"))
-                .when(F.col(local) == F.col("__k") + 1, F.col("__am"))
-                .otherwise(F.col(inside)))
-    x_lo, x_hi = pick("__l_lo", "__x_lo"), pick("__l_hi", "__x_hi")
-    q = x_lo + (F.col("__h") - (F.col("__r_lo") - 1)) * (x_hi - x_lo)
-    return out.select(*by, "prob", q.alias("quantile"), F.col("__n").alias("n"))
-
-
-def quantile_columns(df: DataFrame, value, probs: dict[str, float], by: list[str] | None = None,
-                     materialize: bool = False) -> DataFrame:
+    counts = df.select(*by, v.cast("double").alias("__v")).dropna().groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (counts.repartitionByRange(*by, "__v").withColumn("__part", F.spark_partition_id())
+              .checkpoint(eager=True))
+    group = by or [F.lit(0)]
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*by, "__part").agg(F.sum("__c").alias("__rows"))   # groups × ranges
+    parts = parts.withColumns({"__before": F.coalesce(F.sum("__rows").over(before), F.lit(0)),
+                               "n": F.sum("__rows").over(Window.partitionBy(*group))})
+    wanted = parts.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+    h = (F.col("n") - 1) * F.col("prob")
+    wanted = wanted.select("*", h.alias("__h"), F.explode(F.array(
+        F.struct(F.lit(0).alias("hi"), (F.floor(h) + 1).alias("rank")),
+        F.struct(F.lit(1).alias("hi"), (F.ceil(h) + 1).alias("rank")))).alias("__t"))
+    wanted = wanted.filter((F.col("__t.rank") > F.col("__before")) & (F.col("__t.rank") <= F.col("__before") + F.col("__rows")))
+    upto = F.sum("__c").over(Window.partitionBy(*by, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    running = ranged.withColumn("__upto", upto)
+    local = F.col("__t.rank") - F.col("__before")
+    found = running.join(wanted, [*by, "__part"]).filter((local <= F.col("__upto")) & (local > F.col("__upto") - F.col("__c")))
+    ends = found.groupBy(*by, "prob").agg(
+        F.max("n").alias("n"), F.max("__h").alias("__h"),
+        F.max(F.when(F.col("__t.hi") == 0, F.col("__v"))).alias("__lo"), F.max(F.when(F.col("__t.hi") == 1, F.col("__v"))).alias("__hi"))
+    q = F.col("__lo") + (F.col("__h") - F.floor("__h")) * (F.col("__hi") - F.col("__lo"))
+    return ends.select(*by, "prob", q.alias("quantile"), "n")
+
+
+def quantile_columns(df: DataFrame, value, probs: dict[str, float], by: list[str] | None = None) -> DataFrame:
     """Wide form: one column per named probability, plus n."""
     by = list(by or [])
-    long = exact_quantiles(df, value, list(probs.values()), by, materialize)
+    long = exact_quantiles(df, value, list(probs.values()), by)
     aggs = [F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(name)
             for name, p in probs.items()]
     return long.groupBy(*by).agg(*aggs, F.max("n").alias("n"))

@@ -209,7 +209,11 @@ def class_proportions(df: DataFrame, cols: list[str]) -> DataFrame:
     return t.withColumn("percent", F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def panel_rate(df: DataFrame, panel: str, key: list[str], value: str) -> DataFrame:
-    """Sum a rate per (panel, key) and scale by the panel maximum."""
-    t = df.groupBy(panel, *key).agg(F.sum(value).alias("rate"))
-    return t.withColumn("scaled", F.col("rate") / F.max("rate").over(Window.partitionBy(panel)))
+def panel_rate(df: DataFrame, panel: str, key: list[str], catch: str, hours: str = "hrs") -> DataFrame:
+    """Each shot's catch per hour, and its share of the largest rate in its panel.
+
+    The maximum is aggregated and joined back, so a panel of any size is no single task's window."""
+    t = df.filter(F.col(hours) > 0).select(panel, *key, (F.col(catch) / F.col(hours)).alias("rate"))
+    top = t.groupBy(F.col(panel).alias("__panel")).agg(F.max("rate").alias("__top"))
+    return (t.join(top, F.col(panel).eqNullSafe(F.col("__panel")))
+            .withColumn("scaled", F.col("rate") / F.col("__top")).drop("__panel", "__top"))

@@ -41,7 +41,7 @@ def q_nominal_cpue(spark, sf_dir):
 # --------------------------------------------------------------------------- base frames
 from ..functions import classes as C  # noqa: E402
 from ..functions import numeric as N  # noqa: E402
-from ..operators import bins, clean, derive, describe, enrich, spatial, summarise  # noqa: E402
+from ..operators import bins, clean, derive, describe, enrich, quantiles, spatial, summarise  # noqa: E402
 from ..sources import tables  # noqa: E402
 
 SPECIES = ["narrow", "green"]
@@ -63,6 +63,11 @@ def _model_frame(spark, d):
     return clean.max_effort(derive.with_classes(k, hour=None))
 
 
+def _fit_frame(spark, d):
+    """The shots that models are fitted to: depth imputed and cut, vessels with tenure, class columns."""
+    return derive.with_classes(index_plan.model_frame(spark, d), hour=None)
+
+
 # --------------------------------------------------------------------------- step 1
 @query("climatology")
 def q_climatology(spark, d):
@@ -283,9 +288,9 @@ def q_modal_profile(spark, d):
 
 @query("panel_rate")
 def q_panel_rate(spark, d):
-    """Narrow catch rate per year × month scaled by the year's maximum."""
-    k = _known(spark, d).withColumn("cpue", F.col("narrow") / F.col("hrs"))
-    return summarise.panel_rate(k, "yr", ["mn"], "cpue")
+    """Each shot's landings per hour trawled, scaled by the largest rate of its year."""
+    k = _known(spark, d).withColumn("landings_t", F.col("total_catch") / F.lit(1000.0))
+    return summarise.panel_rate(k, "yr", ["shot_id", "slong", "slat"], "landings_t")
 
 
 @query("grid_wide")
@@ -393,7 +398,7 @@ def q_gam_coefficients(spark, d):
 @query("overdispersion")
 def q_overdispersion(spark, d):
     """G3 + G5: Poisson GAM per species, then the dispersion estimate α (rows-only)."""
-    m = index_plan.model_frame(spark, d, impute_depth=False).checkpoint(eager=True)
+    m = index_plan.model_frame(spark, d).checkpoint(eager=True)
     long = index_plan.long_frame(m)
     terms = [gam_mod.Smooth("mn", 12, cyclic=True), gam_mod.Linear("hrs"), gam_mod.Factor("yrs"),
              gam_mod.Smooth("lon", 10)]
@@ -510,7 +515,7 @@ def q_model_comparison(spark, d):
 @query("glm_anova")
 def q_glm_anova(spark, d):
     """G1 + M13: binomial logit GLM with sequential analysis of deviance (rows-only)."""
-    m = derive.with_classes(_model_frame(spark, d), hour=None).withColumn(
+    m = _fit_frame(spark, d).withColumn(
         "label", (F.col("narrow") > 0).cast("double")).withColumn("yrs", F.col("yr").cast("string"))
     terms = [("yrs", "factor"), ("season", "factor"), ("vessel", "factor"), ("lon", "numeric"), ("hrs", "numeric")]
     return spark.createDataFrame(glm_mod.sequential_anova(m, "label", terms, "binomial", "logit"))
@@ -518,20 +523,30 @@ def q_glm_anova(spark, d):
 
 @query("marginal_effects")
 def q_marginal_effects(spark, d):
-    """E1 + Q9 + M1: season × effort marginal effect of a presence GAM at the modal profile (rows-only)."""
-    m = derive.with_classes(_model_frame(spark, d), hour=None).withColumn(
-        "label", (F.col("narrow") > 0).cast("double"))
-    fit = gam_mod.fit_gam(m, "label", [gam_mod.Factor("season"), gam_mod.Linear("hrs"), gam_mod.Smooth("lon", 10)],
-                          family="binomial", link="logit")[0]
-    grid = effects.prediction_grid(m, {"season": None, "hrs": 0.5}, ["season"], ["hrs", "lon"], "modal")
-    pred = gam_mod.predict_frame({None: fit}, grid, None, "eta", "se")
-    return effects.response_band(pred, "logit").select("term", "x", "season", "hrs", "fit", "low", "up")
+    """E1 + Q9: season × effort effect on presence per species: effort in 0.1 h steps from its
+    minimum to its 90th percentile, year and vessel at their modal level, longitude and depth
+    at their mean (rows-only)."""
+    m = _fit_frame(spark, d).checkpoint(eager=True)
+    keep = ["shot_id", "yrs", "season", "vessel", "lon", "depth", "hrs"]
+    long = m.select(*keep, *SPECIES).unpivot(keep, SPECIES, "species", "k").withColumn("p", (F.col("k") > 0).cast("double"))
+    fits = gam_mod.fit_gam(long, "p", [gam_mod.Factor("yrs"), gam_mod.Factor("season"), gam_mod.Factor("vessel"),
+                                       gam_mod.Linear("lon"), gam_mod.Linear("depth"), gam_mod.Linear("hrs")],
+                           family="binomial", link="logit", group="species")
+    top = quantiles.exact_quantiles(m, "hrs", [0.9]).select(F.round("quantile", 1).alias("top"))
+    span = m.agg(F.round(F.min("hrs"), 1).alias("low")).crossJoin(top)        # one row each
+    steps = span.select(F.explode(F.sequence(F.lit(0), F.round((F.col("top") - F.col("low")) * 10).cast("int"))).alias("k"), "low")
+    effort = steps.select(F.round(F.col("low") + F.col("k") / 10, 1).alias("hrs"))
+    ref = effects.reference_row(m, ["yrs", "vessel"], ["lon", "depth"], "modal")
+    grid = (m.select("season").dropna().distinct().crossJoin(effort).crossJoin(ref)
+            .withColumn("species", F.explode(F.array(*[F.lit(f.group) for f in fits]))))
+    pred = gam_mod.predict_frame({f.group: f for f in fits}, grid, "species", "eta", "se")
+    return effects.response_band(pred, "logit").select("species", "season", "hrs", "fit", "low", "up")
 
 
 @query("partial_dependence")
 def q_partial_dependence(spark, d):
     """E6 + E3: partial dependence of presence on effort, centred on the link scale (rows-only)."""
-    m = _model_frame(spark, d).withColumn("label", (F.col("narrow") > 0).cast("double"))
+    m = _fit_frame(spark, d).withColumn("label", (F.col("narrow") > 0).cast("double"))
     fit = gam_mod.fit_gam(m, "label", [gam_mod.Linear("hrs"), gam_mod.Smooth("lon", 10)],
                           family="binomial", link="logit")[0]
     pd_ = effects.partial_dependence(m.select("hrs", "lon"), fit, "hrs", 20)
@@ -548,13 +563,13 @@ from ..sources import files, logbook  # noqa: E402
 
 @query("shot_log_roundtrip")
 def q_shot_log_roundtrip(spark, d):
-    """S1 + S4 + P1-P7 + F1-F3 + A1: shots written as the raw CSV log, read back with the
+    """S1 + S4 + P1-P7 + F1, F3 + A1: shots written as the raw CSV log, read back with the
     explicit schema, parsed and cleaned, then nominal CPUE (same numbers as the flagship)."""
     path = scratch_path(spark, f"shot_log_{_uuid.uuid4().hex}")
     logbook.write_shot_log_csv(tables.shots(spark, d), path)
     raw = files.read_shots(spark, path)
     s = derive.recode(derive.standardise_log(raw), "lfb", derive.LFB_RECODE)
-    s = clean.year_window(clean.exclude_ids(s), "yr", 1994, 2001)
+    s = clean.year_window(s, "yr", 1994, 2001)
     s = clean.known_vessel(clean.min_effort(s))
     return summarise.nominal_cpue(s)
 
@@ -613,7 +628,7 @@ def q_cv_resample_summary(spark, d):
 def q_negbin_gam(spark, d):
     """Negative-binomial GAM per species with θ by moments (rows-only)."""
     import pandas as pd
-    m = index_plan.model_frame(spark, d, impute_depth=False).checkpoint(eager=True)
+    m = index_plan.model_frame(spark, d).checkpoint(eager=True)
     long = index_plan.long_frame(m)
     terms = [gam_mod.Smooth("mn", 12, cyclic=True), gam_mod.Linear("hrs"), gam_mod.Factor("yrs"),
              gam_mod.Smooth("lon", 10)]
@@ -655,7 +670,7 @@ def q_cv_glm(spark, d):
 def q_hurdle_glm(spark, d):
     """Hurdle Poisson GLM per species (logit presence on linear terms + truncated Poisson) (rows-only)."""
     import pandas as pd
-    m = index_plan.model_frame(spark, d, impute_depth=False).checkpoint(eager=True)
+    m = index_plan.model_frame(spark, d).checkpoint(eager=True)
     long = index_plan.long_frame(m)
     fits = zeroinfl.fit_hurdle_poisson(long, "n", [gam_mod.Linear("hrs"), gam_mod.Linear("lon"),
                                                    gam_mod.Factor("yrs")], group="species", link="logit")
@@ -673,23 +688,36 @@ def q_hurdle_glm(spark, d):
 @query("year_index_glm")
 def q_year_index_glm(spark, d):
     """E5: year index from a categorical presence GLM (inverse logit of intercept + year
-    effect + mean of the other factor effects), per species (rows-only)."""
-    m = derive.with_classes(index_plan.model_frame(spark, d, impute_depth=False), hour=None)
+    effect + sum over the other factors of their mean effect), per species (rows-only; the
+    arithmetic is oracle-checked by ``year_index_effects``)."""
+    m = derive.with_classes(index_plan.model_frame(spark, d), hour=None)
     long = m.select("shot_id", "yrs", "season", "vessel", *index_plan.SPECIES).unpivot(
         ["shot_id", "yrs", "season", "vessel"], index_plan.SPECIES, "species", "n").withColumn(
         "p", (F.col("n") > 0).cast("double"))
     fits = gam_mod.fit_gam(long, "p", [gam_mod.Factor("yrs"), gam_mod.Factor("season"), gam_mod.Factor("vessel")],
                            family="binomial", link="logit", group="species")
-    import pandas as pd
-    parts = []
+    rows = []
     for f in fits:
-        c = f.coefficients()[["term", "estimate"]]
-        base_level = next(t for t in f.design.terms if getattr(t, "col", None) == "yrs").levels[0]
-        c = pd.concat([c, pd.DataFrame([{"term": f"yrs{base_level}", "estimate": 0.0}])], ignore_index=True)
-        idx = glm_mod.categorical_year_index(spark.createDataFrame(c), "yrs").withColumn("species", F.lit(f.group))
-        parts.append(idx)
-    from functools import reduce
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        c = dict(f.coefficients()[["term", "estimate"]].itertuples(index=False))
+        rows.append((f.group, "(Intercept)", "", float(c["(Intercept)"])))
+        rows += [(f.group, t.col, lv, float(c.get(f"{t.col}{lv}", 0.0))) for t in f.design.terms for lv in t.levels]
+    effects_ = spark.createDataFrame(rows, "species string, factor string, level string, estimate double")
+    return glm_mod.categorical_year_index(effects_, "yrs", ["species"])
+
+
+@query("year_index_effects")
+def q_year_index_effects(spark, d):
+    """E5's arithmetic on effects read off the shots: log odds of narrow presence overall, and
+    each year's, season's and vessel's difference from its factor's first level."""
+    k = derive.with_classes(_known(spark, d), hour=None).withColumn("yrs", F.col("yr").cast("string"))
+    pos = F.sum((F.col("narrow") > 0).cast("long"))
+    odds = F.log((pos + 0.5) / (F.count("narrow") - pos + 0.5))
+    levels = (k.select("narrow", F.explode(F.create_map(*[x for f in ("yrs", "season", "vessel") for x in (F.lit(f), F.col(f))]))
+                       .alias("factor", "level")).dropna().groupBy("factor", "level").agg(odds.alias("odds")))
+    first = levels.groupBy("factor").agg(F.min_by("odds", "level").alias("base"))
+    diff = levels.join(first, "factor").select("factor", "level", (F.col("odds") - F.col("base")).alias("estimate"))
+    base = k.agg(odds.alias("estimate")).select(F.lit("(Intercept)").alias("factor"), F.lit("").alias("level"), "estimate")
+    return glm_mod.categorical_year_index(diff.unionByName(base), "yrs")
 
 
 # --------------------------------------------------------------------------- step 8: remaining learners
@@ -701,7 +729,7 @@ def q_firth_glm(spark, d):
     """Bias-reduced (Firth) logistic presence model per species: year + vessel factors,
     finite even for vessels without any presence (rows-only)."""
     import pandas as pd
-    m = index_plan.model_frame(spark, d, impute_depth=False)
+    m = index_plan.model_frame(spark, d)
     long = m.select("shot_id", "yrs", "vessel", "hrs", *index_plan.SPECIES).unpivot(
         ["shot_id", "yrs", "vessel", "hrs"], index_plan.SPECIES, "species", "n").withColumn(
         "p", (F.col("n") > 0).cast("double"))
@@ -745,7 +773,7 @@ from ..models import mixed  # noqa: E402
 
 
 def _lmm_frame(spark, d):
-    m = derive.with_classes(index_plan.model_frame(spark, d, impute_depth=False), hour=None)
+    m = derive.with_classes(index_plan.model_frame(spark, d), hour=None)
     pos_cap = m.filter((F.col("narrow") + F.col("green")) > 0).agg(F.max("hrs").alias("__cap"))
     m = m.crossJoin(F.broadcast(pos_cap)).filter(F.col("hrs") <= F.col("__cap")).drop("__cap")
     return m.withColumn("presence", (F.col("narrow") > 0).cast("double"))
@@ -786,7 +814,7 @@ def q_lmm_effects(spark, d):
 def q_emmeans_season(spark, d):
     """Estimated marginal means of presence by season from a binomial GLM on the
     response scale (rows-only)."""
-    m = derive.with_classes(_model_frame(spark, d), hour=None).withColumn(
+    m = _fit_frame(spark, d).withColumn(
         "label", (F.col("narrow") > 0).cast("double")).withColumn("yrs", F.col("yr").cast("string"))
     fit = gam_mod.fit_gam(m, "label", [gam_mod.Factor("season"), gam_mod.Factor("yrs"), gam_mod.Linear("hrs"),
                                        gam_mod.Linear("lon")], family="binomial", link="logit")[0]
@@ -801,7 +829,7 @@ from ..models import zip_mixture  # noqa: E402
 def q_zip_glm(spark, d):
     """Zero-inflated Poisson GLM per species, count ~ year factor | zero ~ month (rows-only)."""
     import pandas as pd
-    m = index_plan.model_frame(spark, d, impute_depth=False)
+    m = index_plan.model_frame(spark, d)
     long = index_plan.long_frame(m)
     fits = zip_mixture.fit_zip(long, "n", [gam_mod.Factor("yrs")], [gam_mod.Linear("mn")], group="species")
     frames = []
@@ -821,7 +849,7 @@ from ..operators import smote as smote_op  # noqa: E402
 def q_smote_balance(spark, d):
     """Q6: SMOTE (perc.over 100, perc.under 200, k 5) of narrow presence on the model
     frame; class sizes and feature means of the balanced data (rows-only)."""
-    m = derive.with_classes(index_plan.model_frame(spark, d, impute_depth=False), hour=None)
+    m = derive.with_classes(index_plan.model_frame(spark, d), hour=None)
     m = m.select("shot_id", "yrs", "season", "vessel", "hrs", "lat", "lon", "depth", "mn",
                  F.col("narrow").cast("double").alias("n"), (F.col("narrow") > 0).cast("int").alias("presence"))
     out = smote_op.smote(m, "presence", "shot_id", ["n", "hrs", "lat", "lon", "depth", "mn"],
@@ -857,7 +885,7 @@ def q_interactions_by_hour(spark, d):
 def q_coefficients_wide(spark, d):
     """U2 + P23 + P25: presence-GLM coefficients bound by term across species (one column
     per species), with odds ratios and p-value text (rows-only)."""
-    m = derive.with_classes(_model_frame(spark, d), hour=None).withColumn("yrs", F.col("yr").cast("string"))
+    m = _fit_frame(spark, d).withColumn("yrs", F.col("yr").cast("string"))
     long = m.select("shot_id", "yrs", "season", "hrs", *SPECIES).unpivot(
         ["shot_id", "yrs", "season", "hrs"], SPECIES, "species", "n").withColumn("p", (F.col("n") > 0).cast("double"))
     fits = gam_mod.fit_gam(long, "p", [gam_mod.Factor("yrs"), gam_mod.Factor("season"), gam_mod.Linear("hrs")],

@@ -29,11 +29,10 @@ def presence_terms():
             gam.Smooth("lon", 10), gam.Factor("vessel")]
 
 
-def model_frame(spark: SparkSession, sf_dir: str, impute_depth: bool = True) -> DataFrame:
+def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = clean.known_vessel(flagship.prepared_shots(spark, sf_dir))
     s = derive.normalise_vessel(s, "vessel", ADAPTER_VESSEL_ALIASES)
-    if impute_depth:
-        s = impute.impute_bagged(s, "depth", ["shot_id", "slat", "slong"])
+    s = impute.impute_bagged(s, "depth", ["shot_id", "slat", "slong"])
     s = clean.max_effort(s)
     s = clean.depth_cut(s)
     s = clean.vessel_tenure(s, "vessel", "yr")

@@ -333,8 +333,23 @@ register("modal_profile", _PROFILE.format(cte=MODEL_CTE, o="DESC", **_cnts))
 
 register("panel_rate", f"""
 WITH {KNOWN_CTE},
-t AS (SELECT yr, mn, SUM(narrow/hrs) AS rate FROM known GROUP BY yr, mn)
-SELECT yr, mn, ROUND(rate,6) AS rate, ROUND(rate / MAX(rate) OVER (PARTITION BY yr),6) AS scaled FROM t""")
+t AS (SELECT yr, shot_id, slong, slat, total_catch/1000.0E0/hrs AS rate FROM known WHERE hrs > 0)
+SELECT yr, shot_id, ROUND(slong,6) AS slong, ROUND(slat,6) AS slat, ROUND(rate,6) AS rate,
+  ROUND(rate / MAX(rate) OVER (PARTITION BY yr),6) AS scaled FROM t""")
+
+_ODDS = "ln((SUM(CASE WHEN narrow>0 THEN 1 ELSE 0 END)+0.5E0)/(COUNT(narrow)-SUM(CASE WHEN narrow>0 THEN 1 ELSE 0 END)+0.5E0))"
+register("year_index_effects", f"""
+WITH {KNOWN_CTE},
+k AS (SELECT narrow, CAST(yr AS VARCHAR) AS yrs, vessel,
+      CASE WHEN mn BETWEEN 3 AND 8 THEN 'AuWin' WHEN mn IS NOT NULL THEN 'SprSu' END AS season FROM known),
+l AS (SELECT narrow, 'yrs' AS factor, yrs AS level FROM k UNION ALL SELECT narrow, 'season', season FROM k
+      UNION ALL SELECT narrow, 'vessel', vessel FROM k),
+g AS (SELECT factor, level, {_ODDS} AS odds FROM l WHERE narrow IS NOT NULL AND level IS NOT NULL GROUP BY factor, level),
+b AS (SELECT factor, min_by(odds, level) AS base FROM g GROUP BY factor),
+e AS (SELECT factor, level, odds - base AS estimate FROM g JOIN b USING (factor)),
+f AS (SELECT SUM(m) AS fixed FROM (SELECT AVG(estimate) AS m FROM e WHERE factor <> 'yrs' GROUP BY factor)),
+i AS (SELECT {_ODDS} AS icpt FROM k)
+SELECT level AS term, ROUND(1.0E0/(1.0E0+exp(-(icpt + estimate + fixed))), 6) AS "index" FROM e, f, i WHERE factor = 'yrs'""")
 
 register("grid_wide", f"""
 WITH {KNOWN_CTE},

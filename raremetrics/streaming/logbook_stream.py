@@ -27,9 +27,13 @@ def shot_log_stream(spark: SparkSession, folder: str, max_files_per_trigger: int
             .option("maxFilesPerTrigger", max_files_per_trigger).csv(folder))
 
 
-def cpue_state(raw: DataFrame, scaler: float = 1000.0) -> DataFrame:
-    """Per (species, year): n, mean and sample sd of cleaned shots' cpue (batch or stream)."""
-    s = clean.known_vessel(clean.min_effort(clean.exclude_ids(derive.standardise_log(raw))))
+def cpue_state(raw: DataFrame, scaler: float = 1000.0, rules: DataFrame | None = None) -> DataFrame:
+    """Per (species, year): n, mean and sample sd of cleaned shots' cpue (batch or stream).
+
+    Shots in the exclusion table ``rules`` are left out; without one, none are."""
+    s = derive.standardise_log(raw)
+    s = clean.exclude_ids(s, "shot_id", rules) if rules is not None else s
+    s = clean.known_vessel(clean.min_effort(s))
     long = s.select("yr", "hrs", *derive.SPECIES).unpivot(["yr", "hrs"], list(derive.SPECIES), "species", "__n")
     c = F.lit(float(scaler)) * F.col("__n") / F.col("hrs")
     return (long.select("species", "yr", c.alias("cpue")).groupBy("species", "yr")

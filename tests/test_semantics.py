@@ -12,10 +12,10 @@ from raremetrics.operators import bins, clean, derive, enrich, summarise
 
 def test_t2_exclusion_keeps_null_ids(spark):
     df = spark.createDataFrame([(1,), (124586,), (None,)], "shot_id long")
-    out = {r[0] for r in clean.exclude_ids(df).collect()}
+    out = {r[0] for r in clean.exclude_ids(df, "shot_id", clean.excluded_shots(spark)).collect()}
     assert out == {1, None}
     rules = spark.createDataFrame([(1,)], "id long")
-    assert {r[0] for r in clean.exclude_ids(df, ids=rules).collect()} == {124586, None}
+    assert {r[0] for r in clean.exclude_ids(df, "shot_id", rules).collect()} == {124586, None}
 
 
 def test_t3_annual_totals_drop_rows_with_any_null(spark):

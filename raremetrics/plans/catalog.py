@@ -290,7 +290,7 @@ def q_modal_profile(spark, d):
 def q_panel_rate(spark, d):
     """Each shot's landings per hour trawled, scaled by the largest rate of its year."""
     k = _known(spark, d).withColumn("landings_t", F.col("total_catch") / F.lit(1000.0))
-    return summarise.panel_rate(k, "yr", ["shot_id", "slong", "slat"], "landings_t")
+    return summarise.panel_rate(k, "yr", ["shot_id", "slong", "slat"], "landings_t").drop("rate")
 
 
 @query("grid_wide")

@@ -334,7 +334,7 @@ register("modal_profile", _PROFILE.format(cte=MODEL_CTE, o="DESC", **_cnts))
 register("panel_rate", f"""
 WITH {KNOWN_CTE},
 t AS (SELECT yr, shot_id, slong, slat, total_catch/1000.0E0/hrs AS rate FROM known WHERE hrs > 0)
-SELECT yr, shot_id, ROUND(slong,6) AS slong, ROUND(slat,6) AS slat, ROUND(rate,6) AS rate,
+SELECT yr, shot_id, ROUND(slong,6) AS slong, ROUND(slat,6) AS slat,
   ROUND(rate / MAX(rate) OVER (PARTITION BY yr),6) AS scaled FROM t""")
 
 _ODDS = "ln((SUM(CASE WHEN narrow>0 THEN 1 ELSE 0 END)+0.5E0)/(COUNT(narrow)-SUM(CASE WHEN narrow>0 THEN 1 ELSE 0 END)+0.5E0))"

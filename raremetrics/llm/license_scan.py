@@ -214,7 +214,7 @@ def train(docs: DataFrame, negatives: int = NEGATIVES) -> dict:
                 lines = lines[:: max(1, len(lines) // 4)][:4]  # spread over the text
                 found += [(doc, k, x) for k, x in enumerate(lines)
                           if not resembles(pairs(x))]
-        yield pa.RecordBatch.from_pylist([fit([x for _, _, x in sorted(found)])])
+        yield pa.RecordBatch.from_pylist([fit([x for _, _, x in sorted(found, key=lambda f: (f[0] is None, f[0] or 0, *f[1:]))])])
 
     model = sample.repartition(1).mapInArrow(run, "feature array<long>, weight array<double>, bias array<double>, heat double").first() or fit([])
     return {"feature": np.array(model["feature"], np.int64), "bias": np.array(model["bias"]), "heat": model["heat"],

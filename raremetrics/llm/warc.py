@@ -35,6 +35,8 @@ from raremetrics.llm import common
 REVISIT_BYTES = 100
 PACKAGE_BYTES = 256 << 20
 RUN_BYTES = 1 << 20
+STRETCH_BYTES = 16 << 20  # of a package, read in order by one task
+TASK_BYTES = 128 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _TAIL = 65_557  # end record with the longest comment
 
@@ -256,10 +258,21 @@ def record_places(found: DataFrame) -> DataFrame:
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def read_records(places: DataFrame, payload: bool = True) -> DataFrame:
-    """The records at the given places, read in runs of neighbours."""
+def read_tasks(manifest: DataFrame) -> int:
+    """Tasks for reading the packages: one per ``TASK_BYTES``, from the sizes in the manifest."""
+    total = manifest.agg(F.sum("bytes")).first()[0] or 0
+    return max(manifest.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+
+
+def read_records(places: DataFrame, payload: bool = True, tasks: int | None = None) -> DataFrame:
+    """The records at the given places, read in runs of neighbours.
+
+    A place is a few bytes and stands for a record, so without ``tasks`` adaptive execution
+    would put the places of many packages into one task.
+    """
     # rows of one stretch of a package go together, in order
-    runs = places.repartition("package", F.floor(F.col("offset") / (64 * RUN_BYTES))).sortWithinPartitions("package", "offset")
+    keys = ["package", F.floor(F.col("offset") / STRETCH_BYTES)]
+    runs = places.repartition(*([tasks] if tasks else []), *keys).sortWithinPartitions("package", "offset")
     fields = [f for f in RECORD.split(", ") if payload or not f.startswith("payload binary")]
     names = [f.split()[0] for f in fields]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -296,7 +309,7 @@ def read_records(places: DataFrame, payload: bool = True) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     manifest = write_packages(with_revisits(pages), common.shared_path(spark, "warc"))
-    return read_records(record_places(members(manifest)), payload=False)
+    return read_records(record_places(members(manifest)), payload=False, tasks=read_tasks(manifest))
 
 
 OP7_SQL = """

@@ -304,7 +304,7 @@ def encoded(docs: DataFrame, columns: dict[str, pa.DataType], finish, path: str
                 arrays += finish(e, *e.texts(buf, off))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *columns])
 
-    return docs.select(*carried, "text").mapInArrow(run, schema)
+    return docs.select(*carried, "text").transform(common.in_tasks, run, schema)
 
 
 def bpe_encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -328,7 +328,7 @@ def bpe_decode(encoded_docs: DataFrame, path: str | None = None, joined: bool =
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in carried]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.string())], names=[*carried, "text"])
 
-    return encoded_docs.select(*carried, "ids").mapInArrow(run, encoded_docs.select(*carried).schema.add("text", "string"))
+    return encoded_docs.select(*carried, "ids").transform(common.in_tasks, run, encoded_docs.select(*carried).schema.add("text", "string"))
 
 
 def _digests(e: Encoder, ids: np.ndarray, first: np.ndarray) -> list[pa.Array]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raremetrics.session import ensure_checkpoint_dir
+from raremetrics.session import ensure_checkpoint_dir, ship_package
 
 #: Text bytes handled by one vectorised step; a longer text is one step of its own.
 CHUNK_BYTES = 1 << 20
@@ -35,6 +35,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_tasks(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``run`` over the Arrow batches of each partition, on workers that have this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -186,7 +186,7 @@ def described(docs: DataFrame) -> DataFrame:
                     [batch.column(0).slice(lo, n), pa.array(np.bincount(own, minlength=n)), pa.array(key1), pa.array(key2),
                      pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "n_shingles", "key1", "key2", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, signature binary")
+    return docs.select("doc_id", "text").transform(common.in_tasks, run, "doc_id long, n_shingles long, key1 long, key2 long, signature binary")
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
             flat = pa.array(np.ascontiguousarray(h).view(np.int64).ravel())
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), flat], names=["node", "bucket"])
 
-    buckets = classes.select("node", "signature").mapInArrow(banded, "node long, bucket long")
+    buckets = classes.select("node", "signature").transform(common.in_tasks, banded, "node long, bucket long")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     # read from a written table, the small side lets the adaptive join split a hot bucket
     members = common.materialise(buckets.join(common.materialise(shared, "jaccard-shared"), "bucket"), "jaccard-buckets")
@@ -223,7 +223,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["u", "v"])
 
-    return rows.select("bucket", "lo", "hi", "block", "node", "signature").mapInArrow(compare, "u long, v long").distinct()
+    return rows.select("bucket", "lo", "hi", "block", "node", "signature").transform(common.in_tasks, compare, "u long, v long").distinct()
 
 
 def linked(sets: list[np.ndarray], left_right: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +268,7 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
                 cols = [batch.column(i).slice(lo, hi - lo).take(pa.array(same)) for i in range(4)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array([h[at[i]:at[i + 1]].tobytes() for i in same], pa.binary())], names=names)
 
-    sets = texts.mapInArrow(exact, "label long, node long, copies long, size long, shingles binary")
+    sets = texts.transform(common.in_tasks, exact, "label long, node long, copies long, size long, shingles binary")
     rows = block_pairs(sets, "label").repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi", "node")
 
     def verify(batches):
@@ -283,7 +283,7 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
             root = node[roots(len(node), left, right)]
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(links.astype(np.int64))], names=["node", "root", "links"])
 
-    return rows.select("label", "lo", "hi", "block", "node", "copies", "shingles").mapInArrow(verify, "node long, root long, links long")
+    return rows.select("label", "lo", "hi", "block", "node", "copies", "shingles").transform(common.in_tasks, verify, "node long, root long, links long")
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

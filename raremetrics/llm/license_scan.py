@@ -216,7 +216,7 @@ def train(docs: DataFrame, negatives: int = NEGATIVES) -> dict:
                           if not resembles(pairs(x))]
         yield pa.RecordBatch.from_pylist([fit([x for _, _, x in sorted(found, key=lambda f: (f[0] is None, f[0] or 0, *f[1:]))])])
 
-    model = sample.repartition(1).mapInArrow(run, "feature array<long>, weight array<double>, bias array<double>, heat double").first() or fit([])
+    model = sample.repartition(1).transform(common.in_tasks, run, "feature array<long>, weight array<double>, bias array<double>, heat double").first() or fit([])
     return {"feature": np.array(model["feature"], np.int64), "bias": np.array(model["bias"]), "heat": model["heat"],
             "weight": np.array(model["weight"]).reshape(-1, len(CLASSES))}
 
@@ -265,7 +265,7 @@ def license_scan(docs: DataFrame, model: dict) -> DataFrame:
                            pa.array([",".join(sorted({x[1] for x in h})) for h in hits], pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *names])
 
-    return docs.select(*carried, "text").mapInArrow(run, schema)
+    return docs.select(*carried, "text").transform(common.in_tasks, run, schema)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

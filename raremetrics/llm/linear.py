@@ -100,7 +100,7 @@ def fit_once(sample: DataFrame, extract, fit) -> dict:
 
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    found = sample.repartition(1).mapInArrow(run, from_arrow_schema(MODEL)).first()
+    found = sample.repartition(1).transform(common.in_tasks, run, from_arrow_schema(MODEL)).first()
     if found is None:  # no partition at all
         return {"feature": np.zeros(0, np.int64), "value": np.zeros(0), "bias": 0.0, "slope": 0.0, "offset": float(np.log(1e-9))}
     return {"feature": np.array(found["feature"], np.int64), "value": np.array(found["value"]),
@@ -128,4 +128,4 @@ def score(docs: DataFrame, model: dict, dims: int, present, text: bool = False)
                 arrays.append(pa.array(sigmoid(model["slope"] * margin + model["offset"])))
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carried, "score"])
 
-    return docs.select(*carried, *([] if text else ["text"])).mapInArrow(run, schema)
+    return docs.select(*carried, *([] if text else ["text"])).transform(common.in_tasks, run, schema)

@@ -185,7 +185,7 @@ def pack(pieces: DataFrame, key: list[str], capacity: int = CAPACITY) -> DataFra
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in carried]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(sequence), pa.array(offset)], names=[*carried, "sequence_id", "offset"])
 
-    return ranked.select(*carried, "_rank").mapInArrow(run, schema)
+    return ranked.select(*carried, "_rank").transform(common.in_tasks, run, schema)
 
 
 PIECE = (("piece", "integer"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"))
@@ -216,7 +216,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
                 arrays += [pa.array([r[j] for r in out], pa.int32() if not j else pa.int64()) for j in range(4)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *names])
 
-    return docs.select(*carried, "text").mapInArrow(run, schema)
+    return docs.select(*carried, "text").transform(common.in_tasks, run, schema)
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:

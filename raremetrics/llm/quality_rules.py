@@ -86,7 +86,7 @@ def with_measures(docs: DataFrame, text: bool = False) -> DataFrame:
                 arrays += [pa.array(values[m], pa.int64()) for m in MEASURES]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *MEASURES])
 
-    measured = docs.select(*carried, *([] if text else ["text"])).mapInArrow(run, schema)
+    measured = docs.select(*carried, *([] if text else ["text"])).transform(common.in_tasks, run, schema)
     return measured.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                                | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")))
 

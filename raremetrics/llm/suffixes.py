@@ -176,7 +176,7 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(rows), batch.column(2).take(rows),
                                                   pa.array(start), pa.array(count)], names=["hash", "doc_id", "digest", "start", "n"])
 
-    return _texts(docs.select("doc_id", "text")).mapInArrow(run, "hash long, doc_id long, digest long, start long, n long")
+    return _texts(docs.select("doc_id", "text")).transform(common.in_tasks, run, "hash long, doc_id long, digest long, start long, n long")
 
 
 def segments(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
@@ -208,7 +208,7 @@ def segments(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                         col.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], schema=kinds)
 
-    return rows.mapInArrow(run, "hash long, segment binary, doc_id long, digest long, start long, n long, bytes binary")
+    return rows.transform(common.in_tasks, run, "hash long, segment binary, doc_id long, digest long, start long, n long, bytes binary")
 
 
 def sorted_units(distinct: DataFrame, length: int) -> DataFrame:
@@ -246,7 +246,7 @@ def sorted_units(distinct: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve()
 
-    return rows.mapInArrow(run, "hash long, segment binary, runs array<struct<lo: long, hi: long>>")
+    return rows.transform(common.in_tasks, run, "hash long, segment binary, runs array<struct<lo: long, hi: long>>")
 
 
 RESULT = (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"))
@@ -299,7 +299,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) ->
                 arrays += [pa.array(c, pa.int64()) for c in out[1:4]] + [pa.array(out[4], pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return rows.select(*carried, "text", "_spans").mapInArrow(cut, schema)
+    return rows.select(*carried, "text", "_spans").transform(common.in_tasks, cut, schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,7 +211,7 @@ def write_packages(rows: DataFrame, folder: str, zip64: bool = True) -> DataFram
         if writer is not None:
             yield finish()
 
-    return common.materialise(rows.mapInArrow(run, "package string, records long, bytes long"), "warc-manifest")
+    return common.materialise(rows.transform(common.in_tasks, run, "package string, records long, bytes long"), "warc-manifest")
 
 
 def members(packages: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def members(packages: DataFrame) -> DataFrame:
                                                   for m in found], schema=schema)
 
     schema = pa.schema([("package", pa.string()), ("member", pa.string()), ("method", pa.int32()), ("offset", pa.int64()), ("size", pa.int64())])
-    return packages.select("package").mapInArrow(run, "package string, member string, method int, offset long, size long")
+    return packages.select("package").transform(common.in_tasks, run, "package string, member string, method int, offset long, size long")
 
 
 def record_places(found: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def record_places(found: DataFrame) -> DataFrame:
                                                           pa.array([row["base"] + p["offset"] for p in places], pa.int64()),
                                                           pa.array([p["length"] for p in places], pa.int64())], names=["package", "offset", "length"])
 
-    return both.mapInArrow(run, "package string, offset long, length long")
+    return both.transform(common.in_tasks, run, "package string, offset long, length long")
 
 
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -303,7 +303,7 @@ def read_records(places: DataFrame, payload: bool = True, tasks: int | None = No
         if f:
             f.close()
 
-    return runs.mapInArrow(run, ", ".join(fields))
+    return runs.transform(common.in_tasks, run, ", ".join(fields))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,3 +48,19 @@ def test_cluster_without_shared_folder_is_refused():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Spark())
+
+
+PLAIN = """
+import sys
+sys.path.insert(0, {repo!r})
+import __spark_entry__
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", 2).getOrCreate()
+print("ROWS", len(__spark_entry__.queries()["chisq_pvalue"](spark, "/root/testdata/sf0.001").collect()))
+"""
+
+
+def test_plain_session_from_another_folder(tmp_path):
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", PLAIN.format(repo=REPO)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in out.stdout and int(out.stdout.split()[-1]) > 0, out.stderr[-2000:]

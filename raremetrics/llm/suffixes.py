@@ -12,11 +12,14 @@ another document or the same.  Three steps, none of which holds more than bounde
    segment that occurs twice are repeated.
 3. *Suffix arrays.*  The distinct segments of a hash are sorted by two-stage suffix
    sorting (:func:`suffix_order`), and starts whose neighbours in that order have a
-   common prefix of ``length`` bytes are repeated.  A hash with many distinct segments
-   is cut into blocks, and each pair of blocks is sorted together.
+   common prefix of ``length`` bytes are repeated.  A hash with more than ``GROUP``
+   distinct segments is split first, by where the anchor lies in the string: strings
+   with the anchor at nearly one place share a longer stretch around it, whose hash
+   parts them further.  Splits go on until a string's place is fixed and the stretch
+   is the string itself, so the work grows with the segments, not with their pairs.
 
-Strings are compared byte by byte in step 3; segments and anchors by hashes of 128 and
-64 bits.  All is judged on the input, and the covered bytes are then cut.
+Strings are compared byte by byte in step 3, or as equal segments by a 128-bit hash;
+anchors and stretches are found by hashes of 64 bits.  All is judged on the input, and the covered bytes are then cut.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` bytes keep all;
 repeated rows are copies of each other; rows that share an id are told apart by a digest
@@ -38,8 +41,10 @@ from raremetrics.llm import common, grams
 
 LENGTH = 400
 GRAM = 64
-#: Distinct segments compared at a time: a unit of work is two blocks.
-BLOCK = 256
+#: Distinct segments that one suffix array takes; more of one hash are split first.
+GROUP = 256
+#: Parts of the anchor's range of places in one split.
+SPLIT = 8
 #: Starts that one suffix array holds, about.
 STARTS = 30_000
 _PLACE = np.uint64(28)  # low bits of an anchor key: the place, for the leftmost of equal hashes
@@ -211,15 +216,61 @@ def segments(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
     return rows.transform(common.in_tasks, run, "hash long, segment binary, doc_id long, digest long, start long, n long, bytes binary")
 
 
-def sorted_units(distinct: DataFrame, length: int) -> DataFrame:
-    """(hash, segment, runs): repeated starts of each distinct segment, from suffix arrays of its hash's segments."""
-    sizes = distinct.groupBy("hash").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = (distinct.join(sizes, "hash").withColumn("block", F.pmod(F.xxhash64("segment"), blocks).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .select("hash", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "segment", "n", "bytes"))
-    rows = rows.repartition("hash", "lo", "hi").sortWithinPartitions("hash", "lo", "hi", "segment")
-    kinds = pa.schema([("hash", pa.int64()), ("segment", pa.binary()), ("runs", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))])
+def refined(rows: DataFrame, length: int, width: int) -> DataFrame:
+    """(key, hash, segment, n, bytes, parent_key, parent, shift): each segment's starts, split by the anchor's place.
+
+    Starts whose strings have the anchor at one of ``width`` neighbouring places make one
+    part.  All its strings hold ``length + 1 - width`` bytes around the anchor, and the new
+    key is the hash of those; ``shift`` is the part's first start.
+    """
+    kinds = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("segment", pa.binary()), ("n", pa.int64()), ("bytes", pa.binary()),
+                       ("parent_key", pa.int64()), ("parent", pa.binary()), ("shift", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            keys, hashes, parents, counts, data = (batch.column(i).to_pylist() for i in range(5))
+            ends = np.cumsum([len(x) for x in data])
+            lo = 0
+            while lo < len(data):
+                done = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, done + common.CHUNK_BYTES, "right")))
+                raw = b"".join(data[lo:hi])
+                off = np.concatenate([[0], ends[lo:hi] - done])
+                hashed = grams.Hashed(np.frombuffer(raw, np.uint8))
+                place = np.arange(len(raw) - GRAM + 1)
+                own = np.repeat(np.arange(hi - lo), np.diff(off))[:len(place)]
+                # no gram before the anchor has its hash, or it would be the anchor of the first start
+                hit = np.flatnonzero(hashed.of(place, place + GRAM).view(np.int64) == np.array(hashes[lo:hi], np.int64)[own])
+                anchor = hit[np.unique(own[hit], return_index=True)[1]] - off[:-1]
+                n = np.array(counts[lo:hi])
+                least, most = (anchor - n + 1) // width, anchor // width
+                row = np.repeat(np.arange(hi - lo), most - least + 1)
+                part = np.arange(len(row)) - np.searchsorted(row, row) + least[row]
+                first = np.maximum(0, anchor[row] - (part + 1) * width + 1)
+                last = np.minimum(n[row] - 1, anchor[row] - part * width)
+                around = off[row] + anchor[row] - part * width
+                key = hashed.of(around, around + length + 1 - width) + np.array(keys[lo:hi], np.int64).view(np.uint64)[row]
+                key = grams.mix(grams.mix(key) + part.astype(np.uint64)).view(np.int64)
+                cols: list[list] = [[] for _ in range(8)]
+                seen = set()
+                for i, x, a, z, at in zip(row.tolist(), key.tolist(), first.tolist(), last.tolist(), off[row].tolist(), strict=True):
+                    piece = raw[at + a:at + z + length]
+                    name = hashlib.md5(piece, usedforsecurity=False).digest()
+                    known = (x, name) in seen
+                    seen.add((x, name))
+                    for col, value in zip(cols, (x, hashes[lo + i], name, z - a + 1, None if known else piece, keys[lo + i], parents[lo + i], a), strict=True):
+                        col.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], schema=kinds)
+                lo = hi
+
+    return rows.select("key", "hash", "segment", "n", "bytes").transform(
+        common.in_tasks, run, "key long, hash long, segment binary, n long, bytes binary, parent_key long, parent binary, shift long")
+
+
+def sorted_groups(rows: DataFrame, length: int) -> DataFrame:
+    """(key, segment, runs): repeated starts of each distinct segment, from suffix arrays of its key's segments."""
+    rows = rows.select("key", "segment", "n", "bytes").repartition("key").sortWithinPartitions("key", "segment")
+    kinds = pa.schema([("key", pa.int64()), ("segment", pa.binary()), ("runs", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))])
 
     def run(batches):
         held: list[tuple] = []
@@ -227,26 +278,55 @@ def sorted_units(distinct: DataFrame, length: int) -> DataFrame:
 
         def solve():
             out = []
-            for (h, name, _, _), flags in zip(held, repeated([x[3] for x in held], [x[2] for x in held], length), strict=True):
+            for (key, name, _, _), flags in zip(held, repeated([x[3] for x in held], [x[2] for x in held], length), strict=True):
                 if flags.any():
-                    out.append({"hash": h, "segment": name, "runs": ranges(flags)})
+                    out.append({"key": key, "segment": name, "runs": ranges(flags)})
             return pa.RecordBatch.from_pylist(out, schema=kinds)
 
         for batch in batches:
-            h, lo, hi, segment, n, data = (batch.column(i).to_pylist() for i in range(6))
-            for k in range(batch.num_rows):
-                unit = h[k], lo[k], hi[k]
-                # whole units only, and no two of one hash, whose segments would meet themselves
-                if held and unit != last and (starts >= STARTS or unit[0] == last[0]):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                # whole groups only
+                if held and row[0] != last and starts >= STARTS:
                     yield solve()
                     held, starts = [], 0
-                last = unit
-                held.append((h[k], segment[k], n[k], data[k]))
-                starts += n[k]
+                last = row[0]
+                held.append(row)
+                starts += row[2]
         if held:
             yield solve()
 
-    return rows.transform(common.in_tasks, run, "hash long, segment binary, runs array<struct<lo: long, hi: long>>")
+    return rows.transform(common.in_tasks, run, f"key long, segment binary, {RUNS}")
+
+
+RUNS = "runs array<struct<lo: long, hi: long>>"
+
+
+def distinct_segments(parts: DataFrame) -> DataFrame:
+    distinct = parts.groupBy("key", "segment").agg(F.first("hash").alias("hash"), F.first("bytes", ignorenulls=True).alias("bytes"),
+                                                   F.max("n").alias("n"), F.count("*").alias("c"))
+    return common.materialise(distinct, "suffix-distinct")
+
+
+def repeated_starts(distinct: DataFrame, length: int, width: int) -> DataFrame:
+    """(key, segment, runs): the starts of each distinct segment whose string occurs twice; ``width`` places have its anchor.
+
+    Where the width is 1 a segment is one string, and a key has several by a chance
+    equality of hashes alone.
+    """
+    sizes = common.materialise(distinct.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "suffix-groups")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))).alias("runs")
+    marks = distinct.filter("c > 1").select("key", "segment", whole)
+    few = F.lit(True) if width == 1 else F.col("size") <= GROUP
+    marks = marks.unionByName(sorted_groups(distinct.join(sizes.filter(few), "key"), length))
+    large = sizes.filter(~few)
+    if not large.isEmpty():
+        width = -(-width // SPLIT)
+        parts = common.materialise(refined(distinct.join(large, "key"), length, width), "suffix-parts")
+        inner = repeated_starts(distinct_segments(parts), length, width)
+        shifted = F.transform("runs", lambda r: F.struct((r.lo + F.col("shift")).alias("lo"), (r.hi + F.col("shift")).alias("hi")))
+        back = parts.select("key", "segment", "parent_key", "parent", "shift").join(inner, ["key", "segment"])
+        marks = marks.unionByName(back.select(F.col("parent_key").alias("key"), F.col("parent").alias("segment"), shifted.alias("runs")))
+    return common.materialise(marks.groupBy("key", "segment").agg(F.flatten(F.collect_list("runs")).alias("runs")), "suffix-marks")
 
 
 RESULT = (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"))
@@ -258,11 +338,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) ->
     # read from a written table, the hashes let the adaptive join split those that very many texts share
     often = common.materialise(found.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1").select("hash"), "suffix-often")
     parts = common.materialise(segments(docs, found.join(often, "hash"), length), "suffix-segments")
-    distinct = parts.groupBy("hash", "segment").agg(F.first("bytes", ignorenulls=True).alias("bytes"), F.max("n").alias("n"), F.count("*").alias("c"))
-    distinct = common.materialise(distinct, "suffix-distinct")
-    by_order = sorted_units(distinct.select("hash", "segment", "n", "bytes"), length)
-    by_count = distinct.filter("c > 1").select("hash", "segment", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))).alias("runs"))
-    marks = by_order.unionByName(by_count).groupBy("hash", "segment").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    distinct = distinct_segments(parts.withColumn("key", F.col("hash")))
+    marks = repeated_starts(distinct, length, length - GRAM + 1).withColumnRenamed("key", "hash")
     # a segment that very many texts share is split by the adaptive join: both sides are its own rows
     spans = (parts.select("hash", "segment", "doc_id", "digest", "start").join(marks, ["hash", "segment"])
              .groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("dg"))

@@ -108,9 +108,9 @@ def brute_cut(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "block"), [(400, 256), (90, 2)])
-def test_cut_passages_equal_brute_force(spark, monkeypatch, length, block):
-    monkeypatch.setattr(suffixes, "BLOCK", block)
+@pytest.mark.parametrize(("length", "group"), [(400, 256), (400, 2), (90, 2)])
+def test_cut_passages_equal_brute_force(spark, monkeypatch, length, group):
+    monkeypatch.setattr(suffixes, "GROUP", group)
     r = random.Random(8)
     passage = " ".join(f"p{r.randrange(9999)}" for _ in range(120))
     rows = [(x[0], x[1]) for x in ODD if x[0] != 11]

@@ -1,6 +1,7 @@
 """Quality rules, classifiers and the licence scan."""
 
 import random
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -136,3 +137,47 @@ def test_license_scan(spark, odd, clashing, empty):
     assert license_scan.license_scan(clashing, model).count() == len(ODD)
     assert license_scan.license_scan(empty, model).count() == 0
     assert set(CLASHING) <= set(license_scan.license_scan(clashing, model).columns)
+
+
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "BSD": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ * 1. Redistributions of source code must retain the above copyright notice.""",
+    "Apache-2.0": """# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+import os""",
+    "GPL-3.0": """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.
+int main() { return 0; }""",
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+}
+TITLED = {"MIT License": "MIT", "The MIT License (MIT)": "MIT", "BSD 3-Clause License": "BSD",
+          "Apache License\n                           Version 2.0, January 2004\n": "Apache-2.0", "GNU GENERAL PUBLIC LICENSE\n\nVersion 3, 29 June 2007": "GPL-3.0"}
+
+
+def test_wrapped_notices_and_titles_are_found(spark, odd):
+    cases = [(f, t) for f, t in WRAPPED.items()] + [(f, t) for t, f in TITLED.items()]
+    cases += [(f, "\n".join(textwrap.wrap(t, 40))) for f, t in WRAPPED.items() if f in ("MIT", "GPL-3.0", "LGPL") and "//" not in t]
+    cases.append((None, "my card expired so\nthe license of the car was\nrenewed by the public office"))
+    docs = spark.createDataFrame([(100 + i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    model = license_scan.train(common.documents(spark, SF).select("doc_id", "text"))
+    got = {r.doc_id: r for r in license_scan.license_scan(docs, model).collect()}
+    assert [(got[100 + i].license, got[100 + i].families) for i in range(len(cases))] == [(f, f or "") for f, _ in cases]
+    assert all(got[100 + i].n_paragraphs == sum(any(c.isprintable() and c != " " for c in x) for x in t.split("\n")) for i, (_, t) in enumerate(cases))

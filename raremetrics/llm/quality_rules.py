@@ -1,6 +1,6 @@
 """Quality rules with thresholds that adapt to language and source.
 
-Each text gets a fixed set of base measures.  Five ratios of them are summarised per
+Each text gets a fixed set of base measures.  Four ratios of them are summarised per
 (language, source) by a quantile sketch with relative accuracy: a value's bucket is the
 rounded-up logarithm of the value, and a sketch is the count of each bucket.  Sketches
 merge by adding counts, so they are built with partial aggregation, cost one row per
@@ -8,7 +8,11 @@ bucket, and give the same thresholds whatever the partitioning or a task's retry
 The language's sketch is the sum of its sources' sketches; a source's quantile is pulled
 towards its language's by the number of its documents, so small sources are judged by
 their language.  A document is rejected by a ratio beyond the outer fence
-(upper quartile + ``spread`` times the interquartile range, with a least range).
+(upper quartile + ``spread`` times the interquartile range).  The range is at least that
+of ``RATIOS``, which decides where three quarters of a group have the same value.  Ratios of few
+words vary more: below ``STEADY_WORDS`` words the fence is wider by the root of
+``STEADY_WORDS`` / words.  Repeated words have the base rule alone: texts labelled as good
+reach its cutoff, so a fence below it would reject them and one above it nothing.
 
 Defined cases: a null or empty text has zero words and fails the base rule; null
 languages and sources are groups of their own; repeated rows are judged each; extra
@@ -30,9 +34,9 @@ from raremetrics.llm import common, grams
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_same_words")
 #: Ratio, least interquartile range, whether values far below are rejected too.
-RATIOS = (("symbol_ratio", 0.05, False), ("word_length", 1.0, True),
-          ("repeat_ratio", 0.05, False), ("dup_line_ratio", 0.05, False),
-          ("same_word_ratio", 0.05, False))
+RATIOS = (("symbol_ratio", 0.01, False), ("word_length", 0.1, True),
+          ("dup_line_ratio", 0.01, False), ("same_word_ratio", 0.005, False))
+STEADY_WORDS = 200
 ACCURACY = 0.01
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 20, 30, 8
 
@@ -94,7 +98,7 @@ def with_measures(docs: DataFrame, text: bool = False) -> DataFrame:
 def _ratio(name: str) -> Column:
     per = F.greatest(F.col("n_words"), F.lit(1))
     return {"symbol_ratio": F.col("n_symbols") / per, "word_length": F.col("word_chars") / per,
-            "repeat_ratio": F.col("n_repeat_words") / per, "dup_line_ratio": F.col("n_dup_lines") / per,
+            "dup_line_ratio": F.col("n_dup_lines") / per,
             "same_word_ratio": F.col("n_same_words") / per}[name]
 
 
@@ -123,7 +127,7 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, spread: float = 6.0, prior: float = 200.0) -> DataFrame:
-    """One row per (lang, source): lower and upper bound of each ratio.
+    """One row per (lang, source): lower and upper bound of each ratio, and the width of its fence.
 
     ``prior`` is the number of documents at which a source's own quartiles weigh as much
     as its language's.
@@ -137,9 +141,10 @@ def thresholds(sketch: DataFrame, spread: float = 6.0, prior: float = 200.0) ->
                        (share * F.col("q3") + (1 - share) * F.col("q3_")).alias("q3"))
     least = F.create_map(*[F.lit(x) for r, width, _ in RATIOS for x in (r, width)])[F.col("ratio")]
     width = F.lit(spread) * F.greatest(F.col("q3") - F.col("q1"), least)
-    both = both.select("lang", "source", "ratio", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
+    both = both.select("lang", "source", "ratio", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"), width.alias("width"))
     columns = []
     for r, _, two_sided in RATIOS:
+        columns.append(F.max(F.when(F.col("ratio") == r, F.col("width"))).alias(f"wid_{r}"))
         columns.append(F.max(F.when(F.col("ratio") == r, F.col("high"))).alias(f"max_{r}"))
         if two_sided:
             columns.append(F.max(F.when(F.col("ratio") == r, F.col("low"))).alias(f"min_{r}"))
@@ -148,14 +153,15 @@ def thresholds(sketch: DataFrame, spread: float = 6.0, prior: float = 200.0) ->
 
 def judged(measured: DataFrame, bounds: DataFrame) -> DataFrame:
     """``measured`` with ``kept``, by the bounds of each row's language and source."""
-    names = [c for c in bounds.columns if c not in ("lang", "source")]
+    names = [c for c in bounds.columns if c[:4] in ("min_", "max_")]
     bounds = bounds.withColumnsRenamed({c: f"rule_{c}" for c in bounds.columns})
     joined = measured.join(bounds, measured.lang.eqNullSafe(bounds.rule_lang)
                            & measured.source.eqNullSafe(bounds.rule_source), "left")
     within = F.lit(True)
+    wider = F.greatest(F.sqrt(STEADY_WORDS / F.greatest(F.col("n_words"), F.lit(1))), F.lit(1.0)) - 1
     for name in names:
-        value, bound = _ratio(name[4:]), F.col(f"rule_{name}")
-        within &= F.coalesce(value <= bound if name.startswith("max_") else value >= bound, F.lit(True))
+        value, bound, more = _ratio(name[4:]), F.col(f"rule_{name}"), wider * F.col(f"rule_wid_{name[4:]}")
+        within &= F.coalesce(value <= bound + more if name.startswith("max_") else value >= bound - more, F.lit(True))
     return joined.select(*measured.columns, (~F.col("base_failed") & within).alias("kept"))
 
 

@@ -69,6 +69,26 @@ def test_symbol_text_is_rejected_and_clean_text_kept(spark):
     assert not kept.pop(99) and all(kept.values())
 
 
+def test_fences_follow_the_groups(spark):
+    r = random.Random(5)
+    word = {"plain": lambda: "x" * r.choice((4, 5, 5, 5, 6)), "long": lambda: "x" * r.choice((2, 6, 12, 20))}
+    texts = [(g, " ".join(f"{word[g]()}{r.randrange(10**3)}" for _ in range(300))) for g in word for _ in range(400)]
+    quarter = " ".join(f"ab{i}" + ("#" if i % 4 == 0 else "xy") for i in range(300))
+    long_words = " ".join("y" * r.choice((9, 10, 11)) + str(i) for i in range(100, 400))
+    doubled = " ".join(f"abc{i} abc{i}" if i % 8 == 0 else f"abcd{i}" for i in range(100, 400))
+    rows = texts + [("plain", quarter), ("plain", long_words), ("plain", doubled), ("long", long_words)]
+    docs = spark.createDataFrame([(i, t, "en", g) for i, (g, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    kept = {x.doc_id: x.kept for x in quality_rules.quality_rules(docs, prior=0.0).collect()}
+    assert [kept.pop(i) for i in range(800, 804)] == [False, False, False, True]
+    assert all(kept.values())
+
+
+def test_documents_labelled_good_stay(spark):
+    got = quality_rules.op2_quality_rules(spark, SF)
+    good = spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1")
+    assert got.join(good, "doc_id", "left_semi").filter("NOT base_failed AND NOT kept").count() == 0
+
+
 def auc(df, label):
     p = df.toPandas()
     rank = p.score.rank()

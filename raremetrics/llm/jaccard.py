@@ -14,8 +14,9 @@ unit of work: no task holds more than two blocks, and what it emits is one row p
 
 Defined cases: a text of fewer than ``WORDS`` words has one n-gram, all its words; a
 null or empty text (or white space alone) has none and is alone; repeated rows and equal
-texts are copies and link to each other; rows with a null id are kept and named by their
-class alone; texts under one id that differ are compared each, and count as one node;
+texts are copies and link to each other; rows with a null id are compared like others, and
+classes that connect to no id are named by a hash; texts under one id that differ are
+compared each, and with extra columns their rows get the smallest class and most links;
 extra columns are carried along (those named like a result are replaced); an empty
 table gives an empty result.
 """
@@ -27,7 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raremetrics.llm import common, grams
@@ -172,8 +173,13 @@ def pairs_of(block: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarra
     return np.repeat(a, len(b)), np.tile(b, len(a))
 
 
+def _ref() -> Column:
+    """The id, or the text's hash where there is none; its texts are told apart by their keys."""
+    return F.coalesce("doc_id", F.xxhash64("text")).alias("ref")
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key1, key2, signature) of every text."""
+    """(doc_id, ref, n_shingles, key1, key2, signature) of every text; ``ref`` finds the text again."""
 
     def run(batches):
         for batch in batches:
@@ -183,10 +189,10 @@ def described(docs: DataFrame) -> DataFrame:
                 key1, key2 = set_keys(own, h, n)
                 sig = signatures(own, h, n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(np.bincount(own, minlength=n)), pa.array(key1), pa.array(key2),
-                     pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "n_shingles", "key1", "key2", "signature"])
+                    [batch.column(0).slice(lo, n), batch.column(2).slice(lo, n), pa.array(np.bincount(own, minlength=n)), pa.array(key1), pa.array(key2),
+                     pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "ref", "n_shingles", "key1", "key2", "signature"])
 
-    return docs.select("doc_id", "text").transform(common.in_tasks, run, "doc_id long, n_shingles long, key1 long, key2 long, signature binary")
+    return docs.select("doc_id", "text", _ref()).transform(common.in_tasks, run, "doc_id long, ref long, n_shingles long, key1 long, key2 long, signature binary")
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
@@ -255,7 +261,7 @@ def verified(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
     # never broadcast: the number of near copies grows with the corpus
     wanted = groups.join(sizes, "label").hint("merge")
-    texts = docs.select("doc_id", "text").join(wanted, docs.doc_id == wanted.doc).select("label", "node", "copies", "size", "key1", "key2", "text")
+    texts = docs.select("text", _ref()).join(wanted, "ref").select("label", "node", "copies", "size", "key1", "key2", "text")
 
     def exact(batches):
         names = ["label", "node", "copies", "size", "shingles"]
@@ -291,16 +297,20 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     carried = [c for c in docs.columns if c not in ("text", "class_id", "n_links")]
     rows = common.materialise(described(docs), "jaccard-texts")
     classes = (rows.filter("n_shingles > 0").groupBy("key1", "key2")
-               .agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
-               .withColumn("node", F.coalesce("doc", F.xxhash64("key1", "key2"))))
+               .agg(F.min("doc_id").alias("doc"), F.coalesce(F.min("doc_id"), F.min("ref")).alias("ref"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
+               .withColumn("node", F.xxhash64("key1", "key2")))
     classes = common.materialise(classes, "jaccard-classes")
     groups = components(candidate_edges(classes))
-    groups = groups.join(classes.select("node", "doc", "copies", "key1", "key2"), "node")
+    groups = groups.join(classes.select("node", "ref", "copies", "key1", "key2"), "node")
     found = common.materialise(verified(docs, common.materialise(groups, "jaccard-groups"), threshold), "jaccard-links")
-    label = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    label = common.materialise(components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+                               .join(classes.select("node", "doc"), "node"), "jaccard-labels")
+    # written, so that the adaptive join can split a label that very many classes share
+    least = common.materialise(label.groupBy("label").agg(F.coalesce(F.min("doc"), F.col("label")).alias("least")), "jaccard-least")
+    label = label.select("node", "label").join(least.hint("merge"), "label").select("node", F.col("least").alias("label"))
     links = found.groupBy("node").agg(F.sum("links").alias("links")).join(label, "node", "left")
-    of_class = classes.select("key1", "key2", "node", "copies").join(links, "node", "left").select(
-        "key1", "key2", F.coalesce("label", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    of_class = classes.select("key1", "key2", "node", "doc", "copies").join(links, "node", "left").select(
+        "key1", "key2", F.coalesce("label", "doc", "node").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     of_class = common.materialise(of_class, "jaccard-result")
     # ids and keys alone meet their class; a key that very many rows share is split by the adaptive join
     of_row = rows.select("doc_id", "key1", "key2", "n_shingles").join(of_class, ["key1", "key2"], "left").select(

@@ -51,6 +51,20 @@ def test_links_equal_brute_force(spark, odd):
     assert sorted(map(tuple, got.select("doc_id", "class_id", "n_links").collect())) == brute_links(rows)
 
 
+def test_texts_under_one_id_and_without_id_keep_their_links(spark):
+    r = random.Random(8)
+    tops = [" ".join(f"{c}{i}" for i in range(200)) for c in "abc"]
+    near = [[" ".join(w if r.random() > 0.005 else f"z{r.randrange(99)}" for w in t.split()) for _ in range(4)] for t in tops]
+    rows = [(1, near[0][0]), (1, near[1][0]), (2, near[0][1]), (3, near[1][1]), (1, near[0][2]), (4, near[0][3]), (None, near[1][2]), (None, near[2][0]), (None, near[2][1]), (None, near[2][1])]
+    got = jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = brute_links([(k, t) for k, (_, t) in enumerate(rows)])
+    named = {k: min((rows[j][0] for j, c, _ in expected if c == own and rows[j][0] is not None), default=None) for k, own, _ in expected}
+    assert sorted((str(x.doc_id), x.n_links) for x in got) == sorted((str(rows[k][0]), n) for k, _, n in expected)
+    assert sorted((x.doc_id, x.class_id) for x in got if x.doc_id) == sorted((rows[k][0], c) for k, c in named.items() if rows[k][0])
+    assert min(n for _, _, n in expected) > 0
+    assert len({x.class_id for x in got if x.doc_id is None}) == len({c for k, c, _ in expected if rows[k][0] is None})
+
+
 def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 7)
     r = random.Random(5)

@@ -53,7 +53,8 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Trained scores, hashes and token ids are not SQL; the tests compare with a brute-force version.
+#: Trained scores, hashes and token ids are not SQL.  The tests compare single operators with
+#: brute force; of the chained stages they check columns, counts, ids, labelled good texts and packing.
 ORACLE_SQL = None
 
 

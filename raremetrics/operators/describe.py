@@ -44,7 +44,8 @@ def kde(df: DataFrame, value: str, by: list[str] | None = None, adjust: float =
         bandwidth: float | None = None) -> DataFrame:
     """Gaussian kernel density on 512 points per group.
 
-    Bandwidth defaults to Silverman's rule (0.9·min(sd, IQR/1.34)·n^−1/5)·adjust.
+    Bandwidth defaults to Silverman's rule (0.9·min(sd, IQR/1.34)·n^−1/5)·adjust, with
+    R's fallback for tied values; a group of one row has no bandwidth and no density.
     Scale plan: values are first reduced to (value, weight) per group; each distinct
     value then emits only the grid points within 4 bandwidths (``sequence`` +
     ``explode``), summed per grid point — no data × grid product.
@@ -58,7 +59,10 @@ def kde(df: DataFrame, value: str, by: list[str] | None = None, adjust: float =
     st = st.join(qq, on=by, how="inner") if by else st.crossJoin(qq)
     if bandwidth is None:
         iqr = (F.col("__q3") - F.col("__q1")) / F.lit(1.34)
-        bw = F.lit(0.9) * F.least(F.col("__sd"), iqr) * F.pow(F.col("__n").cast("double"), F.lit(-0.2)) * F.lit(adjust)
+        # R's fallback where the range is 0: the sd, else the size of the (only) value, else 1
+        scale = F.coalesce(*[F.when(x > 0, x) for x in (F.least(F.col("__sd"), iqr), F.col("__sd"), F.abs(F.col("__lo")))], F.lit(1.0))
+        bw = F.lit(0.9) * scale * F.pow(F.col("__n").cast("double"), F.lit(-0.2)) * F.lit(adjust)
+        bw = F.when(F.col("__n") > 1, bw)
     else:
         bw = F.lit(float(bandwidth))
     st = st.select(*by, "__n", bw.alias("bw"), "__lo", "__hi").filter(F.col("bw") > 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from raremetrics.functions import classes as C
 from raremetrics.functions import dates as D
 from raremetrics.functions import numeric as N
-from raremetrics.operators import bins, clean, derive, enrich, summarise
+from raremetrics.operators import bins, clean, derive, describe, enrich, summarise
 
 
 def test_t2_exclusion_keeps_null_ids(spark):
@@ -111,3 +111,15 @@ def test_t22_profile_keeps_levels_with_catch_only(spark):
                                "mn int, hrs double, narrow long, green long")
     out = summarise.catch_effort_profile(df, {"mn": "mn"}, ["narrow", "green"]).collect()
     assert [(r.species, r.level, r.catch, r.hrs, r.shots) for r in out] == [("narrow", 1.0, 1, 5.0, 2)]
+
+
+def test_kde_keeps_groups_of_tied_values(spark):
+    rows = [("tied", 2.0)] * 8 + [("tied", 1.0), ("tied", 5.0)] + [("same", -3.0)] * 4 + [("zero", 0.0)] * 4 + [("one", 1.0)]
+    got = describe.kde(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()
+    assert {r.g for r in got} == {"tied", "same", "zero"}
+    scale = {"tied": 1.0327955589886446, "same": 3.0, "zero": 1.0}
+    for g, n in (("tied", 10), ("same", 4), ("zero", 4)):
+        bw = 0.9 * scale[g] * n ** -0.2
+        at = {r.point: r.x for r in got if r.g == g}
+        low = min(v for k, v in rows if k == g)
+        assert abs(at[0] - (low - 3 * bw)) < 1e-9

@@ -45,6 +45,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fresh(taken, *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column in ``taken`` has it (case does not count)."""
+    held, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_remainder(column: str, divisor: int) -> Column:
     """crc32 of the id's decimal text, modulo ``divisor``: the fold of a row."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(divisor)

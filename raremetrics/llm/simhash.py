@@ -156,18 +156,17 @@ def _starts(code: np.ndarray) -> np.ndarray:
 
 
 def links(members: DataFrame, distance: int) -> DataFrame:
-    """Edges (u, v) of the groups of ``members`` (key, size, node), searched in units of at most two blocks."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block")
-    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    """Edges (u, v) of the groups of ``members`` (key, lo, hi, node, block), one unit of work for each (key, lo, hi)."""
+    rows = members.select("key", "lo", "hi", "node", "block").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
 
     def solve(code: np.ndarray, edge: np.ndarray):
         """Edges of the whole units between the given first rows."""
+        size = np.diff(edge)
+        stay = size > 1  # most variants belong to one fingerprint
+        code, size = code[:, np.repeat(stay, size)], size[stay]
+        edge = np.concatenate([[0], np.cumsum(size)])
         node, block = code[3], code[4]
         value = node.view(np.uint64)
-        size = np.diff(edge)
         few = np.repeat(size <= FEW, size)
         unit = np.repeat(np.arange(len(size)), size)
         own = np.repeat(code[1, edge[:-1]] == code[2, edge[:-1]], size)
@@ -202,19 +201,40 @@ def links(members: DataFrame, distance: int) -> DataFrame:
     return rows.transform(common.in_tasks, run, "u long, v long")
 
 
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Members (key, size, node) once for every unit of work of their group: pairs of blocks by hash."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block")
+
+
+def whole(members: DataFrame) -> DataFrame:
+    """Members (key, node) of groups that are one unit of work."""
+    return members.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "node", F.lit(0).alias("block"))
+
+
+def group_edges(members: DataFrame, distance: int, further=None) -> DataFrame:
+    """Edges (u, v) of all groups of ``members`` (key, node and what ``further`` reads)."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK)
+    sizes = common.materialise(sizes, "simhash-large")  # few: each has a block's rows at least
+    if sizes.isEmpty():
+        return links(whole(members), distance)
+    edges = links(whole(members.join(sizes, "key", "left_anti")), distance)
+    # the small written side lets the adaptive join split a variant that very many fingerprints share
+    large = common.materialise(members.join(sizes, "key"), "simhash-members")
+    part = F.col("size") > SPLIT if further is not None else F.lit(False)
+    edges = edges.unionByName(links(in_blocks(large.filter(~part)), distance))
+    if further is not None and not large.filter(part).isEmpty():
+        parts = large.filter(part).select("node", F.explode(further).alias("key"))
+        edges = edges.unionByName(group_edges(parts, distance))
+    return edges
+
+
 def fingerprint_edges(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Edges (u, v) between the distinct fingerprints ``node`` that connect all that links connect."""
     variants = distinct.select("node", F.posexplode(variant_keys(distance)).alias("wild", "key"))
-    sizes = common.materialise(variants.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "simhash-shared")
-    # the small written side lets the adaptive join split a variant that very many fingerprints share
-    shared = common.materialise(variants.join(sizes, "key"), "simhash-members")
-    edges = links(shared.filter(F.col("size") <= SPLIT).select("key", "size", "node"), distance)
-    large = shared.filter(F.col("size") > SPLIT)
-    if not sizes.filter(F.col("size") > SPLIT).isEmpty():
-        parts = large.select("node", F.explode(further_keys(distance)).alias("key"))
-        again = common.materialise(parts.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "simhash-shared")
-        edges = edges.unionByName(links(parts.join(again, "key").select("key", "size", "node"), distance))
-    return edges.distinct()
+    return group_edges(variants, distance, further_keys(distance)).distinct()
 
 
 def simhash_components(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:

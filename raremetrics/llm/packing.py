@@ -6,7 +6,8 @@ pieces of which length share a bin) with a multiplicity.  The histogram, and wit
 number of patterns, is bounded by the capacity whatever the input, and is all that the
 driver sees.  Best fit in order of falling length makes the first patterns; the local
 search then moves pieces, exchanges one for one or two for one between underfull
-bins, each step raising the sum of squared fills, and bins that become empty go.
+bins, each step raising the sum of squared fills, and bins that become empty go.  It
+ends when no step is left, or where the number of bins is one that no packing can go below.
 
 Pieces are matched to the planned places by their rank among the pieces of their length.
 Ranks are counted in buckets by the id's hash, whose number grows with the input, and
@@ -20,6 +21,7 @@ result; extra columns are carried along (those named like a result are replaced)
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
@@ -83,13 +85,121 @@ def best_fit(histogram: dict[int, int], capacity: int) -> dict[Pattern, int]:
     return {p: k for at in bins for p, k in at.items()}
 
 
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs.
+
+    For every k, pieces over ``capacity - k`` have a bin without any piece of k or more to
+    themselves, others over half the capacity a bin each, and what the latter cannot take
+    of the pieces from k to half the capacity needs bins by its size.
+    """
+    many = np.zeros(capacity + 2, np.int64)
+    for length, n in histogram.items():
+        many[length] += n
+    number = np.concatenate([[0], np.cumsum(many[1:])])  # pieces up to a length
+    size = np.concatenate([[0], np.cumsum(many[1:] * np.arange(1, capacity + 2))])
+    total, half = int(size[-1]), capacity // 2
+    best = -(-total // capacity)
+    for k in range(1, half + 1):
+        alone = int(number[-1] - number[capacity - k])
+        middle = int(number[capacity - k] - number[half])
+        room = middle * capacity - int(size[capacity - k] - size[half])
+        rest = int(size[half] - size[k - 1])
+        best = max(best, alone + middle + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
+class _Open:
+    """The underfull patterns, with tables that tell at once what each can give or take."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.count = capacity, {}
+        self.slot: dict[Pattern, int] = {}
+        self.free: list[int] = []
+        self.pattern: list[Pattern | None] = []
+        self.fill = np.zeros(0, np.int32)
+        # of lengths a pattern can part with, alone or (second table) alone, in pairs or not at all (0):
+        # the smallest that is not below a value, and the largest that is not above it
+        self.least = [np.zeros((0, capacity + 2), np.int16) for _ in range(2)]
+        self.most = [np.zeros((0, capacity + 2), np.int16) for _ in range(2)]
+
+    def add(self, p: Pattern, k: int) -> bool:
+        """Whether the pattern was not there, or has now a second bin to exchange with."""
+        if p in self.count:
+            self.count[p] += k
+            return self.count[p] == k + 1
+        if not self.free:
+            old, new = len(self.pattern), max(64, 2 * len(self.pattern))
+            self.pattern += [None] * (new - old)
+            self.fill = np.concatenate([self.fill, np.full(new - old, -1, np.int32)])
+            for tables in (self.least, self.most):
+                for i in range(2):
+                    tables[i] = np.concatenate([tables[i], np.zeros((new - old, self.capacity + 2), np.int16)])
+            self.free = list(range(old, new))[::-1]
+        i = self.free.pop()
+        self.pattern[i], self.slot[p], self.count[p], self.fill[i] = p, i, k, fill(p)
+        alone = [n for n, _ in p]
+        paired = sorted({0, *alone, *(a + b for a, b in _pairs(p))})
+        place = np.arange(self.capacity + 2)
+        for j, values in enumerate((np.array(alone[::-1]), np.array(paired))):
+            at = np.searchsorted(values, place)  # a place beyond all holds a value that no gain reaches
+            self.least[j][i] = np.append(values, self.capacity + 1)[at]
+            at = np.searchsorted(values, place, "right") - 1
+            self.most[j][i] = np.where(at >= 0, values[at], -1)
+        return True
+
+    def take(self, p: Pattern, k: int) -> None:
+        self.count[p] -= k
+        if not self.count[p]:
+            i = self.slot.pop(p)
+            del self.count[p]
+            self.pattern[i], self.fill[i] = None, -1
+            self.free.append(i)
+
+    def partner(self, p: Pattern, gives: bool) -> Pattern | None:
+        """The fullest pattern that can gain from ``p``, or (``gives`` false) the emptiest that can let it gain."""
+        own = fill(p)
+        fits = (self.fill >= own) if gives else (self.fill >= 0) & (self.fill <= own)
+        if self.count[p] < 2:
+            fits[self.slot[p]] = False
+        at = np.flatnonzero(fits)
+        if not len(at):
+            return None
+        at = at[np.argsort(-self.fill[at] if gives else self.fill[at], kind="stable")]
+        singles, pairs = np.array([n for n, _ in p]), np.array(sorted({a + b for a, b in _pairs(p)}), np.int64)
+        for lo in range(0, len(at), 256):
+            part = at[lo:lo + 256]
+            good = np.zeros(len(part), bool)
+            if gives:
+                room = self.capacity - self.fill[part]
+                for values, table in ((singles, self.least[1]), (pairs, self.least[0])):
+                    # given v, the smallest thing taken back that leaves a gain within the room
+                    back = table[part[:, None], np.maximum(values[None, :] - room[:, None], 0)]
+                    good |= (back < values[None, :]).any(axis=1)
+            else:
+                room = self.capacity - own
+                for values, table in ((np.append(0, singles), self.most[1]), (pairs, self.most[0])):
+                    # for w given back, the largest thing had that is a gain within the room
+                    had = table[part[:, None], np.minimum(values + room, self.capacity + 1)[None, :]]
+                    good |= (had > values[None, :]).any(axis=1)
+            found = np.flatnonzero(good)
+            for i in part[found].tolist():
+                q = self.pattern[i]
+                if _transfer(*((p, q) if gives else (q, p)), self.capacity):
+                    return q
+        return None
+
+
+def _pairs(p: Pattern) -> list[tuple[int, int]]:
+    return [(a, b) for i, (a, k) in enumerate(p) for b in ([a] if k > 1 else []) + [n for n, _ in p[i + 1:]]]
+
+
 def _transfer(donor: Pattern, taker: Pattern, capacity: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
     """What donor gives and gets so that the taker gains most within its room: a move or an exchange."""
     room, level = capacity - fill(taker), fill(donor) - fill(taker)
     has = [n for n, _ in taker]
-    two = sorted({a + b: (a, b) for i, (a, k) in enumerate(taker) for b in ([a] if k > 1 else []) + has[i + 1:]}.items())
+    two = sorted({a + b: (a, b) for a, b in _pairs(taker)}.items())
     gives = [((n,), n) for n, _ in donor]
-    gives += [((a, b), a + b) for i, (a, k) in enumerate(donor) for b in ([a] if k > 1 else []) + [n for n, _ in donor[i + 1:]]]
+    gives += [(pair, sum(pair)) for pair in _pairs(donor)]
     best = None
     for give, total in gives:
         gets = [((), 0), *(((n,), n) for n in has)] + ([(pair, n) for n, pair in two] if len(give) == 1 else [])
@@ -103,48 +213,53 @@ def _transfer(donor: Pattern, taker: Pattern, capacity: int) -> tuple[tuple[int,
     return best and best[1:]
 
 
-def improve(bins: dict[Pattern, int], capacity: int, rounds: int = 200_000) -> dict[Pattern, int]:
-    """Local search between underfull bins; ``rounds`` bounds the transfers tried, far above what ends it in practice."""
+def improve(bins: dict[Pattern, int], capacity: int, bound: int = 0) -> dict[Pattern, int]:
+    """Local search between underfull bins, until there are ``bound`` bins or no move or exchange raises the squared fill.
+
+    Every pattern that appears is compared once with all open ones, as the donor of fuller
+    ones and as the taker from emptier ones; the tables of :class:`_Open` find a partner
+    without trying those that have no room.  Each transfer raises the sum of squares, so the search ends.
+    """
     done = {p: k for p, k in bins.items() if fill(p) == capacity}
-    open_ = {p: k for p, k in bins.items() if 0 < fill(p) < capacity}
+    open_, total = _Open(capacity), sum(bins.values())
+    fresh: list[tuple[int, Pattern]] = []
 
     def put(p: Pattern, k: int) -> None:
-        if p and k:
-            at = done if fill(p) == capacity else open_
-            at[p] = at.get(p, 0) + k
-
-    stuck: set[tuple[Pattern, Pattern]] = set()
-    while rounds > 0:
-        order = sorted(open_, key=lambda p: (fill(p), p))
-        found = None
-        for donor in order:  # the emptiest bins give, the fullest take
-            for taker in reversed(order):
-                if fill(taker) < fill(donor):
-                    break
-                if (donor, taker) in stuck or donor == taker and open_[donor] < 2:
-                    continue
-                rounds -= 1
-                found = _transfer(donor, taker, capacity)
-                if found:
-                    break
-                stuck.add((donor, taker))
-            if found or rounds <= 0:
+        if not p:
+            return
+        if fill(p) == capacity:
+            done[p] = done.get(p, 0) + k
+        elif open_.add(p, k):
+            heapq.heappush(fresh, (fill(p), p))
+
+    for p, k in bins.items():
+        if fill(p) != capacity:
+            put(p, k)
+    while fresh and total > bound:  # the emptiest first
+        p = heapq.heappop(fresh)[1]
+        while p in open_.count and total > bound:
+            donor, taker = p, open_.partner(p, gives=True)
+            if taker is None:
+                donor, taker = open_.partner(p, gives=False), p
+            if donor is None:
+                break
+            give, get = _transfer(donor, taker, capacity)
+            times = open_.count[donor] // 2 if donor == taker else min(open_.count[donor], open_.count[taker])
+            again = open_.count[p] > times * (1 + (donor == taker))
+            for q in (donor, taker):
+                open_.take(q, times)
+            left = _changed(donor, less=give, more=get)
+            total -= 0 if left else times
+            put(left, times)
+            put(_changed(taker, less=get, more=give), times)
+            if not again:
                 break
-        if not found:
-            break
-        give, get = found
-        times = open_[donor] // 2 if donor == taker else min(open_[donor], open_[taker])
-        for p in (donor, taker):
-            open_[p] -= times
-        open_ = {p: k for p, k in open_.items() if k}
-        put(_changed(donor, less=give, more=get), times)
-        put(_changed(taker, less=get, more=give), times)
-    return {**done, **open_}
+    return {**done, **open_.count}
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
     """Places by length and rank: rows (length, first rank, pieces a bin, first sequence, first offset), sorted."""
-    bins = improve(best_fit(histogram, capacity), capacity)
+    bins = improve(best_fit(histogram, capacity), capacity, lower_bound(histogram, capacity))
     rows, upto, sequence = [], {}, 0
     for pattern, count in sorted(bins.items(), reverse=True):
         offset = 0

@@ -5,8 +5,8 @@ import io
 import random
 import zipfile
 import zlib
+from collections import Counter
 
-import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -93,6 +93,57 @@ def check_packing(rows, capacity=packing.CAPACITY):
     return len(places)
 
 
+HISTOGRAMS = {
+    "over half": [random.Random(1).randint(1025, 2048) for _ in range(3000)],
+    "over and under half": [random.Random(2).randint(1025, 2048) for _ in range(3000)] + [random.Random(3).randint(1, 1024) for _ in range(4000)],
+    "thirds": [random.Random(4).randint(600, 800) for _ in range(900)],
+    "few lengths": [random.Random(5).choice([700, 701, 702, 900, 683, 1000, 1025, 1030, 1366, 600]) for _ in range(800)],
+    "small": [random.Random(6).randint(1, 200) for _ in range(500)],
+    "one": [2048] * 3,
+}
+
+
+@pytest.mark.parametrize("name", HISTOGRAMS)
+def test_search_ends_at_the_bound_or_without_a_step(name):
+    """No bin could go, or no move or exchange between any two underfull bins would raise the squared fill."""
+    capacity = packing.CAPACITY
+    histogram = Counter(HISTOGRAMS[name])
+    first = packing.best_fit(histogram, capacity)
+    bound = packing.lower_bound(histogram, capacity)
+    bins = packing.improve(first, capacity, bound)
+    assert bound <= sum(bins.values()) <= sum(first.values())
+    lengths = Counter()
+    for p, k in bins.items():
+        assert packing.fill(p) <= capacity
+        lengths.update({n: m * k for n, m in p})
+    assert lengths == histogram
+    if sum(bins.values()) > bound:
+        open_ = [(packing.fill(p), p, k) for p, k in bins.items() if packing.fill(p) < capacity]
+        for f, donor, k in open_:
+            for g, taker, _ in open_:
+                if g >= f and (donor != taker or k > 1):
+                    assert packing._transfer(donor, taker, capacity) is None
+
+
+def test_lower_bound_is_no_more_than_the_least():
+    """Against every packing of a few pieces."""
+
+    def least(pieces, bins=()):
+        if not pieces:
+            return len(bins)
+        n, best = pieces[0], len(bins) + len(pieces)
+        for i, room in enumerate(bins):
+            if room >= n:
+                best = min(best, least(pieces[1:], (*bins[:i], room - n, *bins[i + 1:])))
+        return min(best, least(pieces[1:], (*bins, 20 - n)))
+
+    r = random.Random(11)
+    for _ in range(60):
+        pieces = sorted((r.randint(1, 20) for _ in range(r.randint(1, 7))), reverse=True)
+        assert packing.lower_bound(Counter(pieces), 20) <= least(pieces)
+    assert packing.lower_bound({}, 20) == 0
+
+
 def test_packing(odd, clashing, empty, library):
     rows = packing.packed(clashing).collect()
     total = sum(r.length for r in rows)
@@ -176,32 +227,3 @@ def test_warc_empty_and_foreign_zip(spark):
     data = raw.getvalue()
     found = warc.directory(lambda at, n: data[at:at + n], len(data))
     assert [(n, data[o:o + s]) for n, _, o, s in found] == [("one", b"abc"), ("two/three", b"defgh" * 9)]
-
-
-def test_pipeline_stages(spark):
-    docs, columns = common.documents(spark, SF), None
-    labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:4]:
-        after = common.materialise(stage(spark, docs, SF), "test")
-        assert after.columns == columns
-        assert after.count() <= docs.count()
-        if name == "quality rules":
-            good = [r.doc_id for r in docs.collect() if r.doc_id in labels and labels[r.doc_id].quality and len((r.text or "").split()) >= 40]
-            assert {r.doc_id for r in after.collect()} >= set(good)
-        docs = after
-    ids = [r.doc_id for r in docs.collect()]
-    assert len(ids) == len(set(ids))
-    assert all(r.n_chars == len(r.text) for r in docs.collect())
-    rows = corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()
-    assert {r.doc_id for r in rows} == set(ids)
-    check_packing(rows)
-
-
-def test_pipeline_on_odd_rows(spark, odd, empty, tmp_path):
-    odd.limit(0).selectExpr("doc_id", "1 as quality", "1 as toxic").write.parquet(str(tmp_path / "labels.parquet"))
-    for table in (odd, empty):
-        docs = table
-        for _, stage in corpus_pipeline.STAGES:
-            docs = common.materialise(stage(spark, docs, str(tmp_path)), "test")
-        assert docs.count() <= 400

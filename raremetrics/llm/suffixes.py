@@ -31,6 +31,7 @@ drops that part (the counts and the checksum are those of the bytes).
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -168,34 +169,36 @@ def ranges(flags: np.ndarray) -> list[dict]:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, digest) of the documents; the id and the digest find a text again."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("text", text).withColumn("digest", F.xxhash64(text))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("digest"))
 
 
-def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+def anchor_rows(texts: DataFrame, length: int, encode: Callable) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for lo, _, buf, off in common.text_chunks(batch):
+            for lo, _, *text in common.text_chunks(batch):
+                buf, off = encode(*text)
                 own, start, count, h = anchors(buf, off, length)
                 rows = pa.array(own + lo)
                 yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(rows), batch.column(2).take(rows),
                                                   pa.array(start), pa.array(count)], names=["hash", "doc_id", "digest", "start", "n"])
 
-    return _texts(docs.select("doc_id", "text")).transform(common.in_tasks, run, "hash long, doc_id long, digest long, start long, n long")
+    return texts.transform(common.in_tasks, run, "hash long, doc_id long, digest long, start long, n long")
 
 
-def segments(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
+def segments(texts: DataFrame, shared: DataFrame, length: int, encode: Callable) -> DataFrame:
     """(hash, segment, doc_id, digest, start, n, bytes): the bytes once for equal segments of a chunk."""
     # one row per text, with as many anchors as the text has
     wanted = shared.groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("dg")).agg(F.collect_set(F.struct("start", "n", "hash")).alias("cuts"))
-    texts = _texts(docs.select("doc_id", "text"))
     rows = texts.join(wanted, texts.doc_id.eqNullSafe(F.col("id")) & (texts.digest == F.col("dg"))).select("doc_id", "digest", "text", "cuts")
 
     def run(batches):
         kinds = pa.schema([("hash", pa.int64()), ("segment", pa.binary()), ("doc_id", pa.int64()), ("digest", pa.int64()),
                            ("start", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
         for batch in batches:
-            for lo, hi, buf, off in common.text_chunks(batch):
+            for lo, hi, *text in common.text_chunks(batch):
+                buf, off = encode(*text)
                 raw, seen = memoryview(np.ascontiguousarray(buf)), set()
                 cols: list[list] = [[] for _ in range(7)]
                 cuts = batch.column(3).slice(lo, hi - lo)
@@ -332,52 +335,121 @@ def repeated_starts(distinct: DataFrame, length: int, width: int) -> DataFrame:
 RESULT = (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) -> DataFrame:
-    """``docs`` with the repeated passages cut from ``text`` (left out if not ``text``) and the columns of ``RESULT``."""
-    found = common.materialise(anchor_rows(docs, length), "suffix-anchors")
+def as_it_is(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return buf, off
+
+
+def repeated_spans(texts: DataFrame, length: int, encode: Callable = as_it_is) -> DataFrame:
+    """(doc_id, digest, spans) of the texts (doc_id, text, digest) in which strings of ``length`` bytes start that occur twice.
+
+    ``encode`` makes the bytes that are compared (and their offsets) of the texts' bytes.
+    """
+    found = common.materialise(anchor_rows(texts, length, encode), "suffix-anchors")
     # read from a written table, the hashes let the adaptive join split those that very many texts share
     often = common.materialise(found.groupBy("hash").agg(F.count("*").alias("c")).filter("c > 1").select("hash"), "suffix-often")
-    parts = common.materialise(segments(docs, found.join(often, "hash"), length), "suffix-segments")
+    parts = common.materialise(segments(texts, found.join(often, "hash"), length, encode), "suffix-segments")
     distinct = distinct_segments(parts.withColumn("key", F.col("hash")))
     marks = repeated_starts(distinct, length, length - GRAM + 1).withColumnRenamed("key", "hash")
     # a segment that very many texts share is split by the adaptive join: both sides are its own rows
     spans = (parts.select("hash", "segment", "doc_id", "digest", "start").join(marks, ["hash", "segment"])
-             .groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("dg"))
-             .agg(F.collect_list(F.struct("start", "runs")).alias("spans")))
+             .groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "runs")).alias("spans")))
+    return common.materialise(spans, "suffix-spans")
+
+
+def with_spans(docs: DataFrame, carried: list[str], spans: DataFrame) -> DataFrame:
+    """``carried`` of the documents, the whole text and its spans (null: none), the last two by place."""
+    text, own, digest, of_id, of_digest, marked = common.fresh(carried, "text", "own", "digest", "of_id", "of_digest", "marked")
+    body = F.coalesce("text", F.lit(""))
+    whole = docs.select(*carried, F.col("doc_id").alias(own), body.alias(text), F.xxhash64(body).alias(digest))
+    spans = spans.toDF(of_id, of_digest, marked)
+    rows = whole.join(spans, whole[own].eqNullSafe(spans[of_id]) & (whole[digest] == spans[of_digest]), "left")
+    return rows.select(*carried, text, marked)
+
+
+def covered(marked, n: int, length: int) -> np.ndarray:
+    """Which of ``n`` bytes lie in a marked string."""
+    gone = np.zeros(n + 1, np.int32)
+    for m in marked.as_py() or ():
+        for r in m["runs"]:
+            gone[m["start"] + r["lo"]] += 1
+            gone[m["start"] + r["hi"] + length - 1] -= 1
+    return np.cumsum(gone[:-1]) > 0
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) -> DataFrame:
+    """``docs`` with the repeated passages cut from ``text`` (left out if not ``text``) and the columns of ``RESULT``."""
+    spans = repeated_spans(_texts(docs), length)
     names = [n for n, _ in RESULT]
     carried = [c for c in docs.columns if c not in ("text", *names)]
-    body = F.coalesce("text", F.lit(""))
-    whole = docs.select(*carried, body.alias("text"), F.xxhash64(body).alias("_digest"))
-    spans = common.materialise(spans, "suffix-spans").toDF("_id", "_dg", "_spans")
-    rows = whole.join(spans, whole.doc_id.eqNullSafe(F.col("_id")) & (whole._digest == F.col("_dg")), "left")
     schema = docs.select(*carried).schema
     for name, kind in (*((("text", "string"),) if text else ()), *RESULT):
         schema = schema.add(name, kind)
+    place = len(carried) + 1
 
     def cut(batches):
         for batch in batches:
-            place = batch.schema.get_field_index("_spans")
-            for lo, hi, buf, off in common.text_chunks(batch):
+            for lo, hi, buf, off in common.text_chunks(batch, batch.schema.names[place - 1]):
                 out: list[list] = [[] for _ in range(5)]
                 for i, marked in enumerate(batch.column(place).slice(lo, hi - lo)):
                     own = buf[off[i]:off[i + 1]]
-                    gone = np.zeros(len(own) + 1, np.int32)
-                    for m in marked.as_py() or ():
-                        for r in m["runs"]:
-                            gone[m["start"] + r["lo"]] += 1
-                            gone[m["start"] + r["hi"] + length - 1] -= 1
-                    covered = np.cumsum(gone[:-1]) > 0
-                    kept = own[~covered].tobytes()
-                    for col, value in zip(out, (kept.decode("utf-8", "ignore"), len(own), int(covered.sum()),
-                                                int(np.count_nonzero(np.diff(covered.view(np.int8), prepend=0) == 1)), hashlib.sha256(kept).hexdigest()), strict=True):
+                    gone = covered(marked, len(own), length)
+                    kept = own[~gone].tobytes()
+                    for col, value in zip(out, (kept.decode("utf-8", "ignore"), len(own), int(gone.sum()),
+                                                int(np.count_nonzero(np.diff(gone.view(np.int8), prepend=0) == 1)), hashlib.sha256(kept).hexdigest()), strict=True):
                         col.append(value)
-                arrays = [batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in carried]
+                arrays = [batch.column(i).slice(lo, hi - lo) for i in range(len(carried))]
                 arrays += [pa.array(out[0], pa.string())] if text else []
                 arrays += [pa.array(c, pa.int64()) for c in out[1:4]] + [pa.array(out[4], pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return rows.select(*carried, "text", "_spans").transform(common.in_tasks, cut, schema)
+    return with_spans(docs, carried, spans).transform(common.in_tasks, cut, schema)
+
+
+#: Characters that stand for one word, six bits each.
+CODE = 6
+_LETTERS = np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+-", np.uint8)
+
+
+def coded_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text with every word replaced by ``CODE`` letters of its hash, and no white space: bytes and offsets."""
+    start, end, first = grams.words(buf, off)
+    h = grams.Hashed(buf).of(start, end)
+    letters = _LETTERS[((h[:, None] >> (np.arange(CODE, dtype=np.uint64) * np.uint64(6))) & np.uint64(63)).astype(np.int64)]
+    return letters.ravel(), first * CODE
+
+
+def remove_repeated_words(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` without the words of its texts that lie in a run of ``words`` words which also starts elsewhere.
+
+    Runs are compared word by word, whatever white space parts them: every word becomes
+    ``CODE`` letters of its 64-bit hash (36 bits), and the repeated strings of that many letters are
+    found as above.  A cut takes the white space after its words along; other texts stay
+    as they are (a null text becomes empty).
+    """
+    spans = repeated_spans(_texts(docs), words * CODE, coded_words)
+    carried = [c for c in docs.columns if c != "text"]
+    schema = docs.select(*carried).schema.add("text", "string")
+    place = len(carried) + 1
+
+    def cut(batches):
+        for batch in batches:
+            for lo, hi, buf, off in common.text_chunks(batch, batch.schema.names[place - 1]):
+                marked = batch.column(place).slice(lo, hi - lo)
+                start, _, first = grams.words(buf, off)
+                keep = np.ones(len(buf), bool)
+                for i in np.flatnonzero(marked.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    a, b = first[i], first[i + 1]
+                    # a word goes if all its letters do
+                    gone = covered(marked[i], (b - a) * CODE, words * CODE).reshape(-1, CODE).all(axis=1)
+                    bounds = np.append(start[a:b], off[i + 1])
+                    keep[bounds[0]:bounds[-1]] = np.repeat(~gone, np.diff(bounds))
+                text = [buf[x:y][keep[x:y]].tobytes().decode() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(lo, hi - lo) for j in range(len(carried))), pa.array(text, pa.string())], names=schema.names)
+
+    return with_spans(docs, carried, spans).transform(common.in_tasks, cut, schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(common.documents(spark, sf_dir).select("doc_id", "text"), text=False)
+    """The contract's columns, and ``text``: what remains of the text."""
+    found = remove_repeats(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", *[n for n, _ in RESULT], "text")

@@ -28,7 +28,8 @@ ODD = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for columns of their own.
-CLASHING = ("score", "kept", "hash", "size", "label", "node", "digest", "start", "length", "values", "ids", "bucket", "rows")
+CLASHING = ("score", "kept", "hash", "size", "label", "node", "digest", "start", "length", "values", "ids", "bucket", "rows",
+            "id", "rate", "weight", "rule_lang", "rule_max_symbol_ratio", "_id", "_dg", "own", "of_id", "of_digest", "marked", "spans", "predicted", "bits")
 
 
 def words(text):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from raremetrics.llm import components, jaccard, suffixes, syncmers
 
-from .conftest import ODD, words
+from .conftest import WORD, ODD, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -142,6 +142,43 @@ def test_cut_on_odd_tables(clashing, empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def brute_cut_words(texts, n):
+    """Words of runs of ``n`` that occur twice, cut with the white space after them."""
+    found = [list(WORD.finditer(t)) for t in texts]
+    tokens = [[m.group() for m in f] for f in found]
+    seen = Counter(tuple(t[p:p + n]) for t in tokens for p in range(len(t) - n + 1))
+    out = []
+    for text, f, t in zip(texts, found, tokens, strict=True):
+        gone = [False] * len(t)
+        for p in range(len(t) - n + 1):
+            if seen[tuple(t[p:p + n])] > 1:
+                gone[p:p + n] = [True] * n
+        ends = [m.start() for m in f[1:]] + [len(text)][:len(f)]
+        out.append((text[:f[0].start()] if f else text) + "".join(text[m.start():e] for m, e, g in zip(f, ends, gone, strict=True) if not g))
+    return out
+
+
+@pytest.mark.parametrize(("n", "group"), [(51, 256), (51, 2), (20, 256)])
+def test_cut_words_equal_brute_force(spark, monkeypatch, n, group):
+    """Passages just over and under the length, of short and long words, under other white space, twice in one text."""
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    r = random.Random(n)
+    short = [r.choice("abcdefgh") for _ in range(90)]
+    long = [f"überlang{r.randrange(999)}" for _ in range(90)]
+    rows = [(x[0], x[1]) for x in ODD if x[0] != 11]
+    for k in range(24):
+        part = (short if k % 2 else long)[k % 5:k % 5 + n - 2 + k % 6]
+        rows.append((100 + k, f"first{r.random()} " + r.choice([" ", "  ", "\n"]).join(part) + f"\t last{r.random()}" + (" " + " ".join(part) if k % 7 == 0 else "")))
+    got = suffixes.remove_repeated_words(spark.createDataFrame(rows, "doc_id long, text string"), n)
+    assert sorted((str(x.doc_id), x.text) for x in got.collect()) == sorted((str(d), t) for (d, _), t in zip(rows, brute_cut_words([t or "" for _, t in rows], n), strict=True))
+
+
+def test_cut_words_on_odd_tables(clashing, empty):
+    got = suffixes.remove_repeated_words(clashing, 51)
+    assert got.count() == len(ODD) and got.filter("own = 'own own' and spans = 'own spans'").count() == len(ODD)
+    assert suffixes.remove_repeated_words(empty, 51).count() == 0
+
+
 def spark_hash(*values):
     seed = 42
     for v in values:

@@ -154,13 +154,14 @@ def thresholds(sketch: DataFrame, spread: float = 6.0, prior: float = 200.0) ->
 def judged(measured: DataFrame, bounds: DataFrame) -> DataFrame:
     """``measured`` with ``kept``, by the bounds of each row's language and source."""
     names = [c for c in bounds.columns if c[:4] in ("min_", "max_")]
-    bounds = bounds.withColumnsRenamed({c: f"rule_{c}" for c in bounds.columns})
-    joined = measured.join(bounds, measured.lang.eqNullSafe(bounds.rule_lang)
-                           & measured.source.eqNullSafe(bounds.rule_source), "left")
+    rule = dict(zip(bounds.columns, common.fresh(measured.columns, *(f"rule_{c}" for c in bounds.columns)), strict=True))
+    bounds = bounds.withColumnsRenamed(rule)
+    joined = measured.join(bounds, measured.lang.eqNullSafe(bounds[rule["lang"]])
+                           & measured.source.eqNullSafe(bounds[rule["source"]]), "left")
     within = F.lit(True)
     wider = F.greatest(F.sqrt(STEADY_WORDS / F.greatest(F.col("n_words"), F.lit(1))), F.lit(1.0)) - 1
     for name in names:
-        value, bound, more = _ratio(name[4:]), F.col(f"rule_{name}"), wider * F.col(f"rule_wid_{name[4:]}")
+        value, bound, more = _ratio(name[4:]), F.col(rule[name]), wider * F.col(rule[f"wid_{name[4:]}"])
         within &= F.coalesce(value <= bound + more if name.startswith("max_") else value >= bound - more, F.lit(True))
     return joined.select(*measured.columns, (~F.col("base_failed") & within).alias("kept"))
 

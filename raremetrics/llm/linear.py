@@ -25,7 +25,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = known.withColumn("rate", of).filter(draw < F.col("rate"))
     # at most the sum of per_class rows in expectation, whatever the input: safe to broadcast
-    return docs.join(F.broadcast(chosen), "doc_id").select(
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         "doc_id", "text", F.col("label").cast("int").alias("label"), (1 / F.col("rate")).alias("weight"))
 
 

@@ -5,8 +5,8 @@ Plan per fit:
    distinct values), one pass for the sum-to-zero constraint of each smooth;
 2. the model frame (only the model columns) is checkpointed to the shared folder;
 3. each IRLS pass is ONE Spark job: tasks build their design rows in numpy
-   (Arrow batches via ``mapInPandas``) and emit partial XᵀWX, XᵀWz and deviance, which
-   are summed by a (group, index) aggregate — map-side combined, so only
+   (Arrow batches via ``mapInPandas``) and emit one array per group (partial XᵀWX, XᵀWz
+   and deviance), which :mod:`.partials` adds: the shuffled rows do not depend on p, and
    groups × (p² + p + 2) numbers reach the driver;
 4. the driver solves (XᵀWX + Σλ_j S_j) β = XᵀWz and updates each λ_j by the
    Fellner–Schall rule λ_j ← (rank S_j − λ_j tr(V S_j)) / βᵀS_jβ (Wood & Fasiolo 2017).
@@ -25,11 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import families
+from . import families, partials
 from .splines import CubicBasis, place_knots_probs, sum_to_zero
 from ..functions.distributions import chi2_sf_scalar
 from ..operators.quantiles import exact_quantiles
-from ..session import compute_partitions, ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 
 
 # ----------------------------------------------------------------------------- terms
@@ -218,18 +218,16 @@ def _partials_fn(design: Design, fam, betas: dict | None, y_col: str, off_col: s
                 acc[gi, p * p:p * p + p] += XW.T @ z
                 acc[gi, -2] += fam.deviance(yg, mu, wg)
                 acc[gi, -1] += wg.sum()
-        gi, ii = np.nonzero(acc)
-        yield pd.DataFrame({"g": gi.astype(np.int32), "i": ii.astype(np.int32), "v": acc[gi, ii]})
+        yield partials.rows({i: a for i, a in enumerate(acc) if a[-1]}, partials.task())
     return fn, size
 
 
 def _run_pass(frame: DataFrame, design, fam, betas, y_col, off_col, w_col, g_col, groups, hinvs=None, boot=None):
     fn, size = _partials_fn(design, fam, betas, y_col, off_col, w_col, g_col, groups, hinvs, boot)
-    rows = (frame.mapInPandas(fn, "g int, i int, v double")
-            .groupBy("g", "i").agg(F.sum("v").alias("v")).collect())
+    found = partials.summed(frame.mapInPandas(fn, partials.SCHEMA), frame.rdd.getNumPartitions())
     out = np.zeros((len(groups), size))
-    for r in rows:
-        out[r["g"], r["i"]] = r["v"]
+    for i, sums in found.items():
+        out[i] = sums
     p = design.p
     return [(o[:p * p].reshape(p, p), o[p * p:p * p + p], o[-2], o[-1]) for o in out]
 
@@ -312,8 +310,7 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
         cols.add(poisson_boot[0])
     g_col = group or "__g"
     base = df if group else df.withColumn("__g", F.lit(0))
-    frame = (base.select(g_col, *sorted(cols)).dropna()
-             .repartition(compute_partitions(spark)).checkpoint(eager=True))
+    frame = spread(base.select(g_col, *sorted(cols)).dropna())
     design = design or _setup_design(frame, terms)
     terms = design.terms
     groups = sorted(r[0] for r in frame.select(g_col).distinct().collect())

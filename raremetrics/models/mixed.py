@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gam import Design, _setup_design
-from ..session import compute_partitions, ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, spread
 
 
 @dataclass
@@ -106,7 +106,7 @@ def fit_random_intercept(df: DataFrame, response: str, terms: list, group: str)
     """REML fit of response ~ fixed terms + (1 | group)."""
     ensure_checkpoint_dir(df.sparkSession)
     cols = sorted({response, group, *(t.col for t in terms)})
-    frame = df.select(*cols).dropna().repartition(compute_partitions(df.sparkSession)).checkpoint(eager=True)
+    frame = spread(df.select(*cols).dropna())
     design = _setup_design(frame, terms)
     XtX, Xty, yty, N, per = _stats(frame, design, response, group)
     keys = sorted(per)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classes import missing_flag
-from ..session import compute_partitions
+from ..session import spread
 
 
 def impute_bagged(df: DataFrame, target: str, features: list[str], n_trees: int = 10, seed: int = 666,
@@ -22,8 +22,7 @@ def impute_bagged(df: DataFrame, target: str, features: list[str], n_trees: int
     """
     flagged = df.withColumns({f"{target}_missing": missing_flag(target), f"{target}_ori": F.col(target)})
     va = VectorAssembler(inputCols=features, outputCol="__feat", handleInvalid="keep")
-    train = va.transform(flagged.filter(F.col(target).isNotNull())).repartition(
-        compute_partitions(df.sparkSession))
+    train = spread(va.transform(flagged.filter(F.col(target).isNotNull())).select(target, "__feat"))
     rf = RandomForestRegressor(featuresCol="__feat", labelCol=target, numTrees=n_trees, bootstrap=True,
                                featureSubsetStrategy="all", subsamplingRate=1.0, maxDepth=max_depth, seed=seed)
     model = rf.fit(train)

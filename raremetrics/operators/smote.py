@@ -8,12 +8,9 @@ majority class is sampled with replacement to perc.under/100 × #synthetic rows.
 Distances use numeric attributes scaled by their minority range, plus 1 for each
 nominal attribute that differs.
 
-Exact neighbours without an all-pairs product: rows are blocked on a grid over three
-numeric dimensions. A query's candidates are the minority points in its own and the
-26 adjacent cells, and its k-th candidate distance ≤ the cell side proves the result
-exact (every point outside those cells is farther in the blocking dimensions alone).
-Unverified queries are retried with a doubled cell side, starting fine, so dense
-regions resolve early with few candidates; the last round's cells span everything.
+Neighbours are exact (:mod:`.neighbours`): a bounded tree over nominal levels and numeric
+ranges, in which rows of other levels are read only where a row's own levels hold too few
+within distance 1.
 Random choices are md5-keyed hashes, reproducible on any layout.
 """
 
@@ -24,8 +21,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import sampling
-from ..session import ensure_checkpoint_dir
+from . import neighbours, sampling
 
 
 def _u(id_col: str, seed, tag: str) -> F.Column:
@@ -34,57 +30,18 @@ def _u(id_col: str, seed, tag: str) -> F.Column:
     return sampling.hash_int(h, 13).cast("double") / F.lit(float(16 ** 13))
 
 
-def knn_minority(m: DataFrame, id_col: str, numeric: list[str], nominal: list[str], k: int = 5,
-                 block: list[str] | None = None, start_side: float = 1.0 / 256) -> DataFrame:
+def knn_minority(m: DataFrame, id_col: str, numeric: list[str], nominal: list[str], k: int = 5) -> DataFrame:
     """Exact k nearest neighbours (other rows) within ``m``; returns (id, nb_id, dist, rank).
 
     ``numeric`` columns must already be scaled to [0, 1]."""
-    block = (block or numeric)[:3]
-    spark = m.sparkSession
-    ensure_checkpoint_dir(spark)
-    pts = m.select(F.col(id_col).alias("__id"), *numeric, *nominal).checkpoint(eager=True)
-    queries = pts.select("__id")
-    found = None
-    side = start_side
-    offsets = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)][: 3 ** len(block)]
-    if len(block) < 3:
-        offsets = sorted({o[:len(block)] for o in offsets})
-    while True:
-        last = side >= 1.0
-        cells = {f"__c{i}": F.floor(F.col(b) / F.lit(side)).cast("long") for i, b in enumerate(block)}
-        P = pts.withColumns(cells)
-        Q = (pts.join(queries, "__id", "left_semi").withColumns(cells)
-             .withColumn("__off", F.explode(F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets]))))
-        Q = Q.select(F.col("__id").alias("__q"), *[F.col(c).alias(f"__q_{c}") for c in numeric + nominal],
-                     *[(F.col(f"__c{i}") + F.col("__off")[i]).alias(f"__c{i}") for i in range(len(block))])
-        cand = Q.join(P, on=[f"__c{i}" for i in range(len(block))], how="inner").filter(F.col("__q") != F.col("__id"))
-        d2 = F.lit(0.0)
-        for c in numeric:
-            d2 = d2 + (F.col(f"__q_{c}") - F.col(c)) ** 2
-        for c in nominal:
-            d2 = d2 + F.when(F.col(f"__q_{c}").eqNullSafe(F.col(c)), F.lit(0.0)).otherwise(F.lit(1.0))
-        w = Window.partitionBy("__q").orderBy("__dist", "__id")
-        top = (cand.select("__q", "__id", F.sqrt(d2).alias("__dist"))
-               .withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= k))
-        stat = top.groupBy("__q").agg(F.max("__dist").alias("__kd"), F.count(F.lit(1)).alias("__nk"))
-        ok = stat.filter((F.col("__nk") == k) & (F.col("__kd") <= F.lit(side))) if not last else stat
-        good = top.join(ok.select("__q"), "__q", "left_semi").checkpoint(eager=True)
-        found = good if found is None else found.unionByName(good)
-        queries = queries.join(good.select(F.col("__q").alias("__id")).distinct(), "__id", "left_anti") \
-                         .checkpoint(eager=True)
-        if last or queries.isEmpty():
-            break
-        side *= 2.0
-    return found.select(F.col("__q").alias(id_col), F.col("__id").alias("nb_id"),
-                        F.col("__dist").alias("dist"), F.col("__rank").alias("rank"))
+    return neighbours.nearest(m, id_col, numeric, nominal, k)
 
 
 def smote(df: DataFrame, label: str, id_col: str, numeric: list[str], nominal: list[str],
-          perc_over: int = 100, perc_under: int = 200, k: int = 5, seed=666,
-          block: list[str] | None = None) -> DataFrame:
+          perc_over: int = 100, perc_under: int = 200, k: int = 5, seed=666) -> DataFrame:
     """Q6: balanced frame = sampled majority rows + minority rows + synthetic minority rows.
 
-    Adds ``synthetic`` (bool). perc_over must be a multiple of 100 here (the call in
+    Adds ``synthetic`` (bool) and ``draw``, which counts the draws of one majority row. perc_over must be a multiple of 100 here (the call in
     the reference uses 100)."""
     if perc_over % 100 != 0 or perc_over <= 0:
         raise ValueError("perc_over must be a positive multiple of 100")
@@ -98,11 +55,12 @@ def smote(df: DataFrame, label: str, id_col: str, numeric: list[str], nominal: l
         *[((F.col(c) - F.col(f"__lo_{c}")) / F.when(F.col(f"__hi_{c}") > F.col(f"__lo_{c}"),
                                                      F.col(f"__hi_{c}") - F.col(f"__lo_{c}")).otherwise(F.lit(1.0)))
           .alias(c) for c in numeric])
-    nn = knn_minority(scaled, id_col, numeric, nominal, k, block)
+    nn = knn_minority(scaled, id_col, numeric, nominal, k)
+    held = max(1, min(k, counts[minority] - 1))  # a class of k rows or fewer has no k others
     # synthetic rows: replicate r = 1..n_new, pick neighbour rank by hash, interpolate
     base = mino.withColumn("__r", F.explode(F.sequence(F.lit(1), F.lit(n_new))))
     base = base.withColumn("__key", F.concat_ws("#", F.col(id_col).cast("string"), F.col("__r").cast("string")))
-    base = base.withColumn("__pick", (F.lit(1) + F.floor(_u("__key", seed, "nb") * F.lit(float(k)))).cast("int"))
+    base = base.withColumn("__pick", (F.lit(1) + F.floor(_u("__key", seed, "nb") * F.lit(float(held)))).cast("int"))
     nb = mino.select(F.col(id_col).alias("nb_id"), *[F.col(c).alias(f"__nb_{c}") for c in numeric + nominal])
     j = (base.join(nn.select(id_col, "nb_id", F.col("rank").alias("__pick")), on=[id_col, "__pick"], how="inner")
          .join(nb, on="nb_id", how="inner"))
@@ -135,5 +93,6 @@ def smote(df: DataFrame, label: str, id_col: str, numeric: list[str], nominal: l
     sampled = (target.groupBy("rank").agg(F.count(F.lit(1)).alias("__times"))
                .join(ranked, on="rank", how="inner")
                .withColumn("__t", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-               .select(*df.columns).withColumn("synthetic", F.lit(False)))
-    return sampled.unionByName(mino.withColumn("synthetic", F.lit(False))).unionByName(synthetic)
+               .select(*df.columns, F.lit(False).alias("synthetic"), F.col("__t").alias("draw")))
+    once = mino.withColumn("synthetic", F.lit(False)).unionByName(synthetic).withColumn("draw", F.lit(1))
+    return sampled.unionByName(once)

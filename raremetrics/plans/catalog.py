@@ -853,12 +853,108 @@ def q_smote_balance(spark, d):
     m = m.select("shot_id", "yrs", "season", "vessel", "hrs", "lat", "lon", "depth", "mn",
                  F.col("narrow").cast("double").alias("n"), (F.col("narrow") > 0).cast("int").alias("presence"))
     out = smote_op.smote(m, "presence", "shot_id", ["n", "hrs", "lat", "lon", "depth", "mn"],
-                         ["yrs", "season", "vessel"], 100, 200, k=5, seed=666, block=["hrs", "lat", "lon"])
+                         ["yrs", "season", "vessel"], 100, 200, k=5, seed=666)
     return out.groupBy("presence", "synthetic").agg(
         F.count(F.lit(1)).alias("rows"), F.avg("hrs").alias("mean_hrs"), F.avg("lon").alias("mean_lon"),
         F.avg("n").alias("mean_n"), F.count_distinct("vessel").alias("vessels"))
 
 
+# --------------------------------------------------------------------------- boosted trees (G10, G11) and all presence models
+from ..models import boost  # noqa: E402
+
+PRESENCE_FACTORS = ["yrs", "season", "vessel", "day_night"]
+PRESENCE_NUMERIC = ["hrs", "lat", "lon", "depth", "mn", "start_hour"]
+
+
+def _presence_long(spark, d):
+    """One row per (species, shot) that models are fitted to, with all predictors and ``presence``."""
+    m = derive.with_classes(index_plan.model_frame(spark, d))
+    keep = ["shot_id", *PRESENCE_FACTORS, *PRESENCE_NUMERIC]
+    return m.select(*keep, *SPECIES).unpivot(keep, SPECIES, "species", "n").withColumn("presence", (F.col("n") > 0).cast("int"))
+
+
+def _with_folds(long, repeats):
+    """A column of stratified folds 1..10 for each repeat."""
+    per = sampling.cv_folds(long.select("species", "presence", "shot_id"), ["species", "presence"], "shot_id", 10, repeats, 666)
+    wide = per.groupBy("species", "shot_id").agg(*[F.max(F.when(F.col("repeat") == r, F.col("fold"))).alias(f"fold{r}")
+                                                   for r in range(1, repeats + 1)])
+    return long.join(wide, ["species", "shot_id"])
+
+
+def _split_long(spark, d):
+    """``_presence_long`` with the 70/30 split of each species and class, written once."""
+    return sampling.stratified_split(_presence_long(spark, d), ["species", "presence"], "shot_id", 0.7, 666).checkpoint(eager=True)
+
+
+@query("boosted_cv")
+def q_boosted_cv(spark, d):
+    """G11 + M11: boosted trees of the 70 % part of each species over tree size x number of trees,
+    10 folds x 3 repeats: held-out AUC of every cell (mean, sd, quartiles), and the best cell (rows-only)."""
+    train = _split_long(spark, d).filter(F.col("split") == "train")
+    folds = _with_folds(train, 3).checkpoint(eager=True)
+    aucs, _ = boost.tune(folds, "shot_id", "species", "presence", PRESENCE_NUMERIC, PRESENCE_FACTORS, ["fold1", "fold2", "fold3"], 10)
+    aucs = aucs.checkpoint(eager=True)
+    cells = boost.chosen(aucs).join(evaluate.resample_summary(aucs, ["group", "size", "trees"], ["auc"]), ["group", "size", "trees"])
+    return cells.drop("auc_mean").withColumnRenamed("group", "species")
+
+
+@query("boosted_grown")
+def q_boosted_grown(spark, d):
+    """Trees of five splits at rate 0.01 on shots under 6 h, grown by 50 until the ten folds'
+    held-out deviance falls no more: the deviance curve of each species, where it stopped and the
+    chosen number of trees (rows-only)."""
+    long = _with_folds(_presence_long(spark, d).filter(F.col("hrs") < 6), 1).checkpoint(eager=True)
+    curve, _ = boost.grown(long, "shot_id", "species", "presence", PRESENCE_NUMERIC, PRESENCE_FACTORS, "fold1")
+    return spark.createDataFrame(curve.rename(columns={"group": "species"}))
+
+
+def _smoted(spark, train):
+    """SMOTE of each species' training rows (perc.over 100, perc.under 200, k 5) with new row ids."""
+    parts = []
+    for species in SPECIES:
+        own = train.filter(F.col("species") == species).withColumn("n", F.col("n").cast("double")).drop("split")
+        own = own.withColumns({c: F.col(c).cast("double") for c in PRESENCE_NUMERIC})
+        made = smote_op.smote(own, "presence", "shot_id", [*PRESENCE_NUMERIC, "n"], PRESENCE_FACTORS, 100, 200, k=5, seed=666)
+        parts.append(made.withColumn("shot_id", F.xxhash64("shot_id", "draw")).drop("draw", "synthetic"))
+    return parts[0].unionByName(parts[1]).checkpoint(eager=True)
+
+
+@query("presence_models")
+def q_presence_models(spark, d):
+    """G1, G2, G11, Q6 + M8-M10: presence models of both species on the 70 % part, binomial (effort as
+    offset) and tuned boosted trees also on its SMOTE, bias-reduced binomial on the part itself:
+    AUC and confusion at 0.5 on the 30 % (rows-only)."""
+    long = _split_long(spark, d)
+    train, test = long.filter(F.col("split") == "train"), long.filter(F.col("split") == "test")
+    smoted = _smoted(spark, train)
+    terms = [*[gam_mod.Factor(f) for f in PRESENCE_FACTORS], gam_mod.Linear("lon"), gam_mod.Linear("depth")]
+    scored = []
+
+    def keep(name, frame):
+        scored.append(frame.select("species", F.lit(name).alias("model"), F.col("presence").alias("label"), "score"))
+
+    start = None  # the bias-reduced fit starts from the plain one: with an offset, zeros are too far
+    for name, rows, firth in (("binomial", train, False), ("binomial_smote", smoted, False), ("binomial_firth", train, True)):
+        fits = gam_mod.fit_gam(rows.withColumn("p", F.col("presence").cast("double")), "p", terms, family="binomial", link="logit",
+                               group="species", offset="hrs", firth=firth, start=start if firth else None)
+        start = start or {f.group: f.beta for f in fits}
+        linear = gam_mod.predict_frame({f.group: f for f in fits}, test, "species", "eta", "se")
+        keep(name, linear.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("eta") + F.col("hrs"))))))
+    for name, rows in (("boosted", train), ("boosted_smote", smoted)):
+        folds = _with_folds(rows, 1).checkpoint(eager=True)  # one repeat chooses the cell; boosted_cv has all three
+        aucs, fit = boost.tune(folds, "shot_id", "species", "presence", PRESENCE_NUMERIC, PRESENCE_FACTORS, ["fold1"], 10, batch=10)
+        best = {r["group"]: (r["size"], r["trees"]) for r in boost.chosen(aucs).filter("best").collect()}
+        models = {m.of.group: boost.Boosted(m.of, m.start, m.trees[:best[m.of.group][1]], m.bins)
+                  for m in fit.fitted() if not m.of.repeat and m.of.size == best[m.of.group][0]}
+        keep(name, boost.score(test, models, "species"))
+    scores = scored[0]
+    for s in scored[1:]:
+        scores = scores.unionByName(s)
+    scores = scores.checkpoint(eager=True)
+    by = ["species", "model"]
+    return evaluate.auc(scores, "label", "score", by).join(evaluate.confusion(scores, "label", "score", 0.5, by), by)
+
+
 # --------------------------------------------------------------------------- sort / limit / reshape rows
 @query("distinct_years")
 def q_distinct_years(spark, d):

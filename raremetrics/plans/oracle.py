@@ -18,6 +18,7 @@ SHOTS_CTE = """shots AS (
          WHEN c_nationkey % 2 = 0 THEN concat('Vessel ', CAST(c_nationkey AS STRING))
          ELSE concat('VESSEL ', CAST(c_nationkey AS STRING)) END AS vessel,
     o_orderdate AS start_date, CAST(year(o_orderdate) AS INT) AS yr, CAST(month(o_orderdate) AS INT) AS mn,
+    CAST((o_orderkey * 7 + o_custkey) % 24 AS INT) AS start_hour,
     o_totalprice AS total_catch,
     -17.0E0 - (o_custkey % 400)/100.0E0 AS slat,
     CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE -17.0E0 - ((o_custkey+7) % 400)/100.0E0 END AS elat,

@@ -88,6 +88,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name)
 
 
+def spread(df, per_core: int = 2):
+    """``df`` checkpointed in at least a few partitions per core, for CPU-bound passes.
+
+    A frame that has more already keeps them, so partitions do not grow with the data."""
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.checkpoint(eager=True)
+    least = compute_partitions(df.sparkSession, per_core)
+    return kept if kept.rdd.getNumPartitions() >= least else kept.repartition(least).checkpoint(eager=True)
+
+
 def compute_partitions(spark: SparkSession, per_core: int = 2) -> int:
     """Partition count for CPU-bound passes (IRLS, tree training): a few tasks per core.
 

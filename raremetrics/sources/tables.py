@@ -72,7 +72,7 @@ def shot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_plan_cache
 def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per shot (order): vessel, date parts, positions, depths, effort, counts."""
+    """One row per shot (order): vessel, date parts, hour, positions, depths, effort, counts."""
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     ln = shot_lines(spark, sf_dir)
@@ -89,6 +89,8 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("o_orderdate").alias("start_date"),
                     F.year("o_orderdate").cast("int").alias("yr"),
                     F.month("o_orderdate").cast("int").alias("mn"),
+                    # order dates have no clock time: the hour comes from the keys
+                    ((ok * 7 + ck) % 24).cast("int").alias("start_hour"),
                     F.col("o_totalprice").alias("total_catch"),
                     (F.lit(-17.0) - (ck % 400) / F.lit(100.0)).alias("slat"),
                     F.when(every13, F.lit(None).cast("double"))

@@ -26,12 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import families, partials
-from .splines import CubicBasis, place_knots_probs, sum_to_zero
+from .splines import CubicBasis, ThinPlateBasis, place_knots_probs, sum_to_zero
 from ..functions.distributions import chi2_sf_scalar
 from ..operators.quantiles import exact_quantiles
 from ..session import ensure_checkpoint_dir, spread
 
 
+#: Knots of a thin-plate basis before its rank is reduced.
+TP_KNOTS = 60
+
+
 # ----------------------------------------------------------------------------- terms
 @dataclass
 class Linear:
@@ -50,6 +54,16 @@ class Smooth:
     k: int = 10
     cyclic: bool = False
     knots: list | None = None
+    basis: str = "cr"  # cubic with k knots, or "tp": thin-plate of rank k on up to TP_KNOTS knots
+
+    def probs(self) -> list[float]:
+        """Where the knots lie among the distinct values."""
+        return place_knots_probs(TP_KNOTS if self.basis == "tp" else self.k)
+
+    def raw(self):
+        if self.basis not in ("cr", "tp") or self.basis == "tp" and self.cyclic:
+            raise ValueError(f"no such basis: {self.basis}{' (cyclic)' if self.cyclic else ''}")
+        return ThinPlateBasis(self.knots, self.k) if self.basis == "tp" else CubicBasis(self.knots, cyclic=self.cyclic)
 
 
 @dataclass
@@ -59,7 +73,7 @@ class Design:
     names: list = field(default_factory=list)
     blocks: dict = field(default_factory=dict)      # term label -> slice
     penalties: list = field(default_factory=list)   # (label, slice, S, rank)
-    bases: dict = field(default_factory=dict)       # smooth col -> (CubicBasis, Z)
+    bases: dict = field(default_factory=dict)       # smooth col -> (basis, Z)
 
     @property
     def p(self):
@@ -107,13 +121,13 @@ def _setup_design(df: DataFrame, terms: list) -> Design:
         cols = [t.col for t in need_kn]
         uniq = (df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "__s", "v")
                 .dropna().distinct())
-        probs = sorted({p for t in need_kn for p in place_knots_probs(t.k)})
+        probs = sorted({p for t in need_kn for p in t.probs()})
         q = exact_quantiles(uniq, "v", probs, ["__s"]).collect()
         for t in need_kn:
-            want = set(place_knots_probs(t.k))
+            want = set(t.probs())
             t.knots = sorted(set(float(r["quantile"]) for r in q if r["__s"] == t.col and r["prob"] in want))
     smooths = [t for t in terms if isinstance(t, Smooth)]
-    raw = {t.col: CubicBasis(t.knots, cyclic=t.cyclic) for t in smooths}
+    raw = {t.col: t.raw() for t in smooths}
     if smooths:
         # column sums of each raw basis over the data: one pass, summed per index
         cols = [t.col for t in smooths]
@@ -326,6 +340,7 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
     if start:
         betas = [np.asarray(start.get(g, next(iter(start.values()))), dtype=float) for g in groups]
     dev_old = [np.inf] * len(groups)
+    accepted = [(np.inf, None)] * len(groups)  # Firth: criterion and coefficients of the last step
     state = {}
     converged = [False] * len(groups)
     it = 0
@@ -334,9 +349,17 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
         if firth:
             if betas is None:
                 betas = [np.zeros(p) for _ in groups]
-            # hat values need (X'WX)^-1 at the current beta: one extra pass per iteration
-            pre = _run_pass(frame, design, fam, betas, response, offset, weight, g_col, groups,
-                            boot=poisson_boot)
+            # hat values need (X'WX)^-1 at the current beta: one extra pass per iteration, and one
+            # more for every halving of a step that lowers the penalised likelihood
+            for _ in range(20):
+                pre = _run_pass(frame, design, fam, betas, response, offset, weight, g_col, groups,
+                                boot=poisson_boot)
+                crit = [h[2] - np.linalg.slogdet(h[0])[1] for h in pre]
+                worse = [i for i, (c, (old, _)) in enumerate(zip(crit, accepted)) if not c <= old + 1e-7 * (1 + abs(old))]
+                if not worse:
+                    break
+                betas = [(b + accepted[i][1]) / 2 if i in worse else b for i, b in enumerate(betas)]
+            accepted = list(zip(crit, betas))
             hinvs = [np.linalg.pinv(h[0]) for h in pre]
         parts = _run_pass(frame, design, fam, betas, response, offset, weight, g_col, groups, hinvs,
                           poisson_boot)

@@ -1,4 +1,4 @@
-"""Cubic regression spline bases (natural and cyclic) with their wiggliness penalties.
+"""Spline bases with their wiggliness penalties: cubic (natural and cyclic) and thin-plate.
 
 A cubic spline is parameterised by its values β at the knots; second derivatives δ at
 the knots solve B δ = D β, so the value at x is linear in β:
@@ -112,6 +112,45 @@ class CubicBasis:
         return r
 
 
+class ThinPlateBasis:
+    """Rank-reduced thin-plate regression spline of one variable (Wood 2003), second-derivative penalty.
+
+    A thin-plate spline on knots is f(x) = Σ δ_i |x − x_i|³ / 12 + a + b x with Σ δ_i = Σ δ_i x_i = 0, and
+    ∫f''² = δᵀEδ for E_ij = |x_i − x_j|³ / 12.  Of the δ only the space of the ``k`` largest eigenvalues of E
+    is kept (in magnitude), which changes the fit least; the constraint leaves ``k`` − 2
+    penalised coefficients, and constant and slope follow them.  ``x`` is in units of the knots' range.
+    """
+
+    cyclic = False
+
+    def __init__(self, knots, k: int):
+        self.knots = np.unique(np.asarray(knots, dtype=float))
+        if len(self.knots) < 3:
+            raise ValueError("a thin-plate spline needs three knots at least")
+        self.centre, self.scale = self.knots.mean(), np.ptp(self.knots)
+        at = self._unit(self.knots)
+        k = min(max(k, 3), len(at))
+        e, u = np.linalg.eigh(np.abs(at[:, None] - at[None, :]) ** 3 / 12)
+        largest = np.argsort(-np.abs(e), kind="stable")[:k]
+        e, u = e[largest], u[:, largest]
+        constraint = np.stack([np.ones(len(at)), at], axis=1).T @ u
+        free = np.linalg.svd(constraint)[2][2:].T
+        self.weights = u @ free
+        self.n_coef = k
+        self.S = np.zeros((k, k))
+        self.S[:k - 2, :k - 2] = free.T @ (e[:, None] * free)
+        self.S = (self.S + self.S.T) / 2
+
+    def _unit(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.centre) / self.scale
+
+    def evaluate(self, x: np.ndarray) -> np.ndarray:
+        """Basis matrix (len(x) × n_coef); linear beyond the knots, as the constraint on δ makes it."""
+        at, knots = self._unit(np.asarray(x, dtype=float)), self._unit(self.knots)
+        bent = np.abs(at[:, None] - knots[None, :])
+        return np.column_stack([bent ** 3 / 12 @ self.weights, np.ones(len(at)), at])
+
+
 def sum_to_zero(col_sums: np.ndarray) -> np.ndarray:
     """Null-space basis Z (k × k−1) of the constraint cᵀβ = 0 (Householder, as in QR)."""
     c = np.asarray(col_sums, dtype=float)

@@ -6,6 +6,7 @@ DuckDB oracle in ``oracle.py`` regardless of summation order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -400,8 +401,7 @@ def q_overdispersion(spark, d):
     """G3 + G5: Poisson GAM per species, then the dispersion estimate α (rows-only)."""
     m = index_plan.model_frame(spark, d).checkpoint(eager=True)
     long = index_plan.long_frame(m)
-    terms = [gam_mod.Smooth("mn", 12, cyclic=True), gam_mod.Linear("hrs"), gam_mod.Factor("yrs"),
-             gam_mod.Smooth("lon", 10)]
+    terms = index_plan.count_terms()
     fits = gam_mod.fit_gam(long, "n", terms, family="poisson", group="species")
     pred = gam_mod.predict_frame({f.group: f for f in fits}, long, "species", "eta", "se")
     return zeroinfl.overdispersion(pred.withColumn("mu", F.exp("eta")), "n", "mu", ["species"])
@@ -626,12 +626,11 @@ def q_cv_resample_summary(spark, d):
 
 @query("negbin_gam")
 def q_negbin_gam(spark, d):
-    """Negative-binomial GAM per species with θ by moments (rows-only)."""
+    """Negative-binomial GAM per species with θ by maximum likelihood (rows-only)."""
     import pandas as pd
     m = index_plan.model_frame(spark, d).checkpoint(eager=True)
     long = index_plan.long_frame(m)
-    terms = [gam_mod.Smooth("mn", 12, cyclic=True), gam_mod.Linear("hrs"), gam_mod.Factor("yrs"),
-             gam_mod.Smooth("lon", 10)]
+    terms = index_plan.count_terms()
     res = zeroinfl.fit_negbin_gam(long, "n", terms, group="species", rounds=2)
     rows = [{"species": g, "theta": th, "deviance": f.deviance, "edf": float(f.edf.sum()),
              "iterations": f.iterations, "converged": f.converged} for g, (f, th) in res.items()]
@@ -842,6 +841,22 @@ def q_zip_glm(spark, d):
     return spark.createDataFrame(pd.concat(frames, ignore_index=True))
 
 
+
+@query("zinb_glm")
+def q_zinb_glm(spark, d):
+    """Zero-inflated negative-binomial GLM per species, count ~ month | zero ~ month, with θ (rows-only)."""
+    import pandas as pd
+    long = index_plan.long_frame(index_plan.model_frame(spark, d))
+    fits = zip_mixture.fit_zip(long, "n", [gam_mod.Linear("mn")], [gam_mod.Linear("mn")], group="species", family="negbin")
+    frames = []
+    for g, f in fits.items():
+        c = f.coefficients()
+        c.insert(0, "species", g)
+        c["theta"], c["loglik"], c["iterations"], c["converged"] = f.theta, f.loglik, f.iterations, f.converged
+        frames.append(c)
+    return spark.createDataFrame(pd.concat(frames, ignore_index=True))
+
+
 from ..operators import smote as smote_op  # noqa: E402
 
 
@@ -933,11 +948,14 @@ def q_presence_models(spark, d):
     def keep(name, frame):
         scored.append(frame.select("species", F.lit(name).alias("model"), F.col("presence").alias("label"), "score"))
 
-    start = None  # the bias-reduced fit starts from the plain one: with an offset, zeros are too far
+    # the bias-reduced fit starts from the presence rate alone: with an offset, zeros are too far
+    rate = train.groupBy("species").agg(F.avg("presence").alias("p"), F.avg("hrs").alias("hrs")).collect()
+    begin = {r["species"]: math.log(r["p"] / (1 - r["p"])) - r["hrs"] for r in rate}
+    start = None
     for name, rows, firth in (("binomial", train, False), ("binomial_smote", smoted, False), ("binomial_firth", train, True)):
         fits = gam_mod.fit_gam(rows.withColumn("p", F.col("presence").cast("double")), "p", terms, family="binomial", link="logit",
                                group="species", offset="hrs", firth=firth, start=start if firth else None)
-        start = start or {f.group: f.beta for f in fits}
+        start = start or {f.group: [begin[f.group]] + [0.0] * (f.design.p - 1) for f in fits}
         linear = gam_mod.predict_frame({f.group: f for f in fits}, test, "species", "eta", "se")
         keep(name, linear.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("eta") + F.col("hrs"))))))
     for name, rows in (("boosted", train), ("boosted_smote", smoted)):

@@ -24,9 +24,9 @@ INDEX_TERMS = {"yrs": None, "mn": 0.1, "lon": 0.1, "hrs": 0.1}
 
 
 def presence_terms():
-    """s(month, cyclic, k=12) + hours + year factor + s(longitude) + vessel factor."""
+    """s(month, cyclic, k=12) + hours + year factor + s(longitude, thin-plate) + vessel factor."""
     return [gam.Smooth("mn", 12, cyclic=True), gam.Linear("hrs"), gam.Factor("yrs"),
-            gam.Smooth("lon", 10), gam.Factor("vessel")]
+            gam.Smooth("lon", 10, basis="tp"), gam.Factor("vessel")]
 
 
 def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +39,15 @@ def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("yrs", F.col("yr").cast("string"))
 
 
+def count_terms():
+    """s(month, cyclic, k=12) + hours + year factor + s(longitude, thin-plate) + s(start hour, cyclic, k=24)."""
+    return [gam.Smooth("mn", 12, cyclic=True), gam.Linear("hrs"), gam.Factor("yrs"), gam.Smooth("lon", 10, basis="tp"),
+            gam.Smooth("start_hour", 24, cyclic=True)]
+
+
 def long_frame(m: DataFrame) -> DataFrame:
     """One row per (species, shot) with the species count in ``n``."""
-    cols = ["shot_id", "yrs", "vessel", "mn", "hrs", "lon"]
+    cols = ["shot_id", "yrs", "vessel", "mn", "start_hour", "hrs", "lon"]
     return m.select(*cols, *SPECIES).unpivot(cols, SPECIES, "species", "n")
 
 

@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import functions as F
@@ -207,3 +209,67 @@ def test_chi_square_tail_matches_table_values():
                          (6.634897, 1, 0.01), (124.342113, 100, 0.05)]:
         assert abs(chi2_sf_scalar(stat, dof) - p) < 1e-6
     assert abs(norm_sf_scalar(1.959964) - 0.025) < 1e-6
+
+
+def test_thin_plate_of_full_rank_is_the_natural_smoothing_spline():
+    """With as many coefficients as knots the penalised fit equals that of the natural cubic basis."""
+    from raremetrics.models.splines import ThinPlateBasis
+
+    r = np.random.default_rng(4)
+    knots = np.sort(r.uniform(110, 122, 12))
+    x = r.uniform(knots[0], knots[-1], 200)
+    y = np.sin(x) + 0.1 * r.normal(size=200)
+    natural, plate = CubicBasis(knots), ThinPlateBasis(knots, 12)
+    new = np.linspace(knots[0] - 2, knots[-1] + 2, 90)  # linear beyond the knots
+    fits = []
+    for basis, lam in ((natural, 0.3), (plate, 0.3 / np.ptp(knots) ** 3)):
+        X = basis.evaluate(x)
+        fits.append(basis.evaluate(new) @ np.linalg.solve(X.T @ X + lam * basis.S, X.T @ y))
+    assert np.allclose(fits[0], fits[1], atol=1e-6)
+
+
+def test_thin_plate_of_low_rank(spark):
+    from raremetrics.models.splines import ThinPlateBasis
+
+    r = np.random.default_rng(5)
+    knots = np.linspace(0, 1, 60)
+    basis = ThinPlateBasis(knots, 10)
+    e = np.linalg.eigvalsh(basis.S)
+    assert basis.n_coef == 10 and e.min() > -1e-10 and (e > 1e-10).sum() == 8
+    # the penalty is the integral of the squared second derivative, by differences
+    b = r.normal(size=10)
+    grid = np.linspace(0, 1, 20_001)
+    f = basis.evaluate(grid) @ b
+    bend = np.diff(f, 2) / (grid[1] - grid[0]) ** 2
+    assert b @ basis.S @ b == pytest.approx((bend**2).sum() * (grid[1] - grid[0]), rel=1e-2)
+    # its best fit of a smooth curve is close
+    y = np.exp(np.sin(5 * grid[::50]))
+    X = basis.evaluate(grid[::50])
+    assert np.abs(X @ np.linalg.lstsq(X, y, rcond=None)[0] - y).max() < 0.03
+    x = r.uniform(0, 10, 800)
+    y = r.poisson(np.exp(0.5 + np.sin(x)))
+    df = spark.createDataFrame([(float(a), int(c)) for a, c in zip(x, y, strict=True)], "x double, y int")
+    fits = {k: gam.fit_gam(df, "y", [gam.Smooth("x", 12, basis=k)], family="poisson")[0] for k in ("tp", "cr")}
+    at = pd.DataFrame({"x": np.linspace(0.5, 9.5, 40)})
+    curves = {k: f.eta_se(at)[0] for k, f in fits.items()}
+    assert all(f.converged for f in fits.values())
+    assert np.abs(curves["tp"] - (0.5 + np.sin(at.x))).max() < 0.35 and np.abs(curves["tp"] - curves["cr"]).max() < 0.25
+
+
+def test_firth_with_offset_and_a_separated_level(spark):
+    """Coefficients stay finite and solve Firth's score equations, also from a start far from them."""
+    r = np.random.default_rng(9)
+    n = 400
+    x, o, f = r.normal(size=n), r.uniform(1, 7, n), r.choice(list("abc"), n)
+    y = (r.uniform(size=n) < 1 / (1 + np.exp(-(-6 + 0.7 * x + o)))).astype(int)
+    y[f == "c"] = 0  # a level without any presence
+    df = spark.createDataFrame([(float(a), float(b), str(c), float(d)) for a, b, c, d in zip(x, o, f, y, strict=True)], "x double, o double, f string, y double")
+    X = np.column_stack([np.ones(n), x, f == "b", f == "c"]).astype(float)
+    for start in (None, {0: [-6.0, 0, 0, 0]}):
+        fit = gam.fit_gam(df, "y", [gam.Linear("x"), gam.Factor("f")], family="binomial", link="logit", offset="o", firth=True,
+                          factor_ridge=0.0, start=start, tol=1e-12)[0]
+        mu = 1 / (1 + np.exp(-(X @ fit.beta + o)))
+        w = mu * (1 - mu)
+        hat = w * np.einsum("ij,jk,ik->i", X, np.linalg.inv(X.T @ (X * w[:, None])), X)
+        assert fit.converged and np.abs(X.T @ (y - mu + hat * (0.5 - mu))).max() < 1e-4
+        assert -12 < fit.beta[3] < -2

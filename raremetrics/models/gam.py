@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import families, partials
+from . import families, partials, resample
 from .splines import CubicBasis, ThinPlateBasis, place_knots_probs, sum_to_zero
 from ..functions.distributions import chi2_sf_scalar
 from ..operators.quantiles import exact_quantiles
@@ -192,6 +192,7 @@ def _partials_fn(design: Design, fam, betas: dict | None, y_col: str, off_col: s
 
     def fn(it):
         acc = np.zeros((len(groups), size))
+        exact = boot.task() if isinstance(boot, resample.Draws) else None
         for pdf in it:
             if len(pdf) == 0:
                 continue
@@ -200,13 +201,14 @@ def _partials_fn(design: Design, fam, betas: dict | None, y_col: str, off_col: s
             off = pdf[off_col].to_numpy(dtype=float) if off_col else np.zeros(len(pdf))
             w0 = pdf[w_col].to_numpy(dtype=float) if w_col else np.ones(len(pdf))
             g = pdf[g_col].to_numpy()
-            pw = poisson_weights(pdf[boot[0]].to_numpy(), boot[1], boot[2]) if boot else None
+            pw = exact.weights(pdf) if exact else poisson_weights(pdf[boot[0]].to_numpy(), boot[1], boot[2]) if boot else None
+            replicates = pw.shape[1] if boot else 0
             units = []
             for gv in np.unique(g):
                 m = g == gv
                 key = gv.item() if hasattr(gv, "item") else gv
                 if boot:
-                    units += [(gidx[(key, b)], m, pw[m, b]) for b in range(boot[1])]
+                    units += [(gidx[(key, b)], m, pw[m, b]) for b in range(replicates)]
                 else:
                     units.append((gidx[key], m, None))
             for gi, m, bw in units:
@@ -296,7 +298,7 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
             max_iter: int = 100, tol: float = 1e-8, factor_ridge: float = 1e-6,
             theta: float | None = None, select_lambda: bool = True, design: Design | None = None,
             start: dict | None = None, lambdas: dict | None = None, firth: bool = False,
-            poisson_boot: tuple | None = None) -> list[GamFit]:
+            poisson_boot: tuple | None = None, exact_boot: resample.Draws | None = None) -> list[GamFit]:
     """Fit one penalised GLM per ``group`` value (one model if ``group`` is None).
 
     Returns one GamFit per group (order of sorted group values). Failed or
@@ -309,7 +311,10 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
     ``poisson_boot=(id_col, B, seed)`` fits B Poisson-bootstrap replicates of every group
     in the same passes: each row's Poisson(1) weights are generated inside the tasks
     from its id (nothing is expanded or joined); fits are keyed (group, replicate).
+    ``exact_boot`` does the same for stratified resampling of exact size: the draws belong to
+    the partitions of ``df``, which must be checkpointed, without nulls and have ``spread``'s partitions.
     """
+    boot = exact_boot or poisson_boot
     if firth and (family != "binomial" or (link or "logit") != "logit"):
         raise ValueError("firth=True needs family='binomial', link='logit'")
     spark = df.sparkSession
@@ -322,14 +327,16 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
         cols.add(weight)
     if poisson_boot:
         cols.add(poisson_boot[0])
+    if exact_boot:
+        cols.update(c for c in exact_boot.columns if c != group)
     g_col = group or "__g"
     base = df if group else df.withColumn("__g", F.lit(0))
     frame = spread(base.select(g_col, *sorted(cols)).dropna())
     design = design or _setup_design(frame, terms)
     terms = design.terms
     groups = sorted(r[0] for r in frame.select(g_col).distinct().collect())
-    if poisson_boot:
-        groups = [(g, b) for g in groups for b in range(poisson_boot[1])]
+    if poisson_boot or exact_boot:
+        groups = [(g, b) for g in groups for b in range(exact_boot.replicates if exact_boot else poisson_boot[1])]
     p = design.p
     lam = [list((lambdas or {}).get(g, [1.0] * len(design.penalties))) for g in groups]
     ridge = np.zeros(p)
@@ -353,7 +360,7 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
             # more for every halving of a step that lowers the penalised likelihood
             for _ in range(20):
                 pre = _run_pass(frame, design, fam, betas, response, offset, weight, g_col, groups,
-                                boot=poisson_boot)
+                                boot=boot)
                 crit = [h[2] - np.linalg.slogdet(h[0])[1] for h in pre]
                 worse = [i for i, (c, (old, _)) in enumerate(zip(crit, accepted)) if not c <= old + 1e-7 * (1 + abs(old))]
                 if not worse:
@@ -362,7 +369,7 @@ def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson",
             accepted = list(zip(crit, betas))
             hinvs = [np.linalg.pinv(h[0]) for h in pre]
         parts = _run_pass(frame, design, fam, betas, response, offset, weight, g_col, groups, hinvs,
-                          poisson_boot)
+                          boot)
         new_betas = []
         for gi, (H, r, dev, n) in enumerate(parts):
             def solve(lams):

@@ -1031,6 +1031,13 @@ def q_boot_index_poisson(spark, d):
 from ..streaming import logbook_stream  # noqa: E402
 
 
+@query("boot_index_exact")
+def q_boot_index_exact(spark, d):
+    """G18 + M5: 100 bootstrap refits of exact year sizes without copies, smoothing re-estimated in
+    each; percentile bands and the number of failed replicates (rows-only)."""
+    return index_plan.boot_index(spark, d, 100, 666, method="exact")
+
+
 @query("stream_nominal_cpue")
 def q_stream_nominal_cpue(spark, d):
     """Streaming ingestion: the shots rendered as shot-log CSV files, consumed by a

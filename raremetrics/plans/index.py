@@ -68,16 +68,25 @@ def boot_index(spark: SparkSession, sf_dir: str, replicates: int = 20, seed=666,
     """G18 + M5: bootstrap percentile bands of the index.
 
     ``stratified``: exact same-size resampling within years (the reference's scheme);
-    ``poisson``: Poisson(1) weights generated inside the fit (no data expansion)."""
+    ``poisson``: Poisson(1) weights generated inside the fit (no data expansion);
+    ``exact``: the reference's scheme without copies, smoothing re-estimated in every replicate.
+    ``n_failed`` counts a species' replicates that did not converge or drew no catch; the bands leave those out."""
     from ..models import bootstrap
     m = model_frame(spark, sf_dir).checkpoint(eager=True)
     full = fit(spark, sf_dir, m)
     long = long_frame(m)
     if method == "poisson":
         fits, loglam = bootstrap.refit_poisson_replicates(long, full, "n", "species", "shot_id", replicates, seed)
+    elif method == "exact":
+        fits, loglam = bootstrap.refit_exact_replicates(long.withColumn("n", F.col("n").cast("double")), full, "n", "species", ["yrs"],
+                                                        replicates, seed)
     else:
         fits, loglam = bootstrap.refit_replicates(long, full, "n", "n", "species", "shot_id", m, ["yr"],
                                                   replicates, seed)
     grid = effects.prediction_grid(m, INDEX_TERMS, FACTORS, ["mn", "hrs", "lon"], "rarest")
     preds = bootstrap.replicate_predictions(grid, fits, loglam, "species")
-    return bootstrap.summarise_replicates(preds, ["species", "term", "x"])
+    failed = {}
+    for g, _, converged, positive in bootstrap.statuses(fits, loglam):
+        failed[g] = failed.get(g, 0) + (not (converged and positive))
+    of = F.create_map(*[F.lit(x) for g, n in sorted(failed.items()) for x in (g, n)])
+    return bootstrap.summarise_replicates(preds, ["species", "term", "x"]).withColumn("n_failed", of[F.col("species")])

@@ -1088,3 +1088,70 @@ def q_chisq_pvalue(spark, d):
     over the effort bins (rows-only; the oracle-checked twin omits the p-value)."""
     b = bins.effort_bins(_model_frame(spark, d))
     return describe.chisq_contingency(b, "interactions", "shots")
+
+
+# --------------------------------------------------------------------------- recodes, flags, links and summaries on their own
+from ..functions import links  # noqa: E402
+from ..models import bootstrap as bootstrap_mod  # noqa: E402
+
+
+@query("vessel_recode")
+def q_vessel_recode(spark, d):
+    """Vessel names with listed values replaced, exact matches only; shots per name."""
+    s = derive.recode(_prepared(spark, d), "vessel", {"Vessel 2 II": "Vessel 2", "VESSEL 3": "Vessel 3", "vessel 4": "never"})
+    return s.groupBy("vessel").agg(F.count(F.lit(1)).alias("shots"))
+
+
+@query("missing_depth")
+def q_missing_depth(spark, d):
+    """P14 + F7: shots with and without a depth per season, and those that a cut at 100 m keeps (missing ones go)."""
+    k = derive.with_classes(_known(spark, d), hour=None).withColumn("depth_missing", C.missing_flag("depth"))
+    kept = clean.depth_cut(k, maximum=100.0).groupBy("season", "depth_missing").agg(F.count(F.lit(1)).alias("kept"))
+    return (k.groupBy("season", "depth_missing").agg(F.count(F.lit(1)).alias("shots"))
+            .join(kept, ["season", "depth_missing"], "left").withColumn("kept", F.coalesce("kept", F.lit(0))))
+
+
+@query("presence_odds")
+def q_presence_odds(spark, d):
+    """P23 + P24 + P25: presence odds per vessel and their ratio to the first vessel's, the share through
+    the inverse links, and the share cubed as p-value text."""
+    k = derive.normalise_vessel(_known(spark, d), "vessel", ADAPTER_VESSEL_ALIASES)
+    t = k.groupBy("vessel").agg(((F.sum((F.col("narrow") > 0).cast("int")) + 0.5) / (F.count(F.lit(1)) + 1.0)).alias("p"))
+    t = t.withColumn("odds", links.odds("p"))
+    first = t.agg(F.min_by("odds", "vessel").alias("base"))  # one row
+    t = t.crossJoin(F.broadcast(first)).withColumn("odds_ratio", F.col("odds") / F.col("base")).drop("base")
+    return t.withColumns({"by_logit": links.inv_logit(F.log("odds")), "by_cloglog": links.inv_cloglog(F.log("p")),
+                          "p_text": links.format_p(F.col("p") * F.col("p") * F.col("p"))})
+
+
+@query("rate_per_1000h")
+def q_rate_per_1000h(spark, d):
+    """Annual catch per hour of both species expressed per 1,000 hours."""
+    t = _known(spark, d).groupBy("yr").agg(*[(F.sum(c) / F.sum("hrs")).alias(c) for c in SPECIES])
+    return summarise.scale_per(t, SPECIES)
+
+
+@query("factor_codes")
+def q_factor_codes(spark, d):
+    """Q3: levels of season and effort class as treatment codes: place in alphabetical order, and the
+    one-hot slots left when the first level is the reference; shots per pair."""
+    from pyspark.ml.functions import vector_to_array
+    k = derive.with_classes(_known(spark, d), hour=None).select("season", "effort_class").dropna()
+    e, _ = features.encode_factors(k, ["season", "effort_class"])
+    e = e.withColumns({f: F.concat_ws(",", F.transform(vector_to_array(f"{f}_vec"), lambda v: v.cast("int").cast("string")))
+                       for f in ("season", "effort_class")} | {f"{f}_level": F.col(f) for f in ("season", "effort_class")})
+    return e.groupBy("season_level", "effort_class_level", F.col("season_idx").cast("int").alias("season_idx"),
+                     F.col("effort_class_idx").cast("int").alias("effort_class_idx"), F.col("season").alias("season_code"),
+                     F.col("effort_class").alias("effort_class_code")).agg(F.count(F.lit(1)).alias("shots"))
+
+
+@query("boot_rate_band")
+def q_boot_rate_band(spark, d):
+    """M5 + Q7: nominal catch per hour of each species in 5 stratified bootstrap replicates: median, sd,
+    CV and 2.5 and 97.5 percentiles."""
+    k = _known(spark, d)
+    drawn = sampling.bootstrap_counts(k, ["yr"], "shot_id", 5, 666).select("replicate", "shot_id", "count")
+    long = k.select("shot_id", "hrs", *SPECIES).unpivot(["shot_id", "hrs"], SPECIES, "species", "n")
+    per = long.join(drawn, "shot_id").groupBy("species", "replicate").agg(
+        (F.sum(F.col("n") * F.col("count")) / F.sum(F.col("hrs") * F.col("count"))).alias("mean"))
+    return bootstrap_mod.summarise_replicates(per, ["species"])

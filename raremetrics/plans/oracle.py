@@ -545,3 +545,60 @@ j AS (SELECT k.depth, i.depth_imp FROM known k LEFT JOIN imputed i
       ON k.shot_id IS NOT DISTINCT FROM i.shot_id AND k.slat IS NOT DISTINCT FROM i.slat AND k.slong IS NOT DISTINCT FROM i.slong)
 SELECT depth IS NULL AS was_missing, COUNT(*) AS shots, COUNT(depth_imp) AS filled, ROUND(AVG(depth_imp),6) AS mean_depth
 FROM j GROUP BY 1""")
+
+register("vessel_recode", f"""
+WITH {PREPARED_CTE}
+SELECT CASE vessel WHEN 'Vessel 2 II' THEN 'Vessel 2' WHEN 'VESSEL 3' THEN 'Vessel 3' WHEN 'vessel 4' THEN 'never' ELSE vessel END AS vessel,
+  COUNT(*) AS shots FROM prepared GROUP BY 1""")
+
+register("missing_depth", f"""
+WITH {KNOWN_CTE},
+k AS (SELECT CASE WHEN mn BETWEEN 3 AND 8 THEN 'AuWin' WHEN mn IS NOT NULL THEN 'SprSu' END AS season,
+        CASE WHEN depth IS NULL THEN 'Y' ELSE 'N' END AS depth_missing, depth FROM known)
+SELECT season, depth_missing, COUNT(*) AS shots, CAST(SUM(CASE WHEN depth < 100.0E0 THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM k GROUP BY 1, 2""")
+
+register("presence_odds", f"""
+WITH {KNOWN_CTE},
+v AS (SELECT CASE WHEN lower(vessel) = 'vessel 2 ii' THEN 'vessel 2' ELSE lower(vessel) END AS vessel, narrow FROM known),
+t AS (SELECT vessel, (SUM(CASE WHEN narrow > 0 THEN 1 ELSE 0 END) + 0.5E0) / (COUNT(*) + 1.0E0) AS p FROM v GROUP BY 1),
+o AS (SELECT *, p / (1.0E0 - p) AS odds FROM t)
+SELECT vessel, ROUND(p,6) AS p, ROUND(odds,6) AS odds, ROUND(odds / (SELECT odds FROM o ORDER BY vessel LIMIT 1),6) AS odds_ratio,
+  ROUND(1.0E0/(1.0E0+exp(-ln(odds))),6) AS by_logit, ROUND(1.0E0-exp(-exp(ln(p))),6) AS by_cloglog,
+  CASE WHEN p*p*p < 0.001E0 THEN '<0.001' ELSE CAST(ROUND(p*p*p,3) AS VARCHAR) END AS p_text FROM o""")
+
+register("rate_per_1000h", f"""
+WITH {KNOWN_CTE}
+SELECT yr, ROUND(SUM(narrow)/SUM(hrs)*1000.0E0,6) AS narrow, ROUND(SUM(green)/SUM(hrs)*1000.0E0,6) AS green FROM known GROUP BY yr""")
+
+register("boot_rate_band", f"""
+WITH {KNOWN_CTE},
+r AS (SELECT shot_id, yr, hrs, narrow, green, ROW_NUMBER() OVER (PARTITION BY yr ORDER BY md5(concat_ws(':', CAST(shot_id AS VARCHAR), '666')), shot_id) AS rk,
+        COUNT(*) OVER (PARTITION BY yr) AS n FROM known),
+slots AS (SELECT yr, rk AS slot, n, rep FROM r, range(1, 6) t(rep)),
+draws AS (SELECT yr, rep, 1 + (('0x' || substr(md5(concat_ws(':', '666', CAST(rep AS VARCHAR), CAST(yr AS VARCHAR), CAST(slot AS VARCHAR))), 1, 15))::BIGINT % n) AS rk FROM slots),
+per AS (SELECT rep, SUM(narrow)/SUM(hrs) AS narrow, SUM(green)/SUM(hrs) AS green FROM draws JOIN r ON draws.yr = r.yr AND draws.rk = r.rk GROUP BY rep),
+l AS (SELECT 'narrow' AS species, narrow AS m FROM per UNION ALL SELECT 'green', green FROM per)
+SELECT species, ROUND(quantile_cont(m, 0.5),6) AS median, ROUND(stddev_samp(m),6) AS sd, ROUND(100.0E0*stddev_samp(m)/AVG(m),6) AS cv_pct,
+  ROUND(quantile_cont(m, 0.025),6) AS low, ROUND(quantile_cont(m, 0.975),6) AS up, COUNT(*) AS n_boot FROM l GROUP BY species""")
+
+register("cv_resample_summary", f"""
+WITH {KNOWN_CTE},
+k AS (SELECT shot_id, hrs, CAST(narrow > 0 AS INT) AS presence, rep FROM known, range(1, 4) t(rep)),
+f AS (SELECT *, NTILE(10) OVER (PARTITION BY presence, rep ORDER BY md5(concat_ws(':', CAST(shot_id AS VARCHAR), '666', CAST(rep AS VARCHAR))), shot_id) AS fold FROM k),
+t AS (SELECT rep, fold, hrs AS s, SUM(presence) AS pos, SUM(1 - presence) AS neg FROM f GROUP BY rep, fold, hrs),
+c AS (SELECT *, COALESCE(SUM(neg) OVER (PARTITION BY rep, fold ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM t),
+a AS (SELECT rep, fold, SUM(pos*(neg_below + 0.5E0*neg))/(SUM(pos)*SUM(neg)) AS auc FROM c GROUP BY rep, fold)
+SELECT ROUND(MIN(auc),6) AS auc_min, ROUND(AVG(auc),6) AS auc_mean, ROUND(MAX(auc),6) AS auc_max, ROUND(quantile_cont(auc, 0.25),6) AS auc_q1,
+  ROUND(quantile_cont(auc, 0.5),6) AS auc_median, ROUND(quantile_cont(auc, 0.75),6) AS auc_q3 FROM a""")
+
+register("factor_codes", f"""
+WITH {KNOWN_CTE},
+k AS (SELECT CASE WHEN mn BETWEEN 3 AND 8 THEN 'AuWin' WHEN mn IS NOT NULL THEN 'SprSu' END AS season,
+        CASE WHEN hrs < 2.0E0 THEN 'Short' WHEN hrs < 4.0E0 THEN 'Standard' WHEN hrs >= 4.0E0 THEN 'Long' END AS effort_class FROM known),
+p AS (SELECT season, effort_class, COUNT(*) AS shots FROM k WHERE season IS NOT NULL AND effort_class IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT season, ROW_NUMBER() OVER (ORDER BY season) - 1 AS i FROM (SELECT DISTINCT season FROM p)),
+e AS (SELECT effort_class, ROW_NUMBER() OVER (ORDER BY effort_class) - 1 AS i FROM (SELECT DISTINCT effort_class FROM p))
+SELECT p.season AS season_level, p.effort_class AS effort_class_level, CAST(s.i AS INT) AS season_idx, CAST(e.i AS INT) AS effort_class_idx,
+  (SELECT string_agg(CASE WHEN o.i = s.i THEN '1' ELSE '0' END, ',' ORDER BY o.i) FROM s o WHERE o.i > 0) AS season_code,
+  (SELECT string_agg(CASE WHEN o.i = e.i THEN '1' ELSE '0' END, ',' ORDER BY o.i) FROM e o WHERE o.i > 0) AS effort_class_code, shots
+FROM p JOIN s ON s.season = p.season JOIN e ON e.effort_class = p.effort_class""")

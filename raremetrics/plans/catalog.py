@@ -923,6 +923,29 @@ def q_boosted_grown(spark, d):
     return spark.createDataFrame(curve.rename(columns={"group": "species"}))
 
 
+@query("boosted_dependence")
+def q_boosted_dependence(spark, d):
+    """E6 + E3 + M12: boosted trees of five splits at rate 0.01 on shots under 6 h, 100 trees a species: partial
+    dependence on effort (20 values) and on day or night, centred on the link scale, with the
+    predictor's share of the gain (rows-only)."""
+    long = _presence_long(spark, d).filter(F.col("hrs") < 6).checkpoint(eager=True)
+    fit = boost.Fit(long, "shot_id", "species", "presence", PRESENCE_NUMERIC, PRESENCE_FACTORS, [boost.Ensemble(s, 5) for s in SPECIES],
+                    rate=0.01, batch=50)
+    fit.grow(100)
+    parts = []
+    for model in fit.fitted():
+        own, share = long.filter(F.col("species") == model.of.group), model.importance()
+        for term in ("hrs", "day_night"):
+            effect = effects.partial_dependence(own, model, term)
+            parts.append(effects.centre_effect(effect, [], "pd_link").select(
+                F.lit(model.of.group).alias("species"), F.lit(term).alias("term"), F.col(term).cast("string").alias("value"),
+                "pd_link", F.lit(share[term]).alias("gain_share")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _smoted(spark, train):
     """SMOTE of each species' training rows (perc.over 100, perc.under 200, k 5) with new row ids."""
     parts = []

@@ -81,6 +81,11 @@ def positive(df: DataFrame, count: str) -> DataFrame:
     return df.filter(F.col(count) > 0)
 
 
+def rate_band(df: DataFrame, rate: str, low: float = 0.0, high: float = 3.0) -> DataFrame:
+    """F8: shots whose rate lies strictly between the bounds."""
+    return df.filter((F.col(rate) > F.lit(float(low))) & (F.col(rate) < F.lit(float(high))))
+
+
 def vessel_tenure(df: DataFrame, vessel: str = "vessel", yr: str = "yr",
                   min_years_exclusive: int = MIN_YEARS_EXCLUSIVE) -> DataFrame:
     """keep rows of vessels with records in more than ``min_years_exclusive`` years.

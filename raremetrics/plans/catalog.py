@@ -1178,3 +1178,33 @@ def q_boot_rate_band(spark, d):
     per = long.join(drawn, "shot_id").groupBy("species", "replicate").agg(
         (F.sum(F.col("n") * F.col("count")) / F.sum(F.col("hrs") * F.col("count"))).alias("mean"))
     return bootstrap_mod.summarise_replicates(per, ["species"])
+
+
+@query("sst_csv")
+def q_sst_csv(spark, d):
+    """S2 + S4 + A2: temperatures written as the source's CSV, read back with its schema, month climatology."""
+    path = scratch_path(spark, f"sst_{_uuid.uuid4().hex}")
+    files.write_csv(tables.sst(spark, d).select(F.col("lat").alias("Lat"), F.col("lon").alias("Long"), F.col("yr").alias("year"),
+                                                F.col("mn").alias("month"), "value"), path)
+    back = files.read_sst(spark, path).withColumnsRenamed({"Lat": "lat", "Long": "lon", "year": "yr", "month": "mn"})
+    return enrich.climatology(back)
+
+
+@query("year_tables")
+def q_year_tables(spark, d):
+    """S5 + A16: shots written as a table partitioned by year; the catch of three years read from their partitions."""
+    path = scratch_path(spark, f"years_{_uuid.uuid4().hex}")
+    files.write_table(_known(spark, d).select("yr", "narrow", "green", "hrs"), path, partition_by=["yr"])
+    back = spark.read.parquet(path).filter(F.col("yr").between(1994, 1996))
+    return back.groupBy(F.col("yr").cast("int").alias("yr")).agg(
+        F.sum("narrow").cast("bigint").alias("narrow"), F.sum("green").cast("bigint").alias("green"), F.sum("hrs").alias("hrs"))
+
+
+@query("rate_bands")
+def q_rate_bands(spark, d):
+    """F8: per species and year, shots with a catch, and those whose catch per hour lies inside (0, 0.4) with their mean rate."""
+    long = _known(spark, d).select("shot_id", "yr", "hrs", *SPECIES).unpivot(["shot_id", "yr", "hrs"], SPECIES, "species", "n")
+    long = clean.positive(long, "n").withColumn("rate", F.col("n") / F.col("hrs"))
+    inside = clean.rate_band(long, "rate", 0.0, 0.4).groupBy("species", "yr").agg(F.count(F.lit(1)).alias("inside"), F.avg("rate").alias("mean_rate"))
+    return (long.groupBy("species", "yr").agg(F.count(F.lit(1)).alias("positive"))
+            .join(inside, ["species", "yr"], "left").withColumn("inside", F.coalesce("inside", F.lit(0))))

@@ -602,3 +602,17 @@ SELECT p.season AS season_level, p.effort_class AS effort_class_level, CAST(s.i
   (SELECT string_agg(CASE WHEN o.i = s.i THEN '1' ELSE '0' END, ',' ORDER BY o.i) FROM s o WHERE o.i > 0) AS season_code,
   (SELECT string_agg(CASE WHEN o.i = e.i THEN '1' ELSE '0' END, ',' ORDER BY o.i) FROM e o WHERE o.i > 0) AS effort_class_code, shots
 FROM p JOIN s ON s.season = p.season JOIN e ON e.effort_class = p.effort_class""")
+
+ORACLE["sst_csv"] = ORACLE["climatology"]
+
+register("year_tables", f"""
+WITH {KNOWN_CTE}
+SELECT yr, CAST(SUM(narrow) AS BIGINT) AS narrow, CAST(SUM(green) AS BIGINT) AS green, ROUND(SUM(hrs),6) AS hrs
+FROM known WHERE yr BETWEEN 1994 AND 1996 GROUP BY yr""")
+
+register("rate_bands", f"""
+WITH {KNOWN_CTE},
+l AS (SELECT 'narrow' AS species, yr, narrow / hrs AS rate FROM known WHERE narrow > 0
+      UNION ALL SELECT 'green', yr, green / hrs FROM known WHERE green > 0)
+SELECT species, yr, COUNT(*) AS positive, CAST(SUM(CASE WHEN rate > 0 AND rate < 0.4E0 THEN 1 ELSE 0 END) AS BIGINT) AS inside,
+  ROUND(AVG(CASE WHEN rate > 0 AND rate < 0.4E0 THEN rate END),6) AS mean_rate FROM l GROUP BY species, yr""")

@@ -1,22 +1,29 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone.
 
 A text is its words (runs without ASCII white space), each hashed.  A run of ``K`` words
-is an anchor if the smallest hash of its words lies at its first or last word; that
-depends on the run alone, so the same run is an anchor in every text.  The fingerprint
-is the ``SIZE`` smallest anchor hashes (32 bits, as fixed-width hex, rising); the
-likeness of two fingerprints is the share of their ``SIZE`` smallest joint values that
-both have, an estimate of the Jaccard similarity of the anchor sets and exact for texts
-with at most ``SIZE`` anchors.
-
-A document's neighbour is found without gathering the documents: ids with fingerprints
-are range-partitioned and written once, each row takes the next of its partition, and
-the last of a partition the first of the following one.
-
-Defined cases: a text of one or two words has one anchor, the hash of its words; a null
-or empty text (or white space alone) has none and the empty fingerprint, and two empty
-fingerprints have likeness 1; documents that share an id are ordered by the text's
-digest; repeated rows count as one document and each get its result; a null id comes
-first; a single document is its own neighbour; an empty table gives an empty result.
+is an anchor if the smallest hash of its inner strings of ``S`` words belongs to its first
+or its last one; that depends on the run alone, so the same run is an anchor in every
+text.  Of random runs 2 / (K - S + 1) are anchors, here a half, and two adjacent anchors
+never lie more than K - S words apart.
+
+The fingerprint is the whole row of anchors, at any length of the text: for each, in the
+text's order, the words since the one before (one hexadecimal digit) and its hash (32
+bits, eight digits).  Two fingerprints are matched by place: every hash at its first place
+in a text pairs with the same hash of the other, each pair has an offset, and pairs whose
+offset is further from the middle offset than ``SLACK`` words, or than ``SHARE`` of the
+longer text, do not match.  The likeness is the matched pairs over all hashes of both.
+Insertions and deletions leave pairs matched; a text whose halves change places keeps half.
+
+A document's neighbour is found without gathering the documents: distinct ids and digests are
+range-partitioned, a partition for every ``ORDER_ROWS`` of them, and written once; each
+takes the next of its partition, and the last of a partition the first of the following one.
+
+Defined cases: a text with words but no anchor (always so below ``K`` words) has one,
+that of all its words; a null or empty text (or white space alone) has none and the empty
+fingerprint, and two empty fingerprints have likeness 1; documents that share an id are
+ordered by the text's digest; repeated rows count as one document and each get its result;
+a null id comes first; a single document is its own neighbour; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +33,11 @@ from pyspark.sql import functions as F
 
 from raremetrics.llm import common
 
-K = 3
-SIZE = 64
+K = 5
+S = 2
+SLACK = 16
+SHARE = 1 / 8
+ORDER_ROWS = 1_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -39,46 +49,90 @@ def _bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _packed(run: Column, place: Column) -> Column:
+    """32 bits of a run's hash above its place, whose lowest bit stays free."""
+    return F.shiftleft(F.shiftrightunsigned(run, 32), 32).bitwiseOR(F.shiftleft(place.cast("long"), 1))
+
+
+def hash_of(anchor: Column) -> Column:
+    return F.shiftrightunsigned(anchor, 32)
+
+
+def place_of(anchor: Column) -> Column:
+    return F.shiftright(anchor.bitwiseAND(F.lit(2**32 - 1)), 1)
+
+
 def anchors(text: Column) -> Column:
-    """Array of (pos, hash) of a text's closed syncmers: the first word's place and the run's hash."""
+    """A text's closed syncmers in its order, one number each (``hash_of``, ``place_of`` its first word)."""
+    edge = K - S
+    none = F.array().cast("array<bigint>")
 
     def of(h: Column) -> Column:
-        run = F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: F.when(
-            F.least(h[i], h[i + K - 1]) <= F.least(*[h[i + j] for j in range(1, K - 1)], F.lit(2**63 - 1)),
-            F.struct(i.alias("pos"), F.xxhash64(*[h[i + j] for j in range(K)]).alias("hash"))))
-        short = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(F.get(h, F.lit(0)), F.get(h, F.lit(1))).alias("hash")))
-        return F.when(F.size(h) >= K, F.filter(run, lambda x: x.isNotNull())).when(F.size(h) > 0, short).otherwise(F.filter(short, lambda x: F.lit(False)))
+        inner = F.transform(F.sequence(F.lit(0), F.size(h) - S), lambda i: F.xxhash64(*[h[i + j] for j in range(S)]))
 
-    return _bound(word_hashes(text), of)
+        def runs(m: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.size(h) - K), lambda i: F.when(
+                F.least(m[i], m[i + edge]) <= F.least(*[m[i + j] for j in range(1, edge)]),
+                _packed(F.xxhash64(*[h[i + j] for j in range(K)]), i)))
 
+        found = F.when(F.size(h) >= K, F.filter(_bound(inner, runs), lambda x: x.isNotNull())).otherwise(none)
+        whole = F.aggregate(h, F.lit(42).cast("long"), lambda a, w: F.xxhash64(a, w))
+        return _bound(found, lambda a: F.when((F.size(a) > 0) | (F.size(h) == 0), a).otherwise(
+            F.array(_packed(whole, F.lit(0)))))
 
-def smallest(text: Column) -> Column:
-    """The ``SIZE`` smallest distinct anchor hashes of a text, rising, as 32-bit numbers."""
-    values = F.transform(anchors(text), lambda x: F.shiftrightunsigned(x["hash"], 32))
-    return F.slice(F.sort_array(F.array_distinct(values)), 1, SIZE)
+    return _bound(word_hashes(text), of)
 
 
 def as_string(values: Column) -> Column:
-    return F.array_join(F.transform(values, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0")), "")
+    def gap(x, i):
+        return place_of(x) - F.when(i > 0, place_of(F.get(values, i - 1))).otherwise(F.lit(0).cast("long"))
+
+    return F.array_join(F.transform(values, lambda x, i: F.concat(
+        F.lower(F.hex(gap(x, i))), F.lpad(F.lower(F.hex(hash_of(x))), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    joint = F.slice(F.sort_array(F.array_union(a, b)), 1, SIZE)
-    share = F.size(F.array_intersect(F.array_intersect(a, b), joint)) / F.size(joint)
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(share)
+    """Share of the hashes of two rows of anchors that both have, at matching places."""
+
+    def firsts(values: Column) -> Column:
+        return _bound(F.sort_array(values), lambda s: F.filter(
+            s, lambda x, i: (i == 0) | (hash_of(x) != hash_of(F.get(s, i - 1)))))
+
+    def last(values: Column) -> Column:
+        return F.coalesce(place_of(F.get(values, F.size(values) - 1)), F.lit(0).cast("long"))
+
+    def offsets(s: Column) -> Column:
+        """Of each number that stands for the same hash as the one before it: of both texts, as each has it once."""
+        found = F.transform(s, lambda x, i: F.when(
+            (i > 0) & (hash_of(x) == hash_of(F.get(s, i - 1))),
+            (place_of(x) - place_of(F.get(s, i - 1))) * (x.bitwiseAND(F.lit(1)) * 2 - 1)))
+        return F.sort_array(F.filter(found, lambda x: x.isNotNull()))
+
+    slack = F.greatest(F.lit(float(SLACK)), F.greatest(last(a), last(b)) * SHARE)
+
+    def share(s: Column) -> Column:
+        def matched(d: Column) -> Column:
+            middle = F.get(d, F.floor(F.size(d) / 2).cast("int"))
+            return F.size(F.filter(d, lambda x: F.abs(x - middle) <= slack))
+
+        return _bound(_bound(offsets(s), matched), lambda n: n / (F.size(s) - n))
+
+    both = F.sort_array(F.concat(firsts(a), F.transform(firsts(b), lambda x: x + 1)))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(_bound(both, share))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``docs`` with the array ``values`` and the string ``fingerprint``."""
-    return docs.withColumn("values", smallest(F.coalesce("text", F.lit("")))).withColumn("fingerprint", as_string(F.col("values")))
+    return docs.withColumn("values", anchors(F.coalesce("text", F.lit("")))).withColumn("fingerprint", as_string(F.col("values")))
 
 
-def with_next(keyed: DataFrame) -> DataFrame:
-    """(doc_id, digest, n_chars, values) rows with the key and values of the following row, the last with the first's."""
-    ranged = (keyed.dropDuplicates(["doc_id", "digest"]).repartitionByRange("doc_id", "digest")
-              .withColumn("part", F.spark_partition_id()))
+def with_next(keys: DataFrame) -> DataFrame:
+    """Distinct (doc_id, digest, ...) rows with ``next``: those two columns of the following row, the last with the first's."""
+    keys = common.materialise(keys, "syncmer-keys")
+    parts = -(-max(1, keys.count()) // ORDER_ROWS)
+    ranged = keys.repartitionByRange(parts, "doc_id", "digest").withColumn("part", F.spark_partition_id())
     ranged = common.materialise(ranged, "syncmer-order")
-    me = F.struct("doc_id", "digest", "values")
+    me = F.struct("doc_id", "digest")
     begins = ranged.groupBy("part").agg(F.min(me).alias("head"))  # one row per partition
     order = Window.orderBy("part")
     begins = begins.select("part", F.coalesce(F.lead("head").over(order), F.first("head").over(
@@ -88,30 +142,39 @@ def with_next(keyed: DataFrame) -> DataFrame:
     return joined.withColumn("next", F.coalesce("next", "following")).drop("following", "part")
 
 
+def _key(doc_id: Column, digest: Column) -> Column:
+    """One never-null string for an id and a digest (whose length is fixed)."""
+    return F.concat(digest, F.coalesce(F.concat(F.lit(":"), doc_id.cast("string")), F.lit("")))
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint, that of its edited text, and their likeness."""
+    """Each document's fingerprint, that of its edited text, and their likeness.
+
+    Anchors are computed where a text is, and only the neighbour's travel: texts are shuffled
+    twice, once to the document before and once to their own row."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
-    small = texts.select("doc_id", "digest", F.char_length("text").cast("long").alias("n_chars"), smallest(F.col("text")).alias("values"))
-    small = with_next(small).withColumn("near_next", likeness(F.col("values"), F.col("next.values"))).select(
-        "doc_id", "digest", "n_chars", "values", "near_next",
-        F.col("next.doc_id").alias("next_id"), F.col("next.digest").alias("next_digest"))
-    small = common.materialise(small, "syncmer-next")
-
-    wanted = small.select(F.col("doc_id").alias("for_id"), F.col("digest").alias("for_digest"), "next_id", "next_digest",
-                          F.floor(F.col("n_chars") / 4).cast("int").alias("take"))
-    heads = (texts.join(wanted, texts.doc_id.eqNullSafe(F.col("next_id")) & (texts.digest == F.col("next_digest")))
-             .select("for_id", "for_digest", F.left("text", F.col("take")).alias("head"))
-             .groupBy("for_id", "for_digest").agg(F.first("head").alias("head")))  # copies of the neighbour's row
-    rest = small.withColumnsRenamed({"doc_id": "own_id", "digest": "own_digest"})
-    rest = rest.join(heads, F.col("own_id").eqNullSafe(F.col("for_id")) & (F.col("own_digest") == F.col("for_digest")))
-    whole = texts.join(rest, texts.doc_id.eqNullSafe(F.col("own_id")) & (texts.digest == F.col("own_digest")))
+    texts = texts.select("doc_id", "text", "digest", _key(F.col("doc_id"), F.col("digest")).alias("key"))
+    keys = texts.select("doc_id", "digest", F.char_length("text").cast("long").alias("n_chars")).dropDuplicates(["doc_id", "digest"])
+    linked = with_next(keys).select(
+        _key(F.col("doc_id"), F.col("digest")).alias("for_key"), "n_chars",
+        _key(F.col("next.doc_id"), F.col("next.digest")).alias("next_key"))
+    linked = common.materialise(linked, "syncmer-next")
+
+    heads = (texts.select("key", "text").join(linked, F.col("key") == F.col("next_key"))
+             .select("for_key", "n_chars", F.struct(
+                 F.left("text", F.floor(F.col("n_chars") / 4).cast("int")).alias("head"),
+                 anchors(F.col("text")).alias("values")).alias("next"))
+             .groupBy("for_key", "n_chars").agg(F.first("next").alias("next")))  # copies of the neighbour's row
+    whole = texts.select("doc_id", "key", "text").join(heads, F.col("key") == F.col("for_key"))
     kept = F.left("text", (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int"))
-    edited = whole.select("doc_id", "n_chars", "values", "near_next", F.concat(kept, "head").alias("edited"))
-    edited = edited.select("doc_id", "n_chars", "values", "near_next", F.sha2("edited", 256).alias("edited_sha256"),
-                           smallest(F.col("edited")).alias("edited_values"))
+    edited = whole.select("doc_id", "n_chars", anchors(F.col("text")).alias("values"),
+                          F.col("next.values").alias("next_values"), F.concat(kept, F.col("next.head")).alias("edited"))
+    edited = edited.select("doc_id", "n_chars", "values", "next_values", F.sha2("edited", 256).alias("edited_sha256"),
+                           anchors(F.col("edited")).alias("edited_values"))
     return edited.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("values")).alias("fingerprint"),
                          as_string(F.col("edited_values")).alias("edited_fingerprint"),
-                         likeness(F.col("values"), F.col("edited_values")).alias("near_edited"), "near_next")
+                         likeness(F.col("values"), F.col("edited_values")).alias("near_edited"),
+                         likeness(F.col("values"), F.col("next_values")).alias("near_next"))
 
 
 def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

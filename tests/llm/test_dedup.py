@@ -187,19 +187,35 @@ def spark_hash(*values):
 
 
 def brute_values(text):
+    """(place, hash) of each anchor."""
     h = [spark_hash(w.encode()) for w in words(text)]
-    if not h:
-        return []
-    if len(h) < 3:
-        found = {spark_hash(*h)}
-    else:
-        found = {spark_hash(*h[i:i + 3]) for i in range(len(h) - 2) if min(h[i:i + 3]) in (h[i], h[i + 2])}
-    return sorted({x % 2**64 >> 32 for x in found})[:syncmers.SIZE]
+    k, s = syncmers.K, syncmers.S
+    inner = [spark_hash(*h[i:i + s]) for i in range(len(h) - s + 1)]
+    found = []
+    for i in range(len(h) - k + 1):
+        own = inner[i:i + k - s + 1]
+        if min(own) in (own[0], own[-1]):
+            found.append((i, spark_hash(*h[i:i + k])))
+    if h and not found:
+        whole = 42
+        for x in h:
+            whole = spark_hash(whole, x)
+        found = [(0, whole)]
+    return [(i, x % 2**64 >> 32) for i, x in found]
+
+
+def brute_string(values):
+    return "".join(f"{i - j:x}{x:08x}" for (i, x), (j, _) in zip(values, [(0, 0), *values]))
 
 
 def brute_likeness(a, b):
-    joint = set(sorted({*a, *b})[:syncmers.SIZE])
-    return len(joint & {*a} & {*b}) / len(joint) if joint else 1.0
+    if not a and not b:
+        return 1.0
+    slack = max(syncmers.SLACK, max([i for i, _ in [*a, *b]]) * syncmers.SHARE)
+    a, b = ({x: i for i, x in reversed(v)} for v in (a, b))
+    offsets = sorted(b[x] - a[x] for x in a.keys() & b.keys())
+    near = sum(abs(d - offsets[len(offsets) // 2]) <= slack for d in offsets)
+    return near / (len(a) + len(b) - near)
 
 
 def test_fingerprints_equal_brute_force(spark, odd):
@@ -214,7 +230,7 @@ def test_fingerprints_equal_brute_force(spark, odd):
         a, e, b = brute_values(text), brute_values(edited), brute_values(follow)
         r = by[d]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert r.fingerprint == "".join(f"{v:08x}" for v in a) and r.edited_fingerprint == "".join(f"{v:08x}" for v in e)
+        assert r.fingerprint == brute_string(a) and r.edited_fingerprint == brute_string(e)
         assert (r.near_edited, r.near_next) == (pytest.approx(brute_likeness(a, e)), pytest.approx(brute_likeness(a, b)))
 
 
@@ -227,3 +243,18 @@ def test_fingerprints_are_native_and_take_odd_tables(spark, clashing, empty):
     alone = syncmers.edited_fingerprints(spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")).first()
     assert alone.near_next == 1.0
     assert syncmers.fingerprints(clashing.select("doc_id", "text", F.lit(1).alias("fingerprint"))).count() == len(ODD)
+
+
+def test_anchors_match_by_place(spark):
+    w = [f"w{i}" for i in range(400)]
+    swapped, grown, longer = w[200:] + w[:200], w[:150] + ["new"] * 7 + w[150:], [f"v{i % 7000}" for i in range(20_000)]
+    rows = [(" ".join(w), " ".join(swapped)), (" ".join(w), " ".join(grown)), (" ".join(w), " ".join(w)),
+            (" ".join(longer), " ".join(longer[:9_000] + longer[9_001:])), ("a b", "a b"), ("a b", "b a")]
+    pairs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string").select(
+        "i", syncmers.anchors(F.col("a")).alias("a"), syncmers.anchors(F.col("b")).alias("b"))
+    got = {r.i: r for r in pairs.select("i", "a", syncmers.likeness(F.col("a"), F.col("b")).alias("near")).collect()}
+    want = [brute_likeness(*map(brute_values, r)) for r in rows]
+    assert [got[i].near for i in range(len(rows))] == pytest.approx(want)
+    assert got[0].near < 0.4 and got[1].near > 0.95 and got[2].near == got[4].near == 1.0 and got[5].near == 0.0
+    places = [(x % 2**32) >> 1 for x in got[3].a]
+    assert len(places) > 8_000 and max(b - a for a, b in zip([0, *places], places)) <= syncmers.K - syncmers.S  # none is left out

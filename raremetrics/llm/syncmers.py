@@ -150,22 +150,23 @@ def _key(doc_id: Column, digest: Column) -> Column:
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and their likeness.
 
-    Anchors are computed where a text is, and only the neighbour's travel: texts are shuffled
-    twice, once to the document before and once to their own row."""
+    Anchors are computed where a text is, and only the neighbour's travel.  Both joins read one
+    shuffle of the texts by key: the first finds the head and anchors that the document before
+    wants, the second takes them to the document's own text."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
-    texts = texts.select("doc_id", "text", "digest", _key(F.col("doc_id"), F.col("digest")).alias("key"))
     keys = texts.select("doc_id", "digest", F.char_length("text").cast("long").alias("n_chars")).dropDuplicates(["doc_id", "digest"])
     linked = with_next(keys).select(
-        _key(F.col("doc_id"), F.col("digest")).alias("for_key"), "n_chars",
+        "doc_id", _key(F.col("doc_id"), F.col("digest")).alias("for_key"), "n_chars",
         _key(F.col("next.doc_id"), F.col("next.digest")).alias("next_key"))
     linked = common.materialise(linked, "syncmer-next")
 
-    heads = (texts.select("key", "text").join(linked, F.col("key") == F.col("next_key"))
-             .select("for_key", "n_chars", F.struct(
+    texts = texts.select("text", _key(F.col("doc_id"), F.col("digest")).alias("key"))  # the same in both joins
+    heads = (texts.join(linked, F.col("key") == F.col("next_key"))
+             .select("for_key", "doc_id", "n_chars", F.struct(
                  F.left("text", F.floor(F.col("n_chars") / 4).cast("int")).alias("head"),
                  anchors(F.col("text")).alias("values")).alias("next"))
-             .groupBy("for_key", "n_chars").agg(F.first("next").alias("next")))  # copies of the neighbour's row
-    whole = texts.select("doc_id", "key", "text").join(heads, F.col("key") == F.col("for_key"))
+             .groupBy("for_key").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_chars", "next")]))  # copies of the neighbour's row
+    whole = texts.join(heads, F.col("key") == F.col("for_key"))
     kept = F.left("text", (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int"))
     edited = whole.select("doc_id", "n_chars", anchors(F.col("text")).alias("values"),
                           F.col("next.values").alias("next_values"), F.concat(kept, F.col("next.head")).alias("edited"))

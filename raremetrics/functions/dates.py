@@ -39,3 +39,8 @@ def calendar_parts(c, prefix: str, with_hour: bool = False) -> dict[str, Column]
     if with_hour:
         out[f"{prefix}_hour"] = F.hour(col).cast("int")
     return out
+
+
+def end_date(date, start_hour, hours) -> Column:
+    """Day on which work of ``hours`` hours ends that starts at an hour of a day; null if a part is."""
+    return F.date_add(_c(date), F.floor((_c(start_hour) + _c(hours)) / F.lit(24.0)).cast("int"))

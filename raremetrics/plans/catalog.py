@@ -41,6 +41,7 @@ def q_nominal_cpue(spark, sf_dir):
 
 # --------------------------------------------------------------------------- base frames
 from ..functions import classes as C  # noqa: E402
+from ..functions import dates as D  # noqa: E402
 from ..functions import numeric as N  # noqa: E402
 from ..operators import bins, clean, derive, describe, enrich, quantiles, spatial, summarise  # noqa: E402
 from ..sources import tables  # noqa: E402
@@ -233,6 +234,25 @@ def q_catch_map(spark, d):
     return summarise.catch_map(clean.max_effort(_known(spark, d)), "mn", "narrow")
 
 
+def _by_end_month(spark, d):
+    """Known shots within the 7 h cap, with the month in which they end."""
+    return clean.max_effort(_known(spark, d)).withColumn("end_mn", F.month(D.end_date("start_date", "start_hour", "hrs")).cast("int"))
+
+
+@query("effort_by_end_month")
+def q_effort_by_end_month(spark, d):
+    """A4: rounded effort per month in which the shots end."""
+    return summarise.effort_by(_by_end_month(spark, d), "end_mn")
+
+
+@query("catch_map_end_month")
+def q_catch_map_end_month(spark, d):
+    """A5 + J4: catch of both species per end month × position with the month's effort label."""
+    shots = _by_end_month(spark, d)
+    maps = [summarise.catch_map(shots, "end_mn", s).withColumn("species", F.lit(s)) for s in SPECIES]
+    return maps[0].unionByName(maps[1])
+
+
 @query("level_catch")
 def q_level_catch(spark, d):
     """Catch by level of each model factor."""

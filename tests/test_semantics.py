@@ -1,6 +1,7 @@
 """One test per R-vs-Spark semantic rule (blueprint §1.1), on hand-written frames with nulls."""
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
@@ -123,3 +124,24 @@ def test_kde_keeps_groups_of_tied_values(spark):
         at = {r.point: r.x for r in got if r.g == g}
         low = min(v for k, v in rows if k == g)
         assert abs(at[0] - (low - 3 * bw)) < 1e-9
+
+
+def test_kde_is_a_density_without_a_cut(spark):
+    values = [0.5 * (i % 7) + 0.01 * i for i in range(200)] + [40.0]
+    got = sorted(describe.kde(spark.createDataFrame([(v,) for v in values], "v double"), "v", bandwidth=0.7).collect(),
+                 key=lambda r: r.point)
+    assert len(got) == describe.KDE_POINTS
+
+    def exact(x):
+        return sum(math.exp(-0.5 * ((x - v) / 0.7) ** 2) for v in values) / (len(values) * 0.7 * math.sqrt(2 * math.pi))
+
+    assert all(abs(r.density - exact(r.x)) < 2e-4 for r in got)
+    assert got[200].density > 0.0 and exact(got[200].x) < 1e-9  # 15 and more bandwidths from any value
+    step = got[1].x - got[0].x
+    assert abs(sum(r.density for r in got) * step - 1) < 2e-3
+
+
+def test_end_date_rolls_over_midnight_and_months(spark):
+    rows = [(dt.date(1999, 12, 31), 23, 1.0), (dt.date(1999, 12, 31), 20, 3.9), (dt.date(2000, 2, 28), 0, 49.0), (None, 1, 1.0), (dt.date(2000, 1, 1), 3, None)]
+    got = spark.createDataFrame(rows, "d date, h int, hrs double").select(D.end_date("d", "h", "hrs")).collect()
+    assert [r[0] for r in got] == [dt.date(2000, 1, 1), dt.date(1999, 12, 31), dt.date(2000, 3, 1), None, None]

@@ -150,9 +150,9 @@ def _key(doc_id: Column, digest: Column) -> Column:
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and their likeness.
 
-    Anchors are computed where a text is, and only the neighbour's travel.  Both joins read one
-    shuffle of the texts by key: the first finds the head and anchors that the document before
-    wants, the second takes them to the document's own text."""
+    Anchors are computed where both texts are, as they take more room than a compressed text.
+    Both joins read one shuffle of the texts by key: the first finds the text that the document
+    before wants, the second takes it to the document's own."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
     keys = texts.select("doc_id", "digest", F.char_length("text").cast("long").alias("n_chars")).dropDuplicates(["doc_id", "digest"])
     linked = with_next(keys).select(
@@ -162,14 +162,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     texts = texts.select("text", _key(F.col("doc_id"), F.col("digest")).alias("key"))  # the same in both joins
     heads = (texts.join(linked, F.col("key") == F.col("next_key"))
-             .select("for_key", "doc_id", "n_chars", F.struct(
-                 F.left("text", F.floor(F.col("n_chars") / 4).cast("int")).alias("head"),
-                 anchors(F.col("text")).alias("values")).alias("next"))
+             .select("for_key", "doc_id", "n_chars", F.col("text").alias("next"))
              .groupBy("for_key").agg(*[F.first(c).alias(c) for c in ("doc_id", "n_chars", "next")]))  # copies of the neighbour's row
     whole = texts.join(heads, F.col("key") == F.col("for_key"))
-    kept = F.left("text", (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int"))
+    take = F.floor(F.col("n_chars") / 4)
+    edited = F.concat(F.left("text", (F.col("n_chars") - take).cast("int")), F.left("next", take.cast("int")))
     edited = whole.select("doc_id", "n_chars", anchors(F.col("text")).alias("values"),
-                          F.col("next.values").alias("next_values"), F.concat(kept, F.col("next.head")).alias("edited"))
+                          anchors(F.col("next")).alias("next_values"), edited.alias("edited"))
     edited = edited.select("doc_id", "n_chars", "values", "next_values", F.sha2("edited", 256).alias("edited_sha256"),
                            anchors(F.col("edited")).alias("edited_values"))
     return edited.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("values")).alias("fingerprint"),

@@ -270,22 +270,36 @@ class GamFit:
                              "z": self.beta / np.where(se > 0, se, np.nan)})
 
     def term_table(self) -> pd.DataFrame:
-        """Per term Wald χ² βᵀV⁻¹β, degrees of freedom (edf for smooths) and p-value."""
+        """Per term Wald χ², degrees of freedom and p-value.
+
+        A factor or linear term is tested by βᵀV⁻¹β.  A smooth's full V holds directions that
+        the penalty has nearly removed, whose β²/V is far below χ²₁, so its fitted curve is tested
+        on the ``round(edf)`` leading directions of the curve's own covariance only."""
         rows = []
+        information = self._information()
         for label, sl in self.design.blocks.items():
             if label == "(Intercept)" or sl.stop == sl.start:
                 continue
             b = self.beta[sl]
             V = self.Vp[sl, sl]
-            stat = float(b @ np.linalg.pinv(V) @ b)
             edf = float(self.edf[sl].sum())
             is_smooth = label.startswith("s(")
-            dof = max(edf, 1e-8) if is_smooth else float(sl.stop - sl.start)
-            pv = 1.0 if dof < 1e-3 else chi2_sf_scalar(stat, dof)
+            if is_smooth:
+                stat, dof = _truncated_wald(b, V, information[sl, sl], edf)
+            else:
+                stat, dof = float(b @ np.linalg.pinv(V) @ b), float(sl.stop - sl.start)
+            pv = 1.0 if is_smooth and edf < 1e-3 else chi2_sf_scalar(stat, dof)
             rows.append({"term": label, "edf": edf, "chi_sq": stat, "df": dof,
                          "p_value": pv, "smooth": is_smooth})
         return pd.DataFrame(rows)
 
+    def _information(self) -> np.ndarray:
+        """XᵀWX at the fit: the inverse of ``Vp`` without the penalties."""
+        information = np.linalg.pinv(self.Vp)
+        for (_, sl, S, _), lam in zip(self.design.penalties, self.lambdas):
+            information[sl, sl] -= lam * S
+        return information
+
     def eta_se(self, pdf: pd.DataFrame):
         X = self.design.matrix(pdf)
         eta = X @ self.beta
@@ -293,6 +307,18 @@ class GamFit:
         return eta, se
 
 
+def _truncated_wald(b: np.ndarray, V: np.ndarray, gram: np.ndarray, edf: float) -> tuple[float, float]:
+    """Wald statistic of a curve with (weighted) Gram matrix ``gram`` on its ``round(edf)`` leading directions, and their number."""
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    root = np.sqrt(np.maximum(values, 0.0))[:, None] * vectors.T
+    var, axes = np.linalg.eigh(root @ V @ root.T)
+    var, axes = var[::-1], axes[:, ::-1]
+    whole = max(1, int((var > var[0] * 1e-10).sum()))
+    r = int(np.clip(round(edf), 1, whole))
+    scores = axes[:, :r].T @ (root @ b)
+    return float((scores ** 2 / np.maximum(var[:r], 1e-300)).sum()), float(r)
+
+
 def fit_gam(df: DataFrame, response: str, terms: list, family: str = "poisson", link: str | None = None,
             offset: str | None = None, weight: str | None = None, group: str | None = None,
             max_iter: int = 100, tol: float = 1e-8, factor_ridge: float = 1e-6,

@@ -273,3 +273,22 @@ def test_firth_with_offset_and_a_separated_level(spark):
         hat = w * np.einsum("ij,jk,ik->i", X, np.linalg.inv(X.T @ (X * w[:, None])), X)
         assert fit.converged and np.abs(X.T @ (y - mu + hat * (0.5 - mu))).max() < 1e-4
         assert -12 < fit.beta[3] < -2
+
+
+def test_smooth_terms_of_noise_have_uniform_p_values(spark):
+    """A smooth of a variable that the counts do not depend on, in 100 fits; and one that they follow."""
+    rng = np.random.default_rng(5)
+    n, fits = 150, 100
+    x = rng.uniform(size=n * fits)
+    pdf = pd.DataFrame({"g": np.repeat(np.arange(fits), n), "x": x, "y": rng.poisson(3.0, n * fits).astype(float)})
+    pdf["z"] = rng.poisson(np.exp(1 + np.sin(6 * x))).astype(float)
+    frame = spark.createDataFrame(pdf)
+
+    def p_values(column, rows):
+        found = gam.fit_gam(rows, column, [gam.Smooth("x", 8)], group="g")
+        return np.sort([f.term_table().p_value.iloc[0] for f in found])
+
+    p = p_values("y", frame)
+    at = np.arange(1, fits + 1) / fits
+    assert np.maximum(at - p, p - at + 1 / fits).max() < 1.63 / np.sqrt(fits)  # Kolmogorov-Smirnov, 1 %
+    assert p_values("z", frame.filter("g < 5")).max() < 1e-6

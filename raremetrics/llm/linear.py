@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -66,13 +68,37 @@ MODEL = pa.schema([("feature", pa.list_(pa.int32())), ("value", pa.list_(pa.floa
                    ("bias", pa.float64()), ("slope", pa.float64()), ("offset", pa.float64())])
 
 
-def fit_once(sample: DataFrame, extract, fit) -> dict:
+def margins(model: tuple[np.ndarray, np.ndarray, float], rows: list[np.ndarray]) -> np.ndarray:
+    """Weighted sums of the features of ``rows``, with the bias."""
+    feature, value, bias = model
+    weights = dict(zip(feature.tolist(), value.tolist(), strict=True))
+    return np.array([sum(weights.get(f, 0.0) for f in x.tolist()) for x in rows]) + bias
+
+
+def cross_fitted(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, fit, folds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and their margins by a model that has not seen them; rows with equal features share a fold.
+
+    Rows whose fold leaves no training rows of both classes have no margin.
+    """
+    fold = np.array([zlib.crc32(x.tobytes()) % folds for x in rows])
+    margin = np.full(len(rows), np.nan)
+    for k in range(folds):
+        rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(own) and len({*y[rest]}) == 2:
+            margin[own] = margins(fit([rows[i] for i in rest], y[rest], weight[rest]), [rows[i] for i in own])
+    known = np.flatnonzero(~np.isnan(margin))
+    return known, margin[known]
+
+
+def fit_once(sample: DataFrame, extract, fit, folds: int | None = None) -> dict:
     """Train in one task on the bounded sample; the model (sparse weights) comes to the driver.
 
-    ``extract(buf, off)`` gives the features of each text; ``fit(rows, y, weight, held)``
-    the features with a weight, the weights and the bias.  A fifth of the rows, by the
-    id's hash, is kept from training and used for calibration.  Without rows of both
-    classes the score is the share of class 1 (0 without any row).
+    ``extract(buf, off)`` gives the features of each text; ``fit(rows, y, weight)``
+    the features with a weight, the weights and the bias.  With ``folds`` the model is
+    fitted to all rows and calibrated on margins by models without the row's fold;
+    else a fifth of the rows, by the id's hash, is kept from training and used for
+    calibration.  Without rows of both classes the score is the share of class 1 (0
+    without any row).
     """
 
     def run(batches):
@@ -84,16 +110,18 @@ def fit_once(sample: DataFrame, extract, fit) -> dict:
         found.sort(key=lambda x: (x[0], len(x[1])))
         y = np.array([x[2] for x in found], np.int64)
         weight = np.array([x[3] for x in found])
-        held = np.array([int(x[0]) * 0x9E3779B1 % 2**32 % 5 == 0 for x in found], bool)
+        rows = [x[1] for x in found]
+        held = np.array([folds is None and int(x[0]) * 0x9E3779B1 % 2**32 % 5 == 0 for x in found], bool)
         if min((y[~held] == c).sum() for c in (0, 1)) == 0:
             share = (weight * y).sum() / weight.sum() if len(y) else 0.0
             feature, value, bias, slope, offset = [], [], 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9)))
         else:
-            rows = [x[1] for x in found]
-            feature, value, bias = fit([r for r, h in zip(rows, held, strict=True) if not h], y[~held], weight[~held])
-            dense = dict(zip(feature.tolist(), value.tolist(), strict=True))
-            use = np.flatnonzero(held) if len({*y[held]}) == 2 else np.arange(len(y))
-            margin = np.array([sum(dense.get(f, 0.0) for f in rows[i].tolist()) for i in use]) + bias
+            model = feature, value, bias = fit([r for r, h in zip(rows, held, strict=True) if not h], y[~held], weight[~held])
+            use, margin = (np.flatnonzero(held), None) if folds is None else cross_fitted(rows, y, weight, fit, folds)
+            if len({*y[use]}) < 2:
+                use, margin = np.arange(len(y)), None
+            if margin is None:
+                margin = margins(model, [rows[i] for i in use])
             slope, offset = platt(margin, y[use], weight[use] / weight[use].mean())
         yield pa.RecordBatch.from_pylist([{"feature": list(feature), "value": list(value), "bias": bias,
                                            "slope": slope, "offset": offset}], schema=MODEL)

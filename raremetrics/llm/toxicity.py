@@ -4,8 +4,9 @@ Features are indicators of the n-grams of characters (code points; ASCII letters
 folded to lower case) of the orders in ``ORDERS``, hashed to ``DIMS`` places.  Each is
 scaled by its log-count ratio between toxic and other training texts; a logistic model
 with an L2 penalty is fitted on the scaled indicators of a bounded, hash-drawn sample
-(``per_class``) and calibrated on rows kept from training.  Scoring reads every whole
-text: one pass of vectorised hashing without any join or shuffle.
+(``per_class``) and calibrated on margins of models that have not seen the row
+(``FOLDS``).  Scoring reads every whole text: one pass of vectorised hashing without any
+join or shuffle.
 
 Defined cases: a null or empty text has no features and gets the score of the bias
 alone; equal texts get equal scores; ids that repeat keep all their rows; labels that
@@ -22,11 +23,12 @@ from pyspark.sql import functions as F
 
 from raremetrics.llm import common, grams, linear
 
-ORDERS = (4, 5)
+ORDERS = (4, 5, 6)
 BITS = 20
 DIMS = 1 << BITS
 PER_CLASS = {1: 2500, 0: 5000}
 THRESHOLD = 0.3
+FOLDS = 5
 
 
 def ngrams(buf: np.ndarray, off: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +57,7 @@ def extract(buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, penalty: float = 0.3,
-        min_rows: int = 3, min_z: float = 3.0, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
+        min_rows: int = 3, min_z: float = 4.0, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights of the n-grams: logistic loss on ratio-scaled indicators, accelerated gradient steps."""
     ratio, df = linear.log_count_ratio(rows, y, DIMS)
     share = y.mean()
@@ -94,7 +96,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, penalty: floa
 
 def train(docs: DataFrame, labels: DataFrame, fold, label: str = "toxic", per_class: dict[int, int] | None = None) -> dict:
     sample = linear.labelled_sample(docs, labels, label, fold, per_class or PER_CLASS)
-    return linear.fit_once(sample, extract, fit)
+    return linear.fit_once(sample, extract, fit, FOLDS)
 
 
 def toxicity(docs: DataFrame, model: dict, text: bool = False) -> DataFrame:

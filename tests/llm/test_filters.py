@@ -105,6 +105,32 @@ def test_classifiers_hold_out_and_rank(spark, query, label, least):
     assert auc(both, label) > least
 
 
+def test_few_toxic_rows_suffice(spark):
+    """329 toxic training rows: nine in ten of the held-out ones are found, and 2 % of the others flagged at most."""
+    sf = "/root/testdata/sf0.1"
+    both = toxicity.op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out")
+    got = {(r.toxic, r.predicted): r["count"] for r in both.groupBy("toxic", "predicted").count().collect()}
+    assert got[1, 1] >= 0.9 * (got[1, 1] + got[1, 0])
+    assert got[0, 1] <= 0.02 * (got[0, 1] + got[0, 0])
+
+
+def test_cross_fitted_margins_come_from_models_without_the_row():
+    rows = [np.array([i % 2, 2 + i // 4], np.int32) for i in range(80)]
+    y = np.arange(80) % 2
+    seen = []
+
+    def fit(part, labels, weight):
+        seen.append({x.tobytes() for x in part})
+        return np.array([0, 1]), np.array([-1.0, 1.0]), 0.0
+
+    known, margin = linear.cross_fitted(rows, y, np.ones(80), fit, 5)
+    assert known.tolist() == list(range(80)) and (margin == np.where(y == 1, 1.0, -1.0)).all()
+    everything = {x.tobytes() for x in rows}
+    left_out = [everything - s for s in seen]
+    assert set().union(*left_out) == everything and sum(map(len, left_out)) == len(everything)
+    assert len(linear.cross_fitted(rows[:2], y[:2], np.ones(2), fit, 5)[0]) == 0  # no fold leaves both classes
+
+
 @pytest.mark.parametrize(("module", "apply", "label"), [(toxicity, toxicity.toxicity, "toxic"), (quality_classifier, quality_classifier.quality, "quality")])
 def test_classifiers_on_odd_rows(spark, odd, clashing, empty, module, apply, label):
     labels = spark.createDataFrame([(i, i % 2) for i in range(4, 13)] + [(5, 0)], f"doc_id long, {label} int")

@@ -42,6 +42,10 @@ _TAIL = 65_557  # end record with the longest comment
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path; the names that Hadoop gives to S3 become Arrow's."""
+    for hadoop in ("s3a://", "s3n://"):
+        if path.startswith(hadoop):
+            path = "s3://" + path.removeprefix(hadoop)
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -161,12 +165,17 @@ def parse(raw: bytes) -> dict:
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """Payload, digest, type and reference of each page's record."""
+    """Payload, digest, type and reference of each page's record.
+
+    The first pages of repeated payloads are found from ids and digests alone and written;
+    against that table, not an aggregate, the adaptive join can split a payload that very
+    many pages share.
+    """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     first = (rows.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest")
              .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    rows = rows.join(first, "payload_digest", "left")
+    rows = rows.join(common.materialise(first, "warc-first"), "payload_digest", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.select("page_id", "url", "payload_bytes", "payload_digest",
                        F.when(again, "revisit").otherwise("response").alias("record_type"),

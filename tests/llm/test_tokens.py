@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import string
 import zipfile
 import zlib
 from collections import Counter
@@ -215,6 +216,34 @@ def test_warc_round_trip(spark, zip64):
         assert z.testzip() is None and z.namelist() == [warc.DATA, warc.INDEX]
 
 
+def test_a_page_served_very_often_is_split(spark):
+    """Half of the rows have one payload: the join by digest reads them in several tasks and loses none."""
+    n, page = 4000, "".join(random.Random(3).choices(string.printable, k=4000))
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), F.sha2(F.col("id").cast("string"), 512)).alias("url"),
+                                  F.when(F.col("id") % 2 == 0, page).otherwise(F.concat(F.lit("y" * 200), F.col("id"))).alias("html"))
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+              "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32KB"}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        got = warc.with_revisits(pages.repartition(8)).withColumn("payload", F.octet_length("payload"))
+        rows = got.collect()
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(r.page_id for r in rows) == list(range(n))
+    assert {r.refers_to for r in rows if r.record_type == "revisit"} == {0}
+    assert sum(r.record_type == "revisit" for r in rows) == n // 2 - 1
+
+
+def test_hadoop_names_of_s3_are_read_by_arrow(monkeypatch):
+    monkeypatch.setattr(warc, "fs", type("Fs", (), {"FileSystem": type("F", (), {"from_uri": staticmethod(lambda uri: (None, uri))})}))
+    assert [warc._open(f"{s}://bucket/a.wacz")[1] for s in ("s3a", "s3n", "s3", "gs")] == [
+        "s3://bucket/a.wacz", "s3://bucket/a.wacz", "s3://bucket/a.wacz", "gs://bucket/a.wacz"]
+
+
 def test_warc_empty_and_foreign_zip(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     manifest = warc.write_packages(warc.with_revisits(pages), common.shared_path(spark, "test"))

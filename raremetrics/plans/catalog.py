@@ -1228,3 +1228,32 @@ def q_rate_bands(spark, d):
     inside = clean.rate_band(long, "rate", 0.0, 0.4).groupBy("species", "yr").agg(F.count(F.lit(1)).alias("inside"), F.avg("rate").alias("mean_rate"))
     return (long.groupBy("species", "yr").agg(F.count(F.lit(1)).alias("positive"))
             .join(inside, ["species", "yr"], "left").withColumn("inside", F.coalesce("inside", F.lit(0))))
+
+
+# --------------------------------------------------------------------------- both species: deviance with the offset, grids, dispersion
+@query("presence_anova")
+def q_presence_anova(spark, d):
+    """G1 + M13: sequential analysis of deviance of both species' presence on year, season, vessel, day or
+    night, longitude and depth, with effort as offset (rows-only)."""
+    long = _presence_long(spark, d).withColumn("p", F.col("presence").cast("double")).checkpoint(eager=True)
+    terms = [*[gam_mod.Factor(f) for f in PRESENCE_FACTORS], gam_mod.Linear("lon"), gam_mod.Linear("depth")]
+    return spark.createDataFrame(glm_mod.grouped_anova(long, "p", terms, "species", offset="hrs"))
+
+
+@query("prediction_grid")
+def q_prediction_grid(spark, d):
+    """Q9 + A28: levels of year and season and 0.5 h steps of effort, each with the other columns at the
+    reference profile, once with the rarest and once with the most common levels."""
+    k = derive.with_classes(_known(spark, d), hour=None).withColumn("yrs", F.col("yr").cast("string"))
+    grids = [effects.prediction_grid(k, {"yrs": None, "season": None, "hrs": 0.5}, ["yrs", "season", "vessel"], ["lon", "hrs"], level)
+             .withColumn("reference", F.lit(level)) for level in ("rarest", "modal")]
+    return grids[0].unionByName(grids[1])
+
+
+@query("dispersion_about_means")
+def q_dispersion_about_means(spark, d):
+    """Dispersion of each species' counts about the means of its years, with the test's z; years without
+    any catch have a mean of 0, about which no dispersion is defined."""
+    long = _known(spark, d).select("yr", *SPECIES).unpivot(["yr"], SPECIES, "species", "n")
+    mean = long.groupBy("species", "yr").agg(F.avg("n").alias("mu")).filter("mu > 0")
+    return zeroinfl.overdispersion(long.join(mean, ["species", "yr"]), "n", "mu", ["species"])

@@ -635,3 +635,29 @@ l AS (SELECT 'narrow' AS species, yr, narrow / hrs AS rate FROM known WHERE narr
       UNION ALL SELECT 'green', yr, green / hrs FROM known WHERE green > 0)
 SELECT species, yr, COUNT(*) AS positive, CAST(SUM(CASE WHEN rate > 0 AND rate < 0.4E0 THEN 1 ELSE 0 END) AS BIGINT) AS inside,
   ROUND(AVG(CASE WHEN rate > 0 AND rate < 0.4E0 THEN rate END),6) AS mean_rate FROM l GROUP BY species, yr""")
+
+register("prediction_grid", f"""
+WITH {KNOWN_CTE},
+k AS (SELECT CAST(yr AS VARCHAR) AS yrs, CASE WHEN mn BETWEEN 3 AND 8 THEN 'AuWin' WHEN mn IS NOT NULL THEN 'SprSu' END AS season,
+        vessel, lon, hrs FROM known),
+c AS (SELECT 'yrs' AS f, yrs AS v, COUNT(*) AS n FROM k WHERE yrs IS NOT NULL GROUP BY 2
+      UNION ALL SELECT 'season', season, COUNT(*) FROM k WHERE season IS NOT NULL GROUP BY 2
+      UNION ALL SELECT 'vessel', vessel, COUNT(*) FROM k WHERE vessel IS NOT NULL GROUP BY 2),
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY f ORDER BY n, v) AS rarest, ROW_NUMBER() OVER (PARTITION BY f ORDER BY n DESC, v DESC) AS modal FROM c),
+p AS (SELECT r.reference, MAX(CASE WHEN f = 'yrs' THEN v END) AS yrs, MAX(CASE WHEN f = 'season' THEN v END) AS season,
+        MAX(CASE WHEN f = 'vessel' THEN v END) AS vessel, (SELECT AVG(lon) FROM k) AS lon, (SELECT AVG(hrs) FROM k) AS hrs
+      FROM o, (VALUES ('rarest'), ('modal')) r(reference)
+      WHERE CASE r.reference WHEN 'rarest' THEN rarest ELSE modal END = 1 GROUP BY r.reference),
+b AS (SELECT MIN(hrs) AS lo, CAST(FLOOR((MAX(hrs) - MIN(hrs)) / 0.5E0 + 1E-9) AS BIGINT) AS steps FROM k),
+h AS (SELECT lo + i * 0.5E0 AS hrs FROM b, range(0, 100000) t(i) WHERE i <= steps)
+SELECT reference, 'yrs' AS term, CAST(c.v AS DOUBLE) AS x, c.v AS yrs, season, vessel, ROUND(lon,6) AS lon, ROUND(hrs,6) AS hrs FROM p, c WHERE c.f = 'yrs'
+UNION ALL SELECT reference, 'season', NULL, yrs, c.v, vessel, ROUND(lon,6), ROUND(hrs,6) FROM p, c WHERE c.f = 'season'
+UNION ALL SELECT reference, 'hrs', ROUND(h.hrs,6), yrs, season, vessel, ROUND(lon,6), ROUND(h.hrs,6) FROM p, h""")
+
+register("dispersion_about_means", f"""
+WITH {KNOWN_CTE},
+l AS (SELECT 'narrow' AS species, yr, narrow AS n FROM known UNION ALL SELECT 'green', yr, green FROM known),
+m AS (SELECT species, yr, AVG(n) AS mu FROM l GROUP BY 1, 2),
+t AS (SELECT species, ((n - mu) * (n - mu) - n) / mu AS t FROM l JOIN m USING (species, yr) WHERE mu > 0)
+SELECT species, ROUND(AVG(t),6) AS alpha, COUNT(*) AS n, ROUND(STDDEV_SAMP(t)/SQRT(COUNT(*)),6) AS se,
+  ROUND(AVG(t)/(STDDEV_SAMP(t)/SQRT(COUNT(*))),6) AS z FROM t GROUP BY species""")

@@ -292,3 +292,31 @@ def test_smooth_terms_of_noise_have_uniform_p_values(spark):
     at = np.arange(1, fits + 1) / fits
     assert np.maximum(at - p, p - at + 1 / fits).max() < 1.63 / np.sqrt(fits)  # Kolmogorov-Smirnov, 1 %
     assert p_values("z", frame.filter("g < 5")).max() < 1e-6
+
+
+def test_grouped_anova_equals_mllib_per_group(spark):
+    from raremetrics.models import glm
+
+    df = _frame(spark, n=3000).withColumns({"p": (F.col("y") > 1).cast("double"), "off": F.col("x") / 10,
+                                            "g": F.when(F.col("id") % 3 == 0, "one").otherwise("two")}).cache()
+    got = glm.grouped_anova(df, "p", [gam.Factor("f"), gam.Linear("x")], "g", offset="off")
+    assert got.converged.all() and got.groupby("g").size().to_dict() == {"one": 3, "two": 3}
+    for g in ("one", "two"):
+        want = glm.sequential_anova(df.filter(F.col("g") == g), "p", [("f", "factor"), ("x", "numeric")], offset="off")
+        own = got[got.g == g].reset_index(drop=True)
+        assert own.term.tolist() == want.term.tolist() and own.df.tolist() == want.df.tolist()
+        assert own.resid_df.tolist() == want.resid_df.tolist()
+        for c in ("deviance", "resid_dev", "pct_null_deviance"):
+            np.testing.assert_allclose(own[c], want[c], rtol=1e-4, atol=1e-4)
+        np.testing.assert_allclose(own.p_value[:2], want.p_value[:2], rtol=1e-3, atol=1e-12)
+
+
+def test_grouped_anova_uses_one_set_of_rows(spark):
+    """Rows that lack a later term are left out of the earlier prefixes too; a group of one level gets 0 df."""
+    from raremetrics.models import glm
+
+    df = _frame(spark, n=900).withColumns({"p": (F.col("y") > 1).cast("double"), "g": F.lit("only"), "one": F.lit("same"),
+                                           "x": F.when(F.col("id") % 4 > 0, F.col("x"))})
+    got = glm.grouped_anova(df, "p", [gam.Factor("one"), gam.Linear("x")], "g")
+    assert got.df.tolist() == [0, 1, 1] and got.resid_df.tolist() == [674, 673, 673]
+    assert abs(got.deviance[0]) < 1e-9 and math.isnan(got.p_value[0])

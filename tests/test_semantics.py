@@ -141,6 +141,15 @@ def test_kde_is_a_density_without_a_cut(spark):
     assert abs(sum(r.density for r in got) * step - 1) < 2e-3
 
 
+def test_kde_sums_the_kernel_over_the_values_themselves(spark):
+    values = [0.013 * i * i for i in range(40)]
+    got = describe.kde(spark.createDataFrame([(v,) for v in values], "v double"), "v", bandwidth=0.2).collect()
+    assert len(got) == describe.KDE_POINTS
+    for r in got:
+        want = sum(math.exp(-0.5 * ((r.x - v) / 0.2) ** 2) for v in values) / (len(values) * 0.2 * math.sqrt(2 * math.pi))
+        assert abs(r.density - want) < 1e-12
+
+
 def test_end_date_rolls_over_midnight_and_months(spark):
     rows = [(dt.date(1999, 12, 31), 23, 1.0), (dt.date(1999, 12, 31), 20, 3.9), (dt.date(2000, 2, 28), 0, 49.0), (None, 1, 1.0), (dt.date(2000, 1, 1), 3, None)]
     got = spark.createDataFrame(rows, "d date, h int, hrs double").select(D.end_date("d", "h", "hrs")).collect()

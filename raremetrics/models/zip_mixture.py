@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import partials
 from .gam import Design, _setup_design
-from ..session import ensure_checkpoint_dir, spread
+from ..session import compute_partitions, ensure_checkpoint_dir, spread
 
 
 @dataclass
@@ -72,8 +72,13 @@ def trigamma(x: np.ndarray) -> np.ndarray:
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """log Γ of each element; counts repeat, so distinct values are few."""
-    value, at = np.unique(x, return_inverse=True)
-    return np.array([math.lgamma(v) for v in value])[at]
+    return _by_value(lambda value: np.array([math.lgamma(v) for v in value]), x)
+
+
+def _by_value(fn, x: np.ndarray) -> np.ndarray:
+    """``fn`` of each element, called on the distinct ones."""
+    at, value = pd.factorize(x, use_na_sentinel=False)
+    return fn(value)[at]
 
 
 def count_part(y: np.ndarray, ec: np.ndarray, theta: float | None) -> tuple[np.ndarray, ...]:
@@ -86,8 +91,8 @@ def count_part(y: np.ndarray, ec: np.ndarray, theta: float | None) -> tuple[np.n
         return y * ec - lam - _log_gamma(y + 1.0), y - lam, none, -lam, none, none
     s = lam + theta
     l = _log_gamma(y + theta) - math.lgamma(theta) - _log_gamma(y + 1.0) + theta * math.log(theta) + y * ec - (y + theta) * np.log(s)
-    first = digamma(y + theta) - digamma(np.array(theta)) + math.log(theta) + 1 - np.log(s) - (y + theta) / s
-    second = trigamma(y + theta) - trigamma(np.array(theta)) + 1 / theta - 2 / s + (y + theta) / (s * s)
+    first = _by_value(digamma, y + theta) - digamma(np.array(theta)) + math.log(theta) + 1 - np.log(s) - (y + theta) / s
+    second = _by_value(trigamma, y + theta) - trigamma(np.array(theta)) + 1 / theta - 2 / s + (y + theta) / (s * s)
     return (l, theta * (y - lam) / s, theta * first, -(y + theta) * lam * theta / (s * s),
             theta * (y - lam) * lam / (s * s), theta * first + theta * theta * second)
 
@@ -101,18 +106,19 @@ def mixture_part(y: np.ndarray, ez: np.ndarray, ec: np.ndarray, theta: float | N
     q = np.exp(np.where(zero, l, 0.0))
     p0 = np.maximum(pi + (1 - pi) * q, 1e-300)
     mass = (1 - pi) * q
-    # of p0 for zeros
-    d = np.stack([pi * (1 - pi) * (1 - q), mass * c, mass * t])
-    dd = np.empty((3, 3, len(y)))
-    dd[0, 0] = pi * (1 - pi) * (1 - 2 * pi) * (1 - q)
-    dd[0, 1] = dd[1, 0] = -pi * mass * c
-    dd[0, 2] = dd[2, 0] = -pi * mass * t
-    dd[1, 1], dd[2, 2] = mass * (c * c + cc), mass * (t * t + tt)
-    dd[1, 2] = dd[2, 1] = mass * (c * t + ct)
-    grad = np.where(zero, d / p0, np.stack([-pi, c, t]))
-    none = np.zeros(len(y))
-    plain = np.array([[-pi * (1 - pi), none, none], [none, cc, ct], [none, ct, tt]])
-    hess = np.where(zero, dd / p0 - (d[:, None] / p0) * (d[None, :] / p0), plain)
+    parts = range(2 if theta is None else 3)  # without θ its derivatives are nothing
+    # of log p0 for zeros
+    r, share = mass / p0, pi * (1 - pi) * (1 - q) / p0
+    d = [share, r * c, r * t]
+    dd = {(0, 0): share * (1 - 2 * pi), (0, 1): -pi * d[1], (0, 2): -pi * d[2],
+          (1, 1): r * (c * c + cc), (1, 2): r * (c * t + ct), (2, 2): r * (t * t + tt)}
+    plain = [-pi, c, t]
+    second = {(0, 0): -pi * (1 - pi), (1, 1): cc, (1, 2): ct, (2, 2): tt}
+    grad, hess = np.zeros((3, len(y))), np.zeros((3, 3, len(y)))
+    for i in parts:
+        grad[i] = np.where(zero, d[i], plain[i])
+        for j in parts[i:]:
+            hess[i, j] = hess[j, i] = np.where(zero, dd[i, j] - d[i] * d[j], second.get((i, j), 0.0))
     return np.where(zero, np.log(p0), np.log1p(-pi) + l), grad, hess, np.where(zero, pi / p0, 0.0)
 
 
@@ -156,7 +162,8 @@ def _pass(frame, zd: Design, cd: Design, y_col, off_col, g_col, groups, params,
                 acc[gi] = acc.get(gi, 0) + np.concatenate(parts)
         yield partials.rows(acc, partials.task())
 
-    found = partials.summed(frame.mapInPandas(fn, partials.SCHEMA), frame.rdd.getNumPartitions())
+    tasks = min(frame.rdd.getNumPartitions(), compute_partitions(frame.sparkSession))
+    found = partials.summed(frame.coalesce(tasks).mapInPandas(fn, partials.SCHEMA), tasks)
     res = []
     for gi in range(len(groups)):
         o = found.get(gi, np.zeros(size))

@@ -67,3 +67,16 @@ def test_known_parameters_come_back(spark, theta):
 def test_unknown_family(spark):
     with pytest.raises(ValueError, match="gamma"):
         zip_mixture.fit_zip(spark.range(1), "id", [], [], family="gamma")
+
+
+def test_gamma_functions_are_evaluated_on_distinct_counts_only(monkeypatch):
+    import numpy as np
+    from raremetrics.models import zip_mixture
+    seen = []
+    plain = zip_mixture.digamma
+    monkeypatch.setattr(zip_mixture, "digamma", lambda x: seen.append(np.size(x)) or plain(x))
+    y = np.tile([0.0, 1.0, 0.0, 3.0], 500)
+    first = zip_mixture.count_part(y, np.full(2000, -1.0), 0.7)[2]
+    assert max(seen) == 3
+    each = plain(y + 0.7) - plain(np.array(0.7)) + np.log(0.7) + 1 - np.log(np.exp(-1) + 0.7) - (y + 0.7) / (np.exp(-1) + 0.7)
+    assert np.allclose(first, 0.7 * each)

@@ -34,6 +34,9 @@ from raremetrics.llm import common, grams
 #: Distinct words whose ids are kept at a time; the table starts anew when it is full.
 KNOWN_WORDS = 400_000
 SPECIAL, BREAK = 4, 5
+#: Symbols of the longest words that are merged side by side.
+SIDE_BY_SIDE = 64
+_NONE = 1 << 62
 _BREAK = "\udfff"  # between texts: a code point that no text has
 
 
@@ -77,7 +80,7 @@ class Transducer:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Merge the pairs in order of rank, then of place, until none is left."""
-        ids, none, rank = list(ids), 1 << 62, self.rank.get
+        ids, none, rank = list(ids), _NONE, self.rank.get
         if len(ids) < 100:
             found = [rank(a << 16 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
             while found and (least := min(found)) < none:
@@ -107,6 +110,47 @@ class Transducer:
                     heapq.heappush(todo, (r, x, ids[x], ids[y]))
         return [t for t in ids if t >= 0]
 
+    @functools.cached_property
+    def _ranks(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs in rising order and what :attr:`rank` holds for each, closed by a pair that no ids make."""
+        pairs = sorted(self.rank)
+        return np.array([*pairs, _NONE], np.int64), np.array([*map(self.rank.get, pairs), _NONE], np.int64)
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs, ranks = self._ranks
+        pair = left << 16 | right
+        at = np.searchsorted(pairs, pair)
+        return np.where(pairs[at] == pair, ranks[at], _NONE)
+
+    def merge_many(self, ids: np.ndarray) -> list[bytes]:
+        """:meth:`merge` of each row of ``ids``, words of equally many symbols, one merge of every word at a time; 32 bits an id."""
+        out: list = [None] * len(ids)
+        own, ids = np.arange(len(ids)), ids.astype(np.int64)
+        found = self._rank_of(ids[:, :-1], ids[:, 1:])
+        while len(own):
+            width = ids.shape[1]
+            at = found.argmin(axis=1) if width > 1 else np.zeros(len(own), np.int64)  # the leftmost of equal ranks
+            least = found[np.arange(len(own)), at] if width > 1 else np.full(len(own), _NONE)
+            more = least < _NONE
+            done = ids[~more].astype(np.uint32).tobytes()
+            for k, i in enumerate(own[~more].tolist()):
+                out[i] = done[4 * width * k:4 * width * (k + 1)]
+            own, ids, found, at, least = own[more], ids[more], found[more], at[more], least[more]
+            if not len(own):
+                break
+            rows = np.arange(len(own))
+            ids[rows, at] = least & 0xFFFF
+            keep = np.ones(ids.shape, bool)
+            keep[rows, at + 1] = False
+            ids = ids[keep].reshape(len(own), width - 1)
+            keep = np.ones(found.shape, bool)
+            keep[rows, at] = False
+            found = found[keep].reshape(len(own), width - 2)
+            for has, a in ((at > 0, at - 1), (at < width - 2, at)):
+                r, a = rows[has], a[has]
+                found[r, a] = self._rank_of(ids[r, a], ids[r, a + 1])
+        return out
+
     def feed(self, symbols: list[int]) -> list[int]:
         """Ids that no further symbol can change."""
         out: list[int] = []
@@ -195,6 +239,27 @@ class Encoder:
             out += self.transducer.feed(symbols[lo:lo + 4096])
         return out + self.transducer.close()
 
+    def words(self, texts: list[str]) -> list[bytes]:
+        """Ids of words, as bytes; short words are merged side by side, by their number of symbols."""
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        out: list = [None] * len(texts)
+        size = np.array([len(r) for r in raw], np.int64)
+        most = min(SIDE_BY_SIDE, 4 * self.transducer.lookahead - 1)
+        marks = {chr(0xD800 + n): i for n, i in enumerate(self.special.values())}
+        for i in np.flatnonzero(size > most).tolist():
+            out[i] = np.array(self.word(texts[i]), np.uint32).tobytes()
+        of_byte, ends = np.array(self.of_byte, np.int64), np.array(self.transducer.ends, np.int64)
+        for n in np.unique(size[size <= most]).tolist():
+            rows = np.flatnonzero(size == n).tolist()
+            rows = [i for i in rows if texts[i] not in marks]
+            ids = of_byte[np.frombuffer(b"".join(raw[i] for i in rows), np.uint8).reshape(len(rows), n)]
+            ids[:, -1] = ends[ids[:, -1]]
+            for i, merged in zip(rows, self.transducer.merge_many(ids), strict=True):
+                out[i] = merged
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            out[i] = np.array([marks[texts[i]]], np.uint32).tobytes()
+        return out
+
     def texts(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts after one another, and the n+1 places where the texts begin."""
         raw = buf.tobytes()
@@ -214,25 +279,22 @@ class Encoder:
         np.cumsum(grams.mix(code + np.uint64(1)) * powers[:len(points)], out=prefix[1:])
         h = grams.mix((prefix[end] - prefix[at]) * inverse[at] + (end - at).astype(np.uint64))
         _, where, which = np.unique(h, return_index=True, return_inverse=True)
-        found = []
-        ids = list(self.special.values())
-        for a, b in zip(at[where].tolist(), end[where].tolist(), strict=True):
-            word = text[a:b]
-            known = self.known.get(word)
-            if known is None:
-                if len(self.known) >= KNOWN_WORDS:
-                    self.known.clear()
-                special = ord(word[0]) - 0xD800
-                known = np.array([ids[special]] if 0 <= special < len(ids) else self.word(word), np.uint32).tobytes()
-                if b - a <= 256:
-                    self.known[word] = known
-            found.append(known)
-        size = np.array([len(f) for f in found], np.int64) // 4
+        words = [text[a:b] for a, b in zip(at[where].tolist(), end[where].tolist(), strict=True)]
+        found = list(map(self.known.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(new, self.words([words[i] for i in new]), strict=True):
+            if len(self.known) >= KNOWN_WORDS:
+                self.known.clear()
+            found[i] = ids
+            if len(words[i]) <= 256:
+                self.known[words[i]] = ids
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.uint32)
         begin = np.cumsum(size) - size
         each = size[which]
         upto = np.cumsum(each)
-        place = np.repeat(begin[which] - (upto - each), each) + np.arange(upto[-1] if len(upto) else 0)
+        place = np.repeat(begin[which] - (upto - each), each)
+        place += np.arange(len(place))
         return flat[place], np.concatenate([[0], upto])[first]
 
 

@@ -256,3 +256,24 @@ def test_warc_empty_and_foreign_zip(spark):
     data = raw.getvalue()
     found = warc.directory(lambda at, n: data[at:at + n], len(data))
     assert [(n, data[o:o + s]) for n, _, o, s in found] == [("one", b"abc"), ("two/three", b"defgh" * 9)]
+
+
+def test_words_merged_side_by_side_are_those_of_the_single_merge():
+    e = bpe.Encoder(bpe.default_path())
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("etaoinsh"), n)) for n in (*range(1, 70), 200) for _ in range(6)]
+    words += ["aaaaaaaaaaaa", "é" * 31, "é" * 40, *(chr(0xD800 + n) for n in range(len(e.special)))]
+    single = [[i] for i in e.special.values()]
+    want = [e.word(w) for w in words[:len(words) - len(single)]] + single
+    assert [np.frombuffer(b, np.uint32).tolist() for b in e.words(words)] == want
+
+
+def test_short_words_are_not_merged_one_by_one(monkeypatch):
+    e = bpe.Encoder(bpe.default_path())
+
+    def one_by_one(self, ids):
+        raise AssertionError("a short word went through the single merge")
+
+    monkeypatch.setattr(bpe.Transducer, "merge", one_by_one)
+    buf = np.frombuffer(b"several words of unequal length, merged side by side", np.uint8)
+    assert len(e.texts(buf, np.array([0, len(buf)]))[0]) > 8

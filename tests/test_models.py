@@ -320,3 +320,22 @@ def test_grouped_anova_uses_one_set_of_rows(spark):
     got = glm.grouped_anova(df, "p", [gam.Factor("one"), gam.Linear("x")], "g")
     assert got.df.tolist() == [0, 1, 1] and got.resid_df.tolist() == [674, 673, 673]
     assert abs(got.deviance[0]) < 1e-9 and math.isnan(got.p_value[0])
+
+
+def test_rbf_svm_reads_its_source_once(spark, monkeypatch):
+    from raremetrics.plans import catalog
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    rows = [(i, int(i % 3 == 0), i % 7 + 0.5, 114 + i % 5 * 0.3, -18 + i % 4 * 0.2, i % 12 + 1) for i in range(150)]
+    kind = "shot_id long, narrow long, hrs double, lon double, lat double, mn int"
+    df = spark.createDataFrame(rows, kind).mapInPandas(count, kind)
+    monkeypatch.setattr(catalog, "_model_frame", lambda spark, d: df)
+    (row,) = catalog.QUERIES["rbf_svm"](spark, "").collect()
+    assert (row.n_pos, row.n_neg) == (15, 30) and 0 <= row.auc <= 1
+    assert read.value == 150

@@ -21,6 +21,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from . import neighbours, sampling
 
 
@@ -46,6 +47,8 @@ def smote(df: DataFrame, label: str, id_col: str, numeric: list[str], nominal: l
     if perc_over % 100 != 0 or perc_over <= 0:
         raise ValueError("perc_over must be a positive multiple of 100")
     n_new = perc_over // 100
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)  # every part of the result reads it
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     minority = min(counts, key=lambda c: (counts[c], str(c)))
     mino = df.filter(F.col(label) == F.lit(minority))

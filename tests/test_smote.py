@@ -99,3 +99,17 @@ def test_smote_sizes_and_segments(spark):
     for r in syn:   # synthetic points stay inside the minority bounding box (convex combinations)
         for i, v in enumerate("xyz"):
             assert lo[i] - 1e-12 <= r[v] <= lo[3 + i] + 1e-12
+
+
+def test_smote_reads_its_source_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    df = _fixture(spark, 120).mapInPandas(count, "id long, x double, y double, z double, g string, cls int")
+    out = smote.smote(df, "cls", "id", ["x", "y", "z"], ["g"], 100, 200, k=3)
+    assert out.filter("cls = 1").count() == 60
+    assert read.value == 120

@@ -5,6 +5,9 @@ folds come from ``sampling.cv_folds`` (a fold column) so CV is reproducible."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, NaiveBayes, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -14,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED = 666
+#: Learners that are fitted at the same time.
+PARALLEL_FITS = 2
 
 
 def learners(label: str = "label", features: str = "features") -> dict:
@@ -29,6 +34,19 @@ def learners(label: str = "label", features: str = "features") -> dict:
     }
 
 
+def fit_all(learners: dict, train: DataFrame) -> dict:
+    """The fitted model of each learner.
+
+    Boosting is hundreds of short jobs in sequence that do not fill the cores, so it
+    runs beside the other fits; more at once would hold more copies of the rows in memory.
+    """
+    order = sorted(learners, key=lambda name: not isinstance(learners[name], GBTClassifier))
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        fit = inheritable_thread_target(train.sparkSession)(lambda name: learners[name].fit(train))
+        fits = {name: pool.submit(fit, name) for name in order}
+        return {name: fits[name].result() for name in learners}
+
+
 def positive_score(pred: DataFrame, out: str = "score") -> DataFrame:
     """Probability of the positive class (or the raw margin for margin-only learners)."""
     col = "probability" if "probability" in pred.columns else "rawPrediction"

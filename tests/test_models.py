@@ -339,3 +339,46 @@ def test_rbf_svm_reads_its_source_once(spark, monkeypatch):
     (row,) = catalog.QUERIES["rbf_svm"](spark, "").collect()
     assert (row.n_pos, row.n_neg) == (15, 30) and 0 <= row.auc <= 1
     assert read.value == 150
+
+
+def test_model_comparison_reads_its_source_once_and_fits_like_single_learners(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+
+    from raremetrics.models import classify, evaluate
+    from raremetrics.plans import catalog
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    rows = [(i, int(i % 3 == 0), i % 7 + 0.5, 114 + i % 5 * 0.3, -18 + i % 4 * 0.2, i % 12 + 1, "SprSu" if i % 12 < 6 else "AutWin",
+             ("Long", "Short", "Standard")[i % 3 if i % 5 else 0]) for i in range(150)]
+    kind = "shot_id long, narrow long, hrs double, lon double, lat double, mn int, season string, effort_class string"
+    df = spark.createDataFrame(rows, kind).mapInPandas(count, kind)
+    few = {"glm": LogisticRegression(maxIter=5), "gbm": GBTClassifier(maxIter=2, maxDepth=2, seed=1)}
+    monkeypatch.setattr(catalog, "_model_frame", lambda spark, d: df)
+    monkeypatch.setattr(catalog.derive, "with_classes", lambda m, hour=None: m)
+    monkeypatch.setattr(classify, "learners", lambda: few)
+    got = {r.model: r for r in catalog.QUERIES["model_comparison"](spark, "").collect()}
+    assert read.value == 150
+    m = catalog._classification_frame(spark, "").checkpoint(eager=True)
+    for name, learner in few.items():
+        p = classify.positive_score(learner.fit(m.filter("split = 'train'")).transform(m.filter("split = 'test'")))
+        (one,) = evaluate.auc(p, "label", "score").collect()
+        assert (got[name].n_pos, got[name].n_neg) == (one.n_pos, one.n_neg) == (15, 30)
+        assert got[name].auc == pytest.approx(one.auc, abs=1e-6)
+
+
+def test_cuts_below_counts_like_a_scan_of_all_cuts(spark):
+    from raremetrics.models import evaluate
+
+    rng = np.random.default_rng(3)
+    cuts = np.sort(rng.integers(0, 400, 1023)).astype(float).tolist()
+    scores = [-1.0, 0.0, 399.0, 400.0, float("nan"), *rng.uniform(-5, 405, 300).tolist(), *cuts[::50]]
+    df = spark.createDataFrame([(cuts[:n], s) for n in (0, 1, 31, 32, 33, 1023) for s in scores], "c array<double>, s double")
+    df = evaluate._cuts_below(df, "c", "s", "got")
+    out = df.select("got", F.size(F.filter("c", lambda c: c < F.col("s"))).alias("want")).collect()
+    assert all(r.got == r.want for r in out)

@@ -95,3 +95,25 @@ def fit_rbf_svm(df: DataFrame, label: str, features: list[str], n_features: int
         return random_fourier_features(d, features, n_features, gamma, seed, "features")
     model = LinearSVC(labelCol=label, featuresCol="features", regParam=reg, maxIter=100).fit(transform(df))
     return model, transform
+
+
+def discriminant_scores(train: DataFrame, test: DataFrame, label: str, features: str) -> dict[str, DataFrame]:
+    """G13 and G14 fitted to ``train``, with ``score`` (positive for class 1) and ``prediction`` of ``test``, by name.
+
+    ``features`` is a vector column; its columns are centred and scaled by the training rows (a constant one becomes 0)."""
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import vector_to_array
+
+    scaler = StandardScaler(withMean=True, withStd=True, inputCol=features, outputCol="__scaled").fit(train)
+    cols = [f"__x{i}" for i in range(len(scaler.mean))]
+
+    def scaled(df: DataFrame) -> DataFrame:
+        wide = scaler.transform(df).select(label, vector_to_array("__scaled").alias("__x"))
+        return wide.select(label, *[F.col("__x")[i].alias(c) for i, c in enumerate(cols)])
+
+    train, test = scaled(train).checkpoint(eager=True), scaled(test).checkpoint(eager=True)
+    lda = fit_lda(train, label, cols).score(test, "score")
+    svm, transform = fit_rbf_svm(train, label, cols, 100, 0.5)
+    radial = svm.transform(transform(test)).withColumn("score", vector_to_array("rawPrediction")[1])
+    return {"lda": lda.withColumn("prediction", (F.col("score") > 0).cast("double")).select(label, "score", "prediction"),
+            "svm_radial": radial.select(label, "score", "prediction")}

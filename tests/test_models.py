@@ -372,6 +372,48 @@ def test_model_comparison_reads_its_source_once_and_fits_like_single_learners(sp
         assert got[name].auc == pytest.approx(one.auc, abs=1e-6)
 
 
+def test_model_comparison_has_all_learners_and_the_confusion_of_their_classes(spark, monkeypatch):
+    from pyspark.ml.classification import LinearSVC, LogisticRegression
+
+    from raremetrics.models import classify, discriminant
+    from raremetrics.plans import catalog
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        x = rng.normal()
+        rows.append((i, int(abs(x) + 0.2 * rng.normal() > 0.7), x, 114 + rng.uniform(), -18 + rng.uniform(), i % 12 + 1,
+                     "SprSu" if i % 12 < 6 else "AutWin", ("Long", "Short", "Standard")[i % 3]))
+    df = spark.createDataFrame(rows, "shot_id long, narrow long, hrs double, lon double, lat double, mn int, season string, effort_class string")
+    few = {"glm": LogisticRegression(maxIter=5), "svm": LinearSVC(maxIter=5)}
+    monkeypatch.setattr(catalog, "_model_frame", lambda spark, d: df)
+    monkeypatch.setattr(catalog.derive, "with_classes", lambda m, hour=None: m)
+    monkeypatch.setattr(classify, "learners", lambda: few)
+    got = {r.model: r for r in catalog.QUERIES["model_comparison"](spark, "").collect()}
+    assert set(got) == {"glm", "svm", "lda", "svm_radial"}
+    m = catalog._classification_frame(spark, "").checkpoint(eager=True)
+    train, test = m.filter("split = 'train'"), m.filter("split = 'test'")
+    frames = {name: learner.fit(train).transform(test) for name, learner in few.items()}
+    frames |= discriminant.discriminant_scores(train, test, "label", "features")
+    for name, frame in frames.items():
+        pairs = [(r.label, r.prediction) for r in frame.select("label", "prediction").collect()]
+        r = got[name]
+        assert (r.tp, r.fp, r.tn, r.fn) == tuple(pairs.count(p) for p in ((1, 1), (0, 1), (0, 0), (1, 0)))
+        assert r.sensitivity == pytest.approx(r.tp / r.n_pos, abs=1e-6) and r.specificity == pytest.approx(r.tn / r.n_neg, abs=1e-6)
+        assert r.accuracy == pytest.approx((r.tp + r.tn) / len(pairs), abs=1e-6)
+    # presence depends on |hrs|: no plane parts the classes, a radial kernel does
+    assert got["svm_radial"].auc > 0.8 > 0.7 > max(got[n].auc for n in ("glm", "svm", "lda"))
+    # the discriminant is that of the pooled covariance, on any scale of the inputs
+    x = {s: np.array([(*r.features.toArray(), r.label) for r in part.collect()]) for s, part in (("train", train), ("test", test))}
+    a, y = x["train"][:, :-1], x["train"][:, -1]
+    one, none = a[y == 1], a[y == 0]
+    pooled = ((one - one.mean(0)).T @ (one - one.mean(0)) + (none - none.mean(0)).T @ (none - none.mean(0))) / (len(a) - 2)
+    w = np.linalg.pinv(pooled) @ (one.mean(0) - none.mean(0))
+    cut = w @ (one.mean(0) + none.mean(0)) / 2 - np.log(len(one) / len(none))
+    want = sorted(x["test"][:, :-1] @ w - cut)
+    assert sorted(r.score for r in frames["lda"].collect()) == pytest.approx(want, abs=1e-6)
+
+
 def test_cuts_below_counts_like_a_scan_of_all_cuts(spark):
     from raremetrics.models import evaluate
 
